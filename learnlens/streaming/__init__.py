@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analytics this package rebuilds are batch only: tables are read with
+``spark.read`` and no operator keeps state across micro-batches, watches
+event time or handles late data. So there is nothing here; every panel is a
+batch DataFrame. A streaming front end would only be a different reader in
+front of the same operators.
+"""
