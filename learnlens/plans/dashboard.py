@@ -109,18 +109,25 @@ def filtered_view(dash: Dashboard, category=None, tag=None, risk: float | None =
     }
 
 
-def scoped(dash: Dashboard, role: str, allowed_tags=None, organization=None, scope_first: bool = False) -> dict[str, DataFrame]:
+# Marks "the account's own scope" (the params' values), as opposed to None.
+ACCOUNT = object()
+
+
+def scoped(
+    dash: Dashboard, role: str, allowed_tags=ACCOUNT, organization=ACCOUNT, scope_first: bool = False
+) -> dict[str, DataFrame]:
     """Panels as a role sees them.
 
     teacher: course, tag and risk rows of the allowed tags; organization
-    manager: risk rows of the organization; anyone else: unfiltered. By
+    manager: risk rows of the organization (``None``: no filter; an empty
+    tag list: no rows); anyone else: unfiltered. By
     default the scope applies after top-1 and the cap, as in the reference;
     ``scope_first`` scopes the wide table before ranking instead.
     """
     p = dash.params
     out = dict(dash.panels)
     if role == "teacher":
-        tags = p.teacher_tags if allowed_tags is None else allowed_tags
+        tags = p.teacher_tags if allowed_tags is ACCOUNT else (allowed_tags or [])
         out["course_effect"] = scope_teacher(out["course_effect"], tags)
         out["tag_weakness"] = scope_teacher(out["tag_weakness"], tags)
         if scope_first:
@@ -129,7 +136,7 @@ def scoped(dash: Dashboard, role: str, allowed_tags=None, organization=None, sco
         else:
             out["learner_risk"] = scope_teacher(out["learner_risk"], tags)
     elif role == "organization_manager":
-        org = p.manager_organization if organization is None else organization
+        org = p.manager_organization if organization is ACCOUNT else organization
         if scope_first:
             lc = scope_organization(dash.learner_course, org)
             out["learner_risk"] = P.risk_list(lc, p).select(*P.RISK_COLUMNS)

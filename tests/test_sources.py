@@ -1,0 +1,131 @@
+"""Sources and sinks: CSV/URI scans, Parquet, normalisation, upsert, JSON."""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from learnlens.plans.dashboard import build_dashboard, write_dashboard
+from learnlens.schemas import FILE_NAMES, SCHEMAS
+from learnlens.session import scratch_path
+from learnlens.sources import readers, writers
+
+
+def _publish_micro(spark, micro, base):
+    for name, df in micro.as_dict().items():
+        writers.publish_files(df, readers.table_uri(base, name))
+
+
+def test_csv_layout_round_trip(spark, micro):
+    base = scratch_path(spark, "micro_csv")
+    _publish_micro(spark, micro, base)
+    for source in ("csv", "CSV", "anything-else", "hdfs"):
+        loaded = readers.load_tables(spark, source, "file://" + base if source == "hdfs" else base)
+        for name in SCHEMAS:
+            assert loaded[name].schema == SCHEMAS[name]
+            assert sorted(loaded[name].collect()) == sorted(micro[name].collect())
+
+
+def test_csv_inferred_types(spark, micro):
+    base = scratch_path(spark, "micro_csv_infer")
+    _publish_micro(spark, micro, base)
+    ev = readers.read_fs_csv(spark, base, "events", infer=True)
+    types = dict(ev.dtypes)
+    assert types["event_date"] == "date" and types["duration_minutes"] == "int" and types["event_id"] == "string"
+
+
+def test_parquet_source(spark, micro):
+    base = scratch_path(spark, "micro_parquet")
+    for name, df in micro.as_dict().items():
+        df.write.parquet(f"{base}/{name}.parquet")
+    loaded = readers.load_tables(spark, "Parquet", base)
+    assert loaded.events.count() == 6
+
+
+def test_missing_input_fails(spark):
+    with pytest.raises(Exception):
+        readers.read_fs_csv(spark, scratch_path(spark, "nothing"), "events").count()
+
+
+def test_file_names():
+    assert readers.table_uri("hdfs://nn:8020/base/", "events") == "hdfs://nn:8020/base/" + FILE_NAMES["events"]
+
+
+def test_normalize_types(spark):
+    df = spark.createDataFrame(
+        [(decimal.Decimal("12.50"), dt.date(2026, 4, 1), "x", 3)], "d decimal(5,2), day date, s string, i int"
+    )
+    got = readers.normalize_types(df)
+    assert got.dtypes == [("d", "double"), ("day", "string"), ("s", "string"), ("i", "int")]
+    assert tuple(got.collect()[0]) == (12.5, "2026-04-01", "x", 3)
+
+
+def test_table_query():
+    assert readers.table_query("courses") == (
+        "SELECT course_id, course_name, category, tag, difficulty, hours FROM courses"
+    )
+
+
+def test_jdbc_arguments(spark):
+    with pytest.raises(ValueError):
+        readers.read_jdbc(spark, "jdbc:none", table="a", query="b")
+    with pytest.raises(ValueError):
+        readers.read_jdbc(spark, "jdbc:none", query="select 1", partition_column="id", lower_bound=0, upper_bound=9)
+    with pytest.raises(ValueError):
+        readers.load_tables(spark, "mysql")
+
+
+def test_upsert_latest_wins(spark):
+    target = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "k string, v double")
+    incoming = spark.createDataFrame(
+        [("b", 20.0, 1), ("b", 21.0, 2), ("d", 40.0, 1), ("b", 19.0, 0)], "k string, v double, seq int"
+    )
+    got = sorted(tuple(r) for r in writers.upsert_by_key(target, incoming, ["k"], ["seq"]).collect())
+    assert got == [("a", 1.0), ("b", 21.0), ("c", 3.0), ("d", 40.0)]
+
+
+def test_upsert_hot_key(spark):
+    """A key holding a third of the rows still reduces to its latest row."""
+    n = 30_000
+    inc = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"),
+        F.col("id").cast("double").alias("v"),
+        F.col("id").alias("seq"),
+    )
+    target = spark.createDataFrame([(-1, 0.0, 0)], "k long, v double, seq long")
+    out = writers.upsert_by_key(target, inc, ["k"], ["seq"])
+    assert out.count() == 1 + (n - n // 3)
+    assert out.where("k = -1").collect()[0].v == float(n - 1 - (n - 1) % 3)
+
+
+def test_rows_to_json_cap(spark, micro):
+    ce = micro.courses.select("course_id", "hours")
+    assert ce.transform(writers.rows_to_json).count() == 3
+    assert writers.rows_to_json(ce, 0).count() == 3
+    assert writers.rows_to_json(ce, None).count() == 3
+    assert writers.rows_to_json(ce, 2).count() == 2
+    first = json.loads(writers.rows_to_json(ce.orderBy("course_id"), 1).collect()[0].json)
+    assert first == {"course_id": "C1", "hours": 4}
+
+
+def test_publish_replaces(spark, micro):
+    uri = scratch_path(spark, "publish")
+    writers.publish_files(micro.events, uri)
+    writers.publish_files(micro.events.limit(2), uri)
+    assert readers.read_csv(spark, uri, SCHEMAS["events"]).count() == 2
+
+
+def test_write_dashboard(spark, micro):
+    d = build_dashboard(micro, how="table")
+    paths = write_dashboard(d.panels, scratch_path(spark, "dash"))
+    assert set(paths) == set(d.panels)
+    assert spark.read.json(paths["course_effect"]).count() == 2
+
+
+def test_checkpoint_materialization(spark, micro):
+    d = build_dashboard(micro, how="checkpoint")
+    assert d.panels["overview"].collect()[0].student_count == 3
