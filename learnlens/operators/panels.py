@@ -15,7 +15,6 @@ from learnlens.functions.expressions import (
     conditional_rate,
     ordinal_position,
     round_columns,
-    week_label,
     week_start,
 )
 from learnlens.params import DEFAULTS, Params
@@ -115,8 +114,17 @@ def _weekly(events: DataFrame, key: Column, params: Params) -> DataFrame:
 
 def weekly_activity(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """By 'MM-dd' label of the week's Monday: same-label weeks of different
-    years merge, as in the reference."""
-    return _weekly(events, week_label("event_date").alias("week"), params)
+    years merge, as in the reference.
+
+    Rows are grouped on the integer month*100+day of the Monday, which sorts
+    like the label and hashes cheaper than text; the label is formatted
+    after the aggregation, on one row per week.
+    """
+    ws = week_start("event_date")
+    out = _weekly(events, (F.month(ws) * 100 + F.dayofmonth(ws)).alias("week_key"), params)
+    key = F.col("week_key")
+    label = F.when(key.isNotNull(), F.format_string("%02d-%02d", F.floor(key / 100), key % 100))
+    return out.select(label.alias("week"), "study_hours", "active_students", "events")
 
 
 def weekly_activity_by_date(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -9,6 +9,7 @@ writes each panel with a parallel writer instead of collecting it.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -72,24 +73,48 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     raise ValueError(f"materialize must be one of {MATERIALIZE}")
 
 
-def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persist") -> Dashboard:
-    lc = materialize(learner_course(tables, params).select(*PANEL_COLUMNS), how)
-    ce = P.course_effect(lc, params)
-    risk = P.risk_list(lc, params)
-    panels = {
+def dashboard_panels(tables: Tables, lc: DataFrame, ce: DataFrame, risk: DataFrame, params: Params = DEFAULTS) -> dict[str, DataFrame]:
+    """The eight panels over a (materialised) wide table; fresh plans on each call."""
+    return {
         "overview": P.overview(lc, params),
         "course_effect": P.ordered(ce, "course_effect", params),
         "tag_weakness": P.ordered(P.tag_weakness(lc, params), "tag_weakness", params),
         "format_usage": P.ordered(P.format_usage(tables.events, tables.resources, params), "format_usage", params),
         "weekly_activity": P.ordered(P.weekly_activity(tables.events, params), "weekly_activity", params),
         "score_distribution": P.ordered(P.score_distribution(lc, params), "score_distribution", params),
-        "learner_risk": risk.select(*P.RISK_COLUMNS),
+        "learner_risk": P.ordered(risk, "learner_risk", params).select(*P.RISK_COLUMNS),
         "recommendations": recommendations(ce, params),
     }
-    persisted = [lc] if how == "persist" else []
+
+
+def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persist") -> Dashboard:
+    """Declare the wide table once, materialise it, derive the panels.
+
+    The course panel and the capped risk list feed several panels, views and
+    scopes; both are small (one row per course; at most the cap), so they
+    are cached too when the wide table is persisted.
+    """
+    lc = materialize(learner_course(tables, params).select(*PANEL_COLUMNS), how)
+    ce = P.course_effect(lc, params)
+    risk = P.risk_list(lc, params)
+    persisted = []
+    if how == "persist":
+        ce, risk = ce.persist(StorageLevel.MEMORY_AND_DISK), risk.persist(StorageLevel.MEMORY_AND_DISK)
+        persisted = [lc, ce, risk]
+    panels = dashboard_panels(tables, lc, ce, risk, params)
     return Dashboard(tables, lc, ce, risk, panels, params, persisted)
 
 
+def run_concurrently(jobs: dict, fn, parallel: int = 4) -> dict:
+    """Run independent Spark actions from a few driver threads, so small
+    panels share the executors instead of queueing one after another."""
+    if parallel <= 1:
+        return {name: fn(name, df) for name, df in jobs.items()}
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        futures = {name: pool.submit(fn, name, df) for name, df in jobs.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def skill_scores(dash: Dashboard) -> DataFrame:
     return P.skill_scores(dash.course_effect)
 
@@ -145,11 +170,20 @@ def scoped(
     return out
 
 
-def write_dashboard(panels: dict[str, DataFrame], base: str, fmt: str = "json") -> dict[str, str]:
+def collect_dashboard(panels: dict[str, DataFrame], parallel: int = 4) -> dict[str, list]:
+    """Rows of every panel, for serving. Every panel is small by
+    construction (one row, or one per course, tag, format, level or week
+    label; the risk list is capped), so collecting them is the delivery step,
+    not a pass of the data through the driver."""
+    return run_concurrently(panels, lambda name, df: [r.asDict(recursive=True) for r in df.collect()], parallel)
+
+
+def write_dashboard(panels: dict[str, DataFrame], base: str, fmt: str = "json", parallel: int = 4) -> dict[str, str]:
     """Write each panel under ``base/<panel>`` (overwrite); returns the paths."""
-    paths = {}
-    for name, df in panels.items():
+
+    def write(name: str, df: DataFrame) -> str:
         path = f"{base.rstrip('/')}/{name}"
         df.write.mode("overwrite").format(fmt).save(path)
-        paths[name] = path
-    return paths
+        return path
+
+    return run_concurrently(panels, write, parallel)

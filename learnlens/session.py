@@ -54,6 +54,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "learn
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Broadcast only on measured sizes: no static (file-size estimate)
+        # broadcast; AQE converts a join once a shuffle stage has measured
+        # its side below the adaptive threshold.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "16MB")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -25,6 +25,11 @@ def spark():
         .appName("learnlens-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Broadcast only on measured sizes: no static (file-size estimate)
+        # broadcast; AQE converts a join once a shuffle stage has measured
+        # its side below the adaptive threshold.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "16MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
