@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from learnlens.functions.expressions import fixed_text
 from learnlens.operators.panels import weakest_courses, with_position
@@ -26,15 +25,6 @@ from learnlens.params import (
     Params,
 )
 
-_BLOCK_SCHEMA = T.StructType(
-    [
-        T.StructField("block", T.IntegerType(), False),
-        T.StructField("rank", T.IntegerType(), False),
-        T.StructField("title", T.StringType(), False),
-        T.StructField("detail", T.StringType(), False),
-    ]
-)
-
 
 def _template(text: str, names: list[str]) -> str:
     """'{a} and {b}' -> '%1$s and %2$s' for ``format_string``."""
@@ -49,7 +39,14 @@ def _fill(text: str, **cols) -> F.Column:
 
 
 def _fixed_block(spark, block: int, rows) -> DataFrame:
-    return spark.createDataFrame([(block, i, t, d) for i, (t, d) in enumerate(rows, start=1)], _BLOCK_SCHEMA)
+    """Constant rows built in the JVM (one-row range + inline), no Python data."""
+    structs = [
+        F.struct(
+            F.lit(block).alias("block"), F.lit(i).alias("rank"), F.lit(t).alias("title"), F.lit(d).alias("detail")
+        )
+        for i, (t, d) in enumerate(rows, start=1)
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def _weak_block(ce: DataFrame, k: int, title: str, detail: F.Column) -> DataFrame:

@@ -105,14 +105,23 @@ def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persi
     return Dashboard(tables, lc, ce, risk, panels, params, persisted)
 
 
-def run_concurrently(jobs: dict, fn, parallel: int = 4) -> dict:
+# Panels that read only the events: started first, so they run while the
+# wide table is being materialised by the others.
+EVENT_PANELS = ("weekly_activity", "format_usage")
+
+
+def run_concurrently(jobs: dict, fn, parallel: int = 8, first=EVENT_PANELS) -> dict:
     """Run independent Spark actions from a few driver threads, so small
-    panels share the executors instead of queueing one after another."""
+    panels share the executors instead of queueing one after another.
+    Results come back in the order of ``jobs``."""
+    order = [n for n in first if n in jobs] + [n for n in jobs if n not in first]
     if parallel <= 1:
-        return {name: fn(name, df) for name, df in jobs.items()}
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        futures = {name: pool.submit(fn, name, df) for name, df in jobs.items()}
-        return {name: f.result() for name, f in futures.items()}
+        done = {name: fn(name, jobs[name]) for name in order}
+    else:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            futures = {name: pool.submit(fn, name, jobs[name]) for name in order}
+            done = {name: f.result() for name, f in futures.items()}
+    return {name: done[name] for name in jobs}
 
 
 def skill_scores(dash: Dashboard) -> DataFrame:
@@ -170,7 +179,7 @@ def scoped(
     return out
 
 
-def collect_dashboard(panels: dict[str, DataFrame], parallel: int = 4) -> dict[str, list]:
+def collect_dashboard(panels: dict[str, DataFrame], parallel: int = 8) -> dict[str, list]:
     """Rows of every panel, for serving. Every panel is small by
     construction (one row, or one per course, tag, format, level or week
     label; the risk list is capped), so collecting them is the delivery step,
@@ -178,7 +187,7 @@ def collect_dashboard(panels: dict[str, DataFrame], parallel: int = 4) -> dict[s
     return run_concurrently(panels, lambda name, df: [r.asDict(recursive=True) for r in df.collect()], parallel)
 
 
-def write_dashboard(panels: dict[str, DataFrame], base: str, fmt: str = "json", parallel: int = 4) -> dict[str, str]:
+def write_dashboard(panels: dict[str, DataFrame], base: str, fmt: str = "json", parallel: int = 8) -> dict[str, str]:
     """Write each panel under ``base/<panel>`` (overwrite); returns the paths."""
 
     def write(name: str, df: DataFrame) -> str:

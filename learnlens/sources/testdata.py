@@ -31,9 +31,9 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def courses(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> DataFrame:
     nation = read_raw(spark, sf_dir, "nation")
-    region = read_raw(spark, sf_dir, "region")
+    region = broadcast_if_small(read_raw(spark, sf_dir, "region"), params.broadcast_max_rows)
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("course_id"),
         F.col("n_name").alias("course_name"),
@@ -90,7 +90,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_tables(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> Tables:
     return Tables(
         students=students(spark, sf_dir),
-        courses=courses(spark, sf_dir),
+        courses=courses(spark, sf_dir, params),
         resources=resources(spark, sf_dir),
         events=events(spark, sf_dir, params),
         scores=scores(spark, sf_dir),
