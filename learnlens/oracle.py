@@ -340,6 +340,22 @@ SELECT * FROM tgt WHERE NOT EXISTS (
 UNION ALL SELECT * FROM inc"""
 
 
+def scope_first_sql(pred: str) -> str:
+    """Rank and cap within the scoped wide table."""
+    return w(
+        f"""
+SELECT {RISK_COLS} FROM (
+  SELECT student_id, student_name, organization, course_name, tag,
+         {rnd('final_score')} AS final_score, {rnd('avg_progress')} AS avg_progress, study_minutes,
+         {rnd('risk_score')} AS risk_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY student_id
+                  ORDER BY risk_score DESC NULLS LAST, course_id ASC NULLS FIRST) AS rn
+        FROM lc WHERE {pred})
+  WHERE rn = 1
+  ORDER BY {RISK_ORDER} LIMIT 120)"""
+    )
+
+
 def sql() -> dict[str, str]:
     metric_courses = f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)}"
     metric_risks = "SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= 38.0"
@@ -479,4 +495,6 @@ def sql() -> dict[str, str]:
         "scope_teacher_tags": w(f"SELECT * FROM tw WHERE tag IN ({TEACHER})"),
         "scope_teacher_risks": w(f"SELECT {RISK_COLS} FROM risk120 WHERE tag IN ({TEACHER})"),
         "scope_org_risks": w(f"SELECT {RISK_COLS} FROM risk120 WHERE organization = {q(R.ORGANIZATION)}"),
+        "scope_first_teacher_risks": scope_first_sql(f"tag IN ({TEACHER})"),
+        "scope_first_org_risks": scope_first_sql(f"organization = {q(R.ORGANIZATION)}"),
     }

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens.functions.expressions import (
+    conditional_count,
+    conditional_rate,
     fixed_text,
     grouped_number,
     percent_text,
@@ -23,9 +25,10 @@ from learnlens.functions.expressions import (
 from learnlens.operators import panels as P
 from learnlens.operators import quality as Q
 from learnlens.operators import views as V
-from learnlens.operators.features import learner_course, null_fill, pair_features, scored_features, join_courses
+from learnlens.operators.features import join_courses, learner_course, null_fill, pair_features, scored_features
 from learnlens.operators.recommend import recommendations, recommendations_filtered
 from learnlens.params import DEFAULTS
+from learnlens.schemas import DECLARED
 from learnlens.session import scratch_path
 from learnlens.sources import readers, writers
 from learnlens.sources import testdata as TD
@@ -63,6 +66,13 @@ def capped_risks(spark: SparkSession, sf: str) -> DataFrame:
     return P.risk_list(lc(spark, sf))
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _file_uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
@@ -101,11 +111,9 @@ def q_load_tables(spark, sf):
     for name, df in tables(spark, sf).as_dict().items():
         df.write.mode("overwrite").parquet(f"{base}/{name}.parquet")
     loaded = readers.load_tables(spark, "PARQUET", base)
-    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in loaded.as_dict().items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(
+        [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in loaded.as_dict().items()]
+    )
 
 
 def q_upsert_by_key(spark, sf):
@@ -134,15 +142,9 @@ def q_dq_primary_key(spark, sf):
 
 
 def q_dq_not_null(spark, sf):
-    from learnlens.schemas import DECLARED
-
-    parts = []
-    for name, df in tables(spark, sf).as_dict().items():
-        parts.append(Q.null_counts(df, name, [c for c in DECLARED[name] if c in df.columns]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(
+        [Q.null_counts(df, name, [c for c in DECLARED[name] if c in df.columns]) for name, df in tables(spark, sf).as_dict().items()]
+    )
 
 
 def q_dq_foreign_key(spark, sf):
@@ -150,11 +152,7 @@ def q_dq_foreign_key(spark, sf):
 
 
 def q_dq_types(spark, sf):
-    parts = [Q.type_violations(df, name) for name, df in tables(spark, sf).as_dict().items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all([Q.type_violations(df, name) for name, df in tables(spark, sf).as_dict().items()])
 
 
 def q_dq_report(spark, sf):
@@ -265,16 +263,12 @@ def q_score_distribution(spark, sf):
 
 
 def q_conditional_count(spark, sf):
-    from learnlens.functions.expressions import conditional_count
-
     return lc(spark, sf).groupBy("course_id").agg(
         conditional_count(F.col("risk_score") >= DEFAULTS.risk_threshold).alias("risk_records")
     )
 
 
 def q_conditional_rate(spark, sf):
-    from learnlens.functions.expressions import conditional_rate
-
     return lc(spark, sf).groupBy("tag").agg(
         F.round(conditional_rate(F.col("final_score") >= DEFAULTS.pass_score), 2).alias("pass_rate")
     )
@@ -368,6 +362,15 @@ def q_scope_org_risks(spark, sf):
     return V.scope_organization(capped_risks(spark, sf), ORGANIZATION).select(*P.RISK_COLUMNS)
 
 
+def q_scope_first_teacher_risks(spark, sf):
+    """Option: scope the wide table first, then rank and cap within it."""
+    return P.risk_list(V.scope_teacher(lc(spark, sf), TEACHER_TAGS)).select(*P.RISK_COLUMNS)
+
+
+def q_scope_first_org_risks(spark, sf):
+    return P.risk_list(V.scope_organization(lc(spark, sf), ORGANIZATION)).select(*P.RISK_COLUMNS)
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
