@@ -77,16 +77,19 @@ def _type_violation(c: Column, dtype: T.DataType, declared: tuple) -> dict[str,
     raise ValueError(f"unknown declared type {declared}")
 
 
-def type_violations(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
-    """Violations of the declared types and lengths, one pass over the table:
-    (table, rule, columns, violations)."""
-    declared = DECLARED[table] if declared is None else declared
+def _type_checks(df: DataFrame, declared: dict[str, tuple]) -> list[tuple[str, str, Column]]:
     types = {f.name: f.dataType for f in df.schema.fields}
     checks = []
     for column, decl in declared.items():
         if column in types:
             for rule, pred in _type_violation(F.col(column), types[column], decl).items():
                 checks.append((rule, column, pred))
+    return checks
+
+
+def _row_report(df: DataFrame, table: str, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """Count every (rule, column, predicate) in ONE aggregate pass over the
+    table, then turn the single wide row into report rows."""
     if not checks:
         return _empty_report(df)
     wide = df.agg(*[F.count_if(pred).alias(f"c{i}") for i, (_, _, pred) in enumerate(checks)])
@@ -98,9 +101,21 @@ def type_violations(df: DataFrame, table: str, declared: dict[str, tuple] | None
             ]
         )
     )
-    return wide.select(stack.alias("r")).select(
-        F.lit(table).alias("table"), "r.rule", "r.columns", "r.violations"
-    )
+    return wide.select(stack.alias("r")).select(F.lit(table).alias("table"), "r.rule", "r.columns", "r.violations")
+
+
+def type_violations(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
+    """Violations of the declared types and lengths, one pass over the table:
+    (table, rule, columns, violations)."""
+    declared = DECLARED[table] if declared is None else declared
+    return _row_report(df, table, _type_checks(df, declared))
+
+
+def row_checks(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
+    """NOT NULL and declared-type checks of one table together, in one scan."""
+    declared = DECLARED[table] if declared is None else declared
+    nulls = [("not_null", c, F.col(c).isNull()) for c in declared if c in df.columns]
+    return _row_report(df, table, nulls + _type_checks(df, declared))
 
 
 def _empty_report(df: DataFrame) -> DataFrame:
@@ -149,12 +164,6 @@ def quality_report(tables: Tables) -> DataFrame:
                     "violations",
                 )
             )
-        declared = [c for c in DECLARED[name] if c in df.columns]
-        parts.append(
-            null_counts(df, name, declared).select(
-                "table", F.lit("not_null").alias("rule"), F.col("column").alias("columns"), F.col("nulls").alias("violations")
-            )
-        )
-        parts.append(type_violations(df, name))
+        parts.append(row_checks(df, name))
     parts.append(foreign_key_report(tables))
     return _union(parts)
