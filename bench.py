@@ -14,7 +14,9 @@ Steps (each timed):
            rows collected (twice, fresh plans each time);
   view     one filtered view (category, tag, risk, keyword) and two scopes.
 
-A tiny job runs first so JVM start-up is not booked on the first panel.
+A tiny job runs first so JVM start-up is not booked on the first panel. The
+end-to-end runs come last, in a JVM that has run the other steps (as in a
+long-running server); ``sequential_cold_total_sec`` is the first, cold pass.
 Prints one JSON line; ``value`` is the first end-to-end dashboard time.
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 """

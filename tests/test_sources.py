@@ -129,3 +129,20 @@ def test_write_dashboard(spark, micro):
 def test_checkpoint_materialization(spark, micro):
     d = build_dashboard(micro, how="checkpoint")
     assert d.panels["overview"].collect()[0].student_count == 3
+
+
+def test_command_line(spark, micro):
+    from learnlens.__main__ import main
+
+    base = scratch_path(spark, "cli_in")
+    _publish_micro(spark, micro, base)
+    out = scratch_path(spark, "cli_out")
+    paths = main(["dashboard", "--base", base, "--out", out])
+    assert spark.read.json(paths["overview"]).collect()[0].student_count == 3
+    assert set(paths) >= {"overview", "learner_risk", "recommendations", "skill_scores"}
+    view = main(["view", "--base", base, "--out", out + "-v", "--category", "K2", "--risk", "0"])
+    assert spark.read.json(view["courses"]).count() == 1
+    scope = main(["scope", "--base", base, "--out", out + "-s", "--role", "teacher", "--tags", "T2"])
+    assert [r.student_name for r in spark.read.json(scope["learner_risk"]).collect()] == ["Cy"]
+    q = main(["quality", "--base", base, "--out", out + "-q"])
+    assert spark.read.json(q["quality_report"]).where("violations > 0").count() == 2
