@@ -146,3 +146,17 @@ def test_command_line(spark, micro):
     assert [r.student_name for r in spark.read.json(scope["learner_risk"]).collect()] == ["Cy"]
     q = main(["quality", "--base", base, "--out", out + "-q"])
     assert spark.read.json(q["quality_report"]).where("violations > 0").count() == 2
+
+
+def test_bad_date_text_loads_as_null_and_is_reported(spark):
+    from learnlens.operators.quality import row_checks
+
+    path = scratch_path(spark, "bad_dates")
+    spark.createDataFrame(
+        [("E1", "S1", "C1", "R1", "2026-04-01", "5", "10", "1", "pc"), ("E2", "S1", "C1", "R1", "2026-02-30x", "5", "10", "0", "pc")],
+        [f.name for f in SCHEMAS["events"].fields],
+    ).write.option("header", True).csv(path)
+    ev = readers.read_csv(spark, path, SCHEMAS["events"])
+    assert [r.event_date for r in ev.orderBy("event_id").collect()] == [dt.date(2026, 4, 1), None]
+    rep = {(r.rule, r.columns): r.violations for r in row_checks(ev, "events").collect()}
+    assert rep[("not_null", "event_date")] == 1
