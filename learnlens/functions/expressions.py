@@ -50,6 +50,14 @@ def round_columns(df: DataFrame, cols: Iterable[str], decimals: int = 2) -> Data
     return df.withColumns({c: F.round(F.col(c), decimals) for c in cols})
 
 
+def distinct_count(c: str | Column, params: Params = DEFAULTS) -> Column:
+    """Exact ``count(DISTINCT c)``, or a HyperLogLog++ estimate when
+    ``params.approx_distinct_rsd`` is set (opt-in)."""
+    if params.approx_distinct_rsd is None:
+        return F.count_distinct(col(c))
+    return F.approx_count_distinct(col(c), params.approx_distinct_rsd)
+
+
 def conditional_count(cond: Column) -> Column:
     """Rows where ``cond`` is true; null counts as false."""
     return F.sum(F.when(cond, 1).otherwise(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.functions.expressions import risk_score, score_level
+from learnlens.functions.expressions import distinct_count, risk_score, score_level
 from learnlens.params import DEFAULTS, Params
 from learnlens.session import broadcast_if_small
 from learnlens.tables import Tables
@@ -20,7 +20,7 @@ PANEL_COLUMNS = [
 ]
 
 
-def pair_features(events: DataFrame) -> DataFrame:
+def pair_features(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """One row per (student, course) with events.
 
     Sum/avg/max combine map-side; the exact distinct count is planned by
@@ -30,20 +30,20 @@ def pair_features(events: DataFrame) -> DataFrame:
     return events.groupBy(*PAIR).agg(
         F.sum("duration_minutes").alias("study_minutes"),
         F.sum("completed").alias("completed_resources"),
-        F.count_distinct("resource_id").alias("accessed_resources"),
+        distinct_count("resource_id", params).alias("accessed_resources"),
         F.avg("progress_percent").alias("avg_progress"),
         F.max("event_date").alias("last_event_date"),
     )
 
 
-def scored_features(events: DataFrame, scores: DataFrame) -> DataFrame:
+def scored_features(events: DataFrame, scores: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Right outer join of the features onto the scores, then the null fill.
 
     Scored pairs without events get 0 features and a null last date; event
     pairs without a score are dropped. Both sides are unique per pair, and
     the join reuses the aggregate's hash partitioning on the pair.
     """
-    return pair_features(events).join(scores, PAIR, "right").fillna(FILLED)
+    return pair_features(events, params).join(scores, PAIR, "right").fillna(FILLED)
 
 
 def null_fill(df: DataFrame, values: dict | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def join_courses(df: DataFrame, courses: DataFrame, params: Params = DEFAULTS) -
 def learner_course(tables: Tables, params: Params = DEFAULTS) -> DataFrame:
     """The wide table: one row per scored (learner, course) whose learner and
     course are known, with score level and risk score."""
-    wide = join_courses(scored_features(tables.events, tables.scores), tables.courses, params)
+    wide = join_courses(scored_features(tables.events, tables.scores, params), tables.courses, params)
     # Learners can be as many as the scores, so no broadcast hint here: a
     # shuffle join on student_id, whose partitioning the top-1 window reuses.
     wide = wide.join(tables.students, "student_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from learnlens.functions.expressions import (
     conditional_count,
     conditional_rate,
+    distinct_count,
     ordinal_position,
     round_columns,
     week_start,
@@ -39,8 +40,8 @@ def overview(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """One row, also on empty input (counts 0, averages null)."""
     d = params.decimals
     return lc.agg(
-        F.count_distinct("student_id").alias("student_count"),
-        F.count_distinct("course_id").alias("course_count"),
+        distinct_count("student_id", params).alias("student_count"),
+        distinct_count("course_id", params).alias("course_count"),
         F.round(F.avg("final_score"), d).alias("avg_score"),
         F.round(F.avg("avg_progress"), d).alias("avg_progress"),
         F.round(F.sum("study_minutes") / 60, d).alias("total_study_hours"),
@@ -51,7 +52,7 @@ def overview(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def course_effect(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     agg = lc.groupBy("course_id", "course_name", "category", "tag").agg(
-        F.count_distinct("student_id").alias("learners"),
+        distinct_count("student_id", params).alias("learners"),
         F.avg("final_score").alias("avg_score"),
         F.avg("avg_progress").alias("avg_progress"),
         F.sum("study_minutes").alias("study_minutes"),
@@ -107,7 +108,7 @@ def format_usage(events: DataFrame, resources: DataFrame, params: Params = DEFAU
 def _weekly(events: DataFrame, key: Column, params: Params) -> DataFrame:
     return events.groupBy(key).agg(
         F.round(F.sum("duration_minutes") / 60, params.decimals).alias("study_hours"),
-        F.count_distinct("student_id").alias("active_students"),
+        distinct_count("student_id", params).alias("active_students"),
         F.count("*").alias("events"),
     )
 

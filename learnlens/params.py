@@ -62,6 +62,10 @@ class Params:
     wildcard: str = WILDCARD
     teacher_tags: tuple[str, ...] = TEACHER_TAGS
     manager_organization: str = MANAGER_ORGANIZATION
+    # Distinct counts are exact by default. Setting a relative standard
+    # deviation (e.g. 0.01) switches them to HyperLogLog++ sketches, which
+    # aggregate in one map-side pass without shuffling (key, value) pairs.
+    approx_distinct_rsd: float | None = None
     # A dimension is broadcast only after a bounded count proves it has at
     # most this many rows; larger ones are left to sort-merge join / AQE.
     broadcast_max_rows: int = 100_000

@@ -74,3 +74,18 @@ def test_top1_exact(skewed):
     pdf = pdf.sort_values(["student_id", "risk_score", "course_id"], ascending=[True, False, True])
     want = dict(pdf.groupby("student_id").head(1)[["student_id", "course_name"]].itertuples(index=False))
     assert top == want
+
+
+def test_approx_distinct_opt_in(spark):
+    from dataclasses import replace
+
+    from learnlens.params import DEFAULTS
+
+    t = training_tables(spark, "/root/testdata/sf0.01")
+    exact = {r.week: r.active_students for r in P.weekly_activity(t.events).collect()}
+    approx = {r.week: r.active_students for r in P.weekly_activity(t.events, replace(DEFAULTS, approx_distinct_rsd=0.01)).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[w] - exact[w]) <= max(3, 0.05 * exact[w]) for w in exact)
+    assert "count(distinct" in P.weekly_activity(t.events)._jdf.queryExecution().optimizedPlan().toString()
+    plan = P.weekly_activity(t.events, replace(DEFAULTS, approx_distinct_rsd=0.01))._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_count_distinct" in plan
