@@ -7,7 +7,7 @@ collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learnlens.functions.expressions import fixed_text
@@ -33,7 +33,7 @@ def _template(text: str, names: list[str]) -> str:
     return text
 
 
-def _fill(text: str, **cols) -> F.Column:
+def _fill(text: str, **cols) -> Column:
     names = list(cols)
     return F.format_string(_template(text, names), *cols.values())
 
@@ -49,7 +49,7 @@ def _fixed_block(spark, block: int, rows) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def _weak_block(ce: DataFrame, k: int, title: str, detail: F.Column) -> DataFrame:
+def _weak_block(ce: DataFrame, k: int, title: str, detail: Column) -> DataFrame:
     weak = with_position(weakest_courses(ce, k), [F.asc("avg_score"), F.asc("course_id")], "rank")
     return weak.select(
         F.lit(0).alias("block"),

@@ -7,7 +7,7 @@ and Catalyst pushes it as far down as the panel allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learnlens.functions.expressions import equals_or_in, is_wild, keyword_match
@@ -70,7 +70,7 @@ def metric_cards(courses: DataFrame, risks: DataFrame, ov: DataFrame, params: Pa
     )
     is_course = F.col("src") == "c"
 
-    def course_mean(c: str) -> F.Column:
+    def course_mean(c: str) -> Column:
         return F.round(F.coalesce(F.avg(F.when(is_course, F.coalesce(F.col(c), F.lit(0.0)))), F.lit(0.0)), d)
 
     return tagged.agg(

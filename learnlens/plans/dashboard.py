@@ -152,11 +152,12 @@ def scoped(
 ) -> dict[str, DataFrame]:
     """Panels as a role sees them.
 
-    teacher: course, tag and risk rows of the allowed tags; organization
-    manager: risk rows of the organization (``None``: no filter; an empty
-    tag list: no rows); anyone else: unfiltered. By
-    default the scope applies after top-1 and the cap, as in the reference;
-    ``scope_first`` scopes the wide table before ranking instead.
+    teacher: course, tag and risk rows of the allowed tags (an empty list
+    shows no rows); organization manager: risk rows of the organization
+    (``None``: no filter); anyone else: unfiltered. ``ACCOUNT`` (default)
+    takes the scope from ``params``. By default the scope applies after
+    top-1 and the cap, as in the reference; ``scope_first`` scopes the wide
+    table before ranking instead.
     """
     p = dash.params
     out = dict(dash.panels)
