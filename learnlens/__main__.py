@@ -13,10 +13,12 @@ settings are whatever ``spark-submit`` or the environment provides.
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from learnlens.operators.quality import quality_report
+from learnlens.params import DEFAULTS
 from learnlens.plans.dashboard import ACCOUNT, build_dashboard, filtered_view, scoped, skill_scores, write_dashboard
 from learnlens.sources.readers import load_tables
 
@@ -34,6 +36,8 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--out", required=True, help="output base path or URI")
         s.add_argument("--format", default="json", help="output format of each result (json, parquet, csv)")
         s.add_argument("--materialize", default="persist", choices=["persist", "checkpoint", "table", "none"])
+        s.add_argument("--risk-limit", type=int, default=DEFAULTS.risk_table_limit, help="risk list cap; 0 = no cap")
+        s.add_argument("--approx-rsd", type=float, help="use HyperLogLog++ distinct counts with this error")
         if name == "view":
             s.add_argument("--category")
             s.add_argument("--tag")
@@ -54,7 +58,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     tables = load_tables(spark, args.source, base=args.base, url=args.url, properties=props or None)
     if args.command == "quality":
         return write_dashboard({"quality_report": quality_report(tables)}, args.out, args.format)
-    dash = build_dashboard(tables, how=args.materialize)
+    params = replace(DEFAULTS, risk_table_limit=args.risk_limit, approx_distinct_rsd=args.approx_rsd)
+    dash = build_dashboard(tables, params, how=args.materialize)
     try:
         if args.command == "dashboard":
             results = dict(dash.panels, skill_scores=skill_scores(dash))

@@ -144,6 +144,8 @@ def test_command_line(spark, micro):
     assert spark.read.json(view["courses"]).count() == 1
     scope = main(["scope", "--base", base, "--out", out + "-s", "--role", "teacher", "--tags", "T2"])
     assert [r.student_name for r in spark.read.json(scope["learner_risk"]).collect()] == ["Cy"]
+    capped = main(["dashboard", "--base", base, "--out", out + "-c", "--risk-limit", "1"])
+    assert spark.read.json(capped["learner_risk"]).count() == 1
     q = main(["quality", "--base", base, "--out", out + "-q"])
     assert spark.read.json(q["quality_report"]).where("violations > 0").count() == 2
 
