@@ -13,6 +13,8 @@ def _schema(*cols: tuple[str, T.DataType]) -> T.StructType:
 
 S, I, D, DT = T.StringType(), T.IntegerType(), T.DoubleType(), T.DateType()
 
+# --- Fixed values (must equal the original store's; natural order) ----------
+# Columns and types of the five tables.
 SCHEMAS: dict[str, T.StructType] = {
     "students": _schema(
         ("student_id", S), ("student_name", S), ("age", I), ("organization", S),
@@ -104,5 +106,7 @@ DECLARED: dict[str, dict[str, tuple]] = {
     },
 }
 
+# -----------------------------------------------------------------------------
+
 # Columns of the SQL projections, in store order.
 COLUMNS = {name: tuple(f.name for f in schema.fields) for name, schema in SCHEMAS.items()}
