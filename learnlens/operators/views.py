@@ -86,12 +86,18 @@ def metric_cards(courses: DataFrame, risks: DataFrame, ov: DataFrame, params: Pa
 
 def filter_options(ce: DataFrame) -> DataFrame:
     """Distinct categories and tags in order of first appearance in the
-    course panel's order: (kind, value, position)."""
-    placed = with_position(ce, [F.asc("avg_score"), F.asc("course_id")], "at")
+    course panel's order: (kind, value, position).
+
+    A value's first appearance is its smallest (avg_score, course_id), an
+    ordinary aggregate; only the few distinct values are then numbered.
+    """
     parts = []
     for kind in ("category", "tag"):
-        first = placed.groupBy(F.col(kind).alias("value")).agg(F.min("at").alias("first_at"))
-        parts.append(with_position(first, [F.asc("first_at")]).select(F.lit(kind).alias("kind"), "value", "position"))
+        first = ce.groupBy(F.col(kind).alias("value")).agg(
+            F.min(F.struct(F.col("avg_score").alias("s"), F.col("course_id").alias("c"))).alias("first")
+        )
+        order = [F.asc("first.s"), F.asc("first.c")]
+        parts.append(with_position(first, order).select(F.lit(kind).alias("kind"), "value", "position"))
     return parts[0].unionByName(parts[1])
 
 
