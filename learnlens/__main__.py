@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 
 from learnlens.operators.quality import quality_report
 from learnlens.params import DEFAULTS
+from learnlens.plans.gate import quality_gate
 from learnlens.plans.dashboard import ACCOUNT, build_dashboard, filtered_view, scoped, skill_scores, write_dashboard
 from learnlens.sources.readers import load_tables
 
@@ -38,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--materialize", default="persist", choices=["persist", "checkpoint", "table", "none"])
         s.add_argument("--risk-limit", type=int, default=DEFAULTS.risk_table_limit, help="risk list cap; 0 = no cap")
         s.add_argument("--approx-rsd", type=float, help="use HyperLogLog++ distinct counts with this error")
+        s.add_argument("--gate", action="store_true", help="stop if keys, references or NOT NULL are violated")
         if name == "view":
             s.add_argument("--category")
             s.add_argument("--tag")
@@ -58,6 +60,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     tables = load_tables(spark, args.source, base=args.base, url=args.url, properties=props or None)
     if args.command == "quality":
         return write_dashboard({"quality_report": quality_report(tables)}, args.out, args.format)
+    if args.gate:
+        quality_gate(tables).unpersist()
     params = replace(DEFAULTS, risk_table_limit=args.risk_limit, approx_distinct_rsd=args.approx_rsd)
     dash = build_dashboard(tables, params, how=args.materialize)
     try:

@@ -64,3 +64,20 @@ def test_type_rules(spark):
 def test_typed_date_column_has_no_rule(spark):
     df = spark.createDataFrame([(dt.date(2026, 1, 1),)], "enroll_date date")
     assert Q.type_violations(df, "students", {"enroll_date": ("date",)}).count() == 0
+
+
+def test_quality_gate(micro, spark):
+    import pytest
+
+    from conftest import make_tables, micro_rows
+    from learnlens.plans.gate import QualityError, quality_gate
+
+    with pytest.raises(QualityError) as err:
+        quality_gate(micro)  # S9 and R9 are orphans
+    assert {(f["table"], f["rule"]) for f in err.value.failures} == {("scores", "foreign_key"), ("events", "foreign_key")}
+    rows = micro_rows()
+    rows["scores"] = [r for r in rows["scores"] if r[0] != "S9"]
+    rows["events"] = [r for r in rows["events"] if r[3] != "R9"]
+    report = quality_gate(make_tables(spark, rows))
+    assert report.where("violations > 0").count() == 0
+    assert quality_gate(micro, blocking=["primary_key"]).count() > 0
