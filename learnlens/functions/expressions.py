@@ -114,8 +114,9 @@ def decimal_round(x: str | Column, decimals: int) -> Column:
 
 
 def fixed_text(x: str | Column, decimals: int) -> Column:
-    """Number with exactly ``decimals`` places, rounded half-up first."""
-    return F.format_string(f"%.{decimals}f", decimal_round(x, decimals))
+    """Number with exactly ``decimals`` places, rounded half-up first; null
+    counts as 0 (``format_string`` would print a cut "null")."""
+    return F.format_string(f"%.{decimals}f", decimal_round(F.coalesce(col(x).cast("double"), F.lit(0.0)), decimals))
 
 
 def percent_text(x: str | Column) -> Column:

@@ -412,7 +412,7 @@ def sql() -> dict[str, str]:
         ),
         "display_formats": w(
             f"SELECT course_id, {grouped('learners')} AS learners_text, {grouped('study_minutes')} AS minutes_text,"
-            f" printf('%.2f', {rnd('avg_score')}) AS score_text, {pct('avg_progress')} AS progress_text,"
+            f" printf('%.2f', {rnd('coalesce(avg_score, 0.0)')}) AS score_text, {pct('avg_progress')} AS progress_text,"
             f" {pct('pass_rate')} AS pass_rate_text FROM ce"
         ),
         # panels
