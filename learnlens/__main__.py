@@ -78,6 +78,12 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         dash.unpersist()
 
 
-if __name__ == "__main__":
-    for name, path in main().items():
+def run(argv: list[str] | None = None) -> int:
+    """Console entry: write the results and print one ``name<TAB>path`` line each."""
+    for name, path in main(argv).items():
         print(f"{name}\t{path}")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(run())
