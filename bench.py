@@ -12,7 +12,8 @@ Steps (each timed):
   end_to_end  the whole dashboard from the stored tables as it is served:
            wide table persisted, the eight panels run from 8 driver threads,
            rows collected (twice, fresh plans each time);
-  view     one filtered view (category, tag, risk, keyword) and two scopes.
+  view     one filtered view (category, tag, risk, keyword) result by result,
+           a second state all at once (concurrent), and two scopes.
 
 A tiny job runs first so JVM start-up is not booked on the first step. The
 end-to-end runs come last, in a JVM that has run the other steps (as in a
@@ -99,10 +100,14 @@ def main() -> None:
 
     dash, t_build = timed(lambda: build_dashboard(tables))
     cold = run_panels(dash.panels)
-    warm = run_panels(dashboard_panels(tables, dash.learner_course, dash.course_effect, dash.learner_risk))
+    warm = run_panels(
+        dashboard_panels(tables, dash.learner_course, dash.course_effect, dash.learner_risk, dash.tag_weakness)
+    )
     extra = {"skill_scores": timed(skill_scores(dash).collect)[1]}
     view = filtered_view(dash, category="ASIA", tag=None, risk=38, keyword="building")
     extra.update({f"view_{k}": v for k, v in run_panels(view).items()})
+    view2 = filtered_view(dash, category="EUROPE", tag="TAG_3", risk=45, keyword="machinery")
+    extra["view_all_concurrent"] = timed(lambda: collect_dashboard(view2, parallel=8))[1]
     extra["scope_teacher"] = timed(lambda: [df.collect() for df in scoped(dash, "teacher", ["TAG_1", "TAG_3", "TAG_6"]).values()])[1]
     extra["scope_org"] = timed(lambda: scoped(dash, "organization_manager", organization="BUILDING")["learner_risk"].collect())[1]
     dash.unpersist()

@@ -40,6 +40,7 @@ class Dashboard:
     learner_course: DataFrame
     course_effect: DataFrame
     learner_risk: DataFrame
+    tag_weakness: DataFrame
     panels: dict[str, DataFrame]
     params: Params = DEFAULTS
     _persisted: list[DataFrame] = field(default_factory=list)
@@ -73,12 +74,14 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     raise ValueError(f"materialize must be one of {MATERIALIZE}")
 
 
-def dashboard_panels(tables: Tables, lc: DataFrame, ce: DataFrame, risk: DataFrame, params: Params = DEFAULTS) -> dict[str, DataFrame]:
+def dashboard_panels(
+    tables: Tables, lc: DataFrame, ce: DataFrame, risk: DataFrame, tw: DataFrame, params: Params = DEFAULTS
+) -> dict[str, DataFrame]:
     """The eight panels over a (materialised) wide table; fresh plans on each call."""
     return {
         "overview": P.overview(lc, params),
         "course_effect": P.ordered(ce, "course_effect", params),
-        "tag_weakness": P.ordered(P.tag_weakness(lc, params), "tag_weakness", params),
+        "tag_weakness": P.ordered(tw, "tag_weakness", params),
         "format_usage": P.ordered(P.format_usage(tables.events, tables.resources, params), "format_usage", params),
         "weekly_activity": P.ordered(P.weekly_activity(tables.events, params), "weekly_activity", params),
         "score_distribution": P.ordered(P.score_distribution(lc, params), "score_distribution", params),
@@ -90,19 +93,18 @@ def dashboard_panels(tables: Tables, lc: DataFrame, ce: DataFrame, risk: DataFra
 def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persist") -> Dashboard:
     """Declare the wide table once, materialise it, derive the panels.
 
-    The course panel and the capped risk list feed several panels, views and
-    scopes; both are small (one row per course; at most the cap), so they
-    are cached too when the wide table is persisted.
+    The course panel, the tag panel and the capped risk list feed several
+    panels, views and scopes; all are small (one row per course or tag; at
+    most the cap), so they are cached too when the wide table is persisted.
     """
     lc = materialize(learner_course(tables, params).select(*PANEL_COLUMNS), how)
-    ce = P.course_effect(lc, params)
-    risk = P.risk_list(lc, params)
+    ce, risk, tw = P.course_effect(lc, params), P.risk_list(lc, params), P.tag_weakness(lc, params)
     persisted = []
     if how == "persist":
-        ce, risk = ce.persist(StorageLevel.MEMORY_AND_DISK), risk.persist(StorageLevel.MEMORY_AND_DISK)
-        persisted = [lc, ce, risk]
-    panels = dashboard_panels(tables, lc, ce, risk, params)
-    return Dashboard(tables, lc, ce, risk, panels, params, persisted)
+        ce, risk, tw = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (ce, risk, tw))
+        persisted = [lc, ce, risk, tw]
+    panels = dashboard_panels(tables, lc, ce, risk, tw, params)
+    return Dashboard(tables, lc, ce, risk, tw, panels, params, persisted)
 
 
 # Panels that read only the events: started first, so they run while the
@@ -135,7 +137,7 @@ def filtered_view(dash: Dashboard, category=None, tag=None, risk: float | None =
     risks = filter_risks(dash.learner_risk, tag, risk, keyword, p)
     return {
         "courses": P.ordered(courses, "course_effect", p),
-        "tags": P.ordered(filter_tags(P.tag_weakness(dash.learner_course, p), courses, tag, p), "tag_weakness", p),
+        "tags": P.ordered(filter_tags(dash.tag_weakness, courses, tag, p), "tag_weakness", p),
         "risks": P.ordered(risks, "learner_risk", p).select(*P.RISK_COLUMNS),
         "cards": metric_cards(courses, risks, dash.panels["overview"], p),
         "recommendations": recommendations_filtered(courses, risks, p),
