@@ -162,3 +162,25 @@ def test_bad_date_text_loads_as_null_and_is_reported(spark):
     assert [r.event_date for r in ev.orderBy("event_id").collect()] == [dt.date(2026, 4, 1), None]
     rep = {(r.rule, r.columns): r.violations for r in row_checks(ev, "events").collect()}
     assert rep[("not_null", "event_date")] == 1
+
+
+def test_inferred_and_explicit_schemas_give_same_dashboard(spark):
+    """Same panels from inferred and explicit types, for values inference
+    reads as text. (Inference is not the default: it reads a tag such as
+    'T2' as a timestamp.)"""
+    from conftest import make_tables, micro_rows
+
+    rows = micro_rows()
+    rows["courses"] = [(c, n, k, "tag-" + t, d, h) for c, n, k, t, d, h in rows["courses"]]
+    base = scratch_path(spark, "micro_infer_dash")
+    _publish_micro(spark, make_tables(spark, rows), base)
+    explicit = build_dashboard(readers.load_tables(spark, "csv", base))
+    inferred = build_dashboard(readers.load_tables(spark, "csv", base, infer=True))
+    try:
+        for name in explicit.panels:
+            a = [tuple(r) for r in explicit.panels[name].collect()]
+            b = [tuple(r) for r in inferred.panels[name].collect()]
+            assert a == b, name
+    finally:
+        explicit.unpersist()
+        inferred.unpersist()
