@@ -36,7 +36,10 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--password")
         s.add_argument("--out", required=True, help="output base path or URI")
         s.add_argument("--format", default="json", help="output format of each result (json, parquet, csv)")
-        s.add_argument("--materialize", default="persist", choices=["persist", "checkpoint", "table", "none"])
+        s.add_argument(
+            "--materialize", default="auto", choices=["auto", "persist", "checkpoint", "table", "none"],
+            help="auto: persist in local mode, a table in the shared folder on a cluster",
+        )
         s.add_argument("--risk-limit", type=int, default=DEFAULTS.risk_table_limit, help="risk list cap; 0 = no cap")
         s.add_argument("--approx-rsd", type=float, help="use HyperLogLog++ distinct counts with this error")
         s.add_argument("--gate", action="store_true", help="stop if keys, references or NOT NULL are violated")

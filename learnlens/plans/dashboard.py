@@ -31,7 +31,7 @@ from learnlens.params import DEFAULTS, Params
 from learnlens.session import scratch_path
 from learnlens.tables import Tables
 
-MATERIALIZE = ("persist", "checkpoint", "table", "none")
+MATERIALIZE = ("persist", "checkpoint", "table", "none", "auto")
 
 
 @dataclass
@@ -59,7 +59,10 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     is cut, so a lost executor costs a re-read, not a recomputation.
     ``table``: Parquet in the shared folder, read back (same guarantees, and
     the scan gets column pruning and filter pushdown).
+    ``auto``: ``persist`` in local mode, ``table`` on a cluster.
     """
+    if how == "auto":
+        how = "persist" if _is_local(df.sparkSession) else "table"
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "checkpoint":
@@ -90,6 +93,13 @@ def dashboard_panels(
     }
 
 
+def _is_local(spark) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext
+        return False
+
+
 def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persist") -> Dashboard:
     """Declare the wide table once, materialise it, derive the panels.
 
@@ -100,7 +110,7 @@ def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persi
     lc = materialize(learner_course(tables, params).select(*PANEL_COLUMNS), how)
     ce, risk, tw = P.course_effect(lc, params), P.risk_list(lc, params), P.tag_weakness(lc, params)
     persisted = []
-    if how == "persist":
+    if how == "persist" or (how == "auto" and _is_local(lc.sparkSession)):
         ce, risk, tw = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (ce, risk, tw))
         persisted = [lc, ce, risk, tw]
     panels = dashboard_panels(tables, lc, ce, risk, tw, params)
