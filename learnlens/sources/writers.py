@@ -63,8 +63,3 @@ def rows_to_json(df: DataFrame, limit: int | None = None) -> DataFrame:
     no cap."""
     capped = df.limit(limit) if limit else df
     return capped.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
-
-
-def write_json(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").json(path)
-    return path
