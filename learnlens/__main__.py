@@ -5,6 +5,7 @@ quality report over stored tables and write the results.
     python -m learnlens view --base /data/csv --category K2 --risk 45 --keyword "org a" --out /tmp/view
     python -m learnlens scope --role teacher --tags T1 T2 --base ... --out ...
     python -m learnlens quality --base ... --out ...
+    python -m learnlens payload [--role teacher] --base ... --out ...   (dashboard.json + chart.json)
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so cluster
 settings are whatever ``spark-submit`` or the environment provides.
@@ -20,6 +21,7 @@ from pyspark.sql import SparkSession
 from learnlens.operators.quality import quality_report
 from learnlens.params import DEFAULTS
 from learnlens.plans.gate import quality_gate
+from learnlens.plans.payload import chart_payload, dashboard_payload, write_document
 from learnlens.plans.dashboard import ACCOUNT, build_dashboard, filtered_view, scoped, skill_scores, write_dashboard
 from learnlens.sources.readers import load_tables
 
@@ -27,7 +29,7 @@ from learnlens.sources.readers import load_tables
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="learnlens")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("dashboard", "view", "scope", "quality"):
+    for name in ("dashboard", "view", "scope", "quality", "payload"):
         s = sub.add_parser(name)
         s.add_argument("--source", default="csv", help="csv | hdfs | parquet | jdbc (any other value: csv)")
         s.add_argument("--base", help="base path or URI of the tables (file sources)")
@@ -48,8 +50,8 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--tag")
             s.add_argument("--risk", type=float)
             s.add_argument("--keyword", default="")
-        if name == "scope":
-            s.add_argument("--role", required=True, help="teacher | organization_manager | other (no filter)")
+        if name in ("scope", "payload"):
+            s.add_argument("--role", required=name == "scope", help="teacher | organization_manager | other (no filter)")
             s.add_argument("--tags", nargs="*", help="allowed tags of a teacher (default: the account's)")
             s.add_argument("--organization", help="organization of a manager (default: the account's)")
             s.add_argument("--scope-first", action="store_true", help="rank risks within the scope")
@@ -68,6 +70,14 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     params = replace(DEFAULTS, risk_table_limit=args.risk_limit, approx_distinct_rsd=args.approx_rsd)
     dash = build_dashboard(tables, params, how=args.materialize)
     try:
+        if args.command == "payload":
+            tags = ACCOUNT if args.tags is None else args.tags
+            org = ACCOUNT if args.organization is None else args.organization
+            doc = dashboard_payload(dash, args.role, tags, org)
+            return {
+                "dashboard": write_document(spark, doc, f"{args.out.rstrip('/')}/dashboard"),
+                "chart": write_document(spark, chart_payload(dash), f"{args.out.rstrip('/')}/chart"),
+            }
         if args.command == "dashboard":
             results = dict(dash.panels, skill_scores=skill_scores(dash))
         elif args.command == "view":

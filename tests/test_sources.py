@@ -184,3 +184,17 @@ def test_inferred_and_explicit_schemas_give_same_dashboard(spark):
     finally:
         explicit.unpersist()
         inferred.unpersist()
+
+
+def test_command_line_payload(spark, micro):
+    import json as _json
+
+    from learnlens.__main__ import main
+
+    base = scratch_path(spark, "cli_payload_in")
+    _publish_micro(spark, micro, base)
+    out = main(["payload", "--base", base, "--out", scratch_path(spark, "cli_payload")])
+    doc = _json.loads(spark.read.text(out["dashboard"]).collect()[0].value)
+    assert doc["overview"]["student_count"] == 3
+    chart = _json.loads(spark.read.text(out["chart"]).collect()[0].value)
+    assert chart == {"categories": ["Falls", "Basics"], "values": [50.0, 69.33]}

@@ -71,3 +71,20 @@ def test_filter_equals(dash):
     assert filter_equals(risks, organization="OrgA", tag=["T2"]).count() == 1
     assert filter_equals(risks, organization=None).count() == 3
     assert filter_equals(risks, tag=[]).count() == 0
+
+
+def test_payloads(dash):
+    from learnlens.plans.payload import chart_payload, dashboard_payload, to_json
+
+    doc = dashboard_payload(dash)
+    assert set(doc) == {
+        "overview", "course_effect", "tag_weakness", "format_usage",
+        "weekly_activity", "score_distribution", "learner_risk", "recommendations",
+    }
+    assert doc["overview"]["student_count"] == 3 and doc["overview"]["pass_rate"] == 60.0
+    assert [r["student_name"] for r in doc["learner_risk"]] == ["Cy", "Bob", "Ann"]
+    assert set(doc["recommendations"][0]) == {"title", "detail"}
+    teacher = dashboard_payload(dash, "teacher", ["T2"])
+    assert [r["tag"] for r in teacher["course_effect"]] == ["T2"] and len(teacher["learner_risk"]) == 1
+    assert chart_payload(dash) == {"categories": ["Falls", "Basics"], "values": [50.0, 69.33]}
+    assert '"优秀"' in to_json(doc)
