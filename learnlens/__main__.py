@@ -6,6 +6,7 @@ quality report over stored tables and write the results.
     python -m learnlens scope --role teacher --tags T1 T2 --base ... --out ...
     python -m learnlens quality --base ... --out ...
     python -m learnlens payload [--role teacher] --base ... --out ...   (dashboard.json + chart.json)
+    python -m learnlens publish --base /data/csv --out hdfs://nn/training --format parquet [--gate]
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so cluster
 settings are whatever ``spark-submit`` or the environment provides.
@@ -23,13 +24,14 @@ from learnlens.params import DEFAULTS
 from learnlens.plans.gate import quality_gate
 from learnlens.plans.payload import chart_payload, dashboard_payload, write_document
 from learnlens.plans.dashboard import ACCOUNT, build_dashboard, filtered_view, scoped, skill_scores, write_dashboard
-from learnlens.sources.readers import load_tables
+from learnlens.sources.readers import load_tables, table_uri
+from learnlens.sources.writers import publish_files
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="learnlens")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("dashboard", "view", "scope", "quality", "payload"):
+    for name in ("dashboard", "view", "scope", "quality", "payload", "publish"):
         s = sub.add_parser(name)
         s.add_argument("--source", default="csv", help="csv | hdfs | parquet | jdbc (any other value: csv)")
         s.add_argument("--base", help="base path or URI of the tables (file sources)")
@@ -67,6 +69,14 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         return write_dashboard({"quality_report": quality_report(tables)}, args.out, args.format)
     if args.gate:
         quality_gate(tables).unpersist()
+    if args.command == "publish":
+        # --format csv keeps the original's file names (students.csv, ...);
+        # other formats write <name>.<format> directories.
+        paths = {}
+        for name, df in tables.as_dict().items():
+            target = table_uri(args.out, name) if args.format == "csv" else f"{args.out.rstrip('/')}/{name}.{args.format}"
+            paths[name] = publish_files(df, target, args.format)
+        return paths
     params = replace(DEFAULTS, risk_table_limit=args.risk_limit, approx_distinct_rsd=args.approx_rsd)
     dash = build_dashboard(tables, params, how=args.materialize)
     try:

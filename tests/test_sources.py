@@ -198,3 +198,15 @@ def test_command_line_payload(spark, micro):
     assert doc["overview"]["student_count"] == 3
     chart = _json.loads(spark.read.text(out["chart"]).collect()[0].value)
     assert chart == {"categories": ["Falls", "Basics"], "values": [50.0, 69.33]}
+
+
+def test_command_line_publish(spark, micro):
+    from learnlens.__main__ import main
+
+    base = scratch_path(spark, "cli_publish_in")
+    _publish_micro(spark, micro, base)
+    out = scratch_path(spark, "cli_publish_out")
+    main(["publish", "--base", base, "--out", out, "--format", "parquet"])
+    assert readers.load_tables(spark, "parquet", out).events.count() == 6
+    with pytest.raises(Exception):  # orphans S9 and R9 stop a gated publish
+        main(["publish", "--base", base, "--out", out + "-g", "--gate"])
