@@ -120,3 +120,18 @@ def test_unknown_resource_only_leaves_format_usage(micro):
     fu = P.format_usage(micro.events, micro.resources).agg(F.sum("views")).collect()[0][0]
     assert fu == 5  # E5 (R9) is dropped
     assert micro.events.count() == 6
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, micro):
+    def snapshot():
+        d = build_dashboard(micro, how="none")
+        return {n: [tuple(r) for r in df.collect()] for n, df in d.panels.items()}
+
+    base = snapshot()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/Los_Angeles", "Asia/Shanghai", "Pacific/Kiritimati"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert snapshot() == base, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
