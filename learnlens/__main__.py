@@ -23,7 +23,15 @@ from learnlens.operators.quality import quality_report
 from learnlens.params import DEFAULTS
 from learnlens.plans.gate import quality_gate
 from learnlens.plans.payload import chart_payload, dashboard_payload, write_document
-from learnlens.plans.dashboard import ACCOUNT, build_dashboard, filtered_view, scoped, skill_scores, write_dashboard
+from learnlens.plans.dashboard import (
+    ACCOUNT,
+    build_dashboard,
+    filtered_view,
+    run_concurrently,
+    scoped,
+    skill_scores,
+    write_dashboard,
+)
 from learnlens.sources.readers import load_tables, table_uri
 from learnlens.sources.writers import publish_files
 
@@ -72,11 +80,11 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     if args.command == "publish":
         # --format csv keeps the original's file names (students.csv, ...);
         # other formats write <name>.<format> directories.
-        paths = {}
-        for name, df in tables.as_dict().items():
+        def publish(name, df):
             target = table_uri(args.out, name) if args.format == "csv" else f"{args.out.rstrip('/')}/{name}.{args.format}"
-            paths[name] = publish_files(df, target, args.format)
-        return paths
+            return publish_files(df, target, args.format)
+
+        return run_concurrently(tables.as_dict(), publish)
     params = replace(DEFAULTS, risk_table_limit=args.risk_limit, approx_distinct_rsd=args.approx_rsd)
     dash = build_dashboard(tables, params, how=args.materialize)
     try:
