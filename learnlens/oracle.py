@@ -469,6 +469,7 @@ def sql() -> dict[str, str]:
         "filter_equals": w(f"SELECT * FROM top1 WHERE organization = {q(R.ORGANIZATION)} AND tag IN ({TEACHER})"),
         "filter_courses": w(f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)}"),
         "filter_tags": w(f"SELECT * FROM tw WHERE tag IN (SELECT tag FROM ce WHERE category = {q(R.VIEW_CATEGORY)})"),
+        "filter_tags_chosen": w(f"SELECT * FROM tw WHERE tag = {q(R.CHOSEN_TAG)}"),
         "filter_risks": w(
             f"SELECT {RISK_COLS} FROM risk120 WHERE coalesce(risk_score, 0.0) >= {R.VIEW_RISK}"
             f" AND {keyword(R.VIEW_KEYWORD)}"

@@ -41,6 +41,7 @@ VIEW_CATEGORY = "ASIA"
 VIEW_RISK = 45.0
 VIEW_KEYWORD = "  Machinery "
 LITERAL_KEYWORD = "tag_1"
+CHOSEN_TAG = "TAG_0"
 REC_VIEW = {"category": "EUROPE", "tag": None, "risk": 45.0, "keyword": ""}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +328,14 @@ def q_filter_tags(spark, sf):
     return V.filter_tags(P.tag_weakness(base), courses, None)
 
 
+def q_filter_tags_chosen(spark, sf):
+    """J5's other branch: a chosen tag shows whatever the category (here a
+    tag with no course in the chosen category)."""
+    base = lc(spark, sf)
+    courses = V.filter_courses(P.course_effect(base), VIEW_CATEGORY, CHOSEN_TAG)
+    return V.filter_tags(P.tag_weakness(base), courses, CHOSEN_TAG)
+
+
 def q_filter_risks(spark, sf):
     return V.filter_risks(capped_risks(spark, sf), None, VIEW_RISK, VIEW_KEYWORD).select(*P.RISK_COLUMNS)
 
