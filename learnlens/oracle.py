@@ -359,6 +359,8 @@ SELECT {RISK_COLS} FROM (
 def sql() -> dict[str, str]:
     metric_courses = f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)}"
     metric_risks = "SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= 38.0"
+    none_courses = f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)} AND tag = {q(R.CHOSEN_TAG)}"
+    none_risks = f"SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= 38.0 AND tag = {q(R.CHOSEN_TAG)}"
     cm = lambda c: rnd(f"coalesce(avg(coalesce({c}, 0.0)), 0.0)")
     return {
         # sources and sinks
@@ -484,6 +486,15 @@ def sql() -> dict[str, str]:
             f" (SELECT {cm('pass_rate')} FROM ({metric_courses})) AS pass_rate,"
             f" (SELECT count(*) FROM ({metric_risks})) AS risk_count"
         ),
+        "metric_cards_no_course": w(
+            f"SELECT (SELECT student_count FROM ov) AS student_count,"
+            f" (SELECT count(*) FROM ({none_courses})) AS course_count,"
+            f" (SELECT {cm('avg_score')} FROM ({none_courses})) AS avg_score,"
+            f" (SELECT {cm('avg_progress')} FROM ({none_courses})) AS avg_progress,"
+            f" (SELECT total_study_hours FROM ov) AS total_study_hours,"
+            f" (SELECT {cm('pass_rate')} FROM ({none_courses})) AS pass_rate,"
+            f" (SELECT count(*) FROM ({none_risks})) AS risk_count"
+        ),
         "filter_options": w(
             "SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY first_at) AS position FROM ("
             f" SELECT 'category' AS kind, category AS value, min(appear) AS first_at FROM"

@@ -351,6 +351,14 @@ def q_metric_cards(spark, sf):
     return V.metric_cards(courses, risks, P.overview(base))
 
 
+def q_metric_cards_no_course(spark, sf):
+    """Cards of a state no course matches: course cards fall back to 0."""
+    base = lc(spark, sf)
+    courses = V.filter_courses(P.course_effect(base), VIEW_CATEGORY, CHOSEN_TAG)
+    risks = V.filter_risks(P.risk_list(base), CHOSEN_TAG, DEFAULTS.risk_threshold, "")
+    return V.metric_cards(courses, risks, P.overview(base))
+
+
 def q_filter_options(spark, sf):
     return V.filter_options(ce(spark, sf))
 
