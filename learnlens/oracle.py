@@ -299,10 +299,11 @@ def recommendations_sql() -> str:
     return w(_rec_rows(weak, tmpl(REC_COURSE_TITLE, course="course_name"), tmpl(REC_COURSE_DETAIL, tag="tag"), fixed, 5))
 
 
-def recommendations_filtered_sql() -> str:
+def recommendations_filtered_sql(risk: float | None = None) -> str:
     v = R.REC_VIEW
     courses = f"SELECT * FROM ce WHERE category = {q(v['category'])}"
-    risks = f"SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= {float(v['risk'])}"
+    threshold = float(v["risk"] if risk is None else risk)
+    risks = f"SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= {threshold}"
     weak = f"SELECT * FROM ({courses}) ORDER BY {CE_ORDER} LIMIT 2"
     score = f"printf('%.1f', {rnd('coalesce(avg_score, 0.0)', 1)})"
     risk_sql = (
@@ -467,6 +468,7 @@ def sql() -> dict[str, str]:
         ),
         "recommendations": recommendations_sql(),
         "recommendations_filtered": recommendations_filtered_sql(),
+        "recommendations_filtered_no_risk": recommendations_filtered_sql(R.NO_RISK_THRESHOLD),
         # views and scopes
         "filter_equals": w(f"SELECT * FROM top1 WHERE organization = {q(R.ORGANIZATION)} AND tag IN ({TEACHER})"),
         "filter_courses": w(f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)}"),

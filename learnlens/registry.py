@@ -42,6 +42,7 @@ VIEW_RISK = 45.0
 VIEW_KEYWORD = "  Machinery "
 LITERAL_KEYWORD = "tag_1"
 CHOSEN_TAG = "TAG_0"
+NO_RISK_THRESHOLD = 100.01  # above the largest possible risk score (100)
 REC_VIEW = {"category": "EUROPE", "tag": None, "risk": 45.0, "keyword": ""}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +312,13 @@ def q_recommendations_filtered(spark, sf):
     return recommendations_filtered(courses, risks)
 
 
+def q_recommendations_filtered_no_risk(spark, sf):
+    """No filtered risk row reaches the threshold: the risk row is left out."""
+    courses = V.filter_courses(ce(spark, sf), REC_VIEW["category"], REC_VIEW["tag"])
+    risks = V.filter_risks(capped_risks(spark, sf), REC_VIEW["tag"], NO_RISK_THRESHOLD, "")
+    return recommendations_filtered(courses, risks)
+
+
 # --- views and scopes --------------------------------------------------------
 
 
