@@ -135,3 +135,14 @@ def test_results_do_not_depend_on_session_time_zone(spark, micro):
             assert snapshot() == base, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_format_usage_null_progress(spark):
+    ev = [
+        ("E1", "S1", "C1", "R1", dt.date(2026, 4, 1), 30, None, 1, "pc"),
+        ("E2", "S1", "C1", "R1", dt.date(2026, 4, 2), 20, 40, 0, "pc"),
+        ("E3", "S2", "C1", "R2", dt.date(2026, 4, 3), 10, None, 0, "pc"),
+    ]
+    t = _with_scores(spark, micro_rows()["scores"], events=ev)
+    got = {r.format: (r.views, r.completed, r.avg_progress, r.completion_rate) for r in P.format_usage(t.events, t.resources).collect()}
+    assert got == {"video": (2, 1, 40.0, 50.0), "quiz": (1, 0, None, 0.0)}
