@@ -100,7 +100,7 @@ def _is_local(spark) -> bool:
         return False
 
 
-def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "persist") -> Dashboard:
+def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "auto") -> Dashboard:
     """Declare the wide table once, materialise it, derive the panels.
 
     The course panel, the tag panel and the capped risk list feed several
