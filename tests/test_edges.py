@@ -146,3 +146,14 @@ def test_format_usage_null_progress(spark):
     t = _with_scores(spark, micro_rows()["scores"], events=ev)
     got = {r.format: (r.views, r.completed, r.avg_progress, r.completion_rate) for r in P.format_usage(t.events, t.resources).collect()}
     assert got == {"video": (2, 1, 40.0, 50.0), "quiz": (1, 0, None, 0.0)}
+
+
+def test_weekly_null_date(spark):
+    ev = [
+        ("E1", "S1", "C1", "R1", None, 30, 50, 1, "pc"),
+        ("E2", "S2", "C1", "R1", dt.date(2026, 4, 6), 30, 50, 1, "pc"),
+    ]
+    t = _with_scores(spark, micro_rows()["scores"], events=ev)
+    got = sorted((r.week is None, r.events) for r in P.weekly_activity(t.events).collect())
+    assert got == [(False, 1), (True, 1)]
+    assert sorted(r.week_start is None for r in P.weekly_activity_by_date(t.events).collect()) == [False, True]
