@@ -285,7 +285,7 @@ def _rec_rows(weak_sql: str, title: str, detail: str, fixed: list[tuple[str, str
     )
     return f"""
 SELECT position, title, detail FROM (
-  SELECT row_number() OVER (ORDER BY block, rnk) AS position, title, detail FROM (
+  SELECT CAST(row_number() OVER (ORDER BY block, rnk) AS INTEGER) AS position, title, detail FROM (
     SELECT 0 AS block, row_number() OVER (ORDER BY {CE_ORDER}) AS rnk, {title} AS title, {detail} AS detail
     FROM ({weak_sql})
     {risk_sql}
@@ -379,9 +379,9 @@ def sql() -> dict[str, str]:
         ),
         "upsert_by_key": upsert_sql(),
         "rows_to_json": w(
-            "SELECT to_json(struct_pack(course_id := course_id, course_name := course_name, category := category,"
+            "SELECT CAST(to_json(struct_pack(course_id := course_id, course_name := course_name, category := category,"
             " tag := tag, learners := learners, avg_score := avg_score, avg_progress := avg_progress,"
-            " study_minutes := study_minutes, pass_rate := pass_rate)) AS json FROM ce"
+            " study_minutes := study_minutes, pass_rate := pass_rate)) AS VARCHAR) AS json FROM ce"
         ),
         # data quality
         "dq_primary_key": w("SELECT event_id, count(*) AS count FROM tr_events GROUP BY event_id HAVING count(*) > 1"),
@@ -455,15 +455,15 @@ def sql() -> dict[str, str]:
             f" list(avg_score ORDER BY {CE_ORDER}) AS \"values\" FROM ce"
         ),
         "top_risk_per_learner": w("SELECT * FROM top1"),
-        "sort_multi_key": w(f"SELECT *, row_number() OVER (ORDER BY {TW_ORDER}) AS position FROM tw"),
+        "sort_multi_key": w(f"SELECT *, CAST(row_number() OVER (ORDER BY {TW_ORDER}) AS INTEGER) AS position FROM tw"),
         "ordinal_sort": w(
-            "SELECT score_level, count, row_number() OVER (ORDER BY "
+            "SELECT score_level, count, CAST(row_number() OVER (ORDER BY "
             + LEVEL_POS
-            + ", score_level) AS position FROM (SELECT score_level, count(*) AS count FROM lc GROUP BY score_level)"
+            + ", score_level) AS INTEGER) AS position FROM (SELECT score_level, count(*) AS count FROM lc GROUP BY score_level)"
         ),
-        "risk_list": w(f"SELECT {RISK_COLS}, row_number() OVER (ORDER BY {RISK_ORDER}) AS position FROM risk120"),
+        "risk_list": w(f"SELECT {RISK_COLS}, CAST(row_number() OVER (ORDER BY {RISK_ORDER}) AS INTEGER) AS position FROM risk120"),
         "weakest_courses": w(
-            f"SELECT *, row_number() OVER (ORDER BY {CE_ORDER}) AS position FROM"
+            f"SELECT *, CAST(row_number() OVER (ORDER BY {CE_ORDER}) AS INTEGER) AS position FROM"
             f" (SELECT * FROM ce ORDER BY {CE_ORDER} LIMIT 3)"
         ),
         "recommendations": recommendations_sql(),
@@ -498,7 +498,7 @@ def sql() -> dict[str, str]:
             f" (SELECT count(*) FROM ({none_risks})) AS risk_count"
         ),
         "filter_options": w(
-            "SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY first_at) AS position FROM ("
+            "SELECT kind, value, CAST(row_number() OVER (PARTITION BY kind ORDER BY first_at) AS INTEGER) AS position FROM ("
             f" SELECT 'category' AS kind, category AS value, min(appear) AS first_at FROM"
             f"   (SELECT *, row_number() OVER (ORDER BY {CE_ORDER}) AS appear FROM ce) GROUP BY category"
             " UNION ALL"
