@@ -17,7 +17,9 @@ from learnlens.operators import panels as P  # noqa: E402
 from learnlens.operators import quality as Q  # noqa: E402
 from learnlens.operators.features import PANEL_COLUMNS, learner_course  # noqa: E402
 from learnlens.session import local_session, scratch_path  # noqa: E402
-from learnlens.sources import readers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from learnlens.sources import readers, writers  # noqa: E402
 from learnlens.sources.testdata import training_tables  # noqa: E402
 
 
@@ -48,6 +50,15 @@ def main() -> None:
         "weekly_activity": P.weekly_activity(t.events),
         "overview": P.overview(lc),
         "foreign keys (quality)": Q.foreign_key_report(t),
+        "NOT NULL and type checks of events (quality, one scan)": Q.row_checks(t.events, "events"),
+        "upsert: latest incoming row per key": writers.upsert_by_key(
+            t.scores,
+            t.events.select(
+                "student_id", "course_id", (F.col("progress_percent") / 1.0).alias("final_score"), "event_date", "event_id"
+            ),
+            ["student_id", "course_id"],
+            ["event_date", "event_id"],
+        ),
     }
     out = [
         "# Final physical plans",
