@@ -58,3 +58,12 @@ def test_scan_pushdown_and_pruning(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in p
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_returnflag:string>" in p
+
+
+def test_table_materialization_cuts_lineage(spark):
+    from learnlens.plans.dashboard import build_dashboard
+
+    dash = build_dashboard(training_tables(spark, SF), how="table")
+    files = dash.panels["course_effect"].inputFiles()
+    assert files and all("learner_course" in f for f in files)  # the written wide table only
+    assert not any("lineitem" in f for f in files)
