@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import mixing
+from learnlens.llm import mixing, resharding
 from learnlens.llm.common import table
 
 
@@ -11,7 +11,12 @@ def op8_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_resharding(spark, sf_dir):
+    return resharding.reshard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_resharding": op10_resharding,
     "op8_mixing": op8_mixing,
 }
 
