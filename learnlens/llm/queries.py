@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import mixing, resharding
+from learnlens.llm import mixing, resharding, secrets, sentencepiece_codec
 from learnlens.llm.common import table
 
 
@@ -15,11 +15,23 @@ def op10_resharding(spark, sf_dir):
     return resharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.BlobLedger(spark).scan(docs))
+
+
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_sentencepiece": op7_sentencepiece,
+    "op5_secrets": op5_secrets,
     "op10_resharding": op10_resharding,
     "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL = {
+    "op5_secrets": secrets.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
