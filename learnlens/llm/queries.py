@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import mixing, resharding, secrets, sentencepiece_codec
+from learnlens.llm import mixing, resharding, secrets, sentencepiece_codec, url_filters
 from learnlens.llm.common import table
 
 
@@ -24,7 +24,12 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op1_url_filters(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op7_sentencepiece": op7_sentencepiece,
     "op5_secrets": op5_secrets,
     "op10_resharding": op10_resharding,
@@ -32,6 +37,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filters": url_filters.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
