@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import mixing, resharding, secrets, sentencepiece_codec, url_filters
+from learnlens.llm import kmeans_tree, mixing, resharding, secrets, sentencepiece_codec, url_filters
 from learnlens.llm.common import table
 
 
@@ -28,7 +28,12 @@ def op1_url_filters(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op1_url_filters": op1_url_filters,
     "op7_sentencepiece": op7_sentencepiece,
     "op5_secrets": op5_secrets,
