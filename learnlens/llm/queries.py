@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import kmeans_tree, mixing, resharding, secrets, sentencepiece_codec, url_filters
+from learnlens.llm import chat_format, kmeans_tree, mixing, resharding, secrets, sentencepiece_codec, url_filters
 from learnlens.llm.common import table
 
 
@@ -32,7 +32,12 @@ def op9_nearest_neighbours(spark, sf_dir):
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_chat_format(spark, sf_dir):
+    return chat_format.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op6_chat_format": op6_chat_format,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op1_url_filters": op1_url_filters,
     "op7_sentencepiece": op7_sentencepiece,
