@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import chat_format, kmeans_tree, mixing, resharding, secrets, sentencepiece_codec, url_filters
+from learnlens.llm import chat_format, kmeans_tree, mixing, order_minhash, resharding, secrets, sentencepiece_codec, url_filters
 from learnlens.llm.common import table
 
 
@@ -36,7 +36,12 @@ def op6_chat_format(spark, sf_dir):
     return chat_format.repair(table(spark, sf_dir, "conversations"))
 
 
+def op3_order_minhash(spark, sf_dir):
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_order_minhash": op3_order_minhash,
     "op6_chat_format": op6_chat_format,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op1_url_filters": op1_url_filters,
