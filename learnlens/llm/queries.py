@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import chat_format, kmeans_tree, mixing, order_minhash, resharding, secrets, sentencepiece_codec, url_filters
+from learnlens.llm import chat_format, kmeans_tree, mixing, order_minhash, quality, resharding, secrets, sentencepiece_codec, url_filters
 from learnlens.llm.common import table
 
 
@@ -40,7 +40,13 @@ def op3_order_minhash(spark, sf_dir):
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    docs, labels, pages = (table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
+    return quality.score(docs, labels, pages)
+
+
 QUERIES = {
+    "op4_quality": op4_quality,
     "op3_order_minhash": op3_order_minhash,
     "op6_chat_format": op6_chat_format,
     "op9_nearest_neighbours": op9_nearest_neighbours,
