@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from learnlens.llm import chat_format, kmeans_tree, mixing, order_minhash, quality, resharding, secrets, sentencepiece_codec, url_filters
+from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, order_minhash, quality, resharding, secrets, sentencepiece_codec, url_filters
 from learnlens.llm.common import table
 
 
@@ -45,7 +45,12 @@ def op4_quality(spark, sf_dir):
     return quality.score(docs, labels, pages)
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_quality": op4_quality,
     "op3_order_minhash": op3_order_minhash,
     "op6_chat_format": op6_chat_format,
@@ -58,6 +63,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op1_url_filters": url_filters.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op8_mixing": mixing.ORACLE,
