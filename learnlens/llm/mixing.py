@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import save, word_count
+from learnlens.llm.common import broadcast_if_bounded, save, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -109,7 +109,7 @@ def mix(
     )
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mixed rows: every document as often as it is taken whole, and the
     words of the cut document up to the cut. ``plan`` has (doc_id, size,
     taken). Documents of which nothing is taken go; the columns stay."""
@@ -117,6 +117,7 @@ def apply_mix(docs: DataFrame, plan: DataFrame, max_epochs: int = MAX_EPOCHS) ->
     per_id = plan.groupBy(F.col("doc_id").alias("__mix_id")).agg(
         F.sum("taken").alias("__mix_taken"), F.count("*").alias("__mix_n")
     )
+    per_id = broadcast_if_bounded(save(per_id.where("__mix_taken > 0"), "taken"))
     joined = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
     taken = F.floor(F.col("__mix_taken") / F.col("__mix_n"))
     size = word_count(F.col("text"))

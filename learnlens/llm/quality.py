@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import WORD, save
+from learnlens.llm.common import WORD, broadcast_if_bounded, save
 from learnlens.llm.url_filters import url_host
 
 LABELLED, POOL = 8_000, 8_000
@@ -274,3 +274,12 @@ def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None) ->
         run, "doc_id string, text_score double, meta_score double, score double, keep boolean"
     )
     return scored.withColumn("doc_id", F.col("doc_id").cast(typed))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the documents that score below ``KEEP_FROM``; an id
+    that several rows share goes if none of its rows is good."""
+    scored = score(docs, labels, pages)
+    bad = scored.groupBy(F.col("doc_id").alias("__id")).agg(F.max("keep").alias("__keep")).where("not __keep").select("__id")
+    bad = save(bad, "rejected")
+    return docs.join(broadcast_if_bounded(bad), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
