@@ -60,7 +60,8 @@ def runs(a: Column, key: Callable[[Column], Column]) -> Column:
 
     def ends(s: Column) -> Column:
         after = F.concat(F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), F.array(F.size(a)))
-        return F.zip_with(s, after, lambda b, e: F.struct(b.alias("b"), e.alias("e")))
+        # An empty array has an end and no start.
+        return F.filter(F.zip_with(s, after, lambda b, e: F.struct(b.alias("b"), e.alias("e"))), lambda r: r["b"].isNotNull())
 
     return let(starts, ends)
 

@@ -1,0 +1,169 @@
+"""Null, empty, repeated and clashing rows through every operator and stage."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, order_minhash, quality, resharding, secrets, url_filters
+from learnlens.llm import sentencepiece_codec as sp
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, node long, h long, spans string, bucket int, target double, fp string, range int, shard int"
+EXTRA = (1, "k", 2, 3, "s", 4, 0.5, "f", 5, 6)
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(*r, *EXTRA) for r in rows], DOCS)
+
+
+def awkward(spark):
+    long_text = " ".join(f"w{i} token=abcdef{i}" for i in range(20_000))
+    return documents(
+        spark,
+        [
+            (1, None, None, None, None), (2, "", "", "", 0), (3, " \n\t", "en", "a", 3), (None, "null id text here", "en", "a", 17),
+            (4, long_text, "en", "b", len(long_text)), (5, "x" * 50_000, "en", "b", 50_000),
+            (6, "same words in here again", "en", "a", 24), (6, "same words in here again", "en", "a", 24),
+            (7, "same words in here again", "en", None, 24), (8, "é\U0001f389 \u00a0", "en", "c", 5),
+        ],
+    )
+
+
+OPERATORS = {
+    "join": jaccard_join.join,
+    "order_minhash": order_minhash.fingerprints,
+    "secrets": lambda d: secrets.digest(secrets.BlobLedger(d.sparkSession).scan(d.select("doc_id", "text"))),
+    "mix": mixing.mix,
+    "sentencepiece": sp.encode,
+    "reshard": resharding.reshard,
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_one_row_for_each_document(spark, name):
+    docs = awkward(spark)
+    rows = OPERATORS[name](docs).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_no_documents(spark, name):
+    assert OPERATORS[name](documents(spark, [])).collect() == []
+
+
+def test_defined_results(spark):
+    docs = awkward(spark)
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert joined[1] == (0, 1) and joined[2] == (0, 2) and joined[3] == (0, 3) and joined[None][1] is None
+    assert joined[5] == (1, 5) and joined[6] == joined[7] == (2, 6)
+    prints = {r.doc_id: r for r in order_minhash.fingerprints(docs).collect()}
+    assert prints[1].fingerprint == prints[2].fingerprint == "" and prints[2].near_next == 1.0
+    assert prints[6].fingerprint == prints[7].fingerprint and prints[5].n_chars == 50_000
+    found = {r.doc_id: r for r in OPERATORS["secrets"](docs).collect()}
+    assert found[4].n_assign == 20_000 and found[1].n_assign == 0 and found[1].spans == ""
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()}[4] == 40_000
+    alone = order_minhash.fingerprints(docs.where("doc_id = 8")).first()
+    assert alone.near_next == 1.0
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("labels,share", [([], 1.0), ([(1, 1, 0), (2, None, None), (None, 0, 0)], 1.0), ([(1, 0, 0), (1, 1, 0)], 0.0)])
+def test_quality_without_labels_of_both_kinds(spark, labels, share):
+    rows = quality.score(awkward(spark), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(rows) == 10 and {r.score for r in rows} == {share}
+    assert quality.score(documents(spark, []), spark.createDataFrame([], LABELS)).collect() == []
+
+
+def test_urls(spark):
+    none = spark.createDataFrame([], LABELS)
+    pages = spark.createDataFrame([(1, None, 1), (1, "a://b/c", 2), (None, "", 3), (2, "http://" + "x" * 50_000 + ".net/", 4)], "page_id long, url string, verdict long")
+    rows = {(r.page_id, r.host[:5]): r.verdict for r in url_filters.judge(pages, none).collect()}
+    assert rows == {(1, ""): "allow", (1, "b"): "allow", (None, ""): "allow", (2, "xxxxx"): "block"}
+    assert url_filters.judge(pages.limit(0), none).collect() == []
+
+
+def test_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string, position long"
+    rows = [(None, None, None, None, 1), (1, 0, " User ", "a", 1), (1, 0, " User ", "a", 1), (1, None, "user", "", 1), (2**60 + 1, 2**60 + 1, "x", "b", 2)]
+    out = chat_format.repair(spark.createDataFrame(rows, schema)).collect()
+    assert sum(r.action != "insert" for r in out) == 5 and {r.conv_id for r in out} == {None, 1, 2**60 + 1}
+    assert {r.turn for r in out if r.conv_id == 2**60 + 1} >= {2**60 + 1}
+    assert chat_format.repair(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_vectors(spark):
+    schema = "vec_id long, embedding array<float>, v int, label int"
+    assert kmeans_tree.search(spark.createDataFrame([], schema)).collect() == []
+    rows = [(100, [1.0, 0.0], 1, 1), (100, [1.0, 0.0], 1, 1), (100, [0.0, 1.0], 1, 1), (1, [1.0, 0.0], 1, 1), (2, [-0.0, 1.0], 1, 1)]
+    got = sorted(tuple(r)[:3] for r in kmeans_tree.search(spark.createDataFrame(rows, schema)).collect())
+    # The id has two vectors, so it asks twice.
+    assert got == [(100, 1, 1), (100, 1, 2), (100, 2, 1), (100, 2, 2)]
+
+
+def test_stages_keep_columns_and_clean_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert docs.columns == [c.split()[0] for c in DOCS.split(", ")], name
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        if name == "near_duplicates":
+            assert 6 in ids and 7 not in ids and docs.where("doc_id = 6").count() == 1
+        if name == "secrets":
+            assert docs.where(F.col("text").contains("abcdef1 ")).count() == 0
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert all(r.round_trip for r in rows)
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_on_no_documents(spark, number):
+    _, stage = corpus_pipeline.STAGES[number]
+    assert stage(spark, documents(spark, []), "/root/testdata/sf0.001").collect() == []
+
+
+def test_pipeline_against_plain_python(spark):
+    """The run's rows, stage by stage, from the classifier's verdicts on."""
+    import re
+
+    import pandas as pd
+
+    from learnlens.llm.jaccard_join import shingles
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf)
+    good = pd.DataFrame([r.asDict() for r in corpus_pipeline.keep_good(spark, docs, sf).collect()]).sort_values("doc_id")
+    sets = [set(shingles(t).tolist()) for t in good.text]
+    comp = list(range(len(sets)))
+    for _ in range(4):
+        for a in range(len(sets)):
+            for b in range(a):
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    left = good[[c == i for i, c in enumerate(comp)]]
+    assign = re.compile(secrets.ASSIGN.replace("(?i:", "(?:"), re.I | re.A)
+    clean = {}
+    for r in left.itertuples():
+        spans = [m.span() for m in assign.finditer(r.text) if len(m[2]) >= 6]
+        for rule in secrets.RULES[1:]:
+            spans += [m.span() for m in re.finditer(rule.pattern, r.text)]
+        out, at = "", 0
+        for s, e in sorted(spans):
+            if s >= at:
+                out += r.text[at:s] + "<SECRET>"
+            at = max(at, e)
+        clean[r.doc_id] = (r.source, out + r.text[at:])
+    words = lambda t: re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)
+    frame = spark.createDataFrame([(i, t, s) for i, (s, t) in clean.items()], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(frame).collect()}  # has its own oracle
+    expected = []
+    for i, (_, t) in clean.items():
+        parts, n = words(t), taken[i]
+        while n > 0:
+            expected.append((i, t if n >= len(parts) else "".join(parts[:n])))
+            n -= len(parts)
+    codec = sp.Codec(sp.load_vocabulary())
+    assert sorted((r.doc_id, codec.decode(r.ids)) for r in got.collect()) == sorted(expected)

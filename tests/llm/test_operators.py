@@ -1,0 +1,323 @@
+"""The operators' own interfaces: small cases against brute force."""
+
+from __future__ import annotations
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from learnlens.llm import chat_format, jaccard_join, kmeans_tree, quality, resharding, secrets, url_filters
+from learnlens.llm import sentencepiece_codec as sp
+from learnlens.llm.common import connected_components
+
+
+def test_components_of_chains_hubs_and_loops(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(200, 201), (201, 200), (202, 202)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    expected = {i: 100 for i in range(100, 141)} | {i: 7 for i in range(7, 60)} | {200: 200, 201: 200}
+    assert got == expected
+
+
+# --- URL filters
+
+
+def test_mined_rules_are_pruned_and_decide(spark):
+    rows, labels = [], []
+    for i in range(200):
+        spam = i % 4 == 0
+        rows.append((i, f"https://{'win' if spam else 'news'}.a{i % 10}.com/{'x' if i % 3 else 'y'}/{i}"))
+        labels.append((i, 0 if spam else 1, 0))
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = {r.rule: (r.verdict, r.confidence) for r in url_filters.mine(pages, labels).collect()}
+    assert rules["sub:win"] == ("block", 1.0) and rules["sub:news"] == ("allow", 1.0)
+    # What a shorter rule says as surely is left out.
+    assert not [r for r in rules if "sub:win" in r and r != "sub:win"]
+    new = spark.createDataFrame([(1, "http://win.other.com/"), (2, "http://news.other.com/"), (3, None), (4, "no url")], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages.unionByName(new.selectExpr("page_id + 1000 as page_id", "url")), labels).collect()}
+    assert got[1001] == ("win.other.com", "/", None, "block") and got[1002][3] == "allow"
+    assert got[1003] == got[1004] == ("", "", None, "allow")
+
+
+@pytest.mark.parametrize(
+    "url,host,path,rule,verdict",
+    [
+        ("http://A.Net/x", "a.net", "/x", "net/", "block"),
+        ("http://a.net", "a.net", "", None, "allow"),
+        ("http://example.net/en/?q", "example.net", "/en/", "example.net/en/", "allow"),
+        ("http://www.example.com/de/1#f", "www.example.com", "/de/1", "example.com/de/", "block"),
+        ("http://badexample.com/de/", "badexample.com", "/de/", None, "allow"),
+        ("x://y://org/fr/", "y:", "//org/fr/", None, "allow"),
+        ("http://é.org/fr/", "é.org", "/fr/", "org/fr/", "allow"),
+        ("http://net?x", "net", "", None, "allow"),
+        ("\nhttp://net/\n", "net", "/\n", "net/", "block"),
+    ],
+)
+def test_stated_rules(spark, url, host, path, rule, verdict):
+    pages = spark.createDataFrame([(1, url)], "page_id long, url string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert tuple(url_filters.judge(pages, none).first())[:5] == (1, host, path, rule, verdict)
+
+
+# --- n-gram Jaccard join
+
+
+def brute_components(texts: list[str]) -> list[int]:
+    sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def test_join_against_brute_force(spark, monkeypatch):
+    """Near copies, a passage in every text, long lists, dense nodes and split groups."""
+    monkeypatch.setattr(jaccard_join, "LONG", 5)
+    monkeypatch.setattr(jaccard_join, "EXTRA", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(20)]
+    base = [word() for _ in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = word()
+        texts.append(" ".join(words))
+    for i in range(60):
+        texts.append(" ".join(passage + [word() for _ in range(rng.randrange(2, 40))]))
+    texts += ["A b", "a B", "a b c", "", " \n", "same\u00a0word", "x " * 50, "x " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()}
+    assert got == {i: (len(jaccard_join.shingles(t)), c) for i, (t, c) in enumerate(zip(texts, brute_components(texts)))}
+
+
+def test_search_with_two_sides():
+    a, b, c = (np.arange(i, i + 40, dtype=np.uint64) for i in (0, 1, 2))
+    assert jaccard_join.search([a, b, c], [0, 0, 0]) and len(jaccard_join.search([a, b, c], [0, 0, 0])) == 2
+    assert {tuple(sorted(x)) for x in jaccard_join.search([a, b, c], [0, 0, 1])} <= {(0, 2), (1, 2)}
+    assert jaccard_join.search([a], [0]) == []
+
+
+def test_first_of_each_keeps_empty_texts_and_one_of_repeated_rows(spark):
+    rows = [(3, "one two three four five", 1), (1, "One two three four five", 2), (1, "One two three four five", 2), (4, None, 3), (5, "", 4), (None, "other words here", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h long")
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text, r.h) for r in jaccard_join.first_of_each(df).collect())
+    assert kept == sorted([(1, "One two three four five", 2), (4, None, 3), (5, "", 4), (-1, "other words here", 5)], key=lambda r: r[0])
+
+
+# --- secrets
+
+
+def test_ledger_scans_unseen_blobs_and_new_rule_versions_only(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    v1 = spark.createDataFrame([("a", 1, "token=abcdef1"), ("b", 1, "token=abcdef1"), ("c", 1, None)], "path string, version int, text string")
+    assert sorted((r.path, len(r.spans)) for r in secrets.BlobLedger(spark, path).scan(v1).collect()) == [("a", 1), ("b", 1), ("c", 0)]
+    ledger = secrets.BlobLedger(spark, path)
+    assert ledger.scanned().count() == 2
+    v2 = v1.unionByName(spark.createDataFrame([("a", 2, "AKIA" + "A" * 16)], "path string, version int, text string"))
+    assert [len(r.spans) for r in ledger.scan(v2).orderBy("path", "version").collect()] == [1, 1, 1, 0]
+    assert ledger.scanned().count() == 3
+    # A rule with a new version reads all blobs again, and its old findings no longer count.
+    changed = tuple(secrets.Rule("assign", r"token=\w+", version="2") if r.kind == "assign" else r for r in secrets.RULES)
+    again = secrets.BlobLedger(spark, path, changed)
+    out = again.scan(v2).orderBy("path", "version").collect()
+    assert [[s.rule for s in r.spans] for r in out] == [["assign@2"], ["access@1"], ["assign@2"], []]
+    assert sorted(len(r.rules) for r in again.scanned().collect()) == [1, 1, 1, 6, 6, 6]
+
+
+def test_failing_matches_use_up_their_characters(spark):
+    text = "é password=token:abcdefgh secret: 'abcdef' " + "a" * 23 + " " + "0" * 24 + " AKIAAKIA" + "B" * 12
+    out = secrets.BlobLedger(spark).scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    found = [(s.kind, text[s.start : s.end]) for s in out.spans]
+    assert found == [("assign", "secret: 'abcdef"), ("hex", "0" * 24), ("access", "AKIAAKIA" + "B" * 12)]
+
+
+def test_redaction(spark):
+    rows = [(1, "é token = abcdef0123456789abcdef0123456789 end", 99, 7), (2, "clean", 5, 8), (3, None, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, blob long")
+    out = {r.doc_id: tuple(r) for r in secrets.redact(df).collect()}
+    assert out == {1: (1, "é <SECRET> end", 14, 7), 2: rows[1], 3: rows[2]}
+
+
+# --- chat
+
+
+def cheapest(roles, c=chat_format.Costs()):
+    import heapq
+
+    queue, seen = [(0, 0, "start")], set()
+    while queue:
+        cost, i, s = heapq.heappop(queue)
+        if (i, s) in seen:
+            continue
+        seen.add((i, s))
+        if i == len(roles) and s in chat_format.FINAL:
+            return cost
+        for t in chat_format.LEGAL[s]:
+            heapq.heappush(queue, (cost + c.insert, i, t))
+            if i < len(roles):
+                heapq.heappush(queue, (cost + c.relabel * (t != roles[i]), i + 1, t))
+        if i < len(roles) and s != "start":
+            heapq.heappush(queue, (cost + c.merge + c.relabel * (s != roles[i]), i + 1, s))
+
+
+def test_repair_is_the_cheapest(spark):
+    rng = random.Random(2)
+    kinds = ["system", "user", "assistant", "tool", None]
+    convs = {c: [rng.choice(kinds) for _ in range(rng.randrange(1, 9))] for c in range(60)}
+    convs[99] = [rng.choice(kinds) for _ in range(400)]  # split over partitions
+    rows = [(c, t, r, f"t{t}.") for c, roles in convs.items() for t, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.repair(df, long=100).toPandas()
+    known = chat_format.Repair.known
+    for c, roles in convs.items():
+        g = out[out.conv_id == c].sort_values("position")
+        assert g.cost.sum() == cheapest([known(r) for r in roles])
+        assert g[g.turn.notna()].turn.astype(int).tolist() == list(range(len(roles)))
+
+
+# --- SentencePiece
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return sp.Codec(sp.load_vocabulary())
+
+
+def test_viterbi_against_all_substrings(codec):
+    vocabulary = {p: s for p, s, kind in sp.load_vocabulary() if kind == "text"}
+
+    def best(part: str) -> float:
+        top = [0.0]
+        for end in range(1, len(part) + 1):
+            ways = [top[a] + vocabulary[part[a:end]] for a in range(max(0, end - 60), end) if part[a:end] in vocabulary]
+            ways += [] if part[end - 1] in vocabulary else [top[end - 1] + codec.unknown]
+            top.append(max(ways))
+        return top[-1]
+
+    def score(ids) -> float:
+        raw, total = b"", 0.0
+        for i in ids:
+            if i in codec.byte_ids.values():
+                raw += codec.as_bytes[i]
+                if not raw.decode("utf-8", "ignore"):
+                    continue
+                total, raw = total + codec.unknown, b""
+            else:
+                total += codec.scores[i]
+        return total
+
+    for text in ["Hello world", "straße  und\nÜber", "日本語のテキスト🎉x", "a" * 100, "\t", "naïve   " * 3]:
+        part = sp.SPACE + text.replace(" ", sp.SPACE)
+        assert score(codec.viterbi(part)) == pytest.approx(best(part))
+        assert score(codec.encode(text).tolist()) == pytest.approx(best(part))
+
+
+def test_round_trip(spark, codec):
+    rng = random.Random(4)
+    texts = [None, "", " ", "  x", "\n\n", "é" * 200, "a b" * 5000, "🎉\x00\x7f"]
+    texts += ["".join(chr(rng.choice([32, 10, 65 + rng.randrange(50), 200, 0x4E2D, 0x1F600])) for _ in range(50)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = sp.encode(df)
+    back = {r.doc_id: r.text for r in sp.decode(encoded).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert all(r.round_trip for r in encoded.collect())
+    # The mark of a space is the one character that does not come back.
+    assert codec.decode(codec.encode("a\u2581b")) == "a b"
+
+
+def test_searching_together_gives_the_same_as_alone(codec):
+    words = ["▁the", "ing", "▁Straße", "aaaaaaa", "▁▁▁x", "zqxj", "▁" + "ab" * 15]
+    codec.cache.clear()
+    codec.search_many(words)
+    for w in words:
+        assert np.frombuffer(codec.cache[w], np.int32).tolist() == codec.viterbi(w)
+
+
+# --- nearest neighbours
+
+
+def test_tree_fitted_in_tasks_and_hot_vectors(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    x[500:1200] = x[500]  # a hot vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 4), (5002, [1.0, None, 1.0, 1.0]), (5003, [float("nan")] * 4), (5004, [1.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = kmeans_tree.search(df, every=50, sample_bytes=64 * 8 * 4, leaf_rows=10).toPandas()
+    hit = total = 0
+    assert sorted(set(out.query_id)) == list(range(0, 2000, 50))
+    for q, g in out.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        true = sorted((s, i) for i, s in enumerate(d) if i != q)[:10]
+        hit, total = hit + len({i for _, i in true} & set(g.vec_id)), total + 10
+        if 500 <= q < 1200:
+            assert g.sort_values("rank").vec_id.tolist() == [i for _, i in true]
+    assert hit >= 0.9 * total
+
+
+def test_fewer_candidates_than_k(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in kmeans_tree.search(df).collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+
+
+# --- resharding
+
+
+def test_flow_is_of_least_cost():
+    rng = random.Random(1)
+    for _ in range(30):
+        n, m = rng.randrange(1, 4), rng.randrange(1, 4)
+        supply = [rng.randrange(4) for _ in range(n)]
+        capacity = [0] * m
+        for _ in range(sum(supply)):
+            capacity[rng.randrange(m)] += 1
+        cost = [[rng.randrange(5) for _ in range(m)] for _ in range(n)]
+        flow = resharding.min_cost_flow(supply, capacity, cost)
+        units = [i for i, s in enumerate(supply) for _ in range(s)]
+        slots = [j for j, s in enumerate(capacity) for _ in range(s)]
+        best = min(sum(cost[i][j] for i, j in zip(units, p)) for p in itertools.permutations(slots)) if len(slots) < 8 else None
+        assert [sum(r) for r in flow] == supply and [sum(c) for c in zip(*flow)] == capacity
+        if best is not None:
+            assert sum(f * c for fr, cr in zip(flow, cost) for f, c in zip(fr, cr)) == best
+
+
+def test_rewrite_of_affected_shards_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"text {i}", "extra") for i in range(400)], "doc_id long, text string, bucket string")
+    sizes = [r.s for r in docs.groupBy(resharding.hashed_shard(3).alias("o")).agg(F.sum(resharding.row_size()).alias("s")).orderBy("o").collect()]
+    # The first shard keeps its size; the second gives a part to a new one.
+    capacities = [sizes[0], sizes[1] - 1000, sizes[2], 1000]
+    path = str(tmp_path / "out")
+    assert resharding.rewrite(docs, path, resharding.hashed_shard(3), 3, 4, capacities) == [1, 3]
+    written = spark.read.parquet(path)
+    got = {r.shard: r.s for r in written.groupBy("shard").agg(F.sum(resharding.row_size()).alias("s")).collect()}
+    assert abs(got[3] - 1000) < 40 and got[1] + got[3] == sizes[1]
+    assert set(written.columns) == {"doc_id", "text", "bucket", "key", "shard"}
+
+
+# --- quality
+
+
+def test_co_training_hands_pseudo_labels_to_the_other_view():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+
+    def rows(n, labelled):
+        y = rng.integers(0, 2, n)
+        feats = [list(rng.normal(3 * g, 1, len(quality.TEXT_FEATURES))) for g in y]
+        out = pd.DataFrame({"feats": feats, "n_chars": rng.integers(1, 99, n), "lang": "en", "source": [f"s{g if rng.random() < 0.95 else 1 - g}" for g in y], "host": "null"})
+        return out.assign(y=y, held=rng.random(n) < 0.3) if labelled else out
+
+    known, pool = rows(200, True), rows(300, False)
+    model = quality.co_train(known, pool)
+    assert model.rounds[-1][0] > model.rounds[0][0] - 1 and model.rounds[-1][1] > 0
+    test = rows(300, True)
+    _, _, s = model.score(quality._numbers(test), quality._lengths(test), quality._categories(test))
+    assert ((s > 0.5) == test.y.to_numpy()).mean() > 0.95

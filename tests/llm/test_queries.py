@@ -1,0 +1,183 @@
+"""Each registered query over the whole test tables: against its SQL, or
+against a plain version of the same contract."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from compare import compare, duck
+
+from learnlens.llm import chat_format, queries, sentencepiece_codec
+
+SF = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duck(SF)
+    yield c
+    c.close()
+
+
+@pytest.fixture(scope="module")
+def docs(con):
+    return con.execute("SELECT doc_id, coalesce(text, '') AS text FROM documents ORDER BY doc_id").fetchall()
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, con, name):
+    result = compare(queries.QUERIES[name](spark, SF), con, queries.ORACLE_SQL[name])
+    assert result["ok"], result
+
+
+def as_long(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def chained(values, kind: str) -> int:
+    """The hash function of the DataFrame API: each value's hash seeds the next."""
+    h = 42
+    for v in values:
+        raw = v.encode() if kind == "text" else int(v).to_bytes(8 if kind == "long" else 4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h
+
+
+def order_minhash(text: str) -> dict[int, int]:
+    words = [as_long(chained([w], "text")) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    grams = [words[i : i + 3] for i in range(max(len(words) - 2, min(len(words), 1)))]
+    seen, bins = Counter(), {}
+    for i, g in enumerate(grams):
+        gram = as_long(chained(g, "long")) >> 24
+        h = xxhash.xxh64_intdigest(seen[gram].to_bytes(4, "little"), seed=chained([gram], "long"))
+        seen[gram] += 1
+        bins.setdefault(as_long(h) >> 59, []).append((as_long(h) >> 24, i))
+    out = {}
+    for b, own in bins.items():
+        least = sorted(own)[:2]
+        out[b + 16] = chained([h for h, _ in sorted(least, key=lambda e: e[1])], "long") & 0xFFFFFFFF
+    return out
+
+
+def shown(fp: dict[int, int]) -> str:
+    return "".join(f"{b:02x}{v:08x}" for b, v in sorted(fp.items()))
+
+
+def alike(a: dict[int, int], b: dict[int, int]) -> float:
+    return sum(a.get(k) == v for k, v in b.items()) / len(a.keys() | b.keys()) if a or b else 1.0
+
+
+def test_order_minhash_query(spark, docs):
+    rows = {r.doc_id: r for r in queries.QUERIES["op3_order_minhash"](spark, SF).collect()}
+    down = docs[::-1]
+    assert len(rows) == len(docs)
+    for (i, text), (_, after) in zip(down, down[1:] + down[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        a, b, c = order_minhash(text), order_minhash(edited), order_minhash(after)
+        expected = (len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), alike(a, b), alike(a, c))
+        assert tuple(rows[i])[1:] == expected
+
+
+def test_quality_query_on_held_out_labels(spark, con):
+    """The labels cover a part; scores of all others are held against the junk's plain marks."""
+    scored = {r.doc_id: r for r in queries.QUERIES["op4_quality"](spark, "/root/testdata/sf0.01").collect()}
+    c = duck("/root/testdata/sf0.01")
+    texts = dict(c.execute("SELECT doc_id, text FROM documents").fetchall())
+    labelled = {x for (x,) in c.execute("SELECT doc_id FROM labels").fetchall()}
+    assert scored.keys() == texts.keys()
+    wrong = total = 0
+    for i, t in texts.items():
+        words = WORDS.findall(t)
+        if i in labelled or len(words) < 30:
+            continue
+        marked = sum(bool(re.search(r"[%&*#$]{3}|\||!!", w)) for w in words) / len(words)
+        repeated = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        junk = marked > 0.2 or repeated > 0.3 or len(set(words)) / len(words) < 0.2
+        total += 1
+        wrong += junk == scored[i].keep
+    assert total > 300 and wrong <= 0.03 * total
+    for r in scored.values():
+        assert 0 <= r.score <= 1 and 0 <= r.text_score <= 1 and 0 <= r.meta_score <= 1
+
+
+def test_chat_query(spark, con):
+    rows = queries.QUERIES["op6_chat_format"](spark, SF).toPandas()
+    given = con.execute("SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn").fetchall()
+    assert sorted((int(c), int(t)) for c, t in rows[rows.turn.notna()][["conv_id", "turn"]].to_numpy()) == [(c, t) for c, t, _ in given]
+    for conv, g in rows.sort_values("position").groupby("conv_id"):
+        text = "".join(g.piece)
+        roles = re.findall(r"<\|(system|user|assistant)\|>\n", text)
+        state = "start"
+        for r in roles:
+            assert r in chat_format.LEGAL[state]
+            state = r
+        assert state in chat_format.FINAL and text.count("<|end|>\n") == len(roles)
+        at = 0
+        for c, _, t in given:
+            if c == conv:
+                at = text.index(t or "", at)
+
+
+def test_sentencepiece_query(spark, docs):
+    rows = {r.doc_id: r for r in queries.QUERIES["op7_sentencepiece"](spark, SF).collect()}
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_vocabulary())
+    assert rows.keys() == {i for i, _ in docs}
+    for i, text in docs:
+        assert rows[i].round_trip and rows[i].n_pieces == len(rows[i].ids) and codec.decode(rows[i].ids) == text
+
+
+def test_nearest_neighbours_query(spark, con):
+    rows = queries.QUERIES["op9_nearest_neighbours"](spark, "/root/testdata/sf0.01").toPandas()
+    data = duck("/root/testdata/sf0.01").execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data], float)
+    hit = total = 0
+    assert sorted(set(rows.query_id)) == [i for i in ids if i % 100 == 0]
+    for q, g in rows.sort_values("rank").groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        assert g["rank"].tolist() == list(range(1, 11)) and q not in set(g.vec_id)
+        assert g.score.tolist() == [d[ids == v][0] for v in g.vec_id]
+        assert list(zip(g.score, g.vec_id)) == sorted(zip(g.score, g.vec_id))
+        true = [v for _, v in sorted((s, v) for s, v in zip(d, ids) if v != q)[:10]]
+        hit, total = hit + len(set(true) & set(g.vec_id)), total + 10
+    assert hit >= 0.9 * total
+
+
+def test_resharding_query(spark, docs):
+    rows = queries.QUERIES["op10_resharding"](spark, SF).toPandas()
+    texts = dict(docs)
+    assert sorted(rows.doc_id) == sorted(texts)
+    for r in rows.itertuples():
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "bytes")
+    assert rows.grown_shard.isna().all()
+    for _, g in rows.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    even = rows["size"].sum() / 24
+    sums = rows.groupby("shard")["size"].sum().reindex(range(24), fill_value=0)
+    assert (sums - even).abs().max() <= 2 * rows["size"].max()
+
+
+def test_mix_keeps_to_its_targets(spark):
+    rows = queries.QUERIES["op8_mixing"](spark, "/root/testdata/sf0.01").toPandas()
+    source = dict(duck("/root/testdata/sf0.01").execute("SELECT doc_id, source FROM documents").fetchall())
+    by = rows.assign(source=rows.doc_id.map(source)).groupby("source")
+    assert (by.taken.sum() - by.target.first()).abs().max() < 1
+    assert (rows.taken <= 3 * rows["size"]).all()
+    assert abs(by.target.first().sum() - rows["size"].sum()) < 1e-6 * rows["size"].sum()
+
+
+def test_duckdb_is_the_one_the_sql_was_written_for():
+    assert duckdb.sql("SELECT [x + 1 FOR x IN [1]]").fetchone()[0] == [2]
