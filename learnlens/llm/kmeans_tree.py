@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
 Fit: k-means splits a bounded sample (``SAMPLE_BYTES``) into ``BRANCH`` parts,
-and each part again, until a leaf stands for about ``LEAF_ROWS`` rows. If the
+and each part again, until a leaf stands for about as many rows as there are
+leaves (``LEAF_ROWS`` at least). If the
 sample is too small for that many leaves, each leaf's subtree is fitted by a
 task from a bounded sample of the leaf's own rows, so the tree grows with the
 table up to ``MAX_LEAVES``. The tree is broadcast.
@@ -16,8 +17,9 @@ table, and visits are widened until ``TARGET`` of them lie in visited leaves. A
 query goes on until the visited leaves hold enough rows for k answers.
 
 Work: rows of a leaf and the queries that visit it meet in blocks of bounded
-size on both sides (a large leaf is salted), which give k rows per query;
-a window keeps the best k. Of rows with exactly the same vector only the k + 1
+size on both sides (a large leaf is salted). The nearest leaves are searched
+first; the others then give only rows that are no farther than the k-th found
+there. A window keeps the best k. Of rows with exactly the same vector only the k + 1
 smallest ids are candidates: no others can be in any answer, so a hot vector is
 a handful of rows.
 
@@ -47,12 +49,13 @@ from learnlens.llm.common import save
 K = 10
 QUERY_EVERY = 100
 BRANCH = 16
-LEAF_ROWS = 100
+LEAF_ROWS = 100  # and the square root of the rows, if that is more
+FIRST = 3  # leaves whose answers bound the other leaves'
 MAX_LEAVES = 65_536
 SAMPLE_BYTES = 16 << 20
 SAMPLE_PER_LEAF = 8  # sampled rows that a leaf is fitted on at least
 CALIBRATION = 200
-TARGET = 0.97
+TARGET = 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
 
 
@@ -199,7 +202,7 @@ def fit(rows: DataFrame, n: int, dim: int, sample_bytes: int = SAMPLE_BYTES, lea
     some = some.sort_values("vec_id")
     x = _matrix(some["v"])
     tree = Tree()
-    wanted = min(MAX_LEAVES, max(1, n // leaf_rows))
+    wanted = min(MAX_LEAVES, max(1, n // max(leaf_rows, math.isqrt(n))))
     tree.grow(x, max(SAMPLE_PER_LEAF, len(x) // wanted)) if len(x) else None
     if tree.leaves * 2 > wanted or not tree.centers:
         return tree
@@ -301,34 +304,56 @@ def search(embeddings: DataFrame, every: int = QUERY_EVERY, k: int = K, target:
             for vec_id, v in zip(b["vec_id"], b["v"]):
                 seen = rows_seen = 0
                 for leaf in tree.value.visit(np.frombuffer(v, np.float64)):
+                    # The first leaves, until they hold k rows, give a bound for the others.
+                    first = seen < FIRST or rows_seen <= k
                     seen += 1
                     if leaf in held.value:
                         rows_seen += held.value[leaf]
-                        out.append((vec_id, v, leaf))
+                        out.append((vec_id, v, leaf, first))
                     if seen >= visits and rows_seen > k:
                         break
-            yield pd.DataFrame(out, columns=["vec_id", "v", "leaf"])
+            yield pd.DataFrame(out, columns=["vec_id", "v", "leaf", "first"])
 
     queries = rows.where(F.col("vec_id") % every == 0).repartition("vec_id")
-    asked = save(queries.select("vec_id", "v").mapInPandas(best_bins, "vec_id long, v binary, leaf int"), "visits")
+    asked = queries.select("vec_id", "v").mapInPandas(best_bins, "vec_id long, v binary, leaf int, first boolean")
+    asked = save(asked, "visits")
+    # A query id with several vectors asks once for each of them.
+    order = Window.partitionBy("query_id", "v").orderBy("score", "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = ranked(_meet(placed, asked.where("first").withColumn("bound", F.lit(float("inf"))), counts, k))
+    first = save(first, "first-leaves")
+    bound = first.groupBy(F.col("query_id").alias("vec_id"), "v").agg(
+        F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("bound")
+    )
+    more = _meet(placed, asked.where("not first").join(bound, ["vec_id", "v"]), counts, k)
+    return ranked(first.drop("rank").unionByName(more)).select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(placed: DataFrame, asked: DataFrame, counts: dict[int, int], k: int) -> DataFrame:
+    """(query_id, vec_id, score, v): the k nearest rows, within the query's
+    bound, of every block of every leaf that a query (vec_id, v, leaf, bound) visits."""
+    spark = placed.sparkSession
+    asked = save(asked, "asked")
     # Blocks of bounded size on both sides of a leaf.
-    asks = asked.groupBy("leaf").count().collect()  # one row per leaf
     grid = [
-        (r.leaf, math.ceil(counts[r.leaf] / BLOCK_ROWS), math.ceil(r["count"] / BLOCK_QUERIES)) for r in asks
+        (r.leaf, math.ceil(counts[r.leaf] / BLOCK_ROWS), math.ceil(r["count"] / BLOCK_QUERIES))
+        for r in asked.groupBy("leaf").count().collect()  # one row per leaf
     ]
     grid = F.broadcast(spark.createDataFrame(grid, "leaf int, nr int, nq int"))
     left = placed.join(grid, "leaf").select(
         "leaf", F.expr("pmod(h, nr)").cast("int").alias("rb"), F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), "vec_id", "v"
     )
     right = asked.join(grid, "leaf").select(
-        "leaf", F.explode(F.expr("sequence(0, nr - 1)")).alias("rb"), F.expr("pmod(xxhash64(vec_id, v), nq)").cast("int").alias("qb"), "vec_id", "v"
+        "leaf", F.explode(F.expr("sequence(0, nr - 1)")).alias("rb"), F.expr("pmod(xxhash64(vec_id, v), nq)").cast("int").alias("qb"),
+        "vec_id", "v", "bound",
     )
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(a["v"]), a["vec_id"].to_numpy()
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "v": []}
-        for q_id, v in zip(b["vec_id"], b["v"]) if len(a) else ():
+        for q_id, v, most in zip(b["vec_id"], b["v"], b["bound"]) if len(a) else ():
             at, d = _top(np.frombuffer(v, np.float64), q_id, x, ids, k)
+            at, d = at[d <= most], d[d <= most]
             out["query_id"] += [q_id] * len(at)
             out["vec_id"] += ids[at].tolist()
             out["score"] += d.tolist()
@@ -336,13 +361,6 @@ def search(embeddings: DataFrame, every: int = QUERY_EVERY, k: int = K, target:
         return pd.DataFrame(out)
 
     keys = ["leaf", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         meet, "query_id long, vec_id long, score double, v binary"
     )
-    # A query id with several vectors asks once for each of them.
-    order = Window.partitionBy("query_id", "v").orderBy("score", "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
