@@ -7,6 +7,7 @@ quality report over stored tables and write the results.
     python -m learnlens quality --base ... --out ...
     python -m learnlens payload [--role teacher] --base ... --out ...   (dashboard.json + chart.json)
     python -m learnlens publish --base /data/csv --out hdfs://nn/training --format parquet [--gate]
+    python -m learnlens import --base /data/csv --out jdbc:mysql://host/db --user u --password p [--gate]
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so cluster
 settings are whatever ``spark-submit`` or the environment provides.
@@ -15,6 +16,7 @@ settings are whatever ``spark-submit`` or the environment provides.
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -22,9 +24,10 @@ from pyspark.sql import SparkSession
 from learnlens.operators.quality import quality_report
 from learnlens.params import DEFAULTS
 from learnlens.plans.gate import quality_gate
-from learnlens.plans.payload import chart_payload, dashboard_payload, write_document
+from learnlens.plans.payload import chart_payload, write_document, write_payload
 from learnlens.plans.dashboard import (
     ACCOUNT,
+    MATERIALIZE,
     build_dashboard,
     filtered_view,
     run_concurrently,
@@ -32,14 +35,15 @@ from learnlens.plans.dashboard import (
     skill_scores,
     write_dashboard,
 )
-from learnlens.sources.readers import load_tables, table_uri
-from learnlens.sources.writers import publish_files
+from learnlens.schemas import SQL_TABLES
+from learnlens.sources.readers import jdbc_predicates, load_tables, table_uri
+from learnlens.sources.writers import jdbc_full_refresh, publish_files
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="learnlens")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("dashboard", "view", "scope", "quality", "payload", "publish"):
+    for name in ("dashboard", "view", "scope", "quality", "payload", "publish", "import"):
         s = sub.add_parser(name)
         s.add_argument("--source", default="csv", help="csv | hdfs | parquet | jdbc (any other value: csv)")
         s.add_argument("--base", help="base path or URI of the tables (file sources)")
@@ -49,9 +53,11 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--out", required=True, help="output base path or URI")
         s.add_argument("--format", default="json", help="output format of each result (json, parquet, csv)")
         s.add_argument(
-            "--materialize", default="auto", choices=["auto", "persist", "checkpoint", "table", "none"],
-            help="auto: persist in local mode, a table in the shared folder on a cluster",
+            "--materialize", default="table", choices=list(MATERIALIZE), help="how the wide table and the small results are kept"
         )
+        s.add_argument("--jdbc-partitions", type=int, default=16, help="parallel queries for events and scores (jdbc source)")
+        s.add_argument("--jdbc-from", type=dt.date.fromisoformat, default=dt.date(2020, 1, 1), help="first day of the events' split")
+        s.add_argument("--jdbc-to", type=dt.date.fromisoformat, default=dt.date(2030, 1, 1), help="last day of the events' split")
         s.add_argument("--risk-limit", type=int, default=DEFAULTS.risk_table_limit, help="risk list cap; 0 = no cap")
         s.add_argument("--approx-rsd", type=float, help="use HyperLogLog++ distinct counts with this error")
         s.add_argument("--gate", action="store_true", help="stop if keys, references or NOT NULL are violated")
@@ -72,11 +78,20 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"learnlens-{args.command}").getOrCreate()
     props = {k: v for k, v in (("user", args.user), ("password", args.password)) if v}
-    tables = load_tables(spark, args.source, base=args.base, url=args.url, properties=props or None)
+    split = {n: jdbc_predicates(n, args.jdbc_partitions, args.jdbc_from, args.jdbc_to) for n in ("events", "scores")}
+    tables = load_tables(
+        spark, args.source, base=args.base, url=args.url, properties=props or None,
+        jdbc_partitions={n: {"predicates": p} for n, p in split.items() if p},
+        # Checks see malformed cells as they are in the files.
+        as_text=args.command == "quality",
+    )
     if args.command == "quality":
         return write_dashboard({"quality_report": quality_report(tables)}, args.out, args.format)
     if args.gate:
         quality_gate(tables).unpersist()
+    if args.command == "import":
+        order = jdbc_full_refresh(tables.as_dict(), args.out, props)
+        return {name: f"{args.out} {SQL_TABLES[name]}" for name in order}
     if args.command == "publish":
         # --format csv keeps the original's file names (students.csv, ...);
         # other formats write <name>.<format> directories.
@@ -91,9 +106,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         if args.command == "payload":
             tags = ACCOUNT if args.tags is None else args.tags
             org = ACCOUNT if args.organization is None else args.organization
-            doc = dashboard_payload(dash, args.role, tags, org)
             return {
-                "dashboard": write_document(spark, doc, f"{args.out.rstrip('/')}/dashboard"),
+                "dashboard": write_payload(dash, args.out, args.role, tags, org),
                 "chart": write_document(spark, chart_payload(dash), f"{args.out.rstrip('/')}/chart"),
             }
         if args.command == "dashboard":
@@ -106,7 +120,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
             results = scoped(dash, args.role, tags, org, scope_first=args.scope_first)
         return write_dashboard(results, args.out, args.format)
     finally:
-        dash.unpersist()
+        dash.close()
 
 
 def run(argv: list[str] | None = None) -> int:

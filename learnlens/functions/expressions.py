@@ -73,9 +73,22 @@ def week_start(date: str | Column = "event_date") -> Column:
     return F.trunc(F.to_date(col(date)), "week")
 
 
+def week_key(date: str | Column = "event_date") -> Column:
+    """month * 100 + day of the week's Monday: sorts like the label and hashes
+    cheaper than text."""
+    monday = week_start(date)
+    return F.month(monday) * 100 + F.dayofmonth(monday)
+
+
+def key_label(key: str | Column) -> Column:
+    """'MM-dd' of a week key; null stays null."""
+    k = col(key)
+    return F.when(k.isNotNull(), F.format_string("%02d-%02d", F.floor(k / 100), k % 100))
+
+
 def week_label(date: str | Column = "event_date") -> Column:
     """'MM-dd' of the week's Monday (no year, as in the reference)."""
-    return F.date_format(week_start(date), "MM-dd")
+    return key_label(week_key(date))
 
 
 def ordinal_position(value: str | Column, order: Sequence[str]) -> Column:
@@ -108,24 +121,52 @@ def equals_or_in(c: str, expected) -> Column | None:
     return F.col(c) == F.lit(expected)
 
 
-def decimal_round(x: str | Column, decimals: int) -> Column:
-    """Half-up rounding on the shortest decimal text of the value."""
-    return F.round(col(x), decimals)
+# x * 10**places as a sum of terms that are exact (powers of two, or a power of
+# two times x): 10 = 8 + 2, 100 = 64 + 32 + 4.
+_EXACT_TERMS = {1: (8.0, 2.0), 2: (64.0, 32.0, 4.0)}
+
+
+def _two_sum(a: Column, b: Column) -> tuple[Column, Column]:
+    """The double nearest to a + b, and the exact rest."""
+    s = a + b
+    bb = s - a
+    return s, (a - (s - bb)) + (b - bb)
+
+
+def fixed_units(x: str | Column, places: int) -> Column:
+    """x >= 0 in units of 10**-places, rounded on the exact binary value, as the
+    reference's display does: the nearest integer, a true tie up. 37.15 is a
+    little less than its text says, so one place gives 371."""
+    x = col(x).cast("double")
+    first, *more = _EXACT_TERMS[places]
+    total, rest = x * first, F.lit(0.0)
+    for t in more:
+        total, e = _two_sum(total, x * t)
+        rest = rest + e
+    # The rest may reach over half a unit in the last place: once more.
+    total, rest = _two_sum(total, rest)
+    whole = F.floor(total)
+    part = total - whole
+    up = (part > 0.5) | ((part == 0.5) & (rest >= 0))
+    return whole + F.when(up, 1).otherwise(0)
 
 
-def fixed_text(x: str | Column, decimals: int) -> Column:
-    """Number with exactly ``decimals`` places, rounded half-up first; null
-    counts as 0 (``format_string`` would print a cut "null")."""
-    return F.format_string(f"%.{decimals}f", decimal_round(F.coalesce(col(x).cast("double"), F.lit(0.0)), decimals))
+def fixed_text(x: str | Column, places: int) -> Column:
+    """Number with exactly ``places`` (1 or 2) decimals; null counts as 0."""
+    value = F.coalesce(col(x).cast("double"), F.lit(0.0))
+    units = fixed_units(F.abs(value), places)
+    scale = 10**places
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.format_string(f"%s%d.%0{places}d", sign, F.floor(units / scale).cast("long"), (units % scale).cast("long"))
 
 
 def percent_text(x: str | Column) -> Column:
     """'x.x%'; null counts as 0."""
-    return F.format_string("%.1f%%", decimal_round(F.coalesce(col(x).cast("double"), F.lit(0.0)), 1))
+    return F.concat(fixed_text(x, 1), F.lit("%"))
 
 
 def grouped_number(x: str | Column) -> Column:
-    """Thousands grouped with ',', at most three decimals, no trailing zeros;
-    null counts as 0."""
-    text = F.format_number(F.coalesce(col(x).cast("double"), F.lit(0.0)), 3)
+    """Thousands grouped with ',', at most three decimals (half up), no
+    trailing zeros; null counts as 0."""
+    text = F.format_number(F.round(F.coalesce(col(x).cast("double"), F.lit(0.0)), 3), 3)
     return F.regexp_replace(text, r"\.?0+$", "")

@@ -43,7 +43,7 @@ def scored_features(events: DataFrame, scores: DataFrame, params: Params = DEFAU
     pairs without a score are dropped. Both sides are unique per pair, and
     the join reuses the aggregate's hash partitioning on the pair.
     """
-    return pair_features(events, params).join(scores, PAIR, "right").fillna(FILLED)
+    return null_fill(pair_features(events, params).join(scores, PAIR, "right"))
 
 
 def null_fill(df: DataFrame, values: dict | None = None) -> DataFrame:
@@ -51,16 +51,15 @@ def null_fill(df: DataFrame, values: dict | None = None) -> DataFrame:
 
 
 def join_courses(df: DataFrame, courses: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Inner join to the course catalogue, broadcast after a bounded count."""
-    return df.join(broadcast_if_small(courses, params.broadcast_max_rows), "course_id")
+    """Inner join to the course catalogue, broadcast if its bytes are bounded."""
+    return df.join(broadcast_if_small(courses, params.broadcast_max_bytes), "course_id")
 
 
 def learner_course(tables: Tables, params: Params = DEFAULTS) -> DataFrame:
     """The wide table: one row per scored (learner, course) whose learner and
     course are known, with score level and risk score."""
     wide = join_courses(scored_features(tables.events, tables.scores, params), tables.courses, params)
-    # Learners can be as many as the scores, so no broadcast hint here: a
-    # shuffle join on student_id, whose partitioning the top-1 window reuses.
+    # Learners can be as many as the scores, so no broadcast hint here.
     wide = wide.join(tables.students, "student_id")
     return wide.withColumns(
         {

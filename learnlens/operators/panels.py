@@ -14,8 +14,10 @@ from learnlens.functions.expressions import (
     conditional_count,
     conditional_rate,
     distinct_count,
+    key_label,
     ordinal_position,
     round_columns,
+    week_key,
     week_start,
 )
 from learnlens.params import DEFAULTS, Params
@@ -36,12 +38,16 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def overview(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """One row, also on empty input (counts 0, averages null)."""
+def overview(lc: DataFrame, params: Params = DEFAULTS, courses: bool = True) -> DataFrame:
+    """One row, also on empty input (counts 0, averages null).
+
+    Two distinct counts in one pass make Spark expand every row; without the
+    ``courses`` (see ``with_course_count``) there is one, and no expansion.
+    """
     d = params.decimals
     return lc.agg(
         distinct_count("student_id", params).alias("student_count"),
-        distinct_count("course_id", params).alias("course_count"),
+        *([distinct_count("course_id", params).alias("course_count")] if courses else []),
         F.round(F.avg("final_score"), d).alias("avg_score"),
         F.round(F.avg("avg_progress"), d).alias("avg_progress"),
         F.round(F.sum("study_minutes") / 60, d).alias("total_study_hours"),
@@ -50,6 +56,16 @@ def overview(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
+def with_course_count(learners: DataFrame, ce: DataFrame) -> DataFrame:
+    """The overview from its learner part and the stored course panel: two
+    single rows, put together by an aggregate."""
+    counted = ce.agg(F.count_distinct("course_id").alias("course_count"))
+    rows = learners.unionByName(counted, allowMissingColumns=True)
+    order = [c for c in learners.columns]
+    order.insert(1, "course_count")
+    return rows.agg(*[F.max(c).alias(c) for c in order])
+
+
 def course_effect(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     agg = lc.groupBy("course_id", "course_name", "category", "tag").agg(
         distinct_count("student_id", params).alias("learners"),
@@ -121,11 +137,8 @@ def weekly_activity(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     like the label and hashes cheaper than text; the label is formatted
     after the aggregation, on one row per week.
     """
-    ws = week_start("event_date")
-    out = _weekly(events, (F.month(ws) * 100 + F.dayofmonth(ws)).alias("week_key"), params)
-    key = F.col("week_key")
-    label = F.when(key.isNotNull(), F.format_string("%02d-%02d", F.floor(key / 100), key % 100))
-    return out.select(label.alias("week"), "study_hours", "active_students", "events")
+    out = _weekly(events, week_key("event_date").alias("week_key"), params)
+    return out.select(key_label("week_key").alias("week"), "study_hours", "active_students", "events")
 
 
 def weekly_activity_by_date(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -143,28 +156,27 @@ def top_risk_per_learner(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Each learner's riskiest course (raw score; course_id breaks ties),
     with the output columns rounded. ``row_number() == 1`` is planned as a
     window group limit, which keeps one row per learner before the sort."""
-    d = params.decimals
     w = Window.partitionBy("student_id").orderBy(F.desc("risk_score"), F.asc("course_id"))
     top = lc.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
-    return top.select(
-        "student_id",
-        "student_name",
-        "organization",
-        "course_name",
-        "tag",
-        F.round("final_score", d).alias("final_score"),
-        F.round("avg_progress", d).alias("avg_progress"),
-        F.round("study_minutes", d).alias("study_minutes"),
-        F.round("risk_score", d).alias("risk_score"),
-    )
+    return risk_rows(top, params, "student_id")
 
 
-def risk_list(lc: DataFrame, params: Params = DEFAULTS, limit: int | None = None) -> DataFrame:
+def risk_rows(lc: DataFrame, params: Params = DEFAULTS, *keys: str) -> DataFrame:
+    """The risk list's columns, numbers rounded, after the given keys."""
+    return round_columns(lc.select(*keys, *RISK_COLUMNS), RISK_COLUMNS[4:], params.decimals)
+
+
+def capped_risks(top: DataFrame, params: Params = DEFAULTS, limit: int | None = None) -> DataFrame:
     """Top-1 rows sorted by the rounded risk, capped at ``risk_table_limit``
-    (0 or None: no cap). Sort + limit runs as a per-partition top-k."""
+    (0 or None: no cap). Sort + limit runs as a per-partition top-k. The cap is
+    that of the served list; filters and scopes read the rows before it."""
     cap = params.risk_table_limit if limit is None else limit
-    top = top_risk_per_learner(lc, params).orderBy(*ORDER["learner_risk"](params))
-    return top.limit(cap) if cap else top
+    rows = ordered(top, "learner_risk", params)
+    return rows.limit(cap) if cap else rows
+
+
+def risk_list(lc: DataFrame, params: Params = DEFAULTS, limit: int | None = None) -> DataFrame:
+    return capped_risks(top_risk_per_learner(lc, params), params, limit)
 
 
 def weakest_courses(ce: DataFrame, k: int) -> DataFrame:
@@ -173,9 +185,9 @@ def weakest_courses(ce: DataFrame, k: int) -> DataFrame:
 
 
 def skill_scores(ce: DataFrame) -> DataFrame:
-    """Course names and average scores as two parallel arrays, in the course
-    panel's order. One row over the course catalogue, which is a bounded
-    dimension (its size is checked before it is broadcast)."""
+    """Course names and average scores as two parallel arrays in one row, in
+    the course panel's order: the form of the original chart document. The row
+    grows with the catalogue; ``skill_score_rows`` has the same as rows."""
     items = F.sort_array(F.collect_list(F.struct("avg_score", "course_id", "course_name")))
     return ce.agg(items.alias("items")).select(
         F.transform("items", lambda x: x["course_name"]).alias("categories"),
@@ -183,6 +195,11 @@ def skill_scores(ce: DataFrame) -> DataFrame:
     )
 
 
+def skill_score_rows(ce: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """(course_name, avg_score) as ordered rows, for catalogues of any size."""
+    return ordered(ce, "course_effect", params).select("course_name", "avg_score")
+
+
 def level_order(params: Params = DEFAULTS) -> Column:
     return ordinal_position(F.col("score_level"), params.level_names)
 

@@ -24,13 +24,6 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
-def null_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Nulls per column in one pass: (table, column, nulls)."""
-    cols = list(columns or df.columns)
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "nulls").select(F.lit(table).alias("table"), "column", "nulls")
-
-
 def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Non-null child key values missing from the parent, with row counts.
 
@@ -44,7 +37,8 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column:
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child rows whose key is missing from the parent."""
-    return child.join(orphan_keys(child, column, parent, parent_column).select(column), column, "left_semi")
+    missing = orphan_keys(child, column, parent, parent_column).select(column)
+    return child.join(missing, column, "left_semi")
 
 
 def _type_violation(c: Column, dtype: T.DataType, declared: tuple) -> dict[str, Column]:
@@ -104,6 +98,15 @@ def _row_report(df: DataFrame, table: str, checks: list[tuple[str, str, Column]]
     return wide.select(stack.alias("r")).select(F.lit(table).alias("table"), "r.rule", "r.columns", "r.violations")
 
 
+def _null_checks(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, Column]]:
+    return [("not_null", c, F.col(c).isNull()) for c in columns if c in df.columns]
+
+
+def null_violations(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Nulls per column in one pass: (table, rule, columns, violations)."""
+    return _row_report(df, table, _null_checks(df, columns or df.columns))
+
+
 def type_violations(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
     """Violations of the declared types and lengths, one pass over the table:
     (table, rule, columns, violations)."""
@@ -114,8 +117,7 @@ def type_violations(df: DataFrame, table: str, declared: dict[str, tuple] | None
 def row_checks(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
     """NOT NULL and declared-type checks of one table together, in one scan."""
     declared = DECLARED[table] if declared is None else declared
-    nulls = [("not_null", c, F.col(c).isNull()) for c in declared if c in df.columns]
-    return _row_report(df, table, nulls + _type_checks(df, declared))
+    return _row_report(df, table, _null_checks(df, list(declared)) + _type_checks(df, declared))
 
 
 def _empty_report(df: DataFrame) -> DataFrame:
@@ -124,23 +126,66 @@ def _empty_report(df: DataFrame) -> DataFrame:
     )
 
 
+def _key_text(columns: Sequence[str]) -> Column:
+    """Key values as one text, nulls told apart from texts."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def key_report(
+    tables: dict[str, DataFrame],
+    primary: dict[str, Sequence[str]] | None = None,
+    references: Sequence[tuple[str, str, str, str]] = (),
+) -> DataFrame:
+    """Primary keys and references together: (table, rule, columns, violations).
+
+    Each table is scanned once for all its own keys: a row becomes one (rule, key)
+    pair per rule, pairs are counted (combined map-side, so a hot key is one row
+    per task), and one outer join with the parents' keys finds what is missing.
+    Violations are key values that repeat, and rows whose key has no parent.
+    """
+    primary = primary or {}
+    rules: list[tuple[str, str, str]] = []
+    child: dict[str, list[Column]] = {}
+    parent: dict[str, list[Column]] = {}
+
+    def add(side: dict[str, list[Column]], table: str, key: Column) -> None:
+        side.setdefault(table, []).append(F.struct(F.lit(len(rules)).alias("rule"), key.alias("key")))
+
+    for table, keys in primary.items():
+        if all(k in tables[table].columns for k in keys):
+            add(child, table, _key_text(keys))
+            rules.append((table, "primary_key", ",".join(keys)))
+    for table, column, up, up_column in references:
+        if column in tables[table].columns and up_column in tables[up].columns:
+            add(child, table, F.col(column).cast("string"))
+            add(parent, up, F.col(up_column).cast("string"))
+            rules.append((table, "foreign_key", f"{column}->{up}.{up_column}"))
+    pairs = lambda side: _union([tables[t].select(F.inline(F.array(*ks))) for t, ks in side.items()])
+    counts = pairs(child).groupBy("rule", "key").agg(F.count("*").alias("n"))
+    if parent:
+        known = pairs(parent).distinct().select(F.col("rule").alias("r"), F.col("key").alias("k"), F.lit(True).alias("known"))
+        counts = counts.join(known, (F.col("rule") == F.col("r")) & (F.col("key") == F.col("k")), "left")
+    else:
+        counts = counts.withColumn("known", F.lit(None).cast("boolean"))
+    is_rule = lambda i: F.col("rule") == i
+    found = [
+        F.count_if(is_rule(i) & (F.col("n") > 1)).alias(f"c{i}")
+        if kind == "primary_key"
+        else F.coalesce(F.sum(F.when(is_rule(i) & F.col("known").isNull() & F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias(f"c{i}")
+        for i, (_, kind, _) in enumerate(rules)
+    ]
+    rows = [
+        F.struct(F.lit(t).alias("table"), F.lit(r).alias("rule"), F.lit(c).alias("columns"), F.col(f"c{i}").alias("violations"))
+        for i, (t, r, c) in enumerate(rules)
+    ]
+    return counts.agg(*found).select(F.inline(F.array(*rows)))
+
+
 def foreign_key_report(tables: Tables) -> DataFrame:
     """Orphan rows per declared reference whose columns exist."""
-    parts = []
-    for child, column, parent, parent_column in FOREIGN_KEYS:
-        c, p = tables[child], tables[parent]
-        if column in c.columns and parent_column in p.columns:
-            parts.append(
-                orphan_keys(c, column, p, parent_column)
-                .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("violations"))
-                .select(
-                    F.lit(child).alias("table"),
-                    F.lit("foreign_key").alias("rule"),
-                    F.lit(f"{column}->{parent}.{parent_column}").alias("columns"),
-                    "violations",
-                )
-            )
-    return _union(parts)
+    return key_report(tables.as_dict(), references=FOREIGN_KEYS)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -151,19 +196,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def quality_report(tables: Tables) -> DataFrame:
-    """All checks on the tables that have the columns they need."""
-    parts: list[DataFrame] = []
-    for name, df in tables.as_dict().items():
-        keys = PRIMARY_KEYS[name]
-        if all(k in df.columns for k in keys):
-            parts.append(
-                duplicate_keys(df, keys).agg(F.count("*").alias("violations")).select(
-                    F.lit(name).alias("table"),
-                    F.lit("primary_key").alias("rule"),
-                    F.lit(",".join(keys)).alias("columns"),
-                    "violations",
-                )
-            )
-        parts.append(row_checks(df, name))
-    parts.append(foreign_key_report(tables))
-    return _union(parts)
+    """All checks on the tables that have the columns they need: one scan of
+    each table for its keys and one for its rows."""
+    named = tables.as_dict()
+    return _union([key_report(named, PRIMARY_KEYS, FOREIGN_KEYS), *[row_checks(df, name) for name, df in named.items()]])

@@ -82,7 +82,7 @@ def recommendations_filtered(
     when the filtered risk list is non-empty, one fixed row; first n."""
     detail = _fill(
         REC_VIEW_COURSE_DETAIL,
-        score=fixed_text(F.coalesce(F.col("avg_score"), F.lit(0.0)), 1),
+        score=fixed_text("avg_score", 1),
         tag=F.col("tag"),
     )
     weak = _weak_block(courses, params.weak_courses_filtered, REC_VIEW_COURSE_TITLE, detail)

@@ -10,7 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.functions.expressions import equals_or_in, is_wild, keyword_match
+from learnlens.functions.expressions import (
+    equals_or_in,
+    fixed_text,
+    grouped_number,
+    is_wild,
+    keyword_match,
+    percent_text,
+    round_columns,
+)
 from learnlens.operators.panels import with_position
 from learnlens.params import DEFAULTS, Params
 
@@ -54,15 +62,14 @@ def filter_risks(
     return out.where(keyword_match(keyword, "student_name", "organization", "course_name", "tag"))
 
 
-def metric_cards(courses: DataFrame, risks: DataFrame, ov: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Cards of a filtered view, one row.
+def _card_values(courses: DataFrame, risks: DataFrame, ov: DataFrame) -> DataFrame:
+    """The cards' numbers before any rounding, one row.
 
     Course cards are unweighted means of the per-course values (null counts
     as 0, no rows gives 0); learner and hour cards come from the unfiltered
     overview. The three inputs are tagged and unioned into one global
     aggregate, so no join is needed.
     """
-    d = params.decimals
     tagged = (
         courses.select(F.lit("c").alias("src"), "avg_score", "avg_progress", "pass_rate")
         .unionByName(risks.select(F.lit("r").alias("src")), allowMissingColumns=True)
@@ -71,19 +78,39 @@ def metric_cards(courses: DataFrame, risks: DataFrame, ov: DataFrame, params: Pa
     is_course = F.col("src") == "c"
 
     def course_mean(c: str) -> Column:
-        return F.round(F.coalesce(F.avg(F.when(is_course, F.coalesce(F.col(c), F.lit(0.0)))), F.lit(0.0)), d)
+        return F.coalesce(F.avg(F.when(is_course, F.coalesce(F.col(c), F.lit(0.0)))), F.lit(0.0)).alias(c)
 
     return tagged.agg(
         F.max(F.when(F.col("src") == "o", F.col("student_count"))).alias("student_count"),
         F.count_if(is_course).alias("course_count"),
-        course_mean("avg_score").alias("avg_score"),
-        course_mean("avg_progress").alias("avg_progress"),
+        course_mean("avg_score"),
+        course_mean("avg_progress"),
         F.max(F.when(F.col("src") == "o", F.col("total_study_hours"))).alias("total_study_hours"),
-        course_mean("pass_rate").alias("pass_rate"),
+        course_mean("pass_rate"),
         F.count_if(F.col("src") == "r").alias("risk_count"),
     )
 
 
+def metric_cards(courses: DataFrame, risks: DataFrame, ov: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Cards of a filtered view as numbers, one row."""
+    return round_columns(_card_values(courses, risks, ov), ["avg_score", "avg_progress", "pass_rate"], params.decimals)
+
+
+def card_texts(courses: DataFrame, risks: DataFrame, ov: DataFrame) -> DataFrame:
+    """Cards as the page shows them: counts and hours grouped, the score with
+    at most two places, shares with one; from the unrounded means."""
+    values = _card_values(courses, risks, ov)
+    return values.select(
+        grouped_number("student_count").alias("student_text"),
+        grouped_number("course_count").alias("course_text"),
+        grouped_number(fixed_text("avg_score", 2).cast("double")).alias("score_text"),
+        percent_text("avg_progress").alias("progress_text"),
+        grouped_number("total_study_hours").alias("hours_text"),
+        percent_text("pass_rate").alias("pass_rate_text"),
+        grouped_number("risk_count").alias("risk_text"),
+    )
+
+
 def filter_options(ce: DataFrame) -> DataFrame:
     """Distinct categories and tags in order of first appearance in the
     course panel's order: (kind, value, position).

@@ -11,20 +11,24 @@ in Spark, so ``NULLS FIRST`` is written out.
 
 from __future__ import annotations
 
-from learnlens.params import (
-    LEVEL_CUTS,
-    LEVEL_NAMES,
-    REC_COURSE_DETAIL,
-    REC_COURSE_TITLE,
-    REC_FIXED,
-    REC_VIEW_COURSE_DETAIL,
-    REC_VIEW_COURSE_TITLE,
-    REC_VIEW_FIXED,
-    REC_VIEW_RISK_DETAIL,
-    REC_VIEW_RISK_TITLE,
-)
 from learnlens import registry as R
 
+# --- Fixed values, written out here on their own (natural order) -------------
+LEVEL_NAMES = ("优秀", "达标", "待巩固", "高风险")
+LEVEL_CUTS = (85.0, 70.0, 60.0)
+REC_COURSE_TITLE = "加强「{course}」专项训练"
+REC_COURSE_DETAIL = "该课程平均成绩偏低，建议增加{tag}情境案例、短测验和课后复盘任务。"
+REC_FIXED = (
+    ("对高风险学员建立跟踪清单", "优先关注成绩低、学习进度慢、学习时长不足的学员，安排导师一对一补训。"),
+    ("优化课程资源格式组合", "结合资源完成率调整视频、文档、题库和实操清单比例，提高移动端学习效率。"),
+)
+REC_VIEW_COURSE_TITLE = "加强「{course}」专项训练"
+REC_VIEW_COURSE_DETAIL = "该课程均分 {score}，建议增加{tag}案例训练、短测和课后复盘。"
+REC_VIEW_RISK_TITLE = "建立高风险学员跟踪清单"
+REC_VIEW_RISK_DETAIL = "当前视角下有 {count} 名高风险学员，建议按机构、课程和标签分组补训。"
+REC_VIEW_FIXED = ("复盘资源完成率", "结合视频、文档、题库和清单完成率，调整课前预习与课后巩固资源比例。")
+# -----------------------------------------------------------------------------
+
 
 def rnd(x: str, d: int = 2) -> str:
     return f"CAST(ROUND(CAST(({x}) AS DECIMAL(38,10)), {d}) AS DOUBLE)"
@@ -152,12 +156,21 @@ RISK_ORDER = "risk_score DESC NULLS LAST, student_id ASC NULLS FIRST"
 LEVEL_POS = "coalesce(list_position([" + ", ".join(q(n) for n in LEVEL_NAMES) + "], score_level), 0)"
 
 
+def fixed(x: str, places: int) -> str:
+    """The exact binary value rounded by printf, but a true tie (only a value that
+    is a whole number of 1/8 or coarser can be one) goes up, not to even."""
+    v = f"coalesce(CAST({x} AS DOUBLE), 0.0)"
+    scale = 10**places
+    tie = f"({v} * 8 = floor({v} * 8) AND {v} * {scale} - floor({v} * {scale}) = 0.5)"
+    return f"CASE WHEN {tie} THEN printf('%.{places}f', (floor({v} * {scale}) + 1) / {scale}) ELSE printf('%.{places}f', {v}) END"
+
+
 def pct(x: str) -> str:
-    return f"printf('%.1f%%', {rnd(f'coalesce(CAST({x} AS DOUBLE), 0.0)', 1)})"
+    return f"({fixed(x, 1)} || '%')"
 
 
 def grouped(x: str) -> str:
-    return f"regexp_replace(format('{{:,.3f}}', coalesce(CAST({x} AS DOUBLE), 0.0)), '\\.?0+$', '')"
+    return f"regexp_replace(format('{{:,.3f}}', {rnd(f'coalesce(CAST({x} AS DOUBLE), 0.0)', 3)}), '\\.?0+$', '')"
 
 
 def keyword(kw: str) -> str:
@@ -188,17 +201,57 @@ def _declared_cols(table: str) -> list[str]:
     return [c for c in DECLARED[table] if c in TR_TYPES[table]]
 
 
+FEATURES = (
+    "student_id", "course_id", "study_minutes", "completed_resources", "accessed_resources", "avg_progress",
+    "last_event_date", "final_score",
+)
+
+
 def not_null_sql() -> str:
     parts = []
-    for table in TR_TYPES:
-        for c in _declared_cols(table):
+    sources = [(t, f"tr_{t}", list(cols)) for t, cols in TR_TYPES.items()] + [("features", "filled", list(FEATURES))]
+    for table, source, cols in sources:
+        for c in cols:
+            parts.append(
+                f"SELECT {q(table)} AS \"table\", 'not_null' AS rule, {q(c)} AS columns, "
+                f"count(*) FILTER (WHERE {c} IS NULL) AS violations FROM {source}"
+            )
+    return "\nUNION ALL\n".join(parts)
+
+
+def totals_sql() -> str:
+    parts = []
+    for t, cols in TR_TYPES.items():
+        for c, kind in cols.items():
+            value = {"text": f"length({c})", "date": f"({c} - DATE '2000-01-01')"}.get(kind, c)
             parts.append(
-                f"SELECT {q(table)} AS \"table\", {q(c)} AS \"column\", "
-                f"count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM tr_{table}"
+                f"SELECT {q(t)} AS \"table\", {q(c)} AS \"column\", count(*) AS rows, count({c}) AS filled, "
+                f"{rnd(f'sum(CAST({value} AS DOUBLE))')} AS total FROM tr_{t}"
             )
     return "\nUNION ALL\n".join(parts)
 
 
+DOCUMENT_RULES = (
+    ("documents", "int", "doc_id", "doc_id < -2147483648 OR doc_id > 2147483647"),
+    ("documents", "varchar", "text", "length(text) > 1000"),
+    ("documents", "varchar", "lang", "length(lang) > 1"),
+    ("documents", "date", "source", "source IS NOT NULL AND TRY_CAST(source AS DATE) IS NULL"),
+    ("documents", "tinyint", "n_chars", "n_chars < -128 OR n_chars > 127"),
+    ("cells", "tinyint", "doc_id", "doc_id < -128 OR doc_id > 127"),
+    ("cells", "int", "lang", "lang IS NOT NULL AND TRY_CAST(lang AS BIGINT) IS NULL"),
+    ("cells", "date", "source", "source IS NOT NULL AND TRY_CAST(source AS DATE) IS NULL"),
+    ("cells", "decimal", "n_chars", "abs(n_chars) > 999"),
+    ("cells", "decimal_scale", "n_chars", "false"),
+)
+
+
+def document_types_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {q(t)} AS \"table\", {q(rule)} AS rule, {q(c)} AS columns, count(*) FILTER (WHERE {pred}) AS violations FROM documents"
+        for t, rule, c, pred in DOCUMENT_RULES
+    )
+
+
 def _type_rules(table: str) -> list[tuple[str, str, str]]:
     from learnlens.schemas import DECLARED
 
@@ -245,6 +298,21 @@ FKS = [
 ]
 
 
+MORE_FKS = [
+    ("documents", "doc_id", "labels", "doc_id"),
+    ("pages", "page_id", "labels", "doc_id"),
+    ("labels", "doc_id", "pages", "page_id"),
+]
+
+
+def more_fk_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {q(child)} AS \"table\", 'foreign_key' AS rule, {q(f'{c}->{parent}.{pc}')} AS columns, count(*) AS violations "
+        f"FROM {child} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pc} = x.{c})"
+        for child, c, parent, pc in MORE_FKS
+    )
+
+
 def fk_sql() -> str:
     parts = []
     for child, c, parent, pc in FKS:
@@ -303,9 +371,9 @@ def recommendations_filtered_sql(risk: float | None = None) -> str:
     v = R.REC_VIEW
     courses = f"SELECT * FROM ce WHERE category = {q(v['category'])}"
     threshold = float(v["risk"] if risk is None else risk)
-    risks = f"SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= {threshold}"
+    risks = f"SELECT * FROM top1 WHERE coalesce(risk_score, 0.0) >= {threshold}"
     weak = f"SELECT * FROM ({courses}) ORDER BY {CE_ORDER} LIMIT 2"
-    score = f"printf('%.1f', {rnd('coalesce(avg_score, 0.0)', 1)})"
+    score = fixed("avg_score", 1)
     risk_sql = (
         f"UNION ALL SELECT 1 AS block, 1 AS rnk, {q(REC_VIEW_RISK_TITLE)} AS title, "
         f"{tmpl(REC_VIEW_RISK_DETAIL, count='n')} AS detail "
@@ -328,7 +396,7 @@ def upsert_sql() -> str:
 tgt AS (
   SELECT o_custkey AS student_id, CAST(o_orderkey % 25 AS INTEGER) AS course_id,
          max(o_totalprice) / 5000 AS final_score
-  FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2),
+  FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2),
 inc AS (
   SELECT student_id, course_id, final_score FROM (
     SELECT o_custkey AS student_id, CAST(o_orderkey % 25 AS INTEGER) AS course_id,
@@ -342,7 +410,7 @@ UNION ALL SELECT * FROM inc"""
 
 
 def scope_first_sql(pred: str) -> str:
-    """Rank and cap within the scoped wide table."""
+    """Rank within the scoped wide table."""
     return w(
         f"""
 SELECT {RISK_COLS} FROM (
@@ -352,16 +420,15 @@ SELECT {RISK_COLS} FROM (
   FROM (SELECT *, row_number() OVER (PARTITION BY student_id
                   ORDER BY risk_score DESC NULLS LAST, course_id ASC NULLS FIRST) AS rn
         FROM lc WHERE {pred})
-  WHERE rn = 1
-  ORDER BY {RISK_ORDER} LIMIT 120)"""
+  WHERE rn = 1)"""
     )
 
 
 def sql() -> dict[str, str]:
     metric_courses = f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)}"
-    metric_risks = "SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= 38.0"
+    metric_risks = "SELECT * FROM top1 WHERE coalesce(risk_score, 0.0) >= 38.0"
     none_courses = f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)} AND tag = {q(R.CHOSEN_TAG)}"
-    none_risks = f"SELECT * FROM risk120 WHERE coalesce(risk_score, 0.0) >= 38.0 AND tag = {q(R.CHOSEN_TAG)}"
+    none_risks = f"SELECT * FROM top1 WHERE coalesce(risk_score, 0.0) >= 38.0 AND tag = {q(R.CHOSEN_TAG)}"
     cm = lambda c: rnd(f"coalesce(avg(coalesce({c}, 0.0)), 0.0)")
     return {
         # sources and sinks
@@ -372,11 +439,7 @@ def sql() -> dict[str, str]:
             "SELECT student_id, course_id, study_minutes, completed_resources, accessed_resources, avg_progress,"
             " strftime(last_event_date, '%Y-%m-%d') AS last_event_date, final_score FROM filled"
         ),
-        "load_tables": w(
-            " UNION ALL ".join(
-                f"SELECT {q(t)} AS \"table\", count(*) AS rows FROM tr_{t}" for t in TR_TYPES
-            )
-        ),
+        "load_tables": w(totals_sql()),
         "upsert_by_key": upsert_sql(),
         "rows_to_json": w(
             "SELECT CAST(to_json(struct_pack(course_id := course_id, course_name := course_name, category := category,"
@@ -386,13 +449,13 @@ def sql() -> dict[str, str]:
         # data quality
         "dq_primary_key": w("SELECT event_id, count(*) AS count FROM tr_events GROUP BY event_id HAVING count(*) > 1"),
         "dq_not_null": w(not_null_sql()),
-        "dq_foreign_key": w(fk_sql()),
-        "dq_types": w(types_sql()),
+        "dq_foreign_key": w(fk_sql() + "\nUNION ALL\n" + more_fk_sql()),
+        "dq_types": w(types_sql() + "\nUNION ALL\n" + document_types_sql()),
         "dq_report": w(report_sql()),
         # features, wide table, expressions
         "pair_features": w("SELECT * FROM feats"),
         "right_join_features": w("SELECT * FROM filled"),
-        "null_fill": w("SELECT * FROM filled WHERE last_event_date IS NULL"),
+        "null_fill": w("SELECT * FROM filled"),
         "inner_join_courses": w(
             "SELECT s.course_id, s.student_id, s.final_score, c.course_name, c.category, c.tag"
             " FROM tr_scores s JOIN tr_courses c ON s.course_id = c.course_id"
@@ -415,7 +478,7 @@ def sql() -> dict[str, str]:
         ),
         "display_formats": w(
             f"SELECT course_id, {grouped('learners')} AS learners_text, {grouped('study_minutes')} AS minutes_text,"
-            f" printf('%.2f', {rnd('coalesce(avg_score, 0.0)')}) AS score_text, {pct('avg_progress')} AS progress_text,"
+            f" {fixed('avg_score', 2)} AS score_text, {pct('avg_progress')} AS progress_text,"
             f" {pct('pass_rate')} AS pass_rate_text FROM ce"
         ),
         # panels
@@ -475,7 +538,7 @@ def sql() -> dict[str, str]:
         "filter_tags": w(f"SELECT * FROM tw WHERE tag IN (SELECT tag FROM ce WHERE category = {q(R.VIEW_CATEGORY)})"),
         "filter_tags_chosen": w(f"SELECT * FROM tw WHERE tag = {q(R.CHOSEN_TAG)}"),
         "filter_risks": w(
-            f"SELECT {RISK_COLS} FROM risk120 WHERE coalesce(risk_score, 0.0) >= {R.VIEW_RISK}"
+            f"SELECT {RISK_COLS} FROM top1 WHERE coalesce(risk_score, 0.0) >= {R.VIEW_RISK}"
             f" AND {keyword(R.VIEW_KEYWORD)}"
         ),
         "keyword_search": w(f"SELECT * FROM top1 WHERE coalesce(risk_score, 0.0) >= 0.0 AND {keyword(R.LITERAL_KEYWORD)}"),
@@ -497,6 +560,16 @@ def sql() -> dict[str, str]:
             f" (SELECT {cm('pass_rate')} FROM ({none_courses})) AS pass_rate,"
             f" (SELECT count(*) FROM ({none_risks})) AS risk_count"
         ),
+        "card_texts": w(
+            f"SELECT {grouped('(SELECT student_count FROM ov)')} AS student_text,"
+            f" {grouped(f'(SELECT count(*) FROM ({metric_courses}))')} AS course_text,"
+            f" (SELECT {grouped('CAST(' + fixed('s', 2) + ' AS DOUBLE)')} FROM (SELECT avg(coalesce(avg_score, 0.0)) AS s FROM ({metric_courses}))) AS score_text,"
+            f" (SELECT {pct('p')} FROM (SELECT avg(coalesce(avg_progress, 0.0)) AS p FROM ({metric_courses}))) AS progress_text,"
+            f" {grouped('(SELECT total_study_hours FROM ov)')} AS hours_text,"
+            f" (SELECT {pct('p')} FROM (SELECT avg(coalesce(pass_rate, 0.0)) AS p FROM ({metric_courses}))) AS pass_rate_text,"
+            f" {grouped(f'(SELECT count(*) FROM ({metric_risks}))')} AS risk_text"
+        ),
+        "skill_score_rows": w(f"SELECT course_name, avg_score FROM ce ORDER BY {CE_ORDER}"),
         "filter_options": w(
             "SELECT kind, value, CAST(row_number() OVER (PARTITION BY kind ORDER BY first_at) AS INTEGER) AS position FROM ("
             f" SELECT 'category' AS kind, category AS value, min(appear) AS first_at FROM"
@@ -507,8 +580,8 @@ def sql() -> dict[str, str]:
         ),
         "scope_teacher_courses": w(f"SELECT * FROM ce WHERE tag IN ({TEACHER})"),
         "scope_teacher_tags": w(f"SELECT * FROM tw WHERE tag IN ({TEACHER})"),
-        "scope_teacher_risks": w(f"SELECT {RISK_COLS} FROM risk120 WHERE tag IN ({TEACHER})"),
-        "scope_org_risks": w(f"SELECT {RISK_COLS} FROM risk120 WHERE organization = {q(R.ORGANIZATION)}"),
+        "scope_teacher_risks": w(f"SELECT {RISK_COLS} FROM top1 WHERE tag IN ({TEACHER})"),
+        "scope_org_risks": w(f"SELECT {RISK_COLS} FROM top1 WHERE organization = {q(R.ORGANIZATION)}"),
         "scope_first_teacher_risks": scope_first_sql(f"tag IN ({TEACHER})"),
         "scope_first_org_risks": scope_first_sql(f"organization = {q(R.ORGANIZATION)}"),
     }

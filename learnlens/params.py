@@ -15,8 +15,6 @@ LEVEL_NAMES = ("优秀", "达标", "待巩固", "高风险")
 LEVEL_CUTS = (85.0, 70.0, 60.0)
 # Filter wildcard used by the dashboard's select boxes.
 WILDCARD = "全部"
-# Risk thresholds offered by the dashboard's risk filter.
-RISK_FILTER_CHOICES = (0, 30, 38, 45, 55)
 # Role scopes of the two restricted accounts.
 TEACHER_TAGS = ("压疮预防", "跌倒预防", "感染防控")
 MANAGER_ORGANIZATION = "安心护理培训中心"
@@ -33,6 +31,7 @@ REC_VIEW_COURSE_DETAIL = "该课程均分 {score}，建议增加{tag}案例训
 REC_VIEW_RISK_TITLE = "建立高风险学员跟踪清单"
 REC_VIEW_RISK_DETAIL = "当前视角下有 {count} 名高风险学员，建议按机构、课程和标签分组补训。"
 REC_VIEW_FIXED = ("复盘资源完成率", "结合视频、文档、题库和清单完成率，调整课前预习与课后巩固资源比例。")
+# The numbers in ``Params`` below are fixed values too.
 # -----------------------------------------------------------------------------
 
 
@@ -66,9 +65,9 @@ class Params:
     # deviation (e.g. 0.01) switches them to HyperLogLog++ sketches, which
     # aggregate in one map-side pass without shuffling (key, value) pairs.
     approx_distinct_rsd: float | None = None
-    # A dimension is broadcast only after a bounded count proves it has at
-    # most this many rows; larger ones are left to sort-merge join / AQE.
-    broadcast_max_rows: int = 100_000
+    # A dimension is broadcast only if the plan's size statistics (file
+    # lengths, no job) stay below this; others are left to the optimizer.
+    broadcast_max_bytes: int = 8 << 20
 
 
 DEFAULTS = Params()

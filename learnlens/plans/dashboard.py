@@ -1,10 +1,10 @@
 """The dashboard as a set of DataFrames over one shared wide table.
 
-``build_dashboard`` declares the wide table once, materialises it (persist,
-reliable checkpoint, or a written table in the shared folder), and derives
-every panel from it lazily. ``filtered_view`` and ``scoped`` add the
-browser's filters and the role scopes as predicates; ``write_dashboard``
-writes each panel with a parallel writer instead of collecting it.
+``build_dashboard`` materialises the wide table once, and then everything
+that is small and read again: the panels, each learner's riskiest course and
+the overview. Views, scopes and the served documents are predicates on these
+stored results and never go back to the wide table. ``write_dashboard`` writes
+each panel with a parallel writer instead of collecting it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from learnlens.operators import panels as P
 from learnlens.operators.features import PANEL_COLUMNS, learner_course
 from learnlens.operators.recommend import recommendations, recommendations_filtered
 from learnlens.operators.views import (
+    card_texts,
     filter_courses,
     filter_options,
     filter_risks,
@@ -28,14 +29,17 @@ from learnlens.operators.views import (
     scope_teacher,
 )
 from learnlens.params import DEFAULTS, Params
-from learnlens.session import scratch_path
+from learnlens.session import remove_scratch, scratch_path
 from learnlens.tables import Tables
 
-MATERIALIZE = ("persist", "checkpoint", "table", "none", "auto")
+MATERIALIZE = ("table", "checkpoint", "persist", "none")
 
 
 @dataclass
 class Dashboard:
+    """``learner_risk`` has every learner; the cap applies only to the panel
+    of that name, which is what the served list shows."""
+
     tables: Tables
     learner_course: DataFrame
     course_effect: DataFrame
@@ -43,78 +47,77 @@ class Dashboard:
     tag_weakness: DataFrame
     panels: dict[str, DataFrame]
     params: Params = DEFAULTS
-    _persisted: list[DataFrame] = field(default_factory=list)
+    _kept: list[DataFrame | str] = field(default_factory=list)
 
-    def unpersist(self) -> None:
-        for df in self._persisted:
-            df.unpersist()
-        self._persisted.clear()
+    def close(self) -> None:
+        """Free what was kept: cached frames, and tables in the shared folder."""
+        for kept in self._kept:
+            if isinstance(kept, str):
+                remove_scratch(self.learner_course.sparkSession, kept)
+            else:
+                kept.unpersist()
+        self._kept.clear()
 
 
-def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
+def materialize(df: DataFrame, how: str = "table", kept: list | None = None, name: str = "learner_course") -> DataFrame:
     """Make a reused DataFrame cheap to read again.
 
-    ``persist``: memory and disk; lost blocks are recomputed from lineage.
-    ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir``; lineage
-    is cut, so a lost executor costs a re-read, not a recomputation.
-    ``table``: Parquet in the shared folder, read back (same guarantees, and
-    the scan gets column pruning and filter pushdown).
-    ``auto``: ``persist`` in local mode, ``table`` on a cluster.
+    ``table``: Parquet in the shared folder, read back: lineage is cut, so a
+    lost executor costs a re-read, and the scan gets column pruning and filter
+    pushdown. ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir``
+    (same guarantees). ``persist``: memory and disk; lost blocks are recomputed
+    from lineage. ``none``: recomputed by every reader. What must be freed
+    later is added to ``kept``.
     """
-    if how == "auto":
-        how = "persist" if _is_local(df.sparkSession) else "table"
+    kept = [] if kept is None else kept
     if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
     if how == "checkpoint":
         scratch_path(df.sparkSession, "ckpt")  # makes sure the dir is set
         return df.checkpoint(eager=True)
     if how == "table":
-        path = scratch_path(df.sparkSession, "learner_course")
+        path = scratch_path(df.sparkSession, name)
         df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+        kept.append(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     if how == "none":
         return df
     raise ValueError(f"materialize must be one of {MATERIALIZE}")
 
 
-def dashboard_panels(
-    tables: Tables, lc: DataFrame, ce: DataFrame, risk: DataFrame, tw: DataFrame, params: Params = DEFAULTS
-) -> dict[str, DataFrame]:
-    """The eight panels over a (materialised) wide table; fresh plans on each call."""
-    return {
-        "overview": P.overview(lc, params),
+def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "table") -> Dashboard:
+    """Materialise the wide table, then the small results over it, in the same
+    way; independent ones concurrently."""
+    kept: list = []
+    keep = lambda name, df: materialize(df, how, kept, name)
+    ev = {
+        "format_usage": lambda: P.format_usage(tables.events, tables.resources, params),
+        "weekly_activity": lambda: P.weekly_activity(tables.events, params),
+    }
+    wide = {"learner_course": lambda: learner_course(tables, params).select(*PANEL_COLUMNS)}
+    base = run_concurrently({**wide, **ev}, lambda name, make: keep(name, make()), first=EVENT_PANELS)
+    lc = base["learner_course"]
+    small = {
+        "course_effect": lambda: P.course_effect(lc, params),
+        "tag_weakness": lambda: P.tag_weakness(lc, params),
+        "score_distribution": lambda: P.score_distribution(lc, params),
+        "top_risk": lambda: P.top_risk_per_learner(lc, params),
+        "learners": lambda: P.overview(lc, params, courses=False),
+    }
+    base.update(run_concurrently(small, lambda name, make: keep(name, make())))
+    ce, risk, tw = base["course_effect"], base["top_risk"], base["tag_weakness"]
+    panels = {
+        "overview": P.with_course_count(base["learners"], ce),
         "course_effect": P.ordered(ce, "course_effect", params),
         "tag_weakness": P.ordered(tw, "tag_weakness", params),
-        "format_usage": P.ordered(P.format_usage(tables.events, tables.resources, params), "format_usage", params),
-        "weekly_activity": P.ordered(P.weekly_activity(tables.events, params), "weekly_activity", params),
-        "score_distribution": P.ordered(P.score_distribution(lc, params), "score_distribution", params),
-        "learner_risk": P.ordered(risk, "learner_risk", params).select(*P.RISK_COLUMNS),
+        "format_usage": P.ordered(base["format_usage"], "format_usage", params),
+        "weekly_activity": P.ordered(base["weekly_activity"], "weekly_activity", params),
+        "score_distribution": P.ordered(base["score_distribution"], "score_distribution", params),
+        "learner_risk": P.capped_risks(risk, params).select(*P.RISK_COLUMNS),
         "recommendations": recommendations(ce, params),
     }
-
-
-def _is_local(spark) -> bool:
-    try:
-        return spark.sparkContext.master.startswith("local")
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext
-        return False
-
-
-def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "auto") -> Dashboard:
-    """Declare the wide table once, materialise it, derive the panels.
-
-    The course panel, the tag panel and the capped risk list feed several
-    panels, views and scopes; all are small (one row per course or tag; at
-    most the cap), so they are cached too when the wide table is persisted.
-    """
-    lc = materialize(learner_course(tables, params).select(*PANEL_COLUMNS), how)
-    ce, risk, tw = P.course_effect(lc, params), P.risk_list(lc, params), P.tag_weakness(lc, params)
-    persisted = []
-    if how == "persist" or (how == "auto" and _is_local(lc.sparkSession)):
-        ce, risk, tw = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (ce, risk, tw))
-        persisted = [lc, ce, risk, tw]
-    panels = dashboard_panels(tables, lc, ce, risk, tw, params)
-    return Dashboard(tables, lc, ce, risk, tw, panels, params, persisted)
+    return Dashboard(tables, lc, ce, risk, tw, panels, params, kept)
 
 
 # Panels that read only the events: started first, so they run while the
@@ -150,6 +153,7 @@ def filtered_view(dash: Dashboard, category=None, tag=None, risk: float | None =
         "tags": P.ordered(filter_tags(dash.tag_weakness, courses, tag, p), "tag_weakness", p),
         "risks": P.ordered(risks, "learner_risk", p).select(*P.RISK_COLUMNS),
         "cards": metric_cards(courses, risks, dash.panels["overview"], p),
+        "card_texts": card_texts(courses, risks, dash.panels["overview"]),
         "recommendations": recommendations_filtered(courses, risks, p),
         "options": filter_options(dash.course_effect),
     }
@@ -168,35 +172,32 @@ def scoped(
     shows no rows); organization manager: risk rows of the organization
     (``None``: no filter); anyone else: unfiltered. ``ACCOUNT`` (default)
     takes the scope from ``params``. By default the scope applies after
-    top-1 and the cap, as in the reference; ``scope_first`` scopes the wide
-    table before ranking instead.
+    top-1, as in the reference; ``scope_first`` scopes the wide table before
+    ranking instead. A scope's risk rows are not capped.
     """
     p = dash.params
     out = dict(dash.panels)
+
+    def risks(scope, what):
+        rows = P.top_risk_per_learner(scope(dash.learner_course, what), p) if scope_first else scope(dash.learner_risk, what)
+        return P.ordered(rows, "learner_risk", p).select(*P.RISK_COLUMNS)
+
     if role == "teacher":
         tags = p.teacher_tags if allowed_tags is ACCOUNT else (allowed_tags or [])
         out["course_effect"] = scope_teacher(out["course_effect"], tags)
         out["tag_weakness"] = scope_teacher(out["tag_weakness"], tags)
-        if scope_first:
-            lc = scope_teacher(dash.learner_course, tags)
-            out["learner_risk"] = P.risk_list(lc, p).select(*P.RISK_COLUMNS)
-        else:
-            out["learner_risk"] = scope_teacher(out["learner_risk"], tags)
+        out["learner_risk"] = risks(scope_teacher, tags)
     elif role == "organization_manager":
         org = p.manager_organization if organization is ACCOUNT else organization
-        if scope_first:
-            lc = scope_organization(dash.learner_course, org)
-            out["learner_risk"] = P.risk_list(lc, p).select(*P.RISK_COLUMNS)
-        else:
-            out["learner_risk"] = scope_organization(out["learner_risk"], org)
+        out["learner_risk"] = risks(scope_organization, org)
     return out
 
 
 def collect_dashboard(panels: dict[str, DataFrame], parallel: int = 8) -> dict[str, list]:
-    """Rows of every panel, for serving. Every panel is small by
-    construction (one row, or one per course, tag, format, level or week
-    label; the risk list is capped), so collecting them is the delivery step,
-    not a pass of the data through the driver."""
+    """Rows of every panel, for serving small results: one row, or one per
+    course, tag, format, level or week label, and the capped risk list. Results
+    without such a bound (an uncapped risk list, a scope's risks over many
+    learners) belong to ``write_dashboard``."""
     return run_concurrently(panels, lambda name, df: [r.asDict(recursive=True) for r in df.collect()], parallel)
 
 

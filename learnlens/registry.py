@@ -28,7 +28,7 @@ from learnlens.operators import views as V
 from learnlens.operators.features import join_courses, learner_course, null_fill, pair_features, scored_features
 from learnlens.operators.recommend import recommendations, recommendations_filtered
 from learnlens.params import DEFAULTS
-from learnlens.schemas import DECLARED
+from learnlens.schemas import FOREIGN_KEYS
 from learnlens.session import scratch_path
 from learnlens.sources import readers, writers
 from learnlens.sources import testdata as TD
@@ -64,10 +64,6 @@ def top(spark: SparkSession, sf: str) -> DataFrame:
     return P.top_risk_per_learner(lc(spark, sf))
 
 
-def capped_risks(spark: SparkSession, sf: str) -> DataFrame:
-    return P.risk_list(lc(spark, sf))
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -75,22 +71,20 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _file_uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
 # --- sources and sinks -------------------------------------------------------
 
 
 def q_csv_scan(spark, sf):
+    """The files' columns are in another order than the schema's, and one more."""
     scores = TD.scores(spark, sf)
-    path = writers.publish_files(scores, scratch_path(spark, "scores_csv"))
+    published = scores.select("final_score", F.lit("x").alias("note"), *[c for c in scores.columns if c != "final_score"][::-1])
+    path = writers.publish_files(published, scratch_path(spark, "scores_csv"))
     return readers.read_csv(spark, path, scores.schema)
 
 
 def q_fs_uri_scan(spark, sf):
     students = TD.students(spark, sf)
-    base = _file_uri(scratch_path(spark, "fs"))
+    base = scratch_path(spark, "fs")
     writers.publish_files(students, readers.table_uri(base, "students"))
     return readers.read_csv(spark, readers.table_uri(base, "students"), students.schema)
 
@@ -113,15 +107,28 @@ def q_load_tables(spark, sf):
     for name, df in tables(spark, sf).as_dict().items():
         df.write.mode("overwrite").parquet(f"{base}/{name}.parquet")
     loaded = readers.load_tables(spark, "PARQUET", base)
-    return union_all(
-        [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in loaded.as_dict().items()]
-    )
+    return union_all([column_totals(df, n) for n, df in loaded.as_dict().items()])
+
+
+def column_totals(df: DataFrame, name: str) -> DataFrame:
+    """(table, column, rows, filled, total): per column the non-null cells and the
+    sum of the numbers, of the days since 2000 or of the texts' lengths."""
+    kinds = dict(df.dtypes)
+
+    def number(c: str):
+        if kinds[c] == "string":
+            return F.length(c)
+        return F.date_diff(F.col(c), F.lit("2000-01-01").cast("date")) if kinds[c] == "date" else F.col(c)
+
+    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.round(F.sum(number(c).cast("double")), 2).alias("total")) for c in df.columns]
+    wide = df.agg(F.count("*").alias("rows"), F.array(*aggs).alias("a"))
+    return wide.select(F.lit(name).alias("table"), "rows", F.inline("a"))
 
 
 def q_upsert_by_key(spark, sf):
     orders = TD.read_raw(spark, sf, "orders")
     key = [F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % TD.SCORE_COURSES).cast("int").alias("course_id")]
-    target = orders.where(F.col("o_orderstatus") == "O").groupBy(*key).agg(
+    target = orders.where(F.col("o_orderstatus") != "F").groupBy(*key).agg(
         (F.max("o_totalprice") / 5000).alias("final_score")
     )
     incoming = orders.where(F.col("o_orderstatus") == "F").select(
@@ -144,17 +151,38 @@ def q_dq_primary_key(spark, sf):
 
 
 def q_dq_not_null(spark, sf):
-    return union_all(
-        [Q.null_counts(df, name, [c for c in DECLARED[name] if c in df.columns]) for name, df in tables(spark, sf).as_dict().items()]
-    )
+    t = tables(spark, sf)
+    named = {**t.as_dict(), "features": scored_features(t.events, t.scores)}
+    return union_all([Q.null_violations(df, name) for name, df in named.items()])
+
+
+# Parents that know only a part of the children's keys.
+MORE_REFERENCES = (
+    ("documents", "doc_id", "labels", "doc_id"),
+    ("pages", "page_id", "labels", "doc_id"),
+    ("labels", "doc_id", "pages", "page_id"),
+)
 
 
 def q_dq_foreign_key(spark, sf):
-    return Q.foreign_key_report(tables(spark, sf))
+    named = {**tables(spark, sf).as_dict(), **{n: TD.read_raw(spark, sf, n) for n in ("documents", "pages", "labels")}}
+    return Q.key_report(named, references=(*FOREIGN_KEYS, *MORE_REFERENCES))
+
+
+# Declarations that the test texts break, as typed columns and as text cells of a CSV file.
+DOCUMENT_TYPES = {
+    "doc_id": ("int",), "text": ("varchar", 1000), "lang": ("varchar", 1), "source": ("date",), "n_chars": ("tinyint",),
+}
+CELL_TYPES = {"doc_id": ("tinyint",), "lang": ("int",), "source": ("date",), "n_chars": ("decimal", 3, 0)}
 
 
 def q_dq_types(spark, sf):
-    return union_all([Q.type_violations(df, name) for name, df in tables(spark, sf).as_dict().items()])
+    docs = TD.read_raw(spark, sf, "documents")
+    cells = docs.select(*CELL_TYPES)
+    path = writers.publish_files(cells, scratch_path(spark, "cells_csv"))
+    as_text = readers.read_csv(spark, path, cells.schema, as_text=True)
+    parts = [Q.type_violations(df, name) for name, df in tables(spark, sf).as_dict().items()]
+    return union_all([*parts, Q.type_violations(docs, "documents", DOCUMENT_TYPES), Q.type_violations(as_text, "cells", CELL_TYPES)])
 
 
 def q_dq_report(spark, sf):
@@ -176,7 +204,7 @@ def q_right_join_features(spark, sf):
 def q_null_fill(spark, sf):
     t = tables(spark, sf)
     joined = pair_features(t.events).join(t.scores, ["student_id", "course_id"], "right")
-    return null_fill(joined).where(F.col("last_event_date").isNull())
+    return null_fill(joined)
 
 
 def q_inner_join_courses(spark, sf):
@@ -202,18 +230,7 @@ def q_round_columns(spark, sf):
 
 
 def q_project_risk_columns(spark, sf):
-    return lc(spark, sf).select(
-        "student_id",
-        "course_id",
-        "student_name",
-        "organization",
-        "course_name",
-        "tag",
-        F.round("final_score", 2).alias("final_score"),
-        F.round("avg_progress", 2).alias("avg_progress"),
-        F.round("study_minutes", 2).alias("study_minutes"),
-        F.round("risk_score", 2).alias("risk_score"),
-    )
+    return P.risk_rows(lc(spark, sf), DEFAULTS, "student_id", "course_id")
 
 
 def q_week_label(spark, sf):
@@ -293,7 +310,7 @@ def q_ordinal_sort(spark, sf):
 
 
 def q_risk_list(spark, sf):
-    capped = capped_risks(spark, sf)
+    capped = P.risk_list(lc(spark, sf))
     return P.with_position(capped, P.ORDER["learner_risk"](DEFAULTS)).select(*P.RISK_COLUMNS, "position")
 
 
@@ -308,14 +325,14 @@ def q_recommendations(spark, sf):
 
 def q_recommendations_filtered(spark, sf):
     courses = V.filter_courses(ce(spark, sf), REC_VIEW["category"], REC_VIEW["tag"])
-    risks = V.filter_risks(capped_risks(spark, sf), REC_VIEW["tag"], REC_VIEW["risk"], REC_VIEW["keyword"])
+    risks = V.filter_risks(top(spark, sf), REC_VIEW["tag"], REC_VIEW["risk"], REC_VIEW["keyword"])
     return recommendations_filtered(courses, risks)
 
 
 def q_recommendations_filtered_no_risk(spark, sf):
     """No filtered risk row reaches the threshold: the risk row is left out."""
     courses = V.filter_courses(ce(spark, sf), REC_VIEW["category"], REC_VIEW["tag"])
-    risks = V.filter_risks(capped_risks(spark, sf), REC_VIEW["tag"], NO_RISK_THRESHOLD, "")
+    risks = V.filter_risks(top(spark, sf), REC_VIEW["tag"], NO_RISK_THRESHOLD, "")
     return recommendations_filtered(courses, risks)
 
 
@@ -345,7 +362,7 @@ def q_filter_tags_chosen(spark, sf):
 
 
 def q_filter_risks(spark, sf):
-    return V.filter_risks(capped_risks(spark, sf), None, VIEW_RISK, VIEW_KEYWORD).select(*P.RISK_COLUMNS)
+    return V.filter_risks(top(spark, sf), None, VIEW_RISK, VIEW_KEYWORD).select(*P.RISK_COLUMNS)
 
 
 def q_keyword_search(spark, sf):
@@ -355,7 +372,7 @@ def q_keyword_search(spark, sf):
 def q_metric_cards(spark, sf):
     base = lc(spark, sf)
     courses = V.filter_courses(P.course_effect(base), VIEW_CATEGORY, None)
-    risks = V.filter_risks(P.risk_list(base), None, DEFAULTS.risk_threshold, "")
+    risks = V.filter_risks(P.top_risk_per_learner(base), None, DEFAULTS.risk_threshold, "")
     return V.metric_cards(courses, risks, P.overview(base))
 
 
@@ -363,10 +380,21 @@ def q_metric_cards_no_course(spark, sf):
     """Cards of a state no course matches: course cards fall back to 0."""
     base = lc(spark, sf)
     courses = V.filter_courses(P.course_effect(base), VIEW_CATEGORY, CHOSEN_TAG)
-    risks = V.filter_risks(P.risk_list(base), CHOSEN_TAG, DEFAULTS.risk_threshold, "")
+    risks = V.filter_risks(P.top_risk_per_learner(base), CHOSEN_TAG, DEFAULTS.risk_threshold, "")
     return V.metric_cards(courses, risks, P.overview(base))
 
 
+def q_card_texts(spark, sf):
+    base = lc(spark, sf)
+    courses = V.filter_courses(P.course_effect(base), VIEW_CATEGORY, None)
+    risks = V.filter_risks(P.top_risk_per_learner(base), None, DEFAULTS.risk_threshold, "")
+    return V.card_texts(courses, risks, P.overview(base))
+
+
+def q_skill_score_rows(spark, sf):
+    return P.skill_score_rows(ce(spark, sf))
+
+
 def q_filter_options(spark, sf):
     return V.filter_options(ce(spark, sf))
 
@@ -380,20 +408,20 @@ def q_scope_teacher_tags(spark, sf):
 
 
 def q_scope_teacher_risks(spark, sf):
-    return V.scope_teacher(capped_risks(spark, sf), TEACHER_TAGS).select(*P.RISK_COLUMNS)
+    return V.scope_teacher(top(spark, sf), TEACHER_TAGS).select(*P.RISK_COLUMNS)
 
 
 def q_scope_org_risks(spark, sf):
-    return V.scope_organization(capped_risks(spark, sf), ORGANIZATION).select(*P.RISK_COLUMNS)
+    return V.scope_organization(top(spark, sf), ORGANIZATION).select(*P.RISK_COLUMNS)
 
 
 def q_scope_first_teacher_risks(spark, sf):
-    """Option: scope the wide table first, then rank and cap within it."""
-    return P.risk_list(V.scope_teacher(lc(spark, sf), TEACHER_TAGS)).select(*P.RISK_COLUMNS)
+    """Option: scope the wide table first, then rank within it."""
+    return P.top_risk_per_learner(V.scope_teacher(lc(spark, sf), TEACHER_TAGS)).select(*P.RISK_COLUMNS)
 
 
 def q_scope_first_org_risks(spark, sf):
-    return P.risk_list(V.scope_organization(lc(spark, sf), ORGANIZATION)).select(*P.RISK_COLUMNS)
+    return P.top_risk_per_learner(V.scope_organization(lc(spark, sf), ORGANIZATION)).select(*P.RISK_COLUMNS)
 
 
 QUERIES: dict[str, Query] = {

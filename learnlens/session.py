@@ -20,11 +20,11 @@ def shared_root(spark: SparkSession) -> str:
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if not root:
-        if sc is not None and not sc.master.startswith("local"):
+        # A session without a context (Spark Connect) can be on any cluster.
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="learnlens-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -41,24 +41,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/learnlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count of ``df`` if it is at most ``max_rows``, else ``None``.
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_path`` named, on the path's own file system."""
+    if f"{shared_root(spark)}/learnlens/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    ``take`` scans partitions incrementally (one, then a growing number) and
-    stops once ``max_rows + 1`` rows are found, so a large table costs about
-    one partition's scan; only a constant column is read and returned.
-    """
-    n = len(df.select(F.lit(1).alias("one")).take(max_rows + 1))
-    return n if n <= max_rows else None
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """The plan's size statistic: file lengths scaled to the columns read, no
+    job. ``None`` where the session does not show it (Spark Connect)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side is small.
+def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Hint a broadcast only when the size statistic proves the side is small.
 
     Otherwise the plan keeps a shuffle join, which AQE may still convert at
     run time from measured shuffle sizes.
     """
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
+    size = planned_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "learnlens") -> SparkSession:

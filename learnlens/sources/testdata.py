@@ -33,7 +33,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def courses(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> DataFrame:
     nation = read_raw(spark, sf_dir, "nation")
-    region = broadcast_if_small(read_raw(spark, sf_dir, "region"), params.broadcast_max_rows)
+    region = broadcast_if_small(read_raw(spark, sf_dir, "region"), params.broadcast_max_bytes)
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("course_id"),
         F.col("n_name").alias("course_name"),
@@ -53,12 +53,12 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> DataFrame:
     """lineitem ⋈ orders ⋈ supplier. orders is as large as lineitem at scale,
-    so that join stays a shuffle join; supplier is broadcast only after a
-    bounded count."""
+    so that join stays a shuffle join; supplier is broadcast only if its bytes
+    are bounded."""
     li = read_raw(spark, sf_dir, "lineitem")
     orders = read_raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     supplier = broadcast_if_small(
-        read_raw(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), params.broadcast_max_rows
+        read_raw(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), params.broadcast_max_bytes
     )
     return (
         li.join(orders, li.l_orderkey == orders.o_orderkey)

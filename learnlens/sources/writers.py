@@ -4,18 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learnlens.schemas import COLUMNS, SQL_TABLES, TABLES
 
-def jdbc_full_refresh(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
-    """Replace a table's rows: truncate (keeping the table and its keys),
-    then insert, in parallel from the executors."""
-    writer = df.write.format("jdbc").mode("overwrite").option("truncate", True)
-    writer = writer.option("url", url).option("dbtable", table)
-    for key, value in (properties or {}).items():
-        writer = writer.option(key, value)
-    writer.save()
+
+def refresh_statements(names: Sequence[str] = TABLES) -> list[str]:
+    """SQL that empties the tables: key checks off (a referenced table cannot be
+    truncated otherwise), children first, key checks on."""
+    order = [n for n in TABLES if n in names]
+    return [
+        "SET FOREIGN_KEY_CHECKS = 0",
+        *[f"TRUNCATE TABLE `{SQL_TABLES[n]}`" for n in reversed(order)],
+        "SET FOREIGN_KEY_CHECKS = 1",
+    ]
+
+
+def _run_statements(spark: SparkSession, url: str, properties: dict[str, str], statements: Sequence[str]) -> None:
+    """On one driver connection, since the key checks are a session's setting."""
+    manager, info = spark._jvm.java.sql.DriverManager, spark._jvm.java.util.Properties()
+    for key, value in properties.items():
+        info.setProperty(key, value)
+    connection = manager.getConnection(url, info)
+    try:
+        for sql in statements:
+            connection.createStatement().execute(sql)
+    finally:
+        connection.close()
+
+
+def jdbc_full_refresh(
+    tables: dict[str, DataFrame], url: str, properties: dict[str, str] | None = None, run=_run_statements
+) -> list[str]:
+    """Replace the rows of the given tables (all five, usually): empty them,
+    children first, then insert parents first, in parallel from the executors.
+    Returns the tables in the order of the inserts."""
+    properties = properties or {}
+    order = [n for n in TABLES if n in tables]
+    spark = tables[order[0]].sparkSession
+    run(spark, url, properties, refresh_statements(order))
+    for name in order:
+        df = tables[name]
+        df = df.select(*[c for c in COLUMNS[name] if c in df.columns])
+        df.write.jdbc(url, SQL_TABLES[name], mode="append", properties=properties)
+    return order
 
 
 def latest_by_key(incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

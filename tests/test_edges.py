@@ -96,7 +96,7 @@ def test_keyword_is_literal(spark):
     assert df.where(keyword_match("ANN ORG_A", *cols)).count() == 1
 
 
-def test_scope_after_cap_vs_scope_first(micro):
+def test_scope_after_top1_vs_scope_first(micro):
     d = build_dashboard(micro)
     try:
         # Ann's riskiest course is Basics (T1); a T2 teacher does not see her.
@@ -113,7 +113,7 @@ def test_scope_after_cap_vs_scope_first(micro):
         assert none_org["learner_risk"].count() == 3  # None means no filter
         assert scoped(d, "teacher", allowed_tags=[])["learner_risk"].count() == 0
     finally:
-        d.unpersist()
+        d.close()
 
 
 def test_unknown_resource_only_leaves_format_usage(micro):

@@ -30,7 +30,7 @@ def test_orphan_rows(micro):
 def test_duplicates_and_nulls(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", None), (None, 3)], "k string, v int")
     assert [tuple(r) for r in Q.duplicate_keys(df, ["k"]).collect()] == [("a", 2)]
-    got = {r.column: r.nulls for r in Q.null_counts(df, "t").collect()}
+    got = {r.columns: r.violations for r in Q.null_violations(df, "t").collect()}
     assert got == {"k": 1, "v": 1}
 
 
@@ -81,3 +81,15 @@ def test_quality_gate(micro, spark):
     report = quality_gate(make_tables(spark, rows))
     assert report.where("violations > 0").count() == 0
     assert quality_gate(micro, blocking=["primary_key"]).count() > 0
+
+
+def test_key_report_counts(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "a"), (3, None)], "k int, g string")
+    up = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    named = {"child": child, "up": up}
+    rep = _report(Q.key_report(named, {"child": ["k", "g"], "up": ["k"]}, [("child", "k", "up", "k")]))
+    assert rep == {
+        ("child", "primary_key", "k,g"): 1,  # (null, a) twice; a null is not the text null
+        ("up", "primary_key", "k"): 1,
+        ("child", "foreign_key", "k->up.k"): 2,  # 2 and 3; nulls refer to nothing
+    }

@@ -182,8 +182,8 @@ def test_inferred_and_explicit_schemas_give_same_dashboard(spark):
             b = [tuple(r) for r in inferred.panels[name].collect()]
             assert a == b, name
     finally:
-        explicit.unpersist()
-        inferred.unpersist()
+        explicit.close()
+        inferred.close()
 
 
 def test_command_line_payload(spark, micro):
@@ -210,3 +210,89 @@ def test_command_line_publish(spark, micro):
     assert readers.load_tables(spark, "parquet", out).events.count() == 6
     with pytest.raises(Exception):  # orphans S9 and R9 stop a gated publish
         main(["publish", "--base", base, "--out", out + "-g", "--gate"])
+
+
+def _write_csv(path, header, *lines):
+    path.mkdir()
+    (path / "part.csv").write_text("\n".join([header, *lines]) + "\n")
+    return str(path)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    header = "final_score,extra,course_id,student_id,attendance_rate,practical_score,midterm_score"
+    path = _write_csv(tmp_path / "scores", header, "90,x,C1,S1,95,80,10")
+    row = readers.read_csv(spark, path, SCHEMAS["scores"]).first()
+    assert (row.student_id, row.midterm_score, row.final_score) == ("S1", 10.0, 90.0)
+    assert readers.read_csv(spark, path, SCHEMAS["scores"]).columns == [f.name for f in SCHEMAS["scores"].fields]
+    missing = _write_csv(tmp_path / "missing", "student_id,course_id", "S1,C1")
+    with pytest.raises(ValueError, match="midterm_score"):
+        readers.read_csv(spark, missing, SCHEMAS["scores"])
+
+
+def test_malformed_cells_are_seen_as_text(spark, tmp_path):
+    from learnlens.operators.quality import type_violations
+
+    path = _write_csv(tmp_path / "courses", "course_id,course_name,category,tag,difficulty,hours", "C1,a,k,t,d,4", "C2,a,k,t,d,four")
+    typed = readers.read_csv(spark, path, SCHEMAS["courses"], keep_corrupt=True)
+    assert [(r.hours, r._corrupt_record) for r in typed.orderBy("course_id").collect()] == [(4, None), (None, "C2,a,k,t,d,four")]
+    text = readers.read_csv(spark, path, SCHEMAS["courses"], as_text=True)
+    found = {(r.rule, r.columns): r.violations for r in type_violations(text, "courses").collect()}
+    assert found[("int", "hours")] == 1
+
+
+def test_jdbc_reads_are_split_and_use_cursors():
+    first, last = dt.date(2026, 1, 1), dt.date(2026, 1, 10)
+    parts = readers.jdbc_predicates("events", 3, first, last)
+    assert parts == [
+        "(event_date < '2026-01-04' OR event_date IS NULL)",
+        "event_date >= '2026-01-04' AND event_date < '2026-01-07'",
+        "event_date >= '2026-01-07'",
+    ]
+    assert readers.jdbc_predicates("scores", 2, first, last) == [
+        "MOD(CRC32(student_id), 2) = 0 OR student_id IS NULL", "MOD(CRC32(student_id), 2) = 1"
+    ]
+    assert readers.jdbc_predicates("courses", 8, first, last) is None and readers.jdbc_predicates("events", 1, first, last) is None
+    assert readers.jdbc_properties("jdbc:mysql://h/d", {"user": "u"}) == {"fetchsize": "10000", "useCursorFetch": "true", "user": "u"}
+    assert "useCursorFetch" not in readers.jdbc_properties("jdbc:postgresql://h/d")
+
+
+def test_refresh_empties_children_first():
+    assert writers.refresh_statements() == [
+        "SET FOREIGN_KEY_CHECKS = 0",
+        "TRUNCATE TABLE `assessment_scores`", "TRUNCATE TABLE `learning_events`", "TRUNCATE TABLE `resources`",
+        "TRUNCATE TABLE `courses`", "TRUNCATE TABLE `students`",
+        "SET FOREIGN_KEY_CHECKS = 1",
+    ]
+
+
+def test_decimal_scores_give_the_same_dashboard(spark, micro):
+    """SQL sources deliver DECIMAL(5,2)."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from learnlens.plans.payload import dashboard_payload, to_json
+
+    scores = micro.scores.select(*[F.col(c).cast("decimal(5,2)").alias(c) if t == "double" else c for c, t in micro.scores.dtypes])
+    loaded = replace(micro, scores=readers.decimals_to_double(scores))
+    assert loaded.scores.dtypes == micro.scores.dtypes
+    a, b = build_dashboard(micro), build_dashboard(loaded)
+    assert to_json(dashboard_payload(a)) == to_json(dashboard_payload(b))
+    assert a.panels["course_effect"].dtypes == b.panels["course_effect"].dtypes
+    a.close()
+    b.close()
+
+
+def test_large_payload_parts_are_files(spark, micro, monkeypatch):
+    import json as _json
+
+    from learnlens.plans import payload
+
+    monkeypatch.setattr(payload, "PART_ROWS", 2)
+    d = build_dashboard(micro)
+    with pytest.raises(ValueError, match="learner_risk"):
+        payload.dashboard_payload(d)
+    uri = payload.write_payload(d, scratch_path(spark, "payload"))
+    doc = _json.loads(spark.read.text(uri).first().value)
+    assert spark.read.json(doc["learner_risk"]["files"]).count() == 3 and len(doc["course_effect"]) == 2
+    d.close()

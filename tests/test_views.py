@@ -13,7 +13,7 @@ from learnlens.plans.dashboard import build_dashboard, filtered_view
 def dash(micro):
     d = build_dashboard(micro)
     yield d
-    d.unpersist()
+    d.close()
 
 
 def test_wildcard_view(dash):
