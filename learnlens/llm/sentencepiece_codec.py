@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-# Parts of at most so many characters are remembered, so many of them per task.
-CACHE_CHARS, CACHE_PARTS = 40, 400_000
+# Parts of at most so many characters are remembered, about twice so many of them per worker.
+CACHE_CHARS, CACHE_PARTS = 40, 100_000
 BATCH_ROWS, SEARCH_PARTS = 256, 20_000
 # Characters with a column in the transition table.
 COMMON = SPACE + "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)]))
@@ -128,7 +128,9 @@ class Codec:
         # A line end that is in no piece is always a part of its own.
         self.parts = re.compile(r"(?s).+") if inner else re.compile(rf"[{outside}]|{SPACE}*[^{SPACE}{outside}]+|{SPACE}+" if outside else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._tables()
-        self.cache: dict[str, bytes] = {}  # a part's ids as 32-bit integers
+        # A part's ids as 32-bit integers, and the generation before.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def viterbi(self, part: str) -> list[int]:
         """Ids of the best segmentation of normalised text."""
@@ -174,7 +176,7 @@ class Codec:
         self.classes = np.zeros(0x110000, np.uint8)
         for k, c in enumerate(COMMON, start=1):
             self.classes[ord(c)] = k
-        self.table = np.zeros((n, len(COMMON) + 1), np.int32)
+        self.table = np.zeros((n, len(COMMON) + 1), np.uint16 if n < 2**16 else np.int32)
         for at in (0, *a.order):
             if at:
                 self.table[at] = self.table[a.fail[at]]
@@ -190,49 +192,53 @@ class Codec:
     def search_many(self, parts: list[str]) -> None:
         """``viterbi`` for many short parts at once, into the table of answers."""
         parts = sorted(parts, key=len, reverse=True)
-        sizes = np.array([len(p) for p in parts])
+        n, sizes = len(parts), np.array([len(p) for p in parts])
         width = int(sizes[0])
-        points = np.array(parts, f"<U{width}").view(np.uint32).reshape(len(parts), width)
-        classes = self.classes[points]
-        best = np.zeros((len(parts), width + 1))
-        back = np.zeros((len(parts), width + 1), np.int32)  # length of the last piece
-        last = np.full((len(parts), width + 1), -1, np.int32)  # and its id
-        state = np.zeros(len(parts), np.int32)
+        points = np.array(parts, f"<U{width}").view(np.uint32).reshape(n, width)
+        classes = self.classes[points].T.copy()
+        # By position, then by part: a step works on neighbouring memory.
+        best = np.zeros((width + 1) * n)
+        last = np.zeros((width + 1) * n, np.int32)  # the state of the last piece, 0 for a character in bytes
+        state = np.zeros(n, np.int32)
+        reach = np.searchsorted(-sizes, -np.arange(width + 1), side="right")  # parts that go so far
         for end in range(1, width + 1):
-            n = int(np.searchsorted(-sizes, -end, side="right"))  # parts that reach so far
-            state = self.table[state[:n], classes[:n, end - 1]]
-            top = np.full(n, -np.inf)
-            rows, at = np.arange(n), self.first[state]
-            while True:
-                met = at > 0
-                rows, at = rows[met], at[met]
-                if not len(rows):
-                    break
-                length = self.chars[at]
-                score = best[rows, end - length] + self.gain[at]
-                better = score > top[rows]
+            m, here = int(reach[end]), end * n
+            state = self.table[state[:m], classes[end - 1, :m]]
+            top = np.full(m, -np.inf)
+            how = np.zeros(m, np.int32)
+            at = self.first.take(state)
+            rows = np.flatnonzero(at)
+            at = at.take(rows)
+            while len(rows):
+                score = best.take(here - self.chars.take(at) * n + rows)
+                score += self.gain.take(at)
+                better = score > top.take(rows)
                 r = rows[better]
-                top[r], back[r, end], last[r, end] = score[better], length[better], self.ident[at[better]]
-                at = self.link[at]
-            lone = best[:n, end - 1] + self.unknown
+                top[r], how[r] = score[better], at[better]
+                at = self.link.take(at)
+                more = at > 0
+                rows, at = rows[more], at[more]
+            lone = best[here - n : here - n + m] + self.unknown
             worse = lone > top
-            back[:n, end][worse], last[:n, end][worse] = 1, -1
-            best[:n, end] = np.where(worse, lone, top)
+            how[worse] = 0
+            best[here : here + m] = np.where(worse, lone, top)
+            last[here : here + m] = how
         # Back along the best paths, all parts at a time.
-        ids = np.zeros((len(parts), width), np.int32)
-        begin = np.full(len(parts), width)
-        at, rows = sizes.copy(), np.arange(len(parts))
-        plain = np.ones(len(parts), bool)
+        ids = np.zeros((n, width), np.int32)
+        begin = np.full(n, width)
+        at, rows = sizes.copy(), np.arange(n)
+        plain = np.ones(n, bool)
         while len(rows):
-            ident = last[rows, at[rows]]
-            plain[rows] &= ident >= 0
+            piece = last.take(at[rows] * n + rows)
+            plain[rows[piece == 0]] = False
             begin[rows] -= 1
-            ids[rows, begin[rows]] = ident
-            at[rows] -= back[rows, at[rows]]
+            ids[rows, begin[rows]] = self.ident.take(piece)
+            at[rows] -= np.maximum(self.chars.take(piece), 1)
             rows = rows[at[rows] > 0]
-        for part, row, b, ok in zip(parts, ids, begin.tolist(), plain.tolist()):
+        raw, step = ids.tobytes(), width * 4
+        for k, (part, b, ok) in enumerate(zip(parts, begin.tolist(), plain.tolist())):
             # A character spelled in bytes takes the plain search.
-            self.cache[part] = row[b:].tobytes() if ok else self._alone(part)
+            self.cache[part] = raw[k * step + b * 4 : (k + 1) * step] if ok else self._alone(part)
 
     def _alone(self, part: str) -> bytes:
         return np.array(self.viterbi(part), np.int32).tobytes()
@@ -241,13 +247,15 @@ class Codec:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        cache = self.cache
+        if len(self.cache) > CACHE_PARTS:
+            # Parts that are used go on into the next generation.
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        used = set().union(*split)
-        new = used.difference(cache)
-        if len(cache) + len(new) > CACHE_PARTS:
-            cache.clear()
-            new = used
+        new = set().union(*split).difference(cache)
+        for part in new.intersection(older):
+            cache[part] = older[part]
+        new.difference_update(older)
         together = [p for p in new if len(p) <= CACHE_CHARS and not p.translate(DROP_COMMON)]
         for i in range(0, len(together), SEARCH_PARTS):
             self.search_many(together[i : i + SEARCH_PARTS])
