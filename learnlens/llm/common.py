@@ -33,6 +33,19 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# After the first "://": the host up to / ? # or the end, then the path up to ? # or the end.
+URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+
+
+def url_host(url: Column) -> Column:
+    """In lower case; empty for a null URL or one without ``://``."""
+    return F.coalesce(ascii_lower(F.regexp_extract(url, URL, 1)), F.lit(""))
+
+
+def url_path(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: the lineage is cut, and a
     lost executor costs a second read instead of a second computation."""

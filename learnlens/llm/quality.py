@@ -36,8 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import WORD, broadcast_if_bounded, save
-from learnlens.llm.url_filters import url_host
+from learnlens.llm.common import WORD, broadcast_if_bounded, save, url_host
 
 LABELLED, POOL = 8_000, 8_000
 ROUNDS, SHARE_PER_ROUND = 4, 0.05

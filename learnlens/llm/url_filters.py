@@ -31,7 +31,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import ascii_lower, broadcast_if_bounded, save
+from learnlens.llm.common import broadcast_if_bounded, save, url_host, url_path
 
 
 @dataclass(frozen=True)
@@ -59,19 +59,9 @@ MIN_SUPPORT = 0.002
 MIN_PAGES = 10
 MIN_CONFIDENCE = 0.7
 DEFAULT = "allow"
-# After the first "://": the host up to / ? # or the end, then the path up to ? # or the end.
-URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 KINDS = ("host", "domain", "tld", "sub", "dir", "ext", "query", "scheme")
 
 
-def url_host(url: Column) -> Column:
-    return F.coalesce(ascii_lower(F.regexp_extract(url, URL, 1)), F.lit(""))
-
-
-def url_path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
-
-
 def stated_rule(host: Column, path: Column, rules: tuple[HostRule, ...], value: str) -> Column:
     """``value`` ("text" or "verdict") of the longest rule that fits, else null."""
     out = F.lit(None).cast("string")
