@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from compare import compare, duck
 
-from learnlens.llm import chat_format, queries, sentencepiece_codec
+from learnlens.llm import chat_format, queries, resharding, sentencepiece_codec
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,6 +164,23 @@ def test_resharding_query(spark, docs):
     assert rows.grown_shard.isna().all()
     for _, g in rows.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    # Every row's shard and slot from plain running sums over the old shards.
+    key = {i: hashlib.md5(t.encode()).hexdigest() + hashlib.md5(str(i).encode()).hexdigest() for i, t in texts.items()}
+    size = {i: len(t.encode()) + 8 for i, t in texts.items()}
+    old = {}
+    for i in sorted(key, key=key.get):
+        old.setdefault(int(key[i][24:32], 16) % 16, []).append(i)
+    have = [sum(size[i] for i in old.get(o, [])) for o in range(16)]
+    blocks = resharding._blocks(resharding.flow_plan(have, resharding.even_capacities(sum(have), 24)))
+    expected = {}
+    for o, ids in old.items():
+        at = 0
+        for i in ids:
+            expected[i] = next(j for k, j, start, end in blocks if k == o and start <= at < end)
+            at += size[i]
+    assert dict(zip(rows.doc_id, rows.shard)) == expected
+    for j, g in rows.groupby("shard"):
+        assert [i for _, i in sorted(zip(g.slot, g.doc_id))] == sorted((i for i in expected if expected[i] == j), key=key.get)
     even = rows["size"].sum() / 24
     sums = rows.groupby("shard")["size"].sum().reindex(range(24), fill_value=0)
     assert (sums - even).abs().max() <= 2 * rows["size"].max()
