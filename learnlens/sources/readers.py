@@ -145,19 +145,6 @@ def table_query(name: str) -> str:
     return f"SELECT {', '.join(COLUMNS[name])} FROM {SQL_TABLES[name]}"
 
 
-def normalize_types(df: DataFrame) -> DataFrame:
-    """Decimal -> double and date -> 'yyyy-MM-dd' text; other columns as is."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
 def decimals_to_double(df: DataFrame) -> DataFrame:
     """SQL decimals as doubles, as the panels expect them; dates stay dates."""
     return df.select(
@@ -168,6 +155,14 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
     )
 
 
+def normalize_types(df: DataFrame) -> DataFrame:
+    """What the original's SQL client gave: decimals as doubles and, beyond what a
+    load does, dates as 'yyyy-MM-dd' text."""
+    out = decimals_to_double(df)
+    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in dates})
+
+
 def load_tables(
     spark: SparkSession,
     source: str = "csv",
