@@ -45,6 +45,7 @@ class Dashboard:
     course_effect: DataFrame
     learner_risk: DataFrame
     tag_weakness: DataFrame
+    learners: DataFrame  # the overview's row without the course count
     panels: dict[str, DataFrame]
     params: Params = DEFAULTS
     _kept: list[DataFrame | str] = field(default_factory=list)
@@ -117,7 +118,7 @@ def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "table
         "learner_risk": P.capped_risks(risk, params).select(*P.RISK_COLUMNS),
         "recommendations": recommendations(ce, params),
     }
-    return Dashboard(tables, lc, ce, risk, tw, panels, params, kept)
+    return Dashboard(tables, lc, ce, risk, tw, base["learners"], panels, params, kept)
 
 
 # Panels that read only the events: started first, so they run while the
@@ -152,8 +153,8 @@ def filtered_view(dash: Dashboard, category=None, tag=None, risk: float | None =
         "courses": P.ordered(courses, "course_effect", p),
         "tags": P.ordered(filter_tags(dash.tag_weakness, courses, tag, p), "tag_weakness", p),
         "risks": P.ordered(risks, "learner_risk", p).select(*P.RISK_COLUMNS),
-        "cards": metric_cards(courses, risks, dash.panels["overview"], p),
-        "card_texts": card_texts(courses, risks, dash.panels["overview"]),
+        "cards": metric_cards(courses, risks, dash.learners, p),
+        "card_texts": card_texts(courses, risks, dash.learners),
         "recommendations": recommendations_filtered(courses, risks, p),
         "options": filter_options(dash.course_effect),
     }

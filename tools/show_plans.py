@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from learnlens.operators import panels as P  # noqa: E402
 from learnlens.operators import quality as Q  # noqa: E402
 from learnlens.operators.features import PANEL_COLUMNS, learner_course  # noqa: E402
+from learnlens.schemas import FOREIGN_KEYS, PRIMARY_KEYS  # noqa: E402
 from learnlens.session import local_session, scratch_path  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -48,8 +49,8 @@ def main() -> None:
         "risk_list (capped)": P.risk_list(lc),
         "format_usage": P.format_usage(t.events, t.resources),
         "weekly_activity": P.weekly_activity(t.events),
-        "overview": P.overview(lc),
-        "foreign keys (quality)": Q.foreign_key_report(t),
+        "overview (learner part; the course count comes from the stored course panel)": P.overview(lc, courses=False),
+        "primary keys and references (quality, one scan per table)": Q.key_report(t.as_dict(), PRIMARY_KEYS, FOREIGN_KEYS),
         "NOT NULL and type checks of events (quality, one scan)": Q.row_checks(t.events, "events"),
         "upsert: latest incoming row per key": writers.upsert_by_key(
             t.scores,
