@@ -9,8 +9,9 @@ findings back to all paths. So copies and unchanged history are scanned once,
 and a changed rule is the only one that reads old blobs again.
 
 Positions: Spark has no function for them, but the pieces between the matches
-(``split``) and the matches (``regexp_extract_all``) alternate, so a running
-sum of their lengths gives every start and end in code points. A match counts
+(``split``) and the matches (``regexp_extract_all``) alternate, so running
+sums of their lengths along a text give every start and end in code points, in
+time n log n for n matches. A match counts
 only if its value is long enough; failing matches are dropped after the scan,
 since they still use up their characters.
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlens.llm.common import broadcast_if_bounded, text_of
@@ -66,29 +67,41 @@ RULES = BASE_RULES + MORE_RULES
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,rule:string>>"
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """All spans of one rule, leftmost and non-overlapping."""
+HITS = "array<struct<rank:int,i:int,gap:int,len:int,value:int>>"
+
+
+def hits_of(text: Column, rule: Rule, rank: int) -> Column:
+    """Every match of one rule, leftmost and non-overlapping, as lengths: of the
+    piece before it, of the match and of its value."""
     p = F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(rule.value_group))
     # One more piece than matches: the last entry has no match.
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("p"), hits.alias("h"), values.alias("v"))
-    start = lambda acc, x: acc["at"] + F.char_length(x["p"])
-
-    def step(acc, x):
-        end = start(acc, x) + F.char_length(x["h"])
-        span = F.struct(
-            start(acc, x).alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
-            F.lit(rule.kind).alias("kind"), F.lit(rule.id).alias("rule"),
-        )
-        kept = x["h"].isNotNull() & (F.char_length(x["v"]) >= rule.min_chars)
-        out = F.when(kept, F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), out.alias("out"))
-
-    empty = F.lit(None).cast(SPAN)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    lengths = F.transform(
+        parts,
+        lambda x, i: F.struct(
+            F.lit(rank).alias("rank"), i.alias("i"), F.char_length(x["p"]).alias("gap"),
+            F.char_length(x["h"]).alias("len"), F.char_length(x["v"]).alias("value"),
+        ),
+    )
     # Most texts have no match at all: one search ends there.
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, begin, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(text.rlike(rule.pattern), F.filter(lengths, lambda x: x["len"].isNotNull()))
+
+
+def spans_of(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) from (blob, hits): running sums of the lengths along a text
+    are the matches' places; failing matches go after that."""
+    rows = hits.where(F.size("hits") > 0).select("blob", F.inline("hits")).repartition("blob")
+    along = Window.partitionBy("blob", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_rule = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rank") + 1)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(along).cast("int"))
+    span = F.struct(
+        (F.col("end") - F.col("len")).alias("start"), "rank", "end",
+        of_rule([r.kind for r in rules]).alias("kind"), of_rule([r.id for r in rules]).alias("rule"),
+    )
+    passing = rows.where(F.col("value") >= of_rule([r.min_chars for r in rules]))
+    return passing.groupBy("blob").agg(F.collect_list(span).alias("spans"))
 
 
 class BlobLedger:
@@ -124,34 +137,36 @@ class BlobLedger:
         # Equal blobs have equal texts, so any one of them will do.
         blobs = todo.groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("rules").alias("rules"))
         unseen = lambda r: ~F.coalesce(F.array_contains("rules", r.id), F.lit(False))
-        none = F.array().cast(SPAN)
-        found = [
-            F.coalesce(F.when(unseen(r), spans_of(F.col("text"), r, i)), none) for i, r in enumerate(self.rules)
-        ]
+        none = F.array().cast(HITS)
+        found = [F.coalesce(F.when(unseen(r), hits_of(F.col("text"), r, i)), none) for i, r in enumerate(self.rules)]
         out = blobs.select(
             "blob", F.array_except(F.array(*map(F.lit, ids)), F.coalesce("rules", F.array().cast("array<string>"))).alias("rules"),
-            F.concat(*found).alias("spans"),
+            F.concat(*found).alias("hits"),
         )
         # One pass over the texts; both tables come from what it wrote.
         staged = scratch_path(self.spark, "ledger-step")
         out.write.parquet(staged)
         step = self.spark.read.schema(out.schema).parquet(staged)
         # Findings first: a run that breaks off between the two scans again instead of forgetting.
-        step.where(F.size("spans") > 0).select("blob", "spans").write.mode("append").parquet(f"{self.path}/findings")
+        spans_of(step.select("blob", "hits"), self.rules).write.mode("append").parquet(f"{self.path}/findings")
         step.select("blob", "rules").write.mode("append").parquet(f"{self.path}/scanned")
         self._known = True
 
+    def present(self) -> DataFrame:
+        """(blob, start, rank, end, kind, rule) of the present rule versions; a
+        rule that was scanned twice, after a broken run, counts once."""
+        rows = self.findings().select("blob", F.inline("spans"))
+        return rows.where(F.col("rule").isin([r.id for r in self.rules])).distinct()
+
     def scan(self, versions: DataFrame) -> DataFrame:
         """``versions`` (path columns and ``text``) with the present rules'
         findings of every row as a ``spans`` array in (start, rule) order."""
         paths = [c for c in versions.columns if c != "text"]
         keyed = versions.select(*paths, text_of().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
         self.update(keyed.select("blob", "text"))
-        present = F.array(*[F.lit(r.id) for r in self.rules])
-        found = self.findings().groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        # Distinct: a rule scanned twice after a broken run counts once.
-        ordered = F.array_sort(F.array_distinct(F.filter("spans", lambda s: F.array_contains(present, s["rule"]))))
-        found = broadcast_if_bounded(found.select("blob", ordered.alias("spans")))
+        span = F.struct("start", "rank", "end", "kind", "rule")
+        found = self.present().groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+        found = broadcast_if_bounded(found)
         none = F.array().cast(SPAN)
         return keyed.select(*paths, "blob").join(found, "blob", "left").select(
             *paths, F.coalesce("spans", none).alias("spans")
@@ -180,25 +195,22 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] = RU
     ledger = BlobLedger(docs.sparkSession, rules=rules)
     blob = F.unhex(F.sha2(text_of(), 256))
     ledger.update(docs.select(blob.alias("blob"), text_of().alias("text")))
-    found = ledger.findings().groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    found = broadcast_if_bounded(found.withColumnRenamed("blob", "__blob"))
-    joined = docs.withColumn("__key", blob).join(found, F.col("__key") == F.col("__blob"), "left")
-
-    def step(acc, s):
-        new = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", begin, step, tail))
+    # What is kept between the spans, seen along the text: from the greatest end so far to the next start beyond it.
+    before = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ledger.present().withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    piece = F.when(F.col("start") >= F.col("from"), F.struct("from", F.col("start").alias("to")))
+    found = rows.groupBy(F.col("blob").alias("__blob")).agg(
+        F.sort_array(F.collect_list(piece)).alias("__pieces"), F.max("end").alias("__end")
+    )
+    joined = docs.withColumn("__key", blob).join(broadcast_if_bounded(found), F.col("__key") == F.col("__blob"), "left")
+    text = F.col("text")
+    pieces = F.transform("__pieces", lambda x: F.substring(text, x["from"] + 1, x["to"] - x["from"]))
+    tail = F.substring(text, F.col("__end") + 1, F.char_length(text))
+    clean = F.when(F.col("__blob").isNull(), text).otherwise(F.array_join(F.concat(pieces, F.array(tail)), mark))
     out = joined.withColumn("__text", clean)
     changed = {
         "text": F.col("__text"),
-        "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("__text")).cast("long")
+        "n_chars": F.when(F.col("__blob").isNull(), F.col("n_chars")).otherwise(F.char_length("__text")).cast("long")
         if "n_chars" in docs.columns else None,
     }
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
