@@ -5,8 +5,8 @@ read again as the next stage's documents. All but the last return the columns
 of ``documents``:
 
 1. quality: documents that the co-trained classifier rejects go;
-2. near duplicates: of every group linked by the n-gram Jaccard join, the document
-   with the smallest id stays;
+2. near duplicates: of every group linked by the n-gram Jaccard join (``WORDS`` words,
+   similarity ``PERCENT`` / 100 at least), the document with the smallest id stays;
 3. secrets: the spans that the blob ledger finds are replaced by a mark;
 4. mixing: documents are taken as often as the sources' target weights ask,
    the one at a source's cut up to the cut;
@@ -23,13 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from learnlens.llm import jaccard_join, mixing, quality, secrets, sentencepiece_codec
 from learnlens.llm.common import save, table
 
+# The stage's own; those of the op2 query are stricter.
+WORDS, PERCENT = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.first_of_each(docs)
+    return jaccard_join.first_of_each(docs, WORDS, PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

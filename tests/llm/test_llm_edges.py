@@ -118,6 +118,19 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert all(r.round_trip for r in rows)
 
 
+def test_near_copies_at_five_words_and_eighty_percent(spark):
+    """Two words of a hundred differ: 86 of 106 shingles of five words agree
+    (0.81), of four words 89 of 105 (0.848); three words: 81 of 111 (0.73)."""
+    words = [f"w{i}" for i in range(100)]
+
+    def edited(*places):
+        return " ".join("other" if i in places else w for i, w in enumerate(words))
+
+    docs = documents(spark, [(i, t, "en", "a", len(t)) for i, t in enumerate([edited(), edited(30, 60), edited(20, 50, 80)])])
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("number", range(4))
 def test_stages_on_no_documents(spark, number):
     _, stage = corpus_pipeline.STAGES[number]

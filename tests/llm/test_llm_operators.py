@@ -96,6 +96,35 @@ def test_join_against_brute_force(spark, monkeypatch):
     assert got == {i: (len(jaccard_join.shingles(t)), c) for i, (t, c) in enumerate(zip(texts, brute_components(texts)))}
 
 
+@pytest.mark.parametrize("width,percent", [(5, 80), (2, 50), (4, 85)])
+def test_join_at_other_settings(spark, monkeypatch, width, percent):
+    """Sets of words in a row and their similarity, both by plain Python."""
+    monkeypatch.setattr(jaccard_join, "LONG", 5)
+    monkeypatch.setattr(jaccard_join, "EXTRA", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(rng.randrange(20, 120))]
+        for _ in range(15):
+            words = list(base)
+            for _ in range(rng.randrange(6)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    texts += ["a b c d", "A b c d", "a b", ""]
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in split]
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df, width, percent).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
+
+
 def test_search_with_two_sides():
     a, b, c = (np.arange(i, i + 40, dtype=np.uint64) for i in (0, 1, 2))
     assert jaccard_join.search([a, b, c], [0, 0, 0]) and len(jaccard_join.search([a, b, c], [0, 0, 0])) == 2
