@@ -1,5 +1,6 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the
-pieces drives a single-pass Viterbi search.
+"""SentencePiece encoding and decoding over an Aho-Corasick automaton of the
+pieces: a single-pass Viterbi search for a unigram model, merges by rank for a
+BPE model. The ids are the library's.
 
 The automaton reads the normalised text once. At every position it is in the
 state of the longest suffix that begins a piece; following the output links
@@ -11,6 +12,15 @@ spelled in byte pieces.
 
 Ties: the longer last piece wins.
 
+A BPE model's scores are no log probabilities but minus the merge rank, so a
+greatest sum means nothing there: it would avoid every late piece, common or
+not. For such a model (``MergeCodec``; ``encode`` reads the kind from the
+model) the automaton gives the pairs of pieces that make a piece: the output
+links of a piece's last state are its endings, and the states on its way its
+beginnings. Starting from characters, the neighbours that make the piece of
+the best score are joined, the leftmost first among equals, until none make
+one. A character that is no piece is spelled in byte pieces.
+
 Normalisation is the model's: a space becomes U+2581, one is put in front, and
 nothing else changes. So a text that holds U+2581 itself decodes with a space
 there; every other text comes back exactly.
@@ -18,11 +28,12 @@ there; every other text comes back exactly.
 Work split: a piece has U+2581 only in front (checked when the vocabulary is
 loaded), so no piece crosses the border between a word and the white space
 after it; the best path of a text is the best paths of these parts, one after
-another. Parts repeat, so each task keeps the answers of short ones in a bounded
+another, and no merge goes across. Parts repeat, so each task keeps the answers of short ones in a bounded
 table. The new short parts of a batch of texts go through the automaton side by
 side, one character of all of them at a time (``Codec.search_many``: the same
-search with a resolved transition table for common characters); long parts and
-rare characters take the plain search. Texts are read in Arrow batches, whole,
+search with a resolved transition table for common characters; with merges, one
+merge of all parts of a length at a time); long parts and rare characters take
+the plain search, whose merges come from a heap. Texts are read in Arrow batches, whole,
 and the model (32,000 pieces) is the only thing that is broadcast.
 
 Cases: a null or empty text has no ids and decodes to the empty text; equal
@@ -35,6 +46,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
@@ -64,6 +77,16 @@ def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
     return out
 
 
+def is_bpe(path: str = MODEL) -> bool:
+    """Whether the model's scores are merge ranks."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == model.trainer_spec.BPE
+
+
 class Automaton:
     """Aho-Corasick over the pieces: goto (one table of children per state),
     failure links, and output links to the nearest state where a piece ends."""
@@ -276,20 +299,133 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+class MergeCodec(Codec):
+    """Encodes with a BPE model."""
+
+    def _tables(self) -> None:
+        """Pairs of pieces that make a piece: left * size + right, ascending,
+        with the piece and its rank (0 is merged first; equal scores have one rank)."""
+        a, self.size = self.automaton, len(self.scores)
+        self.rank = np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int32)
+        self.never = np.int32(self.size)
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        pairs = {}
+        todo = [(0, [])]
+        while todo:
+            at, way = todo.pop()
+            if (whole := a.piece[at]) >= 0:
+                if len(way) == 1:
+                    self.char_ids[self._point(whole)] = whole
+                for n, right in a.endings(at):
+                    if n < len(way) and (left := a.piece[way[-n - 1]]) >= 0:
+                        pairs[left * self.size + right] = whole
+            todo.extend((child, [*way, child]) for child in a.children[at].values())
+        # Ended by a pair that no two pieces make.
+        self.keys = np.array([*sorted(pairs), self.size**2], np.int64)
+        self.made = np.array([*map(pairs.__getitem__, self.keys[:-1].tolist()), 0], np.int32)
+        self.made_rank = np.append(self.rank[self.made[:-1]], self.never).astype(np.int32)
+        self.pairs = {k: (int(r), m) for (k, m), r in zip(sorted(pairs.items()), self.made_rank.tolist())}
+
+    def _point(self, ident: int) -> int:
+        # In the text, U+2581 stands where the piece as bytes has a space.
+        c = self.as_bytes[ident].decode()
+        return ord(SPACE if c == " " else c)
+
+    def merge(self, part: str) -> list[int]:
+        """Ids of normalised text."""
+        now = self.char_ids[np.frombuffer(part.encode("utf-32-le"), np.uint32)].tolist()
+        n, size, pairs = len(now), self.size, self.pairs
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        gone = [False] * n
+        heap: list[tuple[int, int, int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and now[i] >= 0 and now[j] >= 0 and (found := pairs.get(now[i] * size + now[j])):
+                heappush(heap, (found[0], i, j, now[i], now[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, left, right, whole = heappop(heap)
+            if gone[i] or gone[j] or now[i] != left or now[j] != right:
+                continue
+            now[i], gone[j] = whole, True
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            offer(before[i], i)
+            offer(i, k)
+        ids: list[int] = []
+        for c, ident, out in zip(part, now, gone):
+            if ident < 0:
+                ids.extend(self.byte_ids[b] for b in c.encode())
+            elif not out:
+                ids.append(ident)
+        return ids
+
+    def _alone(self, part: str) -> bytes:
+        return np.array(self.merge(part), np.int32).tobytes()
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs; the rank is ``never`` if they make none."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys.take(at) == key, self.made_rank.take(at), self.never), self.made.take(at)
+
+    def search_many(self, parts: list[str]) -> None:
+        """``merge`` for many short parts at once, into the table of answers."""
+        for width, group in groupby(sorted(parts, key=len), key=len):
+            same = np.array(list(group), f"<U{width}")
+            now = self.char_ids[same.view(np.uint32).reshape(len(same), width)]
+            plain = (now >= 0).all(1)
+            # A character spelled in bytes takes the plain search.
+            for part in same[~plain].tolist():
+                self.cache[part] = self._alone(part)
+            same, now = same[plain], now[plain]
+            ranks = self._find(now[:, :-1], now[:, 1:])[0]
+            # Every part left has the same number of pieces, one less after each turn.
+            while len(same):
+                if width > 1:
+                    at = ranks.argmin(1)
+                    open_ = ranks[np.arange(len(same)), at] < self.never
+                else:
+                    open_ = np.zeros(len(same), bool)
+                done = now[~open_]
+                raw, step = done.tobytes(), width * 4
+                for k, part in enumerate(same[~open_].tolist()):
+                    self.cache[part] = raw[k * step : (k + 1) * step]
+                same, now = same[open_], now[open_]
+                if not len(same):
+                    break
+                ranks, at = ranks[open_], at[open_]
+                rows = np.arange(len(same))
+                whole = self._find(now[rows, at], now[rows, at + 1])[1]
+                width -= 1
+                column = np.arange(width)
+                now = np.take_along_axis(now, column + (column > at[:, None]), 1)
+                now[rows, at] = whole
+                ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= at[:, None]), 1)
+                r = rows[at > 0]
+                ranks[r, at[r] - 1] = self._find(now[r, at[r] - 1], now[r, at[r]])[0]
+                r = rows[at < width - 1]
+                ranks[r, at[r]] = self._find(now[r, at[r]], now[r, at[r] + 1])[0]
+
+
 _CODECS: dict[str, Codec] = {}
 
 
 def _codec(model: str, vocabulary) -> Codec:
     """One per model and Python worker, kept with its table between tasks."""
     if model not in _CODECS:
-        _CODECS[model] = Codec(vocabulary.value)
+        pieces, bpe = vocabulary.value
+        _CODECS[model] = MergeCodec(pieces) if bpe else Codec(pieces)
     return _CODECS[model]
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_pieces, round_trip) for every row of ``docs``
     (doc_id, text); round_trip: the ids decode to the text again."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    vocabulary = docs.sparkSession.sparkContext.broadcast((load_vocabulary(model), is_bpe(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, vocabulary)
@@ -316,7 +452,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    vocabulary = encoded.sparkSession.sparkContext.broadcast((load_vocabulary(model), is_bpe(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, vocabulary)

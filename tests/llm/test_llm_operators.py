@@ -268,6 +268,27 @@ def test_searching_together_gives_the_same_as_alone(codec):
         assert np.frombuffer(codec.cache[w], np.int32).tolist() == codec.viterbi(w)
 
 
+def test_ids_are_the_librarys(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    rng = random.Random(6)
+    texts = ["the international", "", " \n\t ", "  a   b ", "x" * 20_000, "ab" * 3000, " " * 100, "naïve  日本語🎉", "\x00a\x7f", "a\u2581b", "<0x41><s>", "\ufeff\u0378"]
+    marks = [32, 32, 10, 97, 101, 104, 116, 200, 0x2581, 0x4E2D, 0x1F600]
+    texts += ["".join(chr(rng.choice([*marks, 65 + rng.randrange(50), rng.randrange(0x20, 0x500)])) for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in sp.encode(df).collect()} == dict(enumerate(library.encode(texts)))
+    assert library.encode("the international", out_type=str) == ["▁the", "▁international"]
+
+
+def test_merging_together_gives_the_same_as_alone():
+    codec = sp.MergeCodec(sp.load_vocabulary())
+    words = ["▁the", "ing", "▁Straße", "aaaaaaa", "▁▁▁▁▁x", "zqxj", "▁" + "ab" * 15, "▁", "\u0378a", "▁international"]
+    codec.search_many(words)
+    for w in words:
+        assert np.frombuffer(codec.cache[w], np.int32).tolist() == codec.merge(w)
+
+
 # --- nearest neighbours
 
 

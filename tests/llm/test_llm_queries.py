@@ -138,6 +138,14 @@ def test_sentencepiece_query(spark, docs):
         assert rows[i].round_trip and rows[i].n_pieces == len(rows[i].ids) and codec.decode(rows[i].ids) == text
 
 
+def test_sentencepiece_query_gives_the_librarys_ids(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    rows = {r.doc_id: r.ids for r in queries.QUERIES["op7_sentencepiece"](spark, SF).collect()}
+    assert rows == {i: library.encode(text) for i, text in docs}
+
+
 def test_nearest_neighbours_query(spark, con):
     rows = queries.QUERIES["op9_nearest_neighbours"](spark, "/root/testdata/sf0.01").toPandas()
     data = duck("/root/testdata/sf0.01").execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
