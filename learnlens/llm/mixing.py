@@ -111,17 +111,29 @@ def mix(
 
 def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mixed rows: every document as often as it is taken whole, and the
-    words of the cut document up to the cut. ``plan`` has (doc_id, size,
+    words of the cut document up to the cut. ``plan`` has (doc_id, source, size,
     taken). Documents of which nothing is taken go; the columns stay."""
-    # Equal ids: each of the rows brings its own share, so the ids' shares are summed up and dealt out evenly.
-    per_id = plan.groupBy(F.col("doc_id").alias("__mix_id")).agg(
-        F.sum("taken").alias("__mix_taken"), F.count("*").alias("__mix_n")
+    # Rows with id, source and size in common follow one another in the plan, so they take
+    # the same, but for the one such group of a source that its cut may fall into.
+    group = [F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_words")]
+    per_group = plan.groupBy(*group).agg(
+        F.sum("taken").alias("__mix_sum"), F.count("*").alias("__mix_n"),
+        F.min("taken").alias("__mix_t"), F.max("taken").alias("__mix_max"),
     )
-    per_id = broadcast_if_bounded(save(per_id.where("__mix_taken > 0"), "taken"))
-    joined = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
-    taken = F.floor(F.col("__mix_taken") / F.col("__mix_n"))
-    size = word_count(F.col("text"))
-    joined = joined.withColumn("__mix_t", taken).withColumn("__mix_size", size)
+    per_group = save(per_group.where("__mix_sum > 0"), "taken")
+    sized = docs.withColumn("__mix_size", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source"))
+    same = same & (F.col("__mix_size") == F.col("__mix_words"))
+    joined = sized.join(broadcast_if_bounded(per_group.where("__mix_t = __mix_max")), same)
+    at_cut = per_group.where("__mix_t < __mix_max")
+    if not at_cut.isEmpty():
+        # One group a source: its rows in turn, by hash of the text, up to the cut.
+        turn = Window.partitionBy("__mix_id", "__mix_source", "__mix_words").orderBy(F.xxhash64("text"))
+        whole = F.expr("__mix_sum div (__mix_n * __mix_size) * __mix_size")
+        rest = F.col("__mix_sum") - F.col("__mix_n") * whole - (F.row_number().over(turn) - 1) * F.col("__mix_size")
+        dealt = whole + F.greatest(F.lit(0), F.least(F.col("__mix_size"), rest))
+        cut_rows = sized.join(broadcast_if_bounded(at_cut), same).withColumn("__mix_t", dealt.cast("long"))
+        joined = joined.unionByName(cut_rows)
     copies = F.expr("sequence(0L, cast(ceil(__mix_t / __mix_size) as long) - 1)")
     out = joined.where("__mix_t > 0 and __mix_size > 0").withColumn("__mix_copy", F.explode(copies))
     words = F.least(F.col("__mix_size"), F.col("__mix_t") - F.col("__mix_copy") * F.col("__mix_size")).cast("int")

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from learnlens.llm import chat_format, jaccard_join, kmeans_tree, quality, resharding, secrets, url_filters
+from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, quality, resharding, secrets, url_filters
 from learnlens.llm import sentencepiece_codec as sp
 from learnlens.llm.common import connected_components
 
@@ -139,6 +139,28 @@ def test_first_of_each_keeps_empty_texts_and_one_of_repeated_rows(spark):
     assert kept == sorted([(1, "One two three four five", 2), (4, None, 3), (5, "", 4), (-1, "other words here", 5)], key=lambda r: r[0])
 
 
+# --- mixing
+
+
+def test_rows_of_one_id_take_their_own_words(spark):
+    from collections import Counter
+
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    # Source a stops at three epochs; b's cut falls into the rows of id 7.
+    own = [(1, "a", text("x", 10)), (1, "a", text("y", 990)), (None, "a", text("n", 5)), (None, "a", text("m", 50))]
+    many = [(7, "b", text(f"k{i}_", 100)) for i in range(40)]
+    docs = spark.createDataFrame([(*r, len(r[2])) for r in own + many], "doc_id long, source string, text string, n_chars long")
+    rows = mixing.apply_mix(docs, mixing.mix(docs)).collect()
+    assert Counter((r.doc_id, r.text) for r in rows if r.source == "a") == {(i, t): 3 for i, _, t in own}
+    given = {t for _, _, t in many}
+    got = [r.text for r in rows if r.source == "b"]
+    assert sum(len(t.split()) for t in got) == 5055 - 3 * 1055 and len(set(got)) == len(got)
+    cut = [t for t in got if t not in given]
+    assert len(cut) == 1 and any(t.startswith(cut[0] + " ") for t in given)
+
+
 # --- secrets
 
 
