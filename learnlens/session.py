@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +40,56 @@ def _context(spark: SparkSession):
         return None
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application: Python workers import what
+    their functions name, and only the driver may have it on its path. The archive
+    lies in the shared folder, named by its contents, and executors fetch it from there."""
+    sc = _context(spark)
+    if sc is None or sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if package.endswith(".zip") or not os.path.isdir(package):
+        return  # it came as an archive itself
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as archive:
+        for folder, folders, files in os.walk(package):
+            folders.sort()
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    entry = zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(package)))
+                    with open(path, "rb") as source:
+                        archive.writestr(entry, source.read())
+    name = f"{shared_root(spark)}/learnlens/package-{hashlib.sha256(raw.getvalue()).hexdigest()[:16]}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{name}.{uuid.uuid4().hex[:12]}")
+        out = fs.create(part, True)
+        out.write(raw.getvalue())
+        out.close()
+        if not fs.rename(part, path):  # another session was first
+            fs.delete(part, False)
+    sc.addPyFile(str(fs.makeQualified(path)))
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder (never reused)."""
     return f"{shared_root(spark)}/learnlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: the lineage is cut, and a lost
+    executor costs a second read instead of a second computation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_scratch(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``scratch_path`` named, on the path's own file system."""
     if f"{shared_root(spark)}/learnlens/" not in path:
