@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlens.session import scratch_path
+from learnlens.session import scratch_path, ship_package
 
 # A word is a run of characters other than space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,9 +18,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Rows with two or three short columns that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 400_000
+# Bytes of text that a Python task takes up at once.
+PART_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +62,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``PART_BYTES`` of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PART_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a narrow, already stored table if a count shows that it has
     at most ``max_rows`` rows; else leave the join to the optimizer (shuffle)."""

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, order_minhash, quality, resharding, secrets, sentencepiece_codec, url_filters
+from learnlens.llm import (
+    chat_format,
+    decontaminate,
+    divergence,
+    importance,
+    jaccard_join,
+    kmeans_tree,
+    mixing,
+    order_minhash,
+    quality,
+    resharding,
+    secrets,
+    sentencepiece_codec,
+    url_filters,
+)
 from learnlens.llm.common import table
 
 
@@ -49,6 +63,20 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.scan(docs, items))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_quality": op4_quality,
@@ -60,6 +88,9 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op10_resharding": op10_resharding,
     "op8_mixing": op8_mixing,
+    "op11_decontamination": op11_decontamination,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -67,4 +98,7 @@ ORACLE_SQL = {
     "op1_url_filters": url_filters.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_decontamination": decontaminate.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
