@@ -62,13 +62,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``PART_BYTES`` of text, one row at least."""
+def text_parts(batch: pa.RecordBatch, text: str, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes of text, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + PART_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -46,6 +46,8 @@ UNIT = 1_000_000_000
 TOP = 50
 # Bytes of a table that may be broadcast.
 BROADCAST_BYTES = 16_000_000
+# Bytes of text that are counted together; some 30 bytes of memory a byte.
+COUNT_BYTES = 8_000_000
 # Cells of the vectors that a task compares at once.
 CELLS = 1_000_000
 
@@ -64,7 +66,7 @@ def chunk_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in text_parts(batch, "text"):
+            for part in text_parts(batch, "text", COUNT_BYTES):
                 yield from _count(part, row, min_docs, some.type)
                 row += part.num_rows
 
