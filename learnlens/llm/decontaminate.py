@@ -43,6 +43,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Bytes of window words that one broadcast holds at most (one window more at the end).
 BLOCK_BYTES = 16_000_000
 MARK = ""
+TEXT = "__text"
 
 # A-Z to a-z; every byte that belongs to no word to a space. Bytes of characters beyond
 # ASCII stay, so bytes can be cut like characters.
@@ -155,15 +156,15 @@ def _judge(raws: list[bytes], window_set: WindowSet) -> Iterator[tuple]:
 
 
 def _scan_block(rows: DataFrame, block: list[tuple[str | None, list[str]]]) -> DataFrame:
-    """``rows`` (…, text) with the columns of HITS in place of the text."""
+    """``rows`` with the columns of HITS in place of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(WindowSet(block))
-    kept = [c for c in rows.columns if c != "text"]
+    kept = [c for c in rows.columns if c != TEXT]
     hit_type = pa.list_(pa.struct([(x, pa.int64()) for x in SPAN]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_parts(batch, "text"):
-                raws = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+            for part in text_parts(batch, TEXT):
+                raws = [x or b"" for x in part.column(TEXT).cast(pa.binary()).to_pylist()]
                 judged = list(zip(*_judge(raws, shared.value)))
                 types = (pa.int64(), pa.int64(), pa.list_(pa.string()), hit_type)
                 arrays = [pa.array(list(x), t) for x, t in zip(judged, types)]
@@ -171,7 +172,7 @@ def _scan_block(rows: DataFrame, block: list[tuple[str | None, list[str]]]) -> D
                     [*[part.column(c) for c in kept], *arrays], [*kept, "n_words", "n_hit", "items", "spans"]
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != TEXT)
     return rows.mapInArrow(run, f"{schema}, {HITS}" if kept else HITS)
 
 
@@ -188,15 +189,15 @@ def _blocks(items: DataFrame, n: int, block_bytes: int) -> Iterator[list[tuple[s
 def scan(docs: DataFrame, items: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and HITS for every row of ``docs``: number of words, of hit words, the ids
     of the items with occurring windows, the hit runs of words as spans of code points."""
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*keep, F.col("text").alias(TEXT))
     blocks = _blocks(items, n, block_bytes)
     first = next(blocks, [])
     second = next(blocks, None)
     if second is None:
         return _scan_block(rows, first)
     # Over one block: hits by the text's digest, merged over the blocks.
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    keyed = rows.select(digest.alias("digest"), "text")
+    digest = F.sha2(F.coalesce(TEXT, F.lit("")), 256)
+    keyed = rows.select(digest.alias("digest"), TEXT)
     found = []
     block: list | None = first
     while block is not None:
@@ -220,7 +221,7 @@ def scan(docs: DataFrame, items: DataFrame, n: int = N, block_bytes: int = BLOCK
     joined = rows.withColumn("__digest", digest).join(
         merged.select(F.col("digest").alias("__digest"), "items", "spans"), "__digest", "left"
     )
-    n_words = F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long")
+    n_words = F.coalesce(F.size(words_of(F.col(TEXT))), F.lit(0)).cast("long")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"])
     return joined.select(
         *keep, n_words.alias("n_words"), F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),

@@ -7,16 +7,16 @@ source has more often than its language. All arithmetic is in whole numbers.
 
 The work is factored over chunks, runs between white space, which no term crosses:
 
-1. ``chunk_counts``: a task counts the chunks of each document and sums up: documents per
-   (language, chunk) and occurrences per (language, source, chunk). What is shuffled
-   are these sums, one row a key and part of a task, so a frequent chunk is as light as a rare one.
+1. ``chunk_docs``: a task counts the chunks of each document and sums up the documents
+   by (language, chunk). What is shuffled are these sums, so a frequent chunk is as
+   light as a rare one.
 2. ``chunk_terms``: each globally distinct chunk is tokenized once.
-3. Documents of a term: a term's documents are the union of its chunks', so at least the
-   most frequent chunk's number and at most the sum of all. Most terms are decided by
-   these bounds. For the others every chunk lies in fewer than ``min_docs`` documents;
-   step 1 keeps the row numbers of such chunks, and joining them back gives the
-   distinct documents. The threshold is exact for every term.
-4. Occurrences: the chunk sums are joined to the kept terms and summed up.
+3. ``term_bounds``: the documents of a term are the union of its chunks', so at least the most
+   frequent chunk's number and at most the sum of all. These bounds decide most
+   terms; of an *open* term every chunk lies in fewer than ``min_docs`` documents.
+4. ``chunk_sums``: the chunks' occurrences by (language, source) meet the terms of those chunks that
+   matter and are summed up by term; chunks of open terms bring their
+   documents along, whose distinct numbers decide. The threshold is exact for every term.
 5. Pairs: a term's counts in its language's sources become one vector, and a task adds up
    the differences of all sources; sources without the term have the smoothed share of 0.
 
@@ -47,31 +47,13 @@ TOP = 50
 # Bytes of a table that may be broadcast.
 BROADCAST_BYTES = 16_000_000
 # Bytes of text that are counted together; some 30 bytes of memory a byte.
-COUNT_BYTES = 8_000_000
+COUNT_BYTES = 16_000_000
 # Cells of the vectors that a task compares at once.
 CELLS = 1_000_000
 
-_CHUNKS = "lang string, source string, chunk string, docs long, n long, rows array<long>"
 
-
-def chunk_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Partial sums over (lang, source, text), of three kinds:
-
-    - (lang, null, chunk): docs, and their row numbers where they are fewer than ``min_docs``;
-    - (lang, source, chunk): n, the occurrences;
-    - (lang, source, null): docs, one for each group and part.
-    """
-    some = pa.array([], pa.list_(pa.int64()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in text_parts(batch, "text", COUNT_BYTES):
-                yield from _count(part, row, min_docs, some.type)
-                row += part.num_rows
-
-    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*texts).mapInArrow(run, _CHUNKS)
+def _texts(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
 
 def _numbered(values) -> tuple[np.ndarray, pa.Array]:
@@ -80,61 +62,76 @@ def _numbered(values) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal rows in sorted columns."""
-    if not len(columns[0]):
-        return np.empty(0, np.int64)
-    new = np.zeros(len(columns[0]) - 1, bool)
-    for c in columns:
-        new |= c[1:] != c[:-1]
-    return np.concatenate([[0], np.flatnonzero(new) + 1])
-
-
-def _count(part: pa.RecordBatch, row: int, min_docs: int, row_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    names = ["lang", "source", "chunk", "docs", "n", "rows"]
-    lang, langs = _numbered(part.column("lang"))
-    source, sources = _numbered(part.column("source"))
-    width = np.int64(max(1, len(sources)))
-    group = lang * width + source
-    groups, sizes = np.unique(group, return_counts=True)
-    none = lambda n, kind: pa.nulls(n, kind)
-    yield pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(groups // width)), sources.take(pa.array(groups % width)), none(len(groups), pa.string()),
-         pa.array(sizes.astype(np.int64)), none(len(groups), pa.int64()), none(len(groups), row_type)], names,
-    )
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, chunk number) of every chunk in the texts, and the distinct chunks."""
     split = pc.ascii_split_whitespace(part.column("text"))
-    doc = np.repeat(np.arange(len(split), dtype=np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(split), dtype=np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     chunk, chunks = _numbered(split.flatten())
-    # The empty chunks before and after the text are none.
+    # The empty chunks before and after a text are none.
     empty = pc.index(chunks, pa.scalar("", chunks.type)).as_py()
     if empty >= 0:
-        doc, chunk = doc[chunk != empty], chunk[chunk != empty]
-    if not len(doc):
-        return
-    # Occurrences by group and chunk.
-    keys, n = np.unique(group[doc] * np.int64(len(chunks)) + chunk, return_counts=True)
-    g, c = keys // len(chunks), keys % len(chunks)
-    yield pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(g // width)), sources.take(pa.array(g % width)), chunks.take(pa.array(c)),
-         none(len(c), pa.int64()), pa.array(n.astype(np.int64)), none(len(c), row_type)], names,
-    )
-    # Documents by language and chunk: distinct (chunk, document) pairs, then runs of (language, chunk).
-    pairs = np.unique(chunk * np.int64(len(split)) + doc)
-    c, d = pairs // len(split), pairs % len(split)
-    order = np.lexsort((lang[d], c)) if len(langs) > 1 else slice(None)
-    c, d = c[order], d[order]
-    starts = _runs(c, lang[d])
-    docs = np.diff(np.append(starts, len(c)))
-    few = docs < min_docs
-    listed = np.repeat(few, docs)
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(np.where(few, docs, 0))]).astype(np.int32)), pa.array(d[listed] + row),
-        mask=pa.array(~few),
-    )
-    yield pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(lang[d[starts]])), none(len(starts), pa.string()), chunks.take(pa.array(c[starts])),
-         pa.array(docs.astype(np.int64)), none(len(starts), pa.int64()), lists], names,
-    )
+        row, chunk = row[chunk != empty], chunk[chunk != empty]
+    return row, chunk, chunks
+
+
+def chunk_docs(docs: DataFrame) -> DataFrame:
+    """(lang, chunk, docs): in how many documents of the language a chunk occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, "text", COUNT_BYTES):
+                row, chunk, chunks = _words(part)
+                if not len(row):
+                    continue
+                lang, langs = _numbered(part.column("lang"))
+                # Distinct (document, chunk) pairs first, then sums over the documents of a language.
+                pairs = np.unique(row * np.int64(len(chunks)) + chunk)
+                keys, n = np.unique(lang[pairs // len(chunks)] * np.int64(len(chunks)) + pairs % len(chunks), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(keys // len(chunks))), chunks.take(pa.array(keys % len(chunks))), pa.array(n.astype(np.int64))],
+                    ["lang", "chunk", "docs"],
+                )
+
+    counted = _texts(docs, "lang", "text").mapInArrow(run, "lang string, chunk string, docs long")
+    return counted.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
+
+
+def _occurrences(docs: DataFrame, listed: pa.Array | None) -> DataFrame:
+    """(lang, source, chunk, n, row): partial sums of the occurrences by group, without a
+    row; and the row numbers of the documents (n and source null) with each chunk of
+    ``listed``, or with each chunk if that is None."""
+    shared = docs.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in text_parts(batch, "text", COUNT_BYTES):
+                row, chunk, chunks = _words(part)
+                lang, langs = _numbered(part.column("lang"))
+                source, sources = _numbered(part.column("source"))
+                width = np.int64(max(1, len(sources)))
+                names = ["lang", "source", "chunk", "n", "row"]
+                if len(row):
+                    group = lang * width + source
+                    keys, n = np.unique(group[row] * np.int64(len(chunks)) + chunk, return_counts=True)
+                    g, c = keys // len(chunks), keys % len(chunks)
+                    yield pa.RecordBatch.from_arrays(
+                        [langs.take(pa.array(g // width)), sources.take(pa.array(g % width)), chunks.take(pa.array(c)),
+                         pa.array(n.astype(np.int64)), pa.nulls(len(c), pa.int64())], names,
+                    )
+                    if shared.value is not None:
+                        wanted = pc.is_in(chunks, value_set=shared.value.cast(chunks.type)).to_numpy(zero_copy_only=False)
+                        row, chunk = row[wanted[chunk]], chunk[wanted[chunk]]
+                if len(row):
+                    pairs = np.unique(row * np.int64(len(chunks)) + chunk)
+                    r, c = pairs // len(chunks), pairs % len(chunks)
+                    yield pa.RecordBatch.from_arrays(
+                        [langs.take(pa.array(lang[r])), pa.nulls(len(r), pa.string()), chunks.take(pa.array(c)),
+                         pa.nulls(len(r), pa.int64()), pa.array(first + r)], names,
+                    )
+                first += part.num_rows
+
+    return _texts(docs, "lang", "source", "text").mapInArrow(run, "lang string, source string, chunk string, n long, row long")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -146,28 +143,31 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return single.unionByName(several.groupBy("chunk", "term").agg(F.count("*").alias("k")))
 
 
-def kept_terms(counted: DataFrame, by_lang: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term) of the terms in at least ``min_docs`` documents of the language.
-
-    ``counted``: the partial sums with row numbers; ``by_lang``: (lang, chunk, docs), summed up; ``terms``: (chunk, term, k)."""
+def term_bounds(by_lang: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, term, open) of the terms that may lie in ``min_docs`` documents of the language, from
+    (lang, chunk, docs) and (chunk, term, k). A term that is not open surely does."""
     bounds = by_lang.join(terms, "chunk").groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
-    bounds = save(bounds.where(F.col("most") >= min_docs), "bounds")
-    sure = bounds.where(F.col("least") >= min_docs).select("lang", "term")
-    open_ = bounds.where(F.col("least") < min_docs).select("lang", "term")
-    # Every chunk of an open term lies in fewer than min_docs documents, so all its rows are listed.
-    chunks = by_lang.where(F.col("docs") < min_docs).join(terms, "chunk").join(_hinted(open_), ["lang", "term"])
-    chunks = save(chunks.select("lang", "chunk", "term"), "open")
-    listed = counted.where(F.col("rows").isNotNull()).select("lang", "chunk", "rows").join(_hinted(chunks), ["lang", "chunk"])
-    documents = listed.select("lang", "term", F.explode("rows").alias("row")).distinct()
-    enough = documents.groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    return sure.unionByName(enough.select("lang", "term"))
+    return bounds.where(F.col("most") >= min_docs).select("lang", "term", (F.col("least") < min_docs).alias("open"))
+
+
+def chunk_sums(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(lang, source, term, row, n): the occurrences of a term in each group (row null), and
+    the documents of open terms (one row each, source and n null). ``dictionary``, a stored
+    table: (lang, chunk, term, k, open)."""
+    open_ = dictionary.where("open").select("chunk").distinct()
+    listed = pa.array([r[0] for r in open_.collect()], pa.string()) if _bytes(open_) <= BROADCAST_BYTES else None
+    found = _occurrences(docs, listed).join(_hinted(dictionary), ["lang", "chunk"]).where("row is null or open")
+    return found.groupBy("lang", "source", "term", "row").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
+
+
+def _bytes(df: DataFrame) -> int:
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.sum(sum((F.octet_length(c) for c in texts), F.lit(64)).cast("long"))).first()[0] or 0
 
 
 def _hinted(df: DataFrame) -> DataFrame:
     """A stored table of texts, broadcast if its bytes are few; else left to a shuffle join."""
-    size = sum((F.octet_length(c) for c in df.columns if dict(df.dtypes)[c] == "string"), F.lit(0))
-    total = df.agg(F.sum(size + 64)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _bytes(df) <= BROADCAST_BYTES else df
 
 
 def _share(count: Column, total: Column, terms: Column, smooth: int) -> Column:
@@ -206,18 +206,19 @@ def _differences(vectors: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, smooth: int = SMOOTH) -> DataFrame:
     """(lang, source, part, item, value, rank) as the module says, for ``docs`` (lang, source, text)."""
-    counted = save(chunk_counts(docs, min_docs), "chunks")
-    by_lang = counted.where("source is null").groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    by_lang = save(by_lang, "chunk-docs")
+    by_lang = save(chunk_docs(docs), "chunk-docs")
     terms = save(chunk_terms(by_lang.select("chunk").distinct()), "chunk-terms")
-    kept = save(kept_terms(counted, by_lang, terms, min_docs), "terms")
-
-    of_kept = save(terms.join(_hinted(kept), "term"), "kept-chunks")
-    occurrences = counted.where("n is not null").select("lang", "source", "chunk", "n").join(_hinted(of_kept), ["lang", "chunk"])
-    n = save(occurrences.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")), "occurrences")
+    bounds = save(term_bounds(by_lang, terms, min_docs), "bounds")
+    dictionary = by_lang.select("lang", "chunk").join(terms, "chunk").join(_hinted(bounds), ["lang", "term"])
+    dictionary = save(dictionary.select("lang", "chunk", "term", "k", "open"), "dictionary")
+    sums = save(chunk_sums(docs, dictionary), "sums")
+    many = sums.where("row is not null").groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    kept = save(bounds.where("not open").select("lang", "term").unionByName(many.select("lang", "term")), "terms")
+    n = sums.where("row is null").select("lang", "source", "term", "n").join(_hinted(kept), ["lang", "term"])
+    n = save(n, "occurrences")
 
     # Groups and languages: small tables beside the terms.
-    groups = counted.where("chunk is null").select("lang", "source").distinct()
+    groups = _texts(docs, "lang", "source").distinct()
     totals = n.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     groups = groups.join(totals, ["lang", "source"], "left").join(v, "lang", "left")

@@ -32,7 +32,7 @@ def docs(con):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -154,7 +154,7 @@ def test_nearest_neighbours_query(spark, con):
     assert sorted(set(rows.query_id)) == [i for i in ids if i % 100 == 0]
     for q, g in rows.sort_values("rank").groupby("query_id"):
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        assert g["rank"].tolist() == list(range(1, 11)) and q not in set(g.vec_id)
+        assert g["rank"].tolist() == list(range(1, 14)) and q not in set(g.vec_id)
         assert g.score.tolist() == [d[ids == v][0] for v in g.vec_id]
         assert list(zip(g.score, g.vec_id)) == sorted(zip(g.score, g.vec_id))
         true = [v for _, v in sorted((s, v) for s, v in zip(d, ids) if v != q)[:10]]
