@@ -16,11 +16,13 @@ Conversations of up to ``LONG`` turns are dealt out by id and repaired one by
 one. Longer ones are split: a turn is a matrix over the states in the (min, +)
 algebra and a conversation is the product of its turns, which is associative.
 Their rows are range-partitioned by (conversation, turn); each partition multiplies
-its turns to one matrix per conversation, the matrices of a conversation (a few
-per partition) give the state at every border, and each partition then
-traces its own turns between two known states. Nothing gathers a long
-conversation. (Among equally cheap repairs the one found there can depend on
-where the borders lie.)
+its turns to one matrix per conversation, and the matrices of a conversation (a few
+per partition) give the least costs at every border. From these a partition
+finds, for each state in which the conversation may leave it, the state in which the path
+found by a whole search enters it; these maps, followed from the end, fix the states
+at the borders, and each partition traces its own turns between them. Nothing
+gathers a long conversation, and the repair does not depend on where the borders
+lie (with costs whose sums are exact, as whole numbers are).
 
 Rendering gives one row per given turn and per inserted turn, in order: the
 piece of text that it adds. The pieces of a conversation, one after another,
@@ -124,28 +126,37 @@ class Repair:
             out = (out[:, :, None] + self.matrix[r][None, :, :]).min(1)
         return out
 
-    def trace(self, roles: list[str | None], start: int, end: int | None) -> tuple[list[tuple[int, str, tuple[int, ...]]], int, float]:
-        """([(state, action, inserted before)] per turn, last state, cost of
-        the turns) from ``start`` to ``end``, or to the best end of all."""
+    def first_costs(self) -> list[float]:
+        """Before the first turn only the start has a cost, of 0."""
+        return [0.0 if i == 0 else INF for i in range(len(STATES))]
+
+    def forward(self, role: str | None, best: list[float]) -> tuple[list[float], list[int]]:
+        """Least costs after a turn, and the state before it for each; the smallest of equal ones."""
         n = len(STATES)
-        best = [INF] * n
-        best[start] = 0.0
+        new, came = [INF] * n, [-1] * n
+        for (s, t), (cost, _, _) in self.ways[role].items():
+            if best[s] + cost < new[t]:
+                new[t], came[t] = best[s] + cost, s
+        return new, came
+
+    def trace(self, roles: list[str | None], best: list[float], end: int | None) -> tuple[list[tuple[int, str, tuple[int, ...]]], int, int]:
+        """([(state, action, inserted before)] per turn, first state, last state) on the best
+        way from the costs ``best`` before the turns to ``end``, or to the best end of all."""
         steps = []
         for r in roles:
-            new, came = [INF] * n, [-1] * n
-            for (s, t), (cost, _, _) in self.ways[r].items():
-                if best[s] + cost < new[t]:
-                    new[t], came[t] = best[s] + cost, s
-            best = new
+            best, came = self.forward(r, best)
             steps.append(came)
-        at = end if end is not None else int(np.argmin(np.array(best) + self.end))
-        last, cost, out = at, best[at], []
+        at = last = end if end is not None else self.best_end(best)
+        out = []
         for r, came in zip(reversed(roles), reversed(steps)):
             s = came[at]
             _, action, empty = self.ways[r][s, at]
             out.append((at, action, empty))
             at = s
-        return out[::-1], last, cost
+        return out[::-1], at, last
+
+    def best_end(self, best) -> int:
+        return int(np.argmin(np.array(best) + self.end))
 
     def closing(self, state: int) -> tuple[int, ...]:
         """Empty turns that end a conversation."""
@@ -163,21 +174,24 @@ def _spans(b: pd.DataFrame) -> list[tuple[int, int]]:
 def _rows(conversations: DataFrame) -> DataFrame:
     """Ids and turns also as text, which carries nulls and large numbers."""
     return conversations.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), F.col("conv_id").cast("string").alias("conv_id"),
+        # No id is the key of a missing one.
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("conv"), F.col("conv_id").cast("string").alias("conv_id"),
         F.col("turn").alias("at"), F.col("turn").cast("string").alias("turn"), F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     ).withColumn("h", F.xxhash64("text"))
 
 
-def _render(rows: DataFrame, machine, known) -> DataFrame:
-    """Pieces for sorted rows; ``known`` (a broadcast) has the states at which
-    the path enters and leaves a (conversation, part), for split ones."""
+def _render(rows: DataFrame, machine) -> DataFrame:
+    """Pieces for sorted rows. Rows of a split conversation have the costs before their part, the
+    state after it and whether the conversation ends there (``best``, ``leave``, ``closes``); else null."""
 
     def finish(r: Repair, g: pd.DataFrame) -> list[tuple]:
         c, out = r.costs, []
-        conv_id, part = g["conv_id"].iloc[0], int(g["part"].iloc[0])
-        enter, leave, closes = known.value.get((g["conv"].iloc[0], part), (0, None, True))
-        path, state, _ = r.trace([r.known(x) for x in g["role"]], enter, leave)
+        conv_id, best, leave, closes = (g[x].iloc[0] for x in ("conv_id", "best", "leave", "closes"))
+        split = best is not None
+        path, enter, state = r.trace(
+            [r.known(x) for x in g["role"]], list(best) if split else r.first_costs(), int(leave) if split else None
+        )
         before, position = enter, 0
         for i, ((at, action, empty), turn, seq, text) in enumerate(zip(path, g["turn"], g["seq"], g["text"])):
             position = GAP * (i if seq < 0 else int(seq))
@@ -190,7 +204,7 @@ def _render(rows: DataFrame, machine, known) -> DataFrame:
             cost = (c.relabel if "relabel" in action else 0.0) + (c.merge if merged else 0.0)
             out.append((conv_id, turn, position + len(STATES), STATES[at], action, cost, piece))
             before = at
-        if closes:
+        if closes or not split:
             for k, e in enumerate(r.closing(state)):
                 out.append((conv_id, None, position + len(STATES) + 1 + k, STATES[e], "insert", c.insert, f"<|end|>\n<|{STATES[e]}|>\n"))
             out[-1] = (*out[-1][:-1], out[-1][-1] + "<|end|>\n")
@@ -208,7 +222,7 @@ def _render(rows: DataFrame, machine, known) -> DataFrame:
         if rest is not None:
             yield pd.DataFrame(finish(r, rest), columns=columns)
 
-    return rows.select("conv", "part", "seq", "conv_id", "turn", "role", "text").mapInPandas(
+    return rows.select("conv", "part", "seq", "conv_id", "turn", "role", "text", "best", "leave", "closes").mapInPandas(
         run, "conv_id string, turn string, position long, role string, action string, cost double, piece string"
     )
 
@@ -236,29 +250,57 @@ def _repair_long(rows: DataFrame, machine) -> DataFrame:
         multiply, "conv string, part int, first long, m array<double>"
     )
 
-    def borders(g: pd.DataFrame) -> pd.DataFrame:
+    def costs(g: pd.DataFrame) -> pd.DataFrame:
+        """Least costs before each part of a conversation, and after it."""
         r, n = machine.value, len(STATES)
-        g = g.sort_values("first").reset_index(drop=True)
-        best, came = np.full(n, INF), []
-        best[0] = 0.0
-        for m in g["m"]:
-            total = best[:, None] + np.array(m).reshape(n, n)
-            came.append(total.argmin(0))
-            best = total.min(0)
-        at = int(np.argmin(best + r.end))
-        enter, leave = [], []
-        for c in reversed(came):
-            leave.append(at)
-            at = int(c[at])
-            enter.append(at)
-        g = g.assign(enter=enter[::-1], leave=leave[::-1])
-        out = g.groupby(["conv", "part"], as_index=False).agg(enter=("enter", "first"), leave=("leave", "last"))
-        return out.assign(closes=out["part"] == out["part"].max())
-
-    states = factors.groupBy("conv").applyInPandas(borders, "conv string, part int, enter int, leave int, closes boolean")
-    # A long conversation has LONG rows at least: few of them begin in a partition.
-    known = spark.sparkContext.broadcast({(x.conv, x.part): (x.enter, x.leave, x.closes) for x in states.collect()})
-    return _render(dealt.repartition("part").sortWithinPartitions("part", "seq"), machine, known)
+        g, best, out = g.sort_values("first"), np.array(r.first_costs()), {}
+        for conv, part, m in zip(g["conv"], g["part"], g["m"]):
+            before = out.get(part, (None, None, best.tolist()))[2]
+            best = (best[:, None] + np.array(m).reshape(n, n)).min(0)
+            out[part] = (conv, part, before, best.tolist())
+        return pd.DataFrame(list(out.values()), columns=["conv", "part", "best", "after"])
+
+    known = save(factors.groupBy("conv").applyInPandas(costs, "conv string, part int, best array<double>, after array<double>"), "costs")
+    # A long conversation has LONG rows at least, so a partition has few parts.
+    with_costs = dealt.join(broadcast_if_bounded(known.select("conv", "part", "best")), ["conv", "part"])
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each state after a part (or the piece of it in a batch), the state before."""
+        r, n = machine.value, len(STATES)
+        at, best, came_from = None, None, None
+        for b in batches:
+            found = []
+            for i, j in _spans(b):
+                g = b.iloc[i:j]
+                if at != (key := (g["conv"].iloc[0], int(g["part"].iloc[0]))):
+                    if at is not None:
+                        found.append((*at, came_from))
+                    at, best, came_from = key, list(g["best"].iloc[0]), list(range(n))
+                for role in g["role"]:
+                    best, came = r.forward(r.known(role), best)
+                    came_from = [came_from[c] if c >= 0 else -1 for c in came]
+            yield pd.DataFrame(found, columns=["conv", "part", "enter"])
+        if at is not None:
+            yield pd.DataFrame([(*at, came_from)], columns=["conv", "part", "enter"])
+
+    ordered = with_costs.repartition("part").sortWithinPartitions("part", "seq")
+    maps = ordered.select("conv", "part", "seq", "role", "best").mapInPandas(entries, "conv string, part int, enter array<int>")
+
+    def states(g: pd.DataFrame) -> pd.DataFrame:
+        """Back from the best end: the state after each part."""
+        r, out = machine.value, []
+        g = g.sort_values("part", ascending=False)
+        at, closes = r.best_end(g["after"].iloc[0]), True
+        for conv, part, enter in zip(g["conv"], g["part"], g["enter"]):
+            out.append((conv, part, at, closes))
+            at, closes = int(enter[at]), False
+        return pd.DataFrame(out, columns=["conv", "part", "leave", "closes"])
+
+    leaves = known.join(save(maps, "entries"), ["conv", "part"]).groupBy("conv").applyInPandas(
+        states, "conv string, part int, leave int, closes boolean"
+    )
+    done = with_costs.join(broadcast_if_bounded(save(leaves, "states")), ["conv", "part"])
+    return _render(done.repartition("part").sortWithinPartitions("part", "seq"), machine)
 
 
 def repair(conversations: DataFrame, costs: Costs = Costs(), long: int = LONG) -> DataFrame:
@@ -268,7 +310,6 @@ def repair(conversations: DataFrame, costs: Costs = Costs(), long: int = LONG) -
     spark, typed = conversations.sparkSession, dict(conversations.dtypes)
     rows = _rows(conversations)
     machine = spark.sparkContext.broadcast(Repair(costs))
-    whole = spark.sparkContext.broadcast({})
     many = save(rows.groupBy("conv").count().where(F.col("count") > long).select("conv"), "long")
     short = rows
     parts = []
@@ -276,6 +317,8 @@ def repair(conversations: DataFrame, costs: Costs = Costs(), long: int = LONG) -
         short = rows.join(broadcast_if_bounded(many), "conv", "left_anti")
         parts.append(_repair_long(rows.join(broadcast_if_bounded(many), "conv", "left_semi"), machine))
     short = short.repartition("conv").sortWithinPartitions(*ORDER)
-    parts.append(_render(short.withColumn("part", F.lit(0)).withColumn("seq", F.lit(-1).cast("long")), machine, whole))
+    none = {"best": "array<double>", "leave": "int", "closes": "boolean"}
+    short = short.withColumns({"part": F.lit(0), "seq": F.lit(-1).cast("long"), **{c: F.lit(None).cast(t) for c, t in none.items()}})
+    parts.append(_render(short, machine))
     out = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     return out.withColumns({c: F.col(c).cast(typed[c]) for c in ("conv_id", "turn")})
