@@ -1,25 +1,28 @@
-"""SentencePiece encoding and decoding over an Aho-Corasick automaton of the
-pieces: a single-pass Viterbi search for a unigram model, merges by rank for a
-BPE model. The ids are the library's.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the
+pieces drives a single-pass Viterbi search. The ids are the library's.
 
 The automaton reads the normalised text once. At every position it is in the
 state of the longest suffix that begins a piece; following the output links
 from there yields every piece that ends at this position, and each of them
-relaxes the best score of the position: ``best[end] = max(best[start] +
-score)``. The path of the last position is the segmentation with the greatest
-sum of scores. A character that no piece covers costs a fixed penalty and is
-spelled in byte pieces.
+relaxes the position. The path of the last position is the segmentation.
 
-Ties: the longer last piece wins.
+For a unigram model a position keeps its best score, ``best[end] = max(best[start] +
+score)``; of equal ones the longer last piece wins. A character that no piece covers
+costs a fixed penalty and is spelled in byte pieces.
 
 A BPE model's scores are no log probabilities but minus the merge rank, so a
 greatest sum means nothing there: it would avoid every late piece, common or
-not. For such a model (``MergeCodec``; ``encode`` reads the kind from the
-model) the automaton gives the pairs of pieces that make a piece: the output
-links of a piece's last state are its endings, and the states on its way its
-beginnings. Starting from characters, the neighbours that make the piece of
-the best score are joined, the leftmost first among equals, until none make
-one. A character that is no piece is spelled in byte pieces.
+not. For such a model (``MergeCodec``; ``encode`` reads the kind from the model) a
+position is relaxed by *compatibility* in place of the score: what must come last in
+the encoding of the text up to here is the piece that stands unchanged beside the last
+piece of the text before it, that is, merging the characters of the two together gives
+just these two. Of the pieces that end at a position exactly one does, so the table holds
+one way a position, and the encoding of every beginning of the text is known from one
+pass. Two pieces are compatible unless at some moment of their own merges the two
+parts that meet at the border would have been joined first; ``fits`` steps back through these
+moments, and tables of a piece's last merge make each step a lookup. Answers for
+pairs are kept. A character that is no piece is spelled in byte pieces and parts what is
+before it from what is after it.
 
 Normalisation is the model's: a space becomes U+2581, one is put in front, and
 nothing else changes. So a text that holds U+2581 itself decodes with a space
@@ -31,9 +34,8 @@ after it; the best path of a text is the best paths of these parts, one after
 another, and no merge goes across. Parts repeat, so each task keeps the answers of short ones in a bounded
 table. The new short parts of a batch of texts go through the automaton side by
 side, one character of all of them at a time (``Codec.search_many``: the same
-search with a resolved transition table for common characters; with merges, one
-merge of all parts of a length at a time); long parts and rare characters take
-the plain search, whose merges come from a heap. Texts are read in Arrow batches, whole,
+search with a resolved transition table for common characters); long parts and rare
+characters take the plain search. Texts are read in Arrow batches, whole,
 and the model (32,000 pieces) is the only thing that is broadcast.
 
 Cases: a null or empty text has no ids and decodes to the empty text; equal
@@ -46,8 +48,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
-from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
@@ -63,6 +63,8 @@ BATCH_ROWS, SEARCH_PARTS = 256, 20_000
 COMMON = SPACE + "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)]))
 DROP_COMMON = dict.fromkeys(map(ord, COMMON))
 UNKNOWN_PENALTY = 10.0
+# Pairs of pieces whose compatibility is kept (a power of 2).
+SLOTS = 1 << 20
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -246,7 +248,12 @@ class Codec:
             how[worse] = 0
             best[here : here + m] = np.where(worse, lone, top)
             last[here : here + m] = how
-        # Back along the best paths, all parts at a time.
+        self._keep(parts, sizes, last)
+
+    def _keep(self, parts: list[str], sizes: np.ndarray, last: np.ndarray) -> None:
+        """Back along the ways, all parts at a time, into the table of answers. ``last``: by
+        position, then by part, the state of the last piece; 0 for a character in bytes."""
+        n, width = len(parts), int(sizes[0])
         ids = np.zeros((n, width), np.int32)
         begin = np.full(n, width)
         at, rows = sizes.copy(), np.arange(n)
@@ -303,112 +310,166 @@ class MergeCodec(Codec):
     """Encodes with a BPE model."""
 
     def _tables(self) -> None:
-        """Pairs of pieces that make a piece: left * size + right, ascending,
-        with the piece and its rank (0 is merged first; equal scores have one rank)."""
+        """Pairs of pieces that make a piece (left * size + right, ascending, with the
+        piece's rank), and of each piece the moment it is made and the two it is made of."""
+        super()._tables()
         a, self.size = self.automaton, len(self.scores)
-        self.rank = np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int32)
+        # 0 is merged first; equal scores have one rank.
+        rank = np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int32)
         self.never = np.int32(self.size)
-        self.char_ids = np.full(0x110000, -1, np.int32)
-        pairs = {}
+        self.pairs: dict[int, tuple[int, int]] = {}
+        ways: dict[int, list[tuple[int, int]]] = {}
+        single = {}
         todo = [(0, [])]
         while todo:
             at, way = todo.pop()
             if (whole := a.piece[at]) >= 0:
                 if len(way) == 1:
-                    self.char_ids[self._point(whole)] = whole
+                    single[self._point(whole)] = whole
                 for n, right in a.endings(at):
                     if n < len(way) and (left := a.piece[way[-n - 1]]) >= 0:
-                        pairs[left * self.size + right] = whole
+                        self.pairs[left * self.size + right] = (int(rank[whole]), whole)
+                        ways.setdefault(whole, []).append((left, right))
             todo.extend((child, [*way, child]) for child in a.children[at].values())
         # Ended by a pair that no two pieces make.
-        self.keys = np.array([*sorted(pairs), self.size**2], np.int64)
-        self.made = np.array([*map(pairs.__getitem__, self.keys[:-1].tolist()), 0], np.int32)
-        self.made_rank = np.append(self.rank[self.made[:-1]], self.never).astype(np.int32)
-        self.pairs = {k: (int(r), m) for (k, m), r in zip(sorted(pairs.items()), self.made_rank.tolist())}
+        self.keys = np.array([*sorted(self.pairs), self.size**2], np.int64)
+        self.made_rank = np.array([*[self.pairs[k][0] for k in self.keys[:-1].tolist()], self.never], np.int32)
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        self.char_ids[list(single)] = list(single.values())
+        # When a piece is made: characters are there from the start, and what merges never make, never.
+        self.made = np.full(self.size, self.never, np.int32)
+        self.made[list(single.values())] = -1
+        self.halves = np.zeros((2, self.size), np.int32)
+        # Slots of answers: the pair asked last, and whether it fits.
+        self.asked = np.full(SLOTS, -1, np.int64)
+        self.answer = np.zeros(SLOTS, bool)
+        # Parts are made before the whole (runs of spaces share a rank and grow to the right),
+        # and of several ways one has parts that fit until then.
+        for whole in sorted(ways, key=lambda w: (int(rank[w]), len(self.as_bytes[w]))):
+            for left, right in ways[whole]:
+                if max(self.made[left], self.made[right]) <= rank[whole] and self._stays(left, right, int(rank[whole])):
+                    self.made[whole], self.halves[:, whole] = rank[whole], (left, right)
+                    break
+        self.known = {}
 
     def _point(self, ident: int) -> int:
         # In the text, U+2581 stands where the piece as bytes has a space.
         c = self.as_bytes[ident].decode()
         return ord(SPACE if c == " " else c)
 
-    def merge(self, part: str) -> list[int]:
-        """Ids of normalised text."""
-        now = self.char_ids[np.frombuffer(part.encode("utf-32-le"), np.uint32)].tolist()
-        n, size, pairs = len(now), self.size, self.pairs
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        gone = [False] * n
-        heap: list[tuple[int, int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < n and now[i] >= 0 and now[j] >= 0 and (found := pairs.get(now[i] * size + now[j])):
-                heappush(heap, (found[0], i, j, now[i], now[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, left, right, whole = heappop(heap)
-            if gone[i] or gone[j] or now[i] != left or now[j] != right:
-                continue
-            now[i], gone[j] = whole, True
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-            offer(before[i], i)
-            offer(i, k)
+    def _stays(self, left: int, right: int, limit: int) -> bool:
+        """Whether two pieces beside each other are each made as if alone, up to the moment ``limit``."""
+        made, (lefts, rights) = self.made, self.halves
+        while True:
+            found = self.pairs.get(left * self.size + right)
+            if found and found[0] < limit:
+                return False
+            # Undo the later of the two merges; of equal ones the left one came first.
+            if made[left] > made[right]:
+                limit, left = int(made[left]), int(rights[left])
+            elif made[right] >= 0:
+                # The border lies to the left of this merge, so at its rank the border went first.
+                limit, right = int(made[right]) + 1, int(lefts[right])
+            else:
+                return True
+
+    def _fits(self, left: int, right: int) -> bool:
+        key = left * self.size + right
+        fits = self.known.get(key)
+        if fits is None:
+            if len(self.known) >= SLOTS:
+                self.known.clear()
+            fits = self.known[key] = self.made[right] < self.never and self._stays(left, right, self.size)
+        return fits
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_fits`` for many pairs."""
+        key = left.astype(np.int64) * self.size + right
+        slot = (key * 0x9E3779B1 >> 7) & (SLOTS - 1)
+        out = self.answer.take(slot)
+        new = np.flatnonzero(self.asked.take(slot) != key)
+        if not len(new):
+            return out
+        left, right = left[new], right[new]
+        ok = self.made.take(right) < self.never
+        rows, limit = np.flatnonzero(ok), np.full(int(ok.sum()), self.never)
+        left, right = left[rows], right[rows]
+        lefts, rights = self.halves
+        while len(rows):
+            pair = left.astype(np.int64) * self.size + right
+            at = np.searchsorted(self.keys, pair)
+            joined = np.where(self.keys.take(at) == pair, self.made_rank.take(at), self.never) < limit
+            ok[rows[joined]] = False
+            a, b = self.made.take(left), self.made.take(right)
+            go = ~joined & ((a >= 0) | (b >= 0))
+            rows, left, right, a, b = rows[go], left[go], right[go], a[go], b[go]
+            first = a > b
+            limit = np.where(first, a, b + 1)
+            left, right = np.where(first, rights.take(left), left), np.where(first, right, lefts.take(right))
+        out[new] = ok
+        self.asked[slot[new]], self.answer[slot[new]] = key[new], ok
+        return out
+
+    def viterbi(self, part: str) -> list[int]:
+        """Ids of normalised text: one pass over the automaton, one piece a position."""
+        children, fail, endings = self.automaton.children, self.automaton.fail, self.endings
+        last = [(-1, 0)]  # the last piece up to here and its characters; -1 for a character in bytes
+        state = 0
+        for end, c in enumerate(part, start=1):
+            follow = children[state].get(c)
+            while follow is None and state:
+                state = fail[state]
+                follow = children[state].get(c)
+            state = follow or 0
+            found = endings[state]
+            if found is None:
+                found = endings[state] = [(n, 0.0, i) for n, i in self.automaton.endings(state)]
+            for n, _, ident in found:
+                before = last[end - n][0]
+                if self._fits(before, ident) if before >= 0 else self.made[ident] < self.never:
+                    last.append((ident, n))
+                    break
+            else:
+                last.append((-1, 1))
         ids: list[int] = []
-        for c, ident, out in zip(part, now, gone):
-            if ident < 0:
-                ids.extend(self.byte_ids[b] for b in c.encode())
-            elif not out:
+        end = len(part)
+        while end:
+            ident, n = last[end]
+            if ident >= 0:
                 ids.append(ident)
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(part[end - 1].encode()))
+            end -= n
+        ids.reverse()
         return ids
 
-    def _alone(self, part: str) -> bytes:
-        return np.array(self.merge(part), np.int32).tobytes()
-
-    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, piece) of pairs; the rank is ``never`` if they make none."""
-        key = left.astype(np.int64) * self.size + right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys.take(at) == key, self.made_rank.take(at), self.never), self.made.take(at)
-
     def search_many(self, parts: list[str]) -> None:
-        """``merge`` for many short parts at once, into the table of answers."""
-        for width, group in groupby(sorted(parts, key=len), key=len):
-            same = np.array(list(group), f"<U{width}")
-            now = self.char_ids[same.view(np.uint32).reshape(len(same), width)]
-            plain = (now >= 0).all(1)
-            # A character spelled in bytes takes the plain search.
-            for part in same[~plain].tolist():
-                self.cache[part] = self._alone(part)
-            same, now = same[plain], now[plain]
-            ranks = self._find(now[:, :-1], now[:, 1:])[0]
-            # Every part left has the same number of pieces, one less after each turn.
-            while len(same):
-                if width > 1:
-                    at = ranks.argmin(1)
-                    open_ = ranks[np.arange(len(same)), at] < self.never
-                else:
-                    open_ = np.zeros(len(same), bool)
-                done = now[~open_]
-                raw, step = done.tobytes(), width * 4
-                for k, part in enumerate(same[~open_].tolist()):
-                    self.cache[part] = raw[k * step : (k + 1) * step]
-                same, now = same[open_], now[open_]
-                if not len(same):
-                    break
-                ranks, at = ranks[open_], at[open_]
-                rows = np.arange(len(same))
-                whole = self._find(now[rows, at], now[rows, at + 1])[1]
-                width -= 1
-                column = np.arange(width)
-                now = np.take_along_axis(now, column + (column > at[:, None]), 1)
-                now[rows, at] = whole
-                ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= at[:, None]), 1)
-                r = rows[at > 0]
-                ranks[r, at[r] - 1] = self._find(now[r, at[r] - 1], now[r, at[r]])[0]
-                r = rows[at < width - 1]
-                ranks[r, at[r]] = self._find(now[r, at[r]], now[r, at[r] + 1])[0]
+        """``viterbi`` for many short parts at once, into the table of answers."""
+        parts = sorted(parts, key=len, reverse=True)
+        n, sizes = len(parts), np.array([len(p) for p in parts])
+        width = int(sizes[0])
+        points = np.array(parts, f"<U{width}").view(np.uint32).reshape(n, width)
+        classes = self.classes[points].T.copy()
+        last = np.zeros((width + 1) * n, np.int32)
+        state = np.zeros(n, np.int32)
+        reach = np.searchsorted(-sizes, -np.arange(width + 1), side="right")  # parts that go so far
+        for end in range(1, width + 1):
+            m, here = int(reach[end]), end * n
+            state = self.table[state[:m], classes[end - 1, :m]]
+            at = self.first.take(state)
+            rows = np.flatnonzero(at)
+            at = at.take(rows)
+            while len(rows):
+                before = last.take(here - self.chars.take(at) * n + rows)
+                ident = self.ident.take(at)
+                fit = self.made.take(ident) < self.never
+                some = np.flatnonzero(before)
+                fit[some] = self.fits(self.ident.take(before[some]), ident[some])
+                last[here + rows[fit]] = at[fit]
+                at = self.link.take(at)
+                more = ~fit & (at > 0)
+                rows, at = rows[more], at[more]
+        self._keep(parts, sizes, last)
 
 
 _CODECS: dict[str, Codec] = {}

@@ -232,6 +232,39 @@ def test_repair_is_the_cheapest(spark):
         assert g[g.turn.notna()].turn.astype(int).tolist() == list(range(len(roles)))
 
 
+@pytest.mark.parametrize("partitions", [3, 8, 13])
+def test_ties_do_not_depend_on_the_split(spark, partitions):
+    """Costs with many equal repairs: short and long form give the same rows."""
+    rng = random.Random(5)
+    kinds = ["system", "user", "assistant", "tool", None]
+    convs = {str(c): [rng.choice(kinds) for _ in range(rng.randrange(30, 90))] for c in range(48)}
+    convs |= {None: [rng.choice(kinds) for _ in range(400)], "null": ["user"] * 60}
+    rows = [(c, t // 2, r, f"t{t % 7}.") for c, roles in convs.items() for t, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for costs in (chat_format.Costs(1, 1, 1), chat_format.Costs(0, 0, 0)):
+            short = chat_format.repair(df, costs, long=1_000).toPandas()
+            long = chat_format.repair(df, costs, long=20).toPandas()
+            assert set(short.conv_id) == set(convs) and len(short) == len(long)
+            for c in convs:
+                a, b = (x[x.conv_id.isna() if c is None else x.conv_id == c].sort_values("position") for x in (short, long))
+                columns = ["turn", "role", "action", "cost", "piece"]
+                assert a[columns].fillna("-").to_numpy().tolist() == b[columns].fillna("-").to_numpy().tolist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_very_long_texts_and_conversations(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", "x" * 100_000 if t < 4 else "y") for t in range(3_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    short, long = (chat_format.repair(df, long=n).orderBy("position").select("role", "action", "piece").collect() for n in (10_000, 100))
+    assert short == long and sum(len(r.piece) for r in short) > 400_000
+
+
 # --- SentencePiece
 
 
@@ -303,12 +336,42 @@ def test_ids_are_the_librarys(spark):
     assert library.encode("the international", out_type=str) == ["▁the", "▁international"]
 
 
-def test_merging_together_gives_the_same_as_alone():
+def merged(vocabulary: dict[str, tuple[int, float]], part: str) -> list[str]:
+    """Plain merges: the best pair, the leftmost of equal ones, until none makes a piece."""
+    now = list(part)
+    while True:
+        pairs = [(vocabulary[a + b][1], -i) for i, (a, b) in enumerate(zip(now, now[1:])) if a in vocabulary and b in vocabulary and a + b in vocabulary]
+        if not pairs:
+            return now
+        i = -max(pairs)[1]
+        now[i : i + 2] = [now[i] + now[i + 1]]
+
+
+def test_one_pass_gives_the_pieces_of_merging():
+    """Compatibility of neighbours, part by part and side by side, against merging."""
     codec = sp.MergeCodec(sp.load_vocabulary())
-    words = ["▁the", "ing", "▁Straße", "aaaaaaa", "▁▁▁▁▁x", "zqxj", "▁" + "ab" * 15, "▁", "\u0378a", "▁international"]
-    codec.search_many(words)
+    vocabulary = {p: (i, s) for i, (p, s, kind) in enumerate(sp.load_vocabulary()) if kind == "text"}
+    rng = random.Random(8)
+    words = ["▁the", "ing", "▁Straße", "aaaaaaa", "▁▁▁▁▁x", "zqxj", "▁" + "ab" * 15, "▁", "\u0378a", "▁international", "▁" * 39]
+    words += ["".join(rng.choice("abcdeghilmnorstuv'-é▁日\u0378") for _ in range(rng.randrange(1, 40))) for _ in range(1_500)]
+    codec.search_many(list(dict.fromkeys(words)))
     for w in words:
-        assert np.frombuffer(codec.cache[w], np.int32).tolist() == codec.merge(w)
+        expected = [i for p in merged(vocabulary, w) for i in ([vocabulary[p][0]] if p in vocabulary else [codec.byte_ids[b] for b in p.encode()])]
+        assert codec.viterbi(w) == expected
+        assert np.frombuffer(codec.cache[w], np.int32).tolist() == expected
+
+
+def test_only_one_piece_of_a_position_is_compatible():
+    codec = sp.MergeCodec(sp.load_vocabulary())
+    for part in ["▁international", "▁undeniably", "aaaaaaaaaa", "▁▁▁▁▁"]:
+        for end in range(1, len(part) + 1):
+            ways = 0
+            for start in range(end):
+                piece = next((i for i, p in enumerate(codec.as_bytes) if p.decode("utf-8", "replace").replace(" ", sp.SPACE) == part[start:end] and codec.made[i] < codec.never), None)
+                if piece is not None:
+                    before = codec.viterbi(part[:start])
+                    ways += not before or codec._fits(before[-1], piece)
+            assert ways == 1
 
 
 # --- nearest neighbours
