@@ -96,42 +96,57 @@ def chunk_docs(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
 
 
+_ENTRY = "struct<source:string,n:bigint,row:bigint>"
+
+
 def _occurrences(docs: DataFrame, listed: pa.Array | None) -> DataFrame:
-    """(lang, source, chunk, n, row): partial sums of the occurrences by group, without a
-    row; and the row numbers of the documents (n and source null) with each chunk of
-    ``listed``, or with each chunk if that is None."""
+    """(lang, chunk, entries): partial sums of the occurrences by source, without a row;
+    and the row number of each document (source and n null) with a chunk of ``listed``,
+    or with any chunk if that is None. A row holds what one part of a task has of the chunk."""
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in text_parts(batch, "text", COUNT_BYTES):
-                row, chunk, chunks = _words(part)
-                lang, langs = _numbered(part.column("lang"))
-                source, sources = _numbered(part.column("source"))
-                width = np.int64(max(1, len(sources)))
-                names = ["lang", "source", "chunk", "n", "row"]
-                if len(row):
-                    group = lang * width + source
-                    keys, n = np.unique(group[row] * np.int64(len(chunks)) + chunk, return_counts=True)
-                    g, c = keys // len(chunks), keys % len(chunks)
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.take(pa.array(g // width)), sources.take(pa.array(g % width)), chunks.take(pa.array(c)),
-                         pa.array(n.astype(np.int64)), pa.nulls(len(c), pa.int64())], names,
-                    )
-                    if shared.value is not None:
-                        wanted = pc.is_in(chunks, value_set=shared.value.cast(chunks.type)).to_numpy(zero_copy_only=False)
-                        row, chunk = row[wanted[chunk]], chunk[wanted[chunk]]
-                if len(row):
-                    pairs = np.unique(row * np.int64(len(chunks)) + chunk)
-                    r, c = pairs // len(chunks), pairs % len(chunks)
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.take(pa.array(lang[r])), pa.nulls(len(r), pa.string()), chunks.take(pa.array(c)),
-                         pa.nulls(len(r), pa.int64()), pa.array(first + r)], names,
-                    )
+                if found := entries(part, first):
+                    yield found
                 first += part.num_rows
 
-    return _texts(docs, "lang", "source", "text").mapInArrow(run, "lang string, source string, chunk string, n long, row long")
+    def entries(part: pa.RecordBatch, first: int) -> pa.RecordBatch | None:
+        row, chunk, chunks = _words(part)
+        if not len(row):
+            return None
+        lang, langs = _numbered(part.column("lang"))
+        source, sources = _numbered(part.column("source"))
+        many, width = np.int64(len(chunks)), np.int64(len(sources))
+        # By language, chunk and source.
+        keys, n = np.unique((lang[row] * many + chunk) * width + source[row], return_counts=True)
+        key, source, number = keys // width, keys % width, np.zeros(len(keys), np.int64)
+        if shared.value is not None:
+            wanted = pc.is_in(chunks, value_set=shared.value.cast(chunks.type)).to_numpy(zero_copy_only=False)
+            row, chunk = row[wanted[chunk]], chunk[wanted[chunk]]
+        pairs = np.unique(row * many + chunk)
+        if len(pairs):
+            row, chunk = pairs // many, pairs % many
+            key = np.concatenate([key, lang[row] * many + chunk])
+            order = np.argsort(key, kind="stable")
+            key, extra = key[order], np.zeros(len(pairs), np.int64)
+            source, n = np.concatenate([source, extra])[order], np.concatenate([n, extra])[order]
+            number = np.concatenate([number, first + 1 + row])[order]
+        of_row = number > 0
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        entry = pa.StructArray.from_arrays(
+            [sources.take(pa.array(source, mask=of_row)), pa.array(n.astype(np.int64), mask=of_row), pa.array(number, mask=~of_row)],
+            ["source", "n", "row"],
+        )
+        ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(key[starts] // many)), chunks.take(pa.array(key[starts] % many)), pa.ListArray.from_arrays(ends, entry)],
+            ["lang", "chunk", "entries"],
+        )
+
+    return _texts(docs, "lang", "source", "text").mapInArrow(run, f"lang string, chunk string, entries array<{_ENTRY}>")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -143,10 +158,16 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return single.unionByName(several.groupBy("chunk", "term").agg(F.count("*").alias("k")))
 
 
-def term_bounds(by_lang: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def chunk_term_docs(by_lang: DataFrame, terms: DataFrame) -> DataFrame:
+    """(lang, chunk, docs, term, k): the terms joined back to the chunks of each language. Both
+    sides have few rows a chunk, so a task hashes its share of one and sorts neither."""
+    return by_lang.join(terms.hint("shuffle_hash"), "chunk")
+
+
+def term_bounds(joined: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, open) of the terms that may lie in ``min_docs`` documents of the language, from
-    (lang, chunk, docs) and (chunk, term, k). A term that is not open surely does."""
-    bounds = by_lang.join(terms, "chunk").groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
+    ``chunk_term_docs``. A term that is not open surely does."""
+    bounds = joined.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
     return bounds.where(F.col("most") >= min_docs).select("lang", "term", (F.col("least") < min_docs).alias("open"))
 
 
@@ -156,8 +177,9 @@ def chunk_sums(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     table: (lang, chunk, term, k, open)."""
     open_ = dictionary.where("open").select("chunk").distinct()
     listed = pa.array([r[0] for r in open_.collect()], pa.string()) if _bytes(open_) <= BROADCAST_BYTES else None
-    found = _occurrences(docs, listed).join(_hinted(dictionary), ["lang", "chunk"]).where("row is null or open")
-    return found.groupBy("lang", "source", "term", "row").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
+    found = _occurrences(docs, listed).join(_hinted(dictionary, "shuffle_hash"), ["lang", "chunk"])
+    flat = found.select("lang", "term", "k", "open", F.inline("entries")).where("row is null or open")
+    return flat.groupBy("lang", "source", "term", "row").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
 
 
 def _bytes(df: DataFrame) -> int:
@@ -165,9 +187,11 @@ def _bytes(df: DataFrame) -> int:
     return df.agg(F.sum(sum((F.octet_length(c) for c in texts), F.lit(64)).cast("long"))).first()[0] or 0
 
 
-def _hinted(df: DataFrame) -> DataFrame:
-    """A stored table of texts, broadcast if its bytes are few; else left to a shuffle join."""
-    return F.broadcast(df) if _bytes(df) <= BROADCAST_BYTES else df
+def _hinted(df: DataFrame, else_: str | None = None) -> DataFrame:
+    """A stored table of texts, broadcast if its bytes are few; else left to a shuffle join, or hinted to one."""
+    if _bytes(df) <= BROADCAST_BYTES:
+        return F.broadcast(df)
+    return df.hint(else_) if else_ else df
 
 
 def _share(count: Column, total: Column, terms: Column, smooth: int) -> Column:
@@ -208,8 +232,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, smooth: int
     """(lang, source, part, item, value, rank) as the module says, for ``docs`` (lang, source, text)."""
     by_lang = save(chunk_docs(docs), "chunk-docs")
     terms = save(chunk_terms(by_lang.select("chunk").distinct()), "chunk-terms")
-    bounds = save(term_bounds(by_lang, terms, min_docs), "bounds")
-    dictionary = by_lang.select("lang", "chunk").join(terms, "chunk").join(_hinted(bounds), ["lang", "term"])
+    joined = save(chunk_term_docs(by_lang, terms), "chunk-term-docs")
+    bounds = save(term_bounds(joined, min_docs), "bounds")
+    dictionary = joined.join(_hinted(bounds), ["lang", "term"])
     dictionary = save(dictionary.select("lang", "chunk", "term", "k", "open"), "dictionary")
     sums = save(chunk_sums(docs, dictionary), "sums")
     many = sums.where("row is not null").groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)

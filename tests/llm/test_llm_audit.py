@@ -288,9 +288,10 @@ def test_terms_decided_by_bounds_and_by_documents(spark):
     docs = documents(spark, [(i, *x, 0) for i, x in enumerate(rows)])
     by_lang = divergence.chunk_docs(docs)
     terms = divergence.chunk_terms(by_lang.select("chunk").distinct())
-    bounds = divergence.term_bounds(by_lang, terms, 4)
+    joined = divergence.chunk_term_docs(by_lang, terms)
+    bounds = divergence.term_bounds(joined, 4)
     assert sorted(map(tuple, bounds.collect())) == [("en", "often", False), ("en", "the", True)]
-    dictionary = by_lang.select("lang", "chunk").join(terms, "chunk").join(bounds, ["lang", "term"])
+    dictionary = joined.join(bounds, ["lang", "term"])
     sums = divergence.chunk_sums(docs, dictionary.select("lang", "chunk", "term", "k", "open"))
     assert sums.where("row is not null").groupBy("term").count().collect() == [("the", 3)]
     counts = {(r.source, r.term): r.n for r in sums.where("row is null").collect()}
