@@ -96,13 +96,12 @@ def chunk_docs(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
 
 
-_ENTRY = "struct<source:string,n:bigint,row:bigint>"
-
-
 def _occurrences(docs: DataFrame, listed: pa.Array | None) -> DataFrame:
-    """(lang, chunk, entries): partial sums of the occurrences by source, without a row;
-    and the row number of each document (source and n null) with a chunk of ``listed``,
-    or with any chunk if that is None. A row holds what one part of a task has of the chunk."""
+    """(lang, chunk, entries) from (lang, at, text), ``at`` being the source's number: one row for what a
+    part of a task has of a chunk. An entry is a source with the occurrences, at * 2**32 + n, or,
+    below 0, a document that has the chunk, -1 - row; documents only for the chunks of
+    ``listed``, or for all if that is None. (A part's occurrences are less than 2**32, as a
+    text's bytes are.)"""
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,35 +117,27 @@ def _occurrences(docs: DataFrame, listed: pa.Array | None) -> DataFrame:
         if not len(row):
             return None
         lang, langs = _numbered(part.column("lang"))
-        source, sources = _numbered(part.column("source"))
+        source, sources = _numbered(part.column("at"))
         many, width = np.int64(len(chunks)), np.int64(len(sources))
         # By language, chunk and source.
         keys, n = np.unique((lang[row] * many + chunk) * width + source[row], return_counts=True)
-        key, source, number = keys // width, keys % width, np.zeros(len(keys), np.int64)
+        key, entry = keys // width, (sources.to_numpy().astype(np.int64)[keys % width] << 32) + n
         if shared.value is not None:
             wanted = pc.is_in(chunks, value_set=shared.value.cast(chunks.type)).to_numpy(zero_copy_only=False)
             row, chunk = row[wanted[chunk]], chunk[wanted[chunk]]
         pairs = np.unique(row * many + chunk)
         if len(pairs):
             row, chunk = pairs // many, pairs % many
-            key = np.concatenate([key, lang[row] * many + chunk])
+            key, entry = np.concatenate([key, lang[row] * many + chunk]), np.concatenate([entry, -1 - (first + row)])
             order = np.argsort(key, kind="stable")
-            key, extra = key[order], np.zeros(len(pairs), np.int64)
-            source, n = np.concatenate([source, extra])[order], np.concatenate([n, extra])[order]
-            number = np.concatenate([number, first + 1 + row])[order]
-        of_row = number > 0
+            key, entry = key[order], entry[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        entry = pa.StructArray.from_arrays(
-            [sources.take(pa.array(source, mask=of_row)), pa.array(n.astype(np.int64), mask=of_row), pa.array(number, mask=~of_row)],
-            ["source", "n", "row"],
-        )
-        ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(entry))
         return pa.RecordBatch.from_arrays(
-            [langs.take(pa.array(key[starts] // many)), chunks.take(pa.array(key[starts] % many)), pa.ListArray.from_arrays(ends, entry)],
-            ["lang", "chunk", "entries"],
+            [langs.take(pa.array(key[starts] // many)), chunks.take(pa.array(key[starts] % many)), lists], ["lang", "chunk", "entries"]
         )
 
-    return _texts(docs, "lang", "source", "text").mapInArrow(run, f"lang string, chunk string, entries array<{_ENTRY}>")
+    return docs.mapInArrow(run, "lang string, chunk string, entries array<long>")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -171,15 +162,26 @@ def term_bounds(joined: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return bounds.where(F.col("most") >= min_docs).select("lang", "term", (F.col("least") < min_docs).alias("open"))
 
 
-def chunk_sums(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(lang, source, term, row, n): the occurrences of a term in each group (row null), and
-    the documents of open terms (one row each, source and n null). ``dictionary``, a stored
-    table: (lang, chunk, term, k, open)."""
+def source_numbers(docs: DataFrame) -> DataFrame:
+    """(lang, source, at): the sources of each language, numbered from 0 in their order."""
+    turn = Window.partitionBy("lang").orderBy("source")
+    return _texts(docs, "lang", "source").distinct().withColumn("at", F.row_number().over(turn) - 1)
+
+
+def chunk_sums(docs: DataFrame, groups: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(lang, at, term, row, n): the occurrences of a term in each group (row null), and
+    the documents of open terms (one row each, at and n null). ``groups`` and ``dictionary`` are
+    stored tables: (lang, source, at), (lang, chunk, term, k, open)."""
     open_ = dictionary.where("open").select("chunk").distinct()
     listed = pa.array([r[0] for r in open_.collect()], pa.string()) if _bytes(open_) <= BROADCAST_BYTES else None
-    found = _occurrences(docs, listed).join(_hinted(dictionary, "shuffle_hash"), ["lang", "chunk"])
-    flat = found.select("lang", "term", "k", "open", F.inline("entries")).where("row is null or open")
-    return flat.groupBy("lang", "source", "term", "row").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
+    rows = _texts(docs, "lang", "source", "text").join(_hinted(groups), ["lang", "source"]).select("lang", "at", "text")
+    found = _occurrences(rows, listed).join(_hinted(dictionary, "shuffle_hash"), ["lang", "chunk"])
+    flat = found.select("lang", "term", "k", "open", F.explode("entries").alias("e")).where("e >= 0 or open")
+    flat = flat.selectExpr(
+        "lang", "if(e >= 0, cast(shiftright(e, 32) as int), null) as at", "term", "if(e < 0, -1 - e, null) as row",
+        "if(e >= 0, (e & 4294967295L) * k, null) as n",
+    )
+    return flat.groupBy("lang", "at", "term", "row").agg(F.sum("n").alias("n"))
 
 
 def _bytes(df: DataFrame) -> int:
@@ -236,25 +238,23 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, smooth: int
     bounds = save(term_bounds(joined, min_docs), "bounds")
     dictionary = joined.join(_hinted(bounds), ["lang", "term"])
     dictionary = save(dictionary.select("lang", "chunk", "term", "k", "open"), "dictionary")
-    sums = save(chunk_sums(docs, dictionary), "sums")
+    groups = save(source_numbers(docs), "sources")
+    sums = save(chunk_sums(docs, groups, dictionary), "sums")
     many = sums.where("row is not null").groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     kept = save(bounds.where("not open").select("lang", "term").unionByName(many.select("lang", "term")), "terms")
-    n = sums.where("row is null").select("lang", "source", "term", "n").join(_hinted(kept), ["lang", "term"])
+    n = sums.where("row is null").select("lang", "at", "term", "n").join(_hinted(kept), ["lang", "term"])
     n = save(n, "occurrences")
 
     # Groups and languages: small tables beside the terms.
-    groups = _texts(docs, "lang", "source").distinct()
-    totals = n.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = n.groupBy("lang", "at").agg(F.sum("n").alias("total"))
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(v, "lang", "left")
-    turn = Window.partitionBy("lang").orderBy("source")
+    groups = groups.join(totals, ["lang", "at"], "left").join(v, "lang", "left")
     groups = groups.select(
-        "lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("v", F.lit(0)).cast("long").alias("v"),
-        (F.row_number().over(turn) - 1).alias("at"),
+        "lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("v", F.lit(0)).cast("long").alias("v"), "at"
     )
     groups = save(groups, "groups")
     p = _share(F.col("n"), F.col("total"), F.col("v"), smooth)
-    shares = n.join(_hinted(groups), ["lang", "source"]).select("lang", "source", "term", "at", "n", p.alias("p"))
+    shares = n.join(_hinted(groups), ["lang", "at"]).select("lang", "source", "term", "at", "n", p.alias("p"))
 
     # Term rows: the group's share against its language's.
     whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))

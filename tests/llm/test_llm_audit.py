@@ -292,7 +292,7 @@ def test_terms_decided_by_bounds_and_by_documents(spark):
     bounds = divergence.term_bounds(joined, 4)
     assert sorted(map(tuple, bounds.collect())) == [("en", "often", False), ("en", "the", True)]
     dictionary = joined.join(bounds, ["lang", "term"])
-    sums = divergence.chunk_sums(docs, dictionary.select("lang", "chunk", "term", "k", "open"))
+    sums = divergence.chunk_sums(docs, divergence.source_numbers(docs), dictionary.select("lang", "chunk", "term", "k", "open"))
     assert sums.where("row is not null").groupBy("term").count().collect() == [("the", 3)]
-    counts = {(r.source, r.term): r.n for r in sums.where("row is null").collect()}
-    assert counts == {("a", "the"): 6, ("a", "often"): 3, ("b", "often"): 3}
+    counts = {(r["at"], r.term): r.n for r in sums.where("row is null").collect()}
+    assert counts == {(0, "the"): 6, (0, "often"): 3, (1, "often"): 3}
