@@ -21,10 +21,10 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
-from learnlens.operators.quality import quality_report
+from learnlens.operators.quality import quality_report, write_offending
 from learnlens.params import DEFAULTS
 from learnlens.plans.gate import quality_gate
-from learnlens.plans.payload import chart_payload, write_document, write_payload
+from learnlens.plans.payload import write_chart, write_payload
 from learnlens.plans.dashboard import (
     ACCOUNT,
     MATERIALIZE,
@@ -37,7 +37,8 @@ from learnlens.plans.dashboard import (
 )
 from learnlens.schemas import SQL_TABLES
 from learnlens.sources.readers import jdbc_predicates, load_tables, table_uri
-from learnlens.sources.writers import jdbc_full_refresh, publish_files
+from learnlens.sources.publications import publish_files
+from learnlens.sources.writers import jdbc_full_refresh
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -61,6 +62,8 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--risk-limit", type=int, default=DEFAULTS.risk_table_limit, help="risk list cap; 0 = no cap")
         s.add_argument("--approx-rsd", type=float, help="use HyperLogLog++ distinct counts with this error")
         s.add_argument("--gate", action="store_true", help="stop if keys, references or NOT NULL are violated")
+        if name == "quality":
+            s.add_argument("--rows", action="store_true", help="also write the rows that break NOT NULL and type rules")
         if name == "view":
             s.add_argument("--category")
             s.add_argument("--tag")
@@ -84,9 +87,14 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         jdbc_partitions={n: {"predicates": p} for n, p in split.items() if p},
         # Checks see malformed cells as they are in the files.
         as_text=args.command == "quality",
+        keep_corrupt=args.command == "quality" and args.source.lower() not in ("parquet", "mysql", "jdbc"),
     )
     if args.command == "quality":
-        return write_dashboard({"quality_report": quality_report(tables)}, args.out, args.format)
+        out = write_dashboard({"quality_report": quality_report(tables)}, args.out, args.format)
+        if args.rows:
+            rows = write_offending(tables.as_dict(), f"{args.out.rstrip('/')}/offending", args.format)
+            out.update({f"offending_{name}": path for name, path in rows.items()})
+        return out
     if args.gate:
         quality_gate(tables).unpersist()
     if args.command == "import":
@@ -107,8 +115,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
             tags = ACCOUNT if args.tags is None else args.tags
             org = ACCOUNT if args.organization is None else args.organization
             return {
-                "dashboard": write_payload(dash, args.out, args.role, tags, org),
-                "chart": write_document(spark, chart_payload(dash), f"{args.out.rstrip('/')}/chart"),
+                "dashboard": write_payload(dash, args.out, args.role, tags, org, args.scope_first),
+                "chart": write_chart(dash, args.out),
             }
         if args.command == "dashboard":
             results = dict(dash.panels, skill_scores=skill_scores(dash))

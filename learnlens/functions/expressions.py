@@ -96,15 +96,21 @@ def ordinal_position(value: str | Column, order: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in order]), col(value))
 
 
+def clean_keyword(keyword: str | None) -> str:
+    return (keyword or "").strip().lower()
+
+
+def keyword_text(*text_cols: str) -> Column:
+    """What a keyword is searched in: the columns joined by single spaces, in lower case."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in text_cols]))
+
+
 def keyword_match(keyword: str | None, *text_cols: str) -> Column:
     """Literal, case-insensitive substring test over the columns joined by
     single spaces. The keyword is trimmed; an empty keyword matches all.
     ``contains`` is literal, so ``%`` and ``_`` have no wildcard meaning."""
-    kw = (keyword or "").strip().lower()
-    if not kw:
-        return F.lit(True)
-    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in text_cols]))
-    return text.contains(F.lit(kw))
+    kw = clean_keyword(keyword)
+    return keyword_text(*text_cols).contains(F.lit(kw)) if kw else F.lit(True)
 
 
 def is_wild(value, params: Params = DEFAULTS) -> bool:

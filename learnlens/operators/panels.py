@@ -20,6 +20,7 @@ from learnlens.functions.expressions import (
     week_key,
     week_start,
 )
+from learnlens.operators import distinct, ranking
 from learnlens.params import DEFAULTS, Params
 
 RISK_COLUMNS = [
@@ -99,6 +100,11 @@ def format_usage(events: DataFrame, resources: DataFrame, params: Params = DEFAU
         F.sum("progress_percent").alias("progress_sum"),
         F.count("progress_percent").alias("progress_n"),
     )
+    return format_rates(per_resource, resources, params)
+
+
+def format_rates(per_resource: DataFrame, resources: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Usage by format from sums by resource."""
     per_format = (
         per_resource.join(resources.select("resource_id", "format"), "resource_id")
         .groupBy("format")
@@ -161,6 +167,18 @@ def top_risk_per_learner(lc: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return risk_rows(top, params, "student_id")
 
 
+def risk_champions(lc: DataFrame) -> DataFrame:
+    """Each learner's riskiest course of each tag: (student_id, tag) and the wide table's
+    other columns. Champions merge: the riskiest course of any set of tags, or of all, is
+    among them, so a scope ranks these few rows and not the wide table. The choice is
+    an ordinary aggregate, combined in every task before the shuffle."""
+    # As the ranking orders: high risk first, null last; then the course, null first.
+    first = F.struct(F.col("risk_score").isNull(), -F.col("risk_score"), F.col("course_id"))
+    rest = [c for c in lc.columns if c not in ("student_id", "tag")]
+    best = lc.groupBy("student_id", "tag").agg(F.min_by(F.struct(*rest), first).alias("best"))
+    return best.select(*[c if c in ("student_id", "tag") else F.col(f"best.{c}") for c in lc.columns])
+
+
 def risk_rows(lc: DataFrame, params: Params = DEFAULTS, *keys: str) -> DataFrame:
     """The risk list's columns, numbers rounded, after the given keys."""
     return round_columns(lc.select(*keys, *RISK_COLUMNS), RISK_COLUMNS[4:], params.decimals)
@@ -179,6 +197,35 @@ def risk_list(lc: DataFrame, params: Params = DEFAULTS, limit: int | None = None
     return capped_risks(top_risk_per_learner(lc, params), params, limit)
 
 
+def risk_positions(top: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Every learner's row with its position in the risk order, however many there are:
+    ranges, counts of the ranges and offsets instead of one task that sees all rows."""
+    return ranking.with_position(top, ORDER["learner_risk"](params))
+
+
+def overview_merged(lc: DataFrame, learners: DataFrame, courses: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """The overview with its two distinct counts from bitmaps over the stored
+    dictionaries of learners and courses: no row is multiplied."""
+    d = params.decimals
+    sums = lc.agg(
+        F.round(F.avg("final_score"), d).alias("avg_score"),
+        F.round(F.avg("avg_progress"), d).alias("avg_progress"),
+        F.round(F.sum("study_minutes") / 60, d).alias("total_study_hours"),
+        F.round(conditional_rate(F.col("final_score") >= params.pass_score), d).alias("pass_rate"),
+        conditional_count(F.col("risk_score") >= params.risk_threshold).alias("risk_records"),
+    )
+    counts = [
+        distinct.bit_counts(distinct.distinct_bits(lc, "student_id", learners), "student_count"),
+        distinct.bit_counts(distinct.distinct_bits(lc, "course_id", courses), "course_count"),
+    ]
+    # Three single rows, put together by an aggregate.
+    order = ["student_count", "course_count", *sums.columns]
+    rows = sums
+    for c in counts:
+        rows = rows.unionByName(c, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in order])
+
+
 def weakest_courses(ce: DataFrame, k: int) -> DataFrame:
     """Bottom-k courses by rounded average score (course_id breaks ties)."""
     return ce.orderBy(F.asc("avg_score"), F.asc("course_id")).limit(k)

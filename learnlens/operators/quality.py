@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learnlens.schemas import DECLARED, FOREIGN_KEYS, PRIMARY_KEYS
+from learnlens.schemas import CORRUPT, DECLARED, FOREIGN_KEYS, PRIMARY_KEYS
+from learnlens.sources.publications import publish_files
 from learnlens.tables import Tables
 
 INT_RANGE = {"int": (-(2**31), 2**31 - 1), "tinyint": (-128, 127)}
@@ -54,7 +55,9 @@ def _type_violation(c: Column, dtype: T.DataType, declared: tuple) -> dict[str,
             return {kind: c.isNotNull() & (as_long.isNull() | (as_long < lo) | (as_long > hi))}
         if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             return {kind: (c < lo) | (c > hi)}
-        return {kind: c.isNotNull() & (F.isnan(c.cast("double")) | (c < lo) | (c > hi))}
+        # A typed fraction would be rounded by the store, as the text of one is refused.
+        fraction = F.rint(c.cast("double")) != c.cast("double")
+        return {kind: c.isNotNull() & (F.isnan(c.cast("double")) | (c < lo) | (c > hi) | fraction)}
     if kind == "decimal":
         precision, scale = declared[1], declared[2]
         fitted = c.try_cast(T.DecimalType(precision, scale))
@@ -115,9 +118,61 @@ def type_violations(df: DataFrame, table: str, declared: dict[str, tuple] | None
 
 
 def row_checks(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
-    """NOT NULL and declared-type checks of one table together, in one scan."""
+    """NOT NULL and declared-type checks of one table together, in one scan; and
+    lines that do not fit the columns, where the read kept them."""
+    return _row_report(df, table, _row_rules(df, table, declared))
+
+
+def _row_rules(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> list[tuple[str, str, Column]]:
     declared = DECLARED[table] if declared is None else declared
-    return _row_report(df, table, _null_checks(df, list(declared)) + _type_checks(df, declared))
+    corrupt = [("corrupt", CORRUPT, F.col(CORRUPT).isNotNull())] if CORRUPT in df.columns else []
+    return _null_checks(df, list(declared)) + _type_checks(df, declared) + corrupt
+
+
+BROKEN = "_broken"
+
+
+def offending_rows(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
+    """Rows that break a NOT NULL or type rule, with all the rules each breaks in
+    ``_broken``: an array of (rule, columns, value), the cell as text. One scan, no shuffle."""
+    found = [
+        F.when(pred, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("columns"), F.col(c).cast("string").alias("value")))
+        for rule, c, pred in _row_rules(df, table, declared)
+    ]
+    if not found:
+        return df.withColumn(BROKEN, F.expr("cast(array() as array<struct<rule:string,columns:string,value:string>>)")).limit(0)
+    return df.withColumn(BROKEN, F.array_compact(F.array(*found))).where(F.size(BROKEN) > 0)
+
+
+def offending_cells(
+    df: DataFrame, table: str, keys: Sequence[str] | None = None, declared: dict[str, tuple] | None = None
+) -> DataFrame:
+    """(table, rule, columns, key, value): one row for each rule a row breaks. ``key`` is the
+    row's primary key as text, a JSON object if it has several columns."""
+    keys = [k for k in (keys or PRIMARY_KEYS[table]) if k in df.columns]
+    rows = offending_rows(df, table, declared).select(_key_text(keys).alias("key"), F.explode(BROKEN).alias("b"))
+    return rows.select(F.lit(table).alias("table"), "b.rule", "b.columns", "key", "b.value")
+
+
+def clean_rows(df: DataFrame, table: str, declared: dict[str, tuple] | None = None) -> DataFrame:
+    """The other rows: those that break no rule of their own cells."""
+    broken = [F.coalesce(pred, F.lit(False)) for _, _, pred in _row_rules(df, table, declared)]
+    kept = df
+    for pred in broken:
+        kept = kept.where(~pred)
+    return kept
+
+
+def write_offending(tables: dict[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
+    """Write the offending rows of each table once, whole, as a publication at
+    ``base/<table>`` partitioned by rule and column; a row that breaks two rules is in both."""
+    out = {}
+    for name, df in tables.items():
+        rows = offending_rows(df, name)
+        cells = rows.select(*[F.col(c) for c in df.columns], F.explode(BROKEN).alias("b"))
+        flat = cells.select(*[F.col(c) for c in df.columns], F.col("b.rule").alias("_rule"), F.col("b.columns").alias("_column"))
+        out[name] = publish_files(flat, f"{base.rstrip('/')}/{name}", fmt, partition_by=("_rule", "_column"))
+    return out
 
 
 def _empty_report(df: DataFrame) -> DataFrame:

@@ -76,10 +76,11 @@ def recommendations(ce: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 def recommendations_filtered(
-    courses: DataFrame, risks: DataFrame, params: Params = DEFAULTS
+    courses: DataFrame, risks: DataFrame, params: Params = DEFAULTS, counted: DataFrame | None = None
 ) -> DataFrame:
     """For a filtered view: k weakest of the filtered courses, a risk row only
-    when the filtered risk list is non-empty, one fixed row; first n."""
+    when the filtered risk list is non-empty, one fixed row; first n. ``counted`` has the
+    list's length (risk_count) where it is known, and the list is not read."""
     detail = _fill(
         REC_VIEW_COURSE_DETAIL,
         score=fixed_text("avg_score", 1),
@@ -87,7 +88,7 @@ def recommendations_filtered(
     )
     weak = _weak_block(courses, params.weak_courses_filtered, REC_VIEW_COURSE_TITLE, detail)
     risk = (
-        risks.agg(F.count("*").alias("n"))
+        (risks.agg(F.count("*").alias("n")) if counted is None else counted.select(F.col("risk_count").alias("n")))
         .where(F.col("n") > 0)
         .select(
             F.lit(1).alias("block"),

@@ -20,6 +20,7 @@ from learnlens.functions.expressions import (
     round_columns,
 )
 from learnlens.operators.panels import with_position
+from learnlens.operators.search import search
 from learnlens.params import DEFAULTS, Params
 
 
@@ -55,11 +56,26 @@ def filter_risks(
     """Risk rows by tag (wildcard = all), rounded risk >= threshold and a
     literal keyword over 'name organization course tag'. Category is not
     applied, as in the reference."""
+    return _at_risk(risks, tag, risk, params).where(keyword_match(keyword, *SEARCHED))
+
+
+# The columns that a keyword is searched in.
+SEARCHED = ("student_name", "organization", "course_name", "tag")
+
+
+def search_risks(
+    risks: DataFrame, index: DataFrame, tag=None, risk: float | None = None, keyword: str | None = "", params: Params = DEFAULTS
+) -> DataFrame:
+    """``filter_risks`` by way of a stored trigram index of the same rows."""
+    return search(_at_risk(risks, tag, risk, params), index, "student_id", SEARCHED, keyword)
+
+
+def _at_risk(risks: DataFrame, tag, risk: float | None, params: Params) -> DataFrame:
     threshold = params.risk_threshold if risk is None else risk
     out = risks.where(F.coalesce(F.col("risk_score"), F.lit(0.0)) >= F.lit(float(threshold)))
     if not is_wild(tag, params):
         out = out.where(F.col("tag") == F.lit(tag))
-    return out.where(keyword_match(keyword, "student_name", "organization", "course_name", "tag"))
+    return out
 
 
 def _card_values(courses: DataFrame, risks: DataFrame, ov: DataFrame) -> DataFrame:
@@ -93,13 +109,20 @@ def _card_values(courses: DataFrame, risks: DataFrame, ov: DataFrame) -> DataFra
 
 def metric_cards(courses: DataFrame, risks: DataFrame, ov: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Cards of a filtered view as numbers, one row."""
-    return round_columns(_card_values(courses, risks, ov), ["avg_score", "avg_progress", "pass_rate"], params.decimals)
+    return rounded_cards(_card_values(courses, risks, ov), params)
+
+
+def rounded_cards(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return round_columns(values, ["avg_score", "avg_progress", "pass_rate"], params.decimals)
 
 
 def card_texts(courses: DataFrame, risks: DataFrame, ov: DataFrame) -> DataFrame:
     """Cards as the page shows them: counts and hours grouped, the score with
     at most two places, shares with one; from the unrounded means."""
-    values = _card_values(courses, risks, ov)
+    return formatted_cards(_card_values(courses, risks, ov))
+
+
+def formatted_cards(values: DataFrame) -> DataFrame:
     return values.select(
         grouped_number("student_count").alias("student_text"),
         grouped_number("course_count").alias("course_text"),

@@ -409,6 +409,29 @@ SELECT * FROM tgt WHERE NOT EXISTS (
 UNION ALL SELECT * FROM inc"""
 
 
+def upsert_stored_sql() -> str:
+    """A batch beats what is stored; within a batch the last row of a key counts."""
+    return """
+SELECT student_id, course_id, final_score FROM (
+  SELECT o_custkey AS student_id, CAST(o_orderkey % 25 AS INTEGER) AS course_id, o_totalprice / 5000 AS final_score,
+         row_number() OVER (PARTITION BY o_custkey, o_orderkey % 25
+           ORDER BY CASE o_orderstatus WHEN 'P' THEN 2 WHEN 'F' THEN 1 ELSE 0 END DESC, o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders WHERE o_orderstatus IN ('O', 'F', 'P')) WHERE rn = 1"""
+
+
+def offending_sql() -> str:
+    parts = [
+        f"SELECT {q(t)} AS \"table\", {q(rule)} AS rule, {q(c)} AS columns, CAST(doc_id AS VARCHAR) AS \"key\","
+        f" CAST({c} AS VARCHAR) AS value FROM documents WHERE {pred}"
+        for t, rule, c, pred in DOCUMENT_RULES
+    ]
+    for t, cols in (("documents", ("doc_id", "text", "lang", "source", "n_chars")), ("cells", ("doc_id", "lang", "source", "n_chars"))):
+        parts += [f"SELECT {q(t)}, 'not_null', {q(c)}, CAST(doc_id AS VARCHAR), NULL FROM documents WHERE {c} IS NULL" for c in cols]
+    key = "'{\"student_id\":\"' || student_id || '\",\"course_id\":\"' || course_id || '\"}'"
+    parts += [f"SELECT 'features', 'not_null', {q(c)}, {key}, NULL FROM filled WHERE {c} IS NULL" for c in ("last_event_date", "study_minutes")]
+    return w("\nUNION ALL\n".join(parts))
+
+
 def scope_first_sql(pred: str) -> str:
     """Rank within the scoped wide table."""
     return w(
@@ -430,7 +453,7 @@ def sql() -> dict[str, str]:
     none_courses = f"SELECT * FROM ce WHERE category = {q(R.VIEW_CATEGORY)} AND tag = {q(R.CHOSEN_TAG)}"
     none_risks = f"SELECT * FROM top1 WHERE coalesce(risk_score, 0.0) >= 38.0 AND tag = {q(R.CHOSEN_TAG)}"
     cm = lambda c: rnd(f"coalesce(avg(coalesce({c}, 0.0)), 0.0)")
-    return {
+    out = {
         # sources and sinks
         "csv_scan": w("SELECT * FROM tr_scores"),
         "fs_uri_scan": w("SELECT * FROM tr_students"),
@@ -441,6 +464,7 @@ def sql() -> dict[str, str]:
         ),
         "load_tables": w(totals_sql()),
         "upsert_by_key": upsert_sql(),
+        "upsert_stored": upsert_stored_sql(),
         "rows_to_json": w(
             "SELECT CAST(to_json(struct_pack(course_id := course_id, course_name := course_name, category := category,"
             " tag := tag, learners := learners, avg_score := avg_score, avg_progress := avg_progress,"
@@ -452,6 +476,7 @@ def sql() -> dict[str, str]:
         "dq_foreign_key": w(fk_sql() + "\nUNION ALL\n" + more_fk_sql()),
         "dq_types": w(types_sql() + "\nUNION ALL\n" + document_types_sql()),
         "dq_report": w(report_sql()),
+        "dq_offending_rows": offending_sql(),
         # features, wide table, expressions
         "pair_features": w("SELECT * FROM feats"),
         "right_join_features": w("SELECT * FROM filled"),
@@ -483,6 +508,8 @@ def sql() -> dict[str, str]:
         ),
         # panels
         "overview": w("SELECT * FROM ov"),
+        "overview_dashboard": w("SELECT * FROM ov"),
+        "overview_merged": w("SELECT * FROM ov"),
         "course_effect": w(f"SELECT * FROM ce ORDER BY {CE_ORDER}"),
         "tag_weakness": w(f"SELECT * FROM tw ORDER BY {TW_ORDER}"),
         "format_usage": w(
@@ -525,6 +552,7 @@ def sql() -> dict[str, str]:
             + ", score_level) AS INTEGER) AS position FROM (SELECT score_level, count(*) AS count FROM lc GROUP BY score_level)"
         ),
         "risk_list": w(f"SELECT {RISK_COLS}, CAST(row_number() OVER (ORDER BY {RISK_ORDER}) AS INTEGER) AS position FROM risk120"),
+        "risk_list_all": w(f"SELECT student_id, {RISK_COLS}, row_number() OVER (ORDER BY {RISK_ORDER}) AS position FROM top1"),
         "weakest_courses": w(
             f"SELECT *, CAST(row_number() OVER (ORDER BY {CE_ORDER}) AS INTEGER) AS position FROM"
             f" (SELECT * FROM ce ORDER BY {CE_ORDER} LIMIT 3)"
@@ -542,6 +570,16 @@ def sql() -> dict[str, str]:
             f" AND {keyword(R.VIEW_KEYWORD)}"
         ),
         "keyword_search": w(f"SELECT * FROM top1 WHERE coalesce(risk_score, 0.0) >= 0.0 AND {keyword(R.LITERAL_KEYWORD)}"),
+        "risk_cube": w("\nUNION ALL\n".join(
+            f"SELECT tag, false AS all_tags, {s}::DOUBLE AS step, count(*) FILTER (WHERE coalesce(risk_score, 0.0) >= {s}) AS risk_count FROM top1 GROUP BY tag"
+            f" UNION ALL SELECT NULL, true, {s}::DOUBLE, count(*) FILTER (WHERE coalesce(risk_score, 0.0) >= {s}) FROM top1"
+            for s in (0.0, 30.0, 38.0, 45.0, 55.0)
+        )),
+        "course_cube": w(
+            "SELECT category, tag, grouping(category) = 1 AS all_categories, grouping(tag) = 1 AS all_tags, count(*) AS course_count, "
+            + ", ".join(f"{rnd(f'avg(coalesce({c}, 0.0))')} AS {c}" for c in ("avg_score", "avg_progress", "pass_rate"))
+            + " FROM ce GROUP BY CUBE (category, tag)"
+        ),
         "metric_cards": w(
             f"SELECT (SELECT student_count FROM ov) AS student_count,"
             f" (SELECT count(*) FROM ({metric_courses})) AS course_count,"
@@ -585,3 +623,7 @@ def sql() -> dict[str, str]:
         "scope_first_teacher_risks": scope_first_sql(f"tag IN ({TEACHER})"),
         "scope_first_org_risks": scope_first_sql(f"organization = {q(R.ORGANIZATION)}"),
     }
+    # From stored states, an index or cubes: the same rows as from the tables.
+    same = {"pair_features": "pair_features_refreshed", "format_usage": "format_usage_refreshed", "weekly_activity": "weekly_activity_refreshed",
+            "keyword_search": "keyword_search_indexed", "metric_cards": "metric_cards_from_cubes"}
+    return {**out, **{new: out[old] for old, new in same.items()}}

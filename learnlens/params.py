@@ -44,6 +44,8 @@ class Params:
     pass_score: float = 60.0
     weak_below: float = 60.0
     risk_threshold: float = 38.0
+    # The thresholds that the page's filter offers.
+    risk_steps: tuple[float, ...] = (0.0, 30.0, 38.0, 45.0, 55.0)
     # risk = max(0, base - score_weight*final - progress_weight*progress
     #              - min(minutes / minutes_divisor, minutes_cap))
     risk_base: float = 100.0

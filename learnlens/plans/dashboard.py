@@ -9,27 +9,35 @@ each panel with a parallel writer instead of collecting it.
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from learnlens.functions.expressions import clean_keyword
+from learnlens.operators import cubes
 from learnlens.operators import panels as P
 from learnlens.operators.features import PANEL_COLUMNS, learner_course
 from learnlens.operators.recommend import recommendations, recommendations_filtered
+from learnlens.operators.search import trigram_index
 from learnlens.operators.views import (
+    SEARCHED,
     card_texts,
     filter_courses,
     filter_options,
     filter_risks,
     filter_tags,
+    formatted_cards,
     metric_cards,
+    rounded_cards,
     scope_organization,
     scope_teacher,
+    search_risks,
 )
 from learnlens.params import DEFAULTS, Params
-from learnlens.session import remove_scratch, scratch_path
+from learnlens.session import file_marks, remove_scratch, scratch_path, shared_root
 from learnlens.tables import Tables
 
 MATERIALIZE = ("table", "checkpoint", "persist", "none")
@@ -44,10 +52,14 @@ class Dashboard:
     learner_course: DataFrame
     course_effect: DataFrame
     learner_risk: DataFrame
+    champions: DataFrame  # each learner's riskiest course of each tag
     tag_weakness: DataFrame
     learners: DataFrame  # the overview's row without the course count
+    risk_cube: DataFrame  # risk rows by tag and threshold
+    course_cube: DataFrame  # cards by category and tag
     panels: dict[str, DataFrame]
     params: Params = DEFAULTS
+    index: DataFrame | None = None  # trigrams of the risk rows
     _kept: list[DataFrame | str] = field(default_factory=list)
 
     def close(self) -> None:
@@ -60,7 +72,9 @@ class Dashboard:
         self._kept.clear()
 
 
-def materialize(df: DataFrame, how: str = "table", kept: list | None = None, name: str = "learner_course") -> DataFrame:
+def materialize(
+    df: DataFrame, how: str = "table", kept: list | None = None, name: str = "learner_course", run: str | None = None
+) -> DataFrame:
     """Make a reused DataFrame cheap to read again.
 
     ``table``: Parquet in the shared folder, read back: lineage is cut, so a
@@ -68,7 +82,8 @@ def materialize(df: DataFrame, how: str = "table", kept: list | None = None, nam
     pushdown. ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir``
     (same guarantees). ``persist``: memory and disk; lost blocks are recomputed
     from lineage. ``none``: recomputed by every reader. What must be freed
-    later is added to ``kept``.
+    later is added to ``kept``. With ``run`` (see ``run_name``) a table lies in a folder of
+    that name, and one that a broken run has finished there is read and not computed again.
     """
     kept = [] if kept is None else kept
     if how == "persist":
@@ -78,8 +93,9 @@ def materialize(df: DataFrame, how: str = "table", kept: list | None = None, nam
         scratch_path(df.sparkSession, "ckpt")  # makes sure the dir is set
         return df.checkpoint(eager=True)
     if how == "table":
-        path = scratch_path(df.sparkSession, name)
-        df.write.mode("overwrite").parquet(path)
+        path = scratch_path(df.sparkSession, name) if run is None else f"{shared_root(df.sparkSession)}/learnlens/{run}/{name}"
+        if run is None or not is_complete(df.sparkSession, path):
+            df.write.mode("overwrite").parquet(path)
         kept.append(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
     if how == "none":
@@ -87,11 +103,41 @@ def materialize(df: DataFrame, how: str = "table", kept: list | None = None, nam
     raise ValueError(f"materialize must be one of {MATERIALIZE}")
 
 
-def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "table") -> Dashboard:
+def is_complete(spark, path: str) -> bool:
+    """Whether a written table has all its files: its job's last act is to say so."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def run_name(tables: Tables, params: Params) -> str | None:
+    """The same for the same input files (names, sizes, times) and parameters; None for
+    tables that are not read from files."""
+    parts = [repr(params)]
+    for name, df in tables.as_dict().items():
+        files = df.inputFiles()
+        if not files:
+            return None
+        parts.append(name)
+        # One listing for each folder.
+        for folder in sorted({f.rpartition("/")[0] for f in files}):
+            parts.append(folder)
+            parts += file_marks(df.sparkSession, folder)
+        parts += sorted(files)
+    return f"run-{hashlib.sha256(chr(10).join(parts).encode()).hexdigest()[:24]}"
+
+
+def build_dashboard(
+    tables: Tables, params: Params = DEFAULTS, how: str = "table", resume: bool = False, index: bool = False
+) -> Dashboard:
     """Materialise the wide table, then the small results over it, in the same
-    way; independent ones concurrently."""
+    way; independent ones concurrently.
+
+    ``resume``: tables are named by the inputs and parameters, and those that a broken run
+    over the same inputs finished are used as they are (``how="table"`` only). ``index``: the risk
+    rows also get a trigram index, which keyword searches read instead of them."""
     kept: list = []
-    keep = lambda name, df: materialize(df, how, kept, name)
+    run = run_name(tables, params) if resume and how == "table" else None
+    keep = lambda name, df: materialize(df, how, kept, name, run)
     ev = {
         "format_usage": lambda: P.format_usage(tables.events, tables.resources, params),
         "weekly_activity": lambda: P.weekly_activity(tables.events, params),
@@ -99,15 +145,21 @@ def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "table
     wide = {"learner_course": lambda: learner_course(tables, params).select(*PANEL_COLUMNS)}
     base = run_concurrently({**wide, **ev}, lambda name, make: keep(name, make()), first=EVENT_PANELS)
     lc = base["learner_course"]
+    ranked = ["student_id", "course_id", *P.RISK_COLUMNS]
     small = {
         "course_effect": lambda: P.course_effect(lc, params),
         "tag_weakness": lambda: P.tag_weakness(lc, params),
         "score_distribution": lambda: P.score_distribution(lc, params),
         "top_risk": lambda: P.top_risk_per_learner(lc, params),
+        "champions": lambda: P.risk_champions(lc.select(*ranked)),
         "learners": lambda: P.overview(lc, params, courses=False),
     }
     base.update(run_concurrently(small, lambda name, make: keep(name, make())))
     ce, risk, tw = base["course_effect"], base["top_risk"], base["tag_weakness"]
+    last = {"risk_cube": lambda: cubes.risk_cube(risk, params), "course_cube": lambda: cubes.course_cube(ce)}
+    if index:
+        last["index"] = lambda: trigram_index(risk, "student_id", SEARCHED)
+    base.update(run_concurrently(last, lambda name, make: keep(name, make())))
     panels = {
         "overview": P.with_course_count(base["learners"], ce),
         "course_effect": P.ordered(ce, "course_effect", params),
@@ -118,7 +170,7 @@ def build_dashboard(tables: Tables, params: Params = DEFAULTS, how: str = "table
         "learner_risk": P.capped_risks(risk, params).select(*P.RISK_COLUMNS),
         "recommendations": recommendations(ce, params),
     }
-    return Dashboard(tables, lc, ce, risk, tw, base["learners"], panels, params, kept)
+    return Dashboard(tables, lc, ce, risk, base["champions"], tw, base["learners"], base["risk_cube"], base["course_cube"], panels, params, base.get("index"), kept)
 
 
 # Panels that read only the events: started first, so they run while the
@@ -148,14 +200,24 @@ def filtered_view(dash: Dashboard, category=None, tag=None, risk: float | None =
     """One state of the browser's filters as DataFrames."""
     p = dash.params
     courses = filter_courses(dash.course_effect, category, tag, p)
-    risks = filter_risks(dash.learner_risk, tag, risk, keyword, p)
+    if dash.index is not None:
+        risks = search_risks(dash.learner_risk, dash.index, tag, risk, keyword, p)
+    else:
+        risks = filter_risks(dash.learner_risk, tag, risk, keyword, p)
+    counted = None
+    if clean_keyword(keyword) or not cubes.has_step(risk, p):
+        cards, texts = metric_cards(courses, risks, dash.learners, p), card_texts(courses, risks, dash.learners)
+    else:
+        counted = cubes.risk_count(dash.risk_cube, tag, risk, p)
+        values = cubes.card_values(dash.course_cube, dash.risk_cube, dash.learners, category, tag, risk, p)
+        cards, texts = rounded_cards(values, p), formatted_cards(values)
     return {
         "courses": P.ordered(courses, "course_effect", p),
         "tags": P.ordered(filter_tags(dash.tag_weakness, courses, tag, p), "tag_weakness", p),
         "risks": P.ordered(risks, "learner_risk", p).select(*P.RISK_COLUMNS),
-        "cards": metric_cards(courses, risks, dash.learners, p),
-        "card_texts": card_texts(courses, risks, dash.learners),
-        "recommendations": recommendations_filtered(courses, risks, p),
+        "cards": cards,
+        "card_texts": texts,
+        "recommendations": recommendations_filtered(courses, risks, p, counted),
         "options": filter_options(dash.course_effect),
     }
 
@@ -173,14 +235,14 @@ def scoped(
     shows no rows); organization manager: risk rows of the organization
     (``None``: no filter); anyone else: unfiltered. ``ACCOUNT`` (default)
     takes the scope from ``params``. By default the scope applies after
-    top-1, as in the reference; ``scope_first`` scopes the wide table before
-    ranking instead. A scope's risk rows are not capped.
+    top-1, as in the original; ``scope_first`` ranks within the scope instead, among
+    each learner's champions by tag. A scope's risk rows are not capped.
     """
     p = dash.params
     out = dict(dash.panels)
 
     def risks(scope, what):
-        rows = P.top_risk_per_learner(scope(dash.learner_course, what), p) if scope_first else scope(dash.learner_risk, what)
+        rows = P.top_risk_per_learner(scope(dash.champions, what), p) if scope_first else scope(dash.learner_risk, what)
         return P.ordered(rows, "learner_risk", p).select(*P.RISK_COLUMNS)
 
     if role == "teacher":

@@ -28,9 +28,9 @@ PANELS = (
 )
 
 
-def _parts(dash: Dashboard, role, allowed_tags, organization) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def _parts(dash: Dashboard, role, allowed_tags, organization, scope_first: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(small, large) parts; the served risk list keeps its cap in a scope too."""
-    panels = dict(scoped(dash, role, allowed_tags, organization) if role else dash.panels)
+    panels = dict(scoped(dash, role, allowed_tags, organization, scope_first) if role else dash.panels)
     if dash.params.risk_table_limit:
         panels["learner_risk"] = panels["learner_risk"].limit(dash.params.risk_table_limit)
     small, large = {}, {}
@@ -48,17 +48,21 @@ def _document(small: dict[str, DataFrame]) -> dict:
     return out
 
 
-def dashboard_payload(dash: Dashboard, role: str | None = None, allowed_tags=ACCOUNT, organization=ACCOUNT) -> dict:
-    small, large = _parts(dash, role, allowed_tags, organization)
+def dashboard_payload(
+    dash: Dashboard, role: str | None = None, allowed_tags=ACCOUNT, organization=ACCOUNT, scope_first: bool = False
+) -> dict:
+    small, large = _parts(dash, role, allowed_tags, organization, scope_first)
     if large:
         raise ValueError(f"more than {PART_ROWS} rows in {', '.join(large)}: use write_payload")
     return _document(small)
 
 
-def write_payload(dash: Dashboard, uri: str, role: str | None = None, allowed_tags=ACCOUNT, organization=ACCOUNT) -> str:
+def write_payload(
+    dash: Dashboard, uri: str, role: str | None = None, allowed_tags=ACCOUNT, organization=ACCOUNT, scope_first: bool = False
+) -> str:
     """The dashboard document under ``uri/dashboard``, large parts beside it."""
     base = uri.rstrip("/")
-    small, large = _parts(dash, role, allowed_tags, organization)
+    small, large = _parts(dash, role, allowed_tags, organization, scope_first)
     doc = _document(small)
     doc.update({name: {"files": path} for name, path in write_dashboard(large, base).items()})
     return write_document(dash.learner_course.sparkSession, doc, f"{base}/dashboard")
@@ -71,6 +75,17 @@ def chart_payload(dash: Dashboard) -> dict:
     return {"categories": [r.course_name for r in rows], "values": [r.avg_score for r in rows]}
 
 
+def write_chart(dash: Dashboard, uri: str) -> str:
+    """The chart document under ``uri/chart``; of more than ``PART_ROWS`` courses the rows
+    lie beside it as JSON lines, in order, and the document names the folder."""
+    rows = skill_score_rows(dash.course_effect, dash.params)
+    if rows.limit(PART_ROWS + 1).count() > PART_ROWS:
+        doc = {"files": write_dashboard({"chart_rows": rows}, uri)["chart_rows"]}
+    else:
+        doc = chart_payload(dash)
+    return write_document(dash.learner_course.sparkSession, doc, f"{uri.rstrip('/')}/chart")
+
+
 def to_json(doc: dict) -> str:
     def default(v):
         if isinstance(v, (dt.date, dt.datetime)):

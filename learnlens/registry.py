@@ -22,15 +22,18 @@ from learnlens.functions.expressions import (
     week_label,
     week_start,
 )
+from learnlens.operators import cubes, distinct
 from learnlens.operators import panels as P
 from learnlens.operators import quality as Q
 from learnlens.operators import views as V
 from learnlens.operators.features import join_courses, learner_course, null_fill, pair_features, scored_features
 from learnlens.operators.recommend import recommendations, recommendations_filtered
+from learnlens.operators.search import trigram_index
 from learnlens.params import DEFAULTS
+from learnlens.plans import refresh
 from learnlens.schemas import FOREIGN_KEYS
-from learnlens.session import scratch_path
-from learnlens.sources import readers, writers
+from learnlens.session import scratch_path, stored
+from learnlens.sources import keyed, publications, readers, writers
 from learnlens.sources import testdata as TD
 from learnlens.tables import Tables
 
@@ -78,22 +81,22 @@ def q_csv_scan(spark, sf):
     """The files' columns are in another order than the schema's, and one more."""
     scores = TD.scores(spark, sf)
     published = scores.select("final_score", F.lit("x").alias("note"), *[c for c in scores.columns if c != "final_score"][::-1])
-    path = writers.publish_files(published, scratch_path(spark, "scores_csv"))
+    path = publications.publish_files(published, scratch_path(spark, "scores_csv"))
     return readers.read_csv(spark, path, scores.schema)
 
 
 def q_fs_uri_scan(spark, sf):
     students = TD.students(spark, sf)
     base = scratch_path(spark, "fs")
-    writers.publish_files(students, readers.table_uri(base, "students"))
+    publications.publish_files(students, readers.table_uri(base, "students"))
     return readers.read_csv(spark, readers.table_uri(base, "students"), students.schema)
 
 
 def q_publish_files(spark, sf):
     events = TD.events(spark, sf)
     uri = scratch_path(spark, "events_csv")
-    writers.publish_files(TD.students(spark, sf), uri)  # an older publication, replaced below
-    writers.publish_files(events, uri)
+    publications.publish_files(TD.students(spark, sf), uri)  # an older publication, replaced below
+    publications.publish_files(events, uri)
     return readers.read_csv(spark, uri, events.schema)
 
 
@@ -137,6 +140,21 @@ def q_upsert_by_key(spark, sf):
     return writers.upsert_by_key(target, incoming, ["student_id", "course_id"], ["o_orderdate", "o_orderkey"])
 
 
+def q_upsert_stored(spark, sf):
+    """A stored table of scores, updated in place by two batches."""
+    orders = TD.read_raw(spark, sf, "orders").withColumns({
+        "student_id": F.col("o_custkey"), "course_id": (F.col("o_orderkey") % TD.SCORE_COURSES).cast("int"),
+        "final_score": F.col("o_totalprice") / 5000,
+    })
+    keys, order = ["student_id", "course_id"], ["o_orderdate", "o_orderkey"]
+    batch = lambda status: orders.where(F.col("o_orderstatus") == status).select(*keys, "final_score", *order)
+    path = scratch_path(spark, "scores_keyed")
+    keyed.write_keyed(writers.latest_by_key(batch("O"), keys, order).select(*keys, "final_score"), path, keys, parts=16)
+    for status in ("F", "P"):
+        keyed.upsert_keyed(spark, path, batch(status), keys, order, parts=16)
+    return keyed.read_keyed(spark, path)
+
+
 def q_rows_to_json(spark, sf):
     return writers.rows_to_json(ce(spark, sf).select(
         "course_id", "course_name", "category", "tag", "learners", "avg_score", "avg_progress", "study_minutes", "pass_rate"
@@ -179,12 +197,27 @@ CELL_TYPES = {"doc_id": ("tinyint",), "lang": ("int",), "source": ("date",), "n_
 def q_dq_types(spark, sf):
     docs = TD.read_raw(spark, sf, "documents")
     cells = docs.select(*CELL_TYPES)
-    path = writers.publish_files(cells, scratch_path(spark, "cells_csv"))
+    path = publications.publish_files(cells, scratch_path(spark, "cells_csv"))
     as_text = readers.read_csv(spark, path, cells.schema, as_text=True)
     parts = [Q.type_violations(df, name) for name, df in tables(spark, sf).as_dict().items()]
     return union_all([*parts, Q.type_violations(docs, "documents", DOCUMENT_TYPES), Q.type_violations(as_text, "cells", CELL_TYPES)])
 
 
+def q_dq_offending_rows(spark, sf):
+    docs = TD.read_raw(spark, sf, "documents")
+    cells = docs.select(*CELL_TYPES)
+    path = publications.publish_files(cells, scratch_path(spark, "cells_csv"))
+    as_text = readers.read_csv(spark, path, cells.schema, as_text=True)
+    t = tables(spark, sf)
+    features = scored_features(t.events, t.scores)
+    not_null = {c: ("varchar", 64) for c in ("last_event_date", "study_minutes")}
+    return union_all([
+        Q.offending_cells(docs, "documents", ["doc_id"], DOCUMENT_TYPES),
+        Q.offending_cells(as_text, "cells", ["doc_id"], CELL_TYPES),
+        Q.offending_cells(features, "features", ["student_id", "course_id"], not_null),
+    ])
+
+
 def q_dq_report(spark, sf):
     return Q.quality_report(tables(spark, sf))
 
@@ -256,6 +289,21 @@ def q_overview(spark, sf):
     return P.overview(lc(spark, sf))
 
 
+def q_overview_dashboard(spark, sf):
+    """As the dashboard ships it: learners' part, course count from the course panel."""
+    base = lc(spark, sf)
+    return P.with_course_count(P.overview(base, courses=False), P.course_effect(base))
+
+
+def q_overview_merged(spark, sf):
+    """Learners are numbered in two steps, as two loads would."""
+    base = lc(spark, sf)
+    students = TD.students(spark, sf).select("student_id")
+    first = distinct.numbered(students.where(F.col("student_id") % 2 == 0))
+    learners = distinct.numbered(students, known=first)
+    return P.overview_merged(base, learners, distinct.numbered(base.select("course_id")))
+
+
 def q_course_effect(spark, sf):
     return P.ordered(ce(spark, sf), "course_effect")
 
@@ -277,6 +325,33 @@ def q_weekly_activity_by_date(spark, sf):
     return P.ordered(P.weekly_activity_by_date(TD.events(spark, sf)), "weekly_activity_by_date")
 
 
+# Events of the first load; later ones come as two batches, the second one twice.
+FIRST_LOAD_TO, SECOND_TO = "1995-01-01", "1997-01-01"
+
+
+def refreshed(spark, sf) -> dict[str, DataFrame]:
+    events = TD.events(spark, sf)
+    day = F.col("event_date")
+    uri = scratch_path(spark, "event_states")
+    refresh.add_events(spark, uri, events.where(day < FIRST_LOAD_TO), "first")
+    refresh.add_events(spark, uri, events.where((day >= FIRST_LOAD_TO) & (day < SECOND_TO)), "second")
+    for _ in range(2):
+        refresh.add_events(spark, uri, events.where((day >= SECOND_TO) | day.isNull()), "third")
+    return refresh.states(spark, uri)
+
+
+def q_pair_features_refreshed(spark, sf):
+    return refresh.pair_features(refreshed(spark, sf)["resources"])
+
+
+def q_format_usage_refreshed(spark, sf):
+    return P.ordered(refresh.format_usage(refreshed(spark, sf)["resources"], tables(spark, sf).resources), "format_usage")
+
+
+def q_weekly_activity_refreshed(spark, sf):
+    return P.ordered(refresh.weekly_activity(refreshed(spark, sf)["weeks"]), "weekly_activity")
+
+
 def q_score_distribution(spark, sf):
     return P.ordered(P.score_distribution(lc(spark, sf)), "score_distribution")
 
@@ -314,6 +389,11 @@ def q_risk_list(spark, sf):
     return P.with_position(capped, P.ORDER["learner_risk"](DEFAULTS)).select(*P.RISK_COLUMNS, "position")
 
 
+def q_risk_list_all(spark, sf):
+    """The list without a cap: a position for every learner."""
+    return P.risk_positions(top(spark, sf)).select("student_id", *P.RISK_COLUMNS, "position")
+
+
 def q_weakest_courses(spark, sf):
     weak = P.weakest_courses(ce(spark, sf), DEFAULTS.weak_courses)
     return P.with_position(weak, P.ORDER["course_effect"](DEFAULTS))
@@ -369,6 +449,28 @@ def q_keyword_search(spark, sf):
     return V.filter_risks(top(spark, sf), None, 0.0, LITERAL_KEYWORD)
 
 
+def q_keyword_search_indexed(spark, sf):
+    """The same search by way of the stored trigrams."""
+    risks = stored(top(spark, sf), "risks")
+    index = stored(trigram_index(risks, "student_id", V.SEARCHED), "trigrams")
+    return V.search_risks(risks, index, None, 0.0, LITERAL_KEYWORD)
+
+
+def q_risk_cube(spark, sf):
+    return cubes.risk_cube(top(spark, sf))
+
+
+def q_course_cube(spark, sf):
+    return round_columns(cubes.course_cube(ce(spark, sf)), list(cubes.MEANS))
+
+
+def q_metric_cards_from_cubes(spark, sf):
+    base = lc(spark, sf)
+    ov = P.overview(base, courses=False)
+    values = cubes.card_values(cubes.course_cube(P.course_effect(base)), cubes.risk_cube(P.top_risk_per_learner(base)), ov, VIEW_CATEGORY)
+    return V.rounded_cards(values)
+
+
 def q_metric_cards(spark, sf):
     base = lc(spark, sf)
     courses = V.filter_courses(P.course_effect(base), VIEW_CATEGORY, None)
@@ -416,12 +518,12 @@ def q_scope_org_risks(spark, sf):
 
 
 def q_scope_first_teacher_risks(spark, sf):
-    """Option: scope the wide table first, then rank within it."""
-    return P.top_risk_per_learner(V.scope_teacher(lc(spark, sf), TEACHER_TAGS)).select(*P.RISK_COLUMNS)
+    """Option: rank within the scope, among each learner's champions by tag."""
+    return P.top_risk_per_learner(V.scope_teacher(P.risk_champions(lc(spark, sf)), TEACHER_TAGS)).select(*P.RISK_COLUMNS)
 
 
 def q_scope_first_org_risks(spark, sf):
-    return P.top_risk_per_learner(V.scope_organization(lc(spark, sf), ORGANIZATION)).select(*P.RISK_COLUMNS)
+    return P.top_risk_per_learner(V.scope_organization(P.risk_champions(lc(spark, sf)), ORGANIZATION)).select(*P.RISK_COLUMNS)
 
 
 QUERIES: dict[str, Query] = {

@@ -108,5 +108,8 @@ DECLARED: dict[str, dict[str, tuple]] = {
 
 # -----------------------------------------------------------------------------
 
+# Where a CSV read keeps the source line of a row that does not fit its columns.
+CORRUPT = "_corrupt_record"
+
 # Columns of the SQL projections, in store order.
 COLUMNS = {name: tuple(f.name for f in schema.fields) for name, schema in SCHEMAS.items()}

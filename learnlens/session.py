@@ -90,6 +90,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_marks(spark: SparkSession, folder: str) -> list[str]:
+    """Name, size and time of the files in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in found)
+
+
 def remove_scratch(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``scratch_path`` named, on the path's own file system."""
     if f"{shared_root(spark)}/learnlens/" not in path:

@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learnlens.schemas import COLUMNS, FILE_NAMES, SCHEMAS, SQL_TABLES, TABLES
+from learnlens.schemas import COLUMNS, CORRUPT, FILE_NAMES, SCHEMAS, SQL_TABLES, TABLES
+from learnlens.sources.publications import published_path
 from learnlens.tables import Tables
 
 
-CORRUPT = "_corrupt_record"
-
-
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of the header line (reads one line)."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
@@ -29,7 +27,7 @@ def read_csv(
     as_text: bool = False,
     keep_corrupt: bool = False,
 ) -> DataFrame:
-    """CSV with a header line, columns found by name.
+    """CSV with a header line, columns found by name; of a publication, its current version.
 
     With a schema there is no inference pass: the types are put in the order
     of the header, undeclared columns are left out, a missing one raises, and a
@@ -39,6 +37,7 @@ def read_csv(
     ``keep_corrupt`` adds such rows' source line in ``_corrupt_record``.
     ``infer=True`` reproduces the reference's inferred types instead.
     """
+    path = published_path(spark, path)
     reader = spark.read.option("header", True)
     if schema is None or infer:
         return reader.option("inferSchema", True).csv(path)
@@ -63,8 +62,10 @@ def table_uri(base: str, name: str, file_names: dict[str, str] = FILE_NAMES) ->
     return f"{base.rstrip('/')}/{file_names.get(name, name)}"
 
 
-def read_fs_csv(spark: SparkSession, base: str, name: str, infer: bool = False, as_text: bool = False) -> DataFrame:
-    return read_csv(spark, table_uri(base, name), SCHEMAS.get(name), infer, as_text)
+def read_fs_csv(
+    spark: SparkSession, base: str, name: str, infer: bool = False, as_text: bool = False, keep_corrupt: bool = False
+) -> DataFrame:
+    return read_csv(spark, table_uri(base, name), SCHEMAS.get(name), infer, as_text, keep_corrupt)
 
 
 def read_jdbc(
@@ -172,12 +173,13 @@ def load_tables(
     infer: bool = False,
     jdbc_partitions: dict[str, dict] | None = None,
     as_text: bool = False,
+    keep_corrupt: bool = False,
 ) -> Tables:
     """The five tables from one source.
 
     ``jdbc_partitions`` has ``read_jdbc`` arguments per table (see
     ``jdbc_predicates``); ``as_text`` reads CSV cells as text, for the quality
-    report.
+    report, and ``keep_corrupt`` adds the source line of rows that do not fit the columns.
 
     ``source`` is case-insensitive: ``parquet`` (``base/<name>.parquet``),
     ``hdfs`` (CSV under any file-system URI), ``mysql``/``jdbc`` (SQL tables)
@@ -200,6 +202,6 @@ def load_tables(
         raise ValueError("a file source needs base")
     if kind == "parquet":
         return Tables.from_dict(
-            {n: spark.read.parquet(f"{base.rstrip('/')}/{n}.parquet") for n in TABLES}
+            {n: spark.read.parquet(published_path(spark, f"{base.rstrip('/')}/{n}.parquet")) for n in TABLES}
         )
-    return Tables.from_dict({n: read_fs_csv(spark, base, n, infer, as_text) for n in TABLES})
+    return Tables.from_dict({n: read_fs_csv(spark, base, n, infer, as_text, keep_corrupt) for n in TABLES})

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from learnlens.plans.dashboard import build_dashboard, write_dashboard
 from learnlens.schemas import FILE_NAMES, SCHEMAS
 from learnlens.session import scratch_path
-from learnlens.sources import readers, writers
+from learnlens.sources import publications, readers, writers
 
 
 def _publish_micro(spark, micro, base):
     for name, df in micro.as_dict().items():
-        writers.publish_files(df, readers.table_uri(base, name))
+        publications.publish_files(df, readers.table_uri(base, name))
 
 
 def test_csv_layout_round_trip(spark, micro):
@@ -114,8 +114,8 @@ def test_rows_to_json_cap(spark, micro):
 
 def test_publish_replaces(spark, micro):
     uri = scratch_path(spark, "publish")
-    writers.publish_files(micro.events, uri)
-    writers.publish_files(micro.events.limit(2), uri)
+    publications.publish_files(micro.events, uri)
+    publications.publish_files(micro.events.limit(2), uri)
     assert readers.read_csv(spark, uri, SCHEMAS["events"]).count() == 2
 
 
@@ -146,7 +146,12 @@ def test_command_line(spark, micro):
     assert [r.student_name for r in spark.read.json(scope["learner_risk"]).collect()] == ["Cy"]
     capped = main(["dashboard", "--base", base, "--out", out + "-c", "--risk-limit", "1"])
     assert spark.read.json(capped["learner_risk"]).count() == 1
-    q = main(["quality", "--base", base, "--out", out + "-q"])
+    ranked = main(["payload", "--base", base, "--out", out + "-p", "--role", "teacher", "--tags", "T1", "--scope-first"])
+    plain = main(["payload", "--base", base, "--out", out + "-p2", "--role", "teacher", "--tags", "T1"])
+    risks = [len(json.loads(spark.read.text(p["dashboard"]).first().value)["learner_risk"]) for p in (ranked, plain)]
+    assert risks == [3, 2]  # every learner of T1, against those whose riskiest course has it
+    q = main(["quality", "--base", base, "--out", out + "-q", "--rows"])
+    assert {n for n in q if n.startswith("offending_")} == {f"offending_{n}" for n in SCHEMAS}
     assert spark.read.json(q["quality_report"]).where("violations > 0").count() == 2
 
 
@@ -256,13 +261,56 @@ def test_jdbc_reads_are_split_and_use_cursors():
     assert "useCursorFetch" not in readers.jdbc_properties("jdbc:postgresql://h/d")
 
 
-def test_refresh_empties_children_first():
-    assert writers.refresh_statements() == [
-        "SET FOREIGN_KEY_CHECKS = 0",
-        "TRUNCATE TABLE `assessment_scores`", "TRUNCATE TABLE `learning_events`", "TRUNCATE TABLE `resources`",
-        "TRUNCATE TABLE `courses`", "TRUNCATE TABLE `students`",
-        "SET FOREIGN_KEY_CHECKS = 1",
+def test_refresh_fills_staging_tables_and_renames_all_at_once():
+    before = writers.staging_statements()
+    assert before[:5] == [f"DROP TABLE IF EXISTS `{t}__new`" for t in ("assessment_scores", "learning_events", "resources", "courses", "students")]
+    assert [s for s in before if s.startswith("CREATE")] == [
+        f"CREATE TABLE `{t}__new` LIKE `{t}`" for t in ("students", "courses", "resources", "learning_events", "assessment_scores")
     ]
+    # References are declared between staging tables, after both of them are made.
+    references = [s for s in before if s.startswith("ALTER")]
+    assert len(references) == 6
+    assert "ALTER TABLE `learning_events__new` ADD FOREIGN KEY (`resource_id`) REFERENCES `resources__new` (`resource_id`)" in references
+    for s in references:
+        child, parent = s.split("`")[1], s.split("`")[5]
+        assert before.index(f"CREATE TABLE `{parent}` LIKE `{parent[:-5]}`") < before.index(f"CREATE TABLE `{child}` LIKE `{child[:-5]}`") < before.index(s)
+    rename, *drops = writers.switch_statements()
+    assert rename.startswith("RENAME TABLE `students` TO `students__old`, `students__new` TO `students`, `courses` TO")
+    assert rename.count(" TO ") == 10 and drops[0] == "DROP TABLE IF EXISTS `assessment_scores__old`"
+    # A table whose parent is replaced would go on referring to the former parent.
+    with pytest.raises(ValueError, match="learning_events|events"):
+        writers.staging_statements(["students", "scores"])
+    assert any("REFERENCES `students` (" in s for s in writers.staging_statements(["events", "scores"]))
+
+
+def test_refresh_stores_one_row_for_a_repeated_key(spark, micro):
+    """The order of the statements and inserts, and the rows that would be inserted."""
+    done = []
+
+    class Frame:
+        """Stands for a table: records its insert."""
+
+        def __init__(self, name):
+            self.name, self.sparkSession, self.write = name, spark, self
+
+        def jdbc(self, url, table, mode, properties):
+            done.append((table, mode))
+
+    tables = {n: Frame(n) for n in SCHEMAS}
+    rows, writers.unique_rows = writers.unique_rows, lambda name, df, order: df
+    try:
+        names = writers.jdbc_full_refresh(tables, "jdbc:x", run=lambda s, u, p, statements: done.append(statements[-1].split("`")[0]))
+    finally:
+        writers.unique_rows = rows
+    assert names == ["students", "courses", "resources", "events", "scores"]
+    assert done == [
+        "ALTER TABLE ", ("students__new", "append"), ("courses__new", "append"), ("resources__new", "append"),
+        ("learning_events__new", "append"), ("assessment_scores__new", "append"), "DROP TABLE IF EXISTS ",
+    ]
+    twice = micro.scores.withColumn("line", F.lit(1)).unionByName(micro.scores.withColumn("line", F.lit(2)).withColumn("final_score", F.lit(1.5)))
+    stored = writers.unique_rows("scores", twice, ["line"])
+    assert stored.columns == [f.name for f in SCHEMAS["scores"].fields] and stored.count() == micro.scores.count()
+    assert {r.final_score for r in stored.collect()} == {1.5}
 
 
 def test_decimal_scores_give_the_same_dashboard(spark, micro):
@@ -295,4 +343,7 @@ def test_large_payload_parts_are_files(spark, micro, monkeypatch):
     uri = payload.write_payload(d, scratch_path(spark, "payload"))
     doc = _json.loads(spark.read.text(uri).first().value)
     assert spark.read.json(doc["learner_risk"]["files"]).count() == 3 and len(doc["course_effect"]) == 2
+    monkeypatch.setattr(payload, "PART_ROWS", 1)
+    chart = _json.loads(spark.read.text(payload.write_chart(d, scratch_path(spark, "chart"))).first().value)
+    assert spark.read.json(chart["files"]).count() == 2
     d.close()
