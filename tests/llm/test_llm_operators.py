@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, quality, resharding, secrets, url_filters
 from learnlens.llm import sentencepiece_codec as sp
@@ -439,6 +440,28 @@ def test_rewrite_of_affected_shards_only(spark, tmp_path):
 # --- quality
 
 
+def local_exchange(pool):
+    """All rows of a table in memory, sorted instead of counted by steps."""
+
+    def exchange(text, meta, good, share):
+        out = []
+        for m in quality.margins(pool, text, meta):
+            step = quality.steps(m)
+            y = np.full(len(pool), -1)
+            n, sure = len(pool) * share, np.log(quality.SURE / (1 - quality.SURE))
+            for label, key, most in ((1, -step, n * good), (0, step, n * (1 - good))):
+                # The surest steps that together hold at most so many rows.
+                for k in np.unique(key):
+                    # A step's edge away from the middle, against the least margin.
+                    edge = -k * quality.STEP - quality.FAR if label else quality.FAR - (k + 1) * quality.STEP
+                    if (key <= k).sum() <= most and edge >= sure - quality.STEP / 2:
+                        y[key == k] = label
+            out.append(pool.assign(y=y)[y >= 0])
+        return out
+
+    return exchange
+
+
 def test_co_training_hands_pseudo_labels_to_the_other_view():
     import pandas as pd
 
@@ -451,8 +474,55 @@ def test_co_training_hands_pseudo_labels_to_the_other_view():
         return out.assign(y=y, held=rng.random(n) < 0.3) if labelled else out
 
     known, pool = rows(200, True), rows(300, False)
-    model = quality.co_train(known, pool)
-    assert model.rounds[-1][0] > model.rounds[0][0] - 1 and model.rounds[-1][1] > 0
+    edges = [np.quantile([f[j] for f in pool["feats"]], np.linspace(0, 1, 11)[1:-1]) for j in range(len(quality.TEXT_FEATURES))]
+    text, meta = quality.View(len(edges), edges), quality.View(1, [np.array([4.0])], [{"en": 1}, {"s0": 1, "s1": 2}, {"null": 1}])
+    model = quality.co_train(known, text, meta, local_exchange(pool))
+    assert model.rounds[-1][1] > model.rounds[0][1] > 0
     test = rows(300, True)
     _, _, s = model.score(quality._numbers(test), quality._lengths(test), quality._categories(test))
     assert ((s > 0.5) == test.y.to_numpy()).mean() > 0.95
+
+
+def test_training_in_tasks_equals_training_in_memory(spark, monkeypatch):
+    """The exchange over all rows by Spark, and the same over a table in memory."""
+    from learnlens.llm.common import save, table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels, pages = (table(spark, sf, t) for t in ("documents", "labels", "pages"))
+    rows = save(quality.features(docs, pages, quality.labelled_rows(docs, labels)), "views")
+    model = quality.train(rows)
+    local = rows.withColumn("h", F.xxhash64("doc_id", "n_chars", "feats")).toPandas().sort_values("h")
+    known, pool = local[local.y.notna()], local[local.y.isna()].drop(columns=["y"])
+    text, meta = quality.views_of(rows)
+    plain = quality.co_train(known, text, meta, local_exchange(pool))
+    assert plain.rounds == model.rounds and plain.rounds[-1][1] > 20
+    for a, b in ((plain.text, model.text), (plain.meta, model.meta)):
+        assert np.allclose(a.weights, b.weights, atol=1e-6) and np.allclose(a.scale, b.scale, atol=1e-6)
+    assert np.allclose(plain.mix, model.mix, atol=1e-6)
+
+
+def test_words_lean_and_no_row_judges_itself(spark):
+    import pandas as pd
+
+    rows = [(i, "common " + ("vile" if i % 5 == 0 else "fair") + f" only{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    sample = quality.labelled_rows(docs, labels)
+    assert {r.doc_id: r.y for r in sample.collect()} == {i: int(i % 5 != 0) for i in range(300)}
+    leaning = quality.word_leaning(docs, sample)
+    lean = lambda w, f=-1: float(leaning.weights[f + 1, leaning.place[quality.word_buckets(w)]][0])
+    assert lean("VILE!") < -3 < 0 < lean("fair") and lean("only7") == lean("unseen") == 0 and abs(lean("common")) < 0.1
+    # A part's own documents do not count for it.
+    counts = pd.DataFrame([(0, 0, 7, 9), (1, 1, 7, 9)], columns=["fold", "y", "bucket", "n"])
+    parts = quality.Leaning.fit(counts, {(f, y): 10 for f in range(quality.FOLDS) for y in (0, 1)}).weights[:, 1]
+    assert parts[1] > 0 > parts[2] and abs(parts[0]) < 0.1
+    assert quality.Leaning.none().features(None, -1) == [0.0, 0.0, 0.0]
+
+
+def test_thresholds_take_whole_steps():
+    counts = np.zeros(round(2 * quality.FAR / quality.STEP), np.int64)
+    counts[[0, 10, 5_000, 5_999]] = 5, 7, 80, 8
+    # Of 100 rows: 12 and 88; 5 and 8 of 16 (7 more would be too many); none.
+    for good, share, expected in ((0.88, 1.0, [0, 0, 1, 1]), (0.5, 0.16, [0, -1, -1, 1]), (0.5, 0.04, [-1, -1, -1, -1])):
+        cut = quality.thresholds(counts, good, share)
+        assert quality.pick(np.array([0, 10, 5_000, 5_999]), *cut).tolist() == expected

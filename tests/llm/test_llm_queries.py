@@ -13,7 +13,9 @@ import pytest
 import xxhash
 from compare import compare, duck
 
-from learnlens.llm import chat_format, queries, resharding, sentencepiece_codec
+from pyspark.sql import functions as F
+
+from learnlens.llm import chat_format, quality, queries, resharding, sentencepiece_codec
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,26 +92,25 @@ def test_order_minhash_query(spark, docs):
         assert tuple(rows[i])[1:] == expected
 
 
-def test_quality_query_on_held_out_labels(spark, con):
-    """The labels cover a part; scores of all others are held against the junk's plain marks."""
-    scored = {r.doc_id: r for r in queries.QUERIES["op4_quality"](spark, "/root/testdata/sf0.01").collect()}
-    c = duck("/root/testdata/sf0.01")
-    texts = dict(c.execute("SELECT doc_id, text FROM documents").fetchall())
-    labelled = {x for (x,) in c.execute("SELECT doc_id FROM labels").fetchall()}
-    assert scored.keys() == texts.keys()
-    wrong = total = 0
-    for i, t in texts.items():
-        words = WORDS.findall(t)
-        if i in labelled or len(words) < 30:
-            continue
-        marked = sum(bool(re.search(r"[%&*#$]{3}|\||!!", w)) for w in words) / len(words)
-        repeated = sum(a == b for a, b in zip(words, words[1:])) / len(words)
-        junk = marked > 0.2 or repeated > 0.3 or len(set(words)) / len(words) < 0.2
-        total += 1
-        wrong += junk == scored[i].keep
-    assert total > 300 and wrong <= 0.03 * total
-    for r in scored.values():
-        assert 0 <= r.score <= 1 and 0 <= r.text_score <= 1 and 0 <= r.meta_score <= 1
+def test_quality_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op4_quality"](spark, sf).toPandas()
+    ids = {i for (i,) in duck(sf).execute("SELECT doc_id FROM documents").fetchall()}
+    assert set(rows.doc_id) == ids and len(rows) == len(ids)
+    for c in ("score", "text_score", "meta_score"):
+        assert rows[c].between(0, 1).all()
+    assert (rows.keep == (rows.score >= quality.KEEP_FROM)).all()
+
+
+def test_quality_of_held_out_labels(spark):
+    """Trained on half of the labels, held against the other half."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels, pages = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
+    scored = quality.score(docs, labels.where(half == 0), pages).select("doc_id", "keep")
+    held = scored.join(labels.where(half == 1), "doc_id").toPandas()
+    good, toxic, poor = (held[m].keep.mean() for m in ((held.quality == 1) & (held.toxic == 0), held.toxic == 1, (held.quality == 0) & (held.toxic == 0)))
+    assert len(held) > 1_500 and good >= 0.985 and toxic <= 0.12 and poor <= 0.12
 
 
 def test_chat_query(spark, con):
