@@ -86,7 +86,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each rewires an edge list of
     about the same size, so no group is ever gathered, and the number of steps
     grows with the logarithm of the longest chain. Every step is written to
-    the shared folder. A hub's neighbours are reduced by a plain ``min``
+    the shared folder. More than ``max_rounds`` steps raise. A hub's neighbours are reduced by a plain ``min``
     (combined before the shuffle) and joined back, so a hub with a large share
     of all edges is only a skewed join, which adaptive execution splits.
     """
@@ -112,6 +112,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

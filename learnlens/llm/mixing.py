@@ -2,8 +2,8 @@
 
 ``mix`` plans how many words of every document a training mix takes:
 
-1. every document gets a random key, the MD5 of its id and a seed (reruns
-   agree, and no state is kept);
+1. every document gets a random key, the MD5 of its id (without one, of its text) and
+   a seed (reruns agree, and no state is kept);
 2. within each source the documents are range-sorted by that key: the leading
    hex digits of the key name a bucket, so a source of any size is spread over
    16**d buckets;
@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import broadcast_if_bounded, save, word_count
+from learnlens.llm.common import broadcast_if_bounded, save, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -43,8 +43,10 @@ MAX_EPOCHS = 3
 BUCKET_ROWS = 20_000
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Of the id; without one of the text, so that rows without an id spread as well."""
+    missing = F.concat(F.lit("null:"), F.md5(text))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), missing)))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -79,7 +81,7 @@ def mix(
     ``docs`` (doc_id, text, source)."""
     rows = save(
         docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")
+            "doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), text_of(), seed).alias("key")
         ),
         "mix",
     )
@@ -148,7 +150,7 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS weight,
              3 * source_size AS cap FROM s),

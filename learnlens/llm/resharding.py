@@ -20,7 +20,7 @@ Law: ``bytes``. A block's end falls on a row's end, so a shard differs from
 its capacity by less than one row for each of the blocks it gets. Equal texts
 share an old shard (it is dealt by the text's MD5) and lie side by side, so a
 group of copies is split only where a block ends inside it, and a hot group
-larger than a shard can be held.
+larger than a shard can be held; its rows are summed up in buckets by the ids' hashes.
 
 Cases: a null text counts as the empty text (size 8, CRC 0); equal ids with
 equal texts are ordered arbitrarily, which no column shows but ``slot``; an
@@ -36,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import save, text_of
+from learnlens.llm.common import broadcast_if_bounded, save, text_of
 from learnlens.session import scratch_path
 
 OLD_SHARDS = 16
@@ -185,6 +185,34 @@ def shard_column(
     return (out if out is not None else F.lit(None)).cast("int")
 
 
+def with_bucket(rows: DataFrame, group: str, digits: int) -> DataFrame:
+    """``rows`` (``group``, key, ...) with a bucket: parts of a group's rows in the order of the key.
+
+    A bucket is named by the leading digits of the key. A text that more than
+    ``BUCKET_ROWS`` rows of the group share would be in one of these whatever their number, so it has
+    buckets of its own, named by digits of the ids' hashes too, and what follows it in
+    its bucket is a bucket after them (``g`` comes after every digit)."""
+    text = F.substring("key", 1, 32)
+    hot = rows.groupBy(F.col(group).alias("__g"), text.alias("__t")).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+    hot = save(hot, "hot")
+    most = hot.agg(F.max("n")).first()[0]
+    plain = F.substring("key", 1, digits)
+    if most is None:
+        return rows.withColumn("bucket", plain)
+    more = 32 + max(1, math.ceil(math.log(most / BUCKET_ROWS, 16)))
+    # A bucket has a few such texts at most, being of about as many rows itself.
+    hot = hot.groupBy("__g", F.substring("__t", 1, digits).alias("__p")).agg(F.collect_list("__t").alias("__hot"))
+    near = broadcast_if_bounded(save(hot, "hot-buckets"))
+    joined = rows.join(near, (F.col(group) == F.col("__g")) & (plain == F.col("__p")), "left")
+    before = F.array_max(F.filter("__hot", lambda h: h < text))
+    bucket = (
+        F.when(F.col("__hot").isNull(), plain)
+        .when(F.array_contains("__hot", text), F.substring("key", 1, more))
+        .otherwise(F.coalesce(F.concat(before, F.lit("g")), plain))
+    )
+    return joined.withColumn("bucket", bucket).drop("__g", "__p", "__hot")
+
+
 def plan(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: list[int] | None = None):
     """(shard column over (__rs_old, __rs_key), blocks) for ``docs``."""
     rows = docs.select(old.alias("old"), row_key().alias("key"), row_size().alias("size"))
@@ -192,7 +220,7 @@ def plan(docs: DataFrame, old: Column, n_old: int, n_new: int, capacities: list[
     sizes = {r.old: (r.bytes, r.n) for r in rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     have = [sizes.get(i, (0, 0))[0] for i in range(n_old)]
     digits = max(1, math.ceil(math.log(max([1, *(n for _, n in sizes.values())]) / BUCKET_ROWS, 16)))
-    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    rows = with_bucket(rows, "old", digits)
     blocks = _blocks(flow_plan(have, capacities or even_capacities(sum(have), n_new)))
     limits = _limits(rows, blocks, digits)
     return shard_column(blocks, limits, F.col("__rs_old"), F.col("__rs_key")), blocks
@@ -223,7 +251,7 @@ def rewrite(
 def with_slots(files: DataFrame, digits: int) -> DataFrame:
     """The row's place in its shard (from 0, without gaps) in key order: rows
     per key bucket summed up along the shard, then a place inside the bucket."""
-    files = files.withColumn("bucket", F.substring("key", 1, digits))
+    files = with_bucket(files, "shard", digits)
     along = Window.partitionBy("shard").orderBy("bucket")
     counts = files.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select(

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import broadcast_if_bounded, text_of
+from learnlens.llm.common import broadcast_if_bounded, save, text_of
 from learnlens.session import scratch_path
 
 
@@ -165,8 +165,8 @@ class BlobLedger:
         keyed = versions.select(*paths, text_of().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
         self.update(keyed.select("blob", "text"))
         span = F.struct("start", "rank", "end", "kind", "rule")
+        # By shuffle: a blob's spans can be many, so their rows bound no broadcast.
         found = self.present().groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-        found = broadcast_if_bounded(found)
         none = F.array().cast(SPAN)
         return keyed.select(*paths, "blob").join(found, "blob", "left").select(
             *paths, F.coalesce("spans", none).alias("spans")
@@ -202,18 +202,20 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", rules: tuple[Rule, ...] = RU
     found = rows.groupBy(F.col("blob").alias("__blob")).agg(
         F.sort_array(F.collect_list(piece)).alias("__pieces"), F.max("end").alias("__end")
     )
-    joined = docs.withColumn("__key", blob).join(broadcast_if_bounded(found), F.col("__key") == F.col("__blob"), "left")
+    found = save(found, "pieces")
+    keyed = docs.withColumn("__key", blob)
+    # The blobs' hashes alone are broadcast, 32 bytes each; only texts with spans are shuffled to their pieces.
+    marked = broadcast_if_bounded(found.select("__blob"))
+    whole = keyed.join(marked, F.col("__key") == F.col("__blob"), "left_anti").drop("__key")
+    joined = keyed.join(marked, F.col("__key") == F.col("__blob"), "left_semi").join(found, F.col("__key") == F.col("__blob"))
     text = F.col("text")
     pieces = F.transform("__pieces", lambda x: F.substring(text, x["from"] + 1, x["to"] - x["from"]))
     tail = F.substring(text, F.col("__end") + 1, F.char_length(text))
-    clean = F.when(F.col("__blob").isNull(), text).otherwise(F.array_join(F.concat(pieces, F.array(tail)), mark))
-    out = joined.withColumn("__text", clean)
-    changed = {
-        "text": F.col("__text"),
-        "n_chars": F.when(F.col("__blob").isNull(), F.col("n_chars")).otherwise(F.char_length("__text")).cast("long")
-        if "n_chars" in docs.columns else None,
-    }
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    out = joined.withColumn("__text", F.array_join(F.concat(pieces, F.array(tail)), mark))
+    changed = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
+    out = out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else None
+    return out.unionByName(whole.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _oracle() -> str:

@@ -437,6 +437,59 @@ def test_rewrite_of_affected_shards_only(spark, tmp_path):
     assert set(written.columns) == {"doc_id", "text", "bucket", "key", "shard"}
 
 
+def test_a_text_that_a_third_of_all_rows_share(spark, monkeypatch):
+    """It is spread over buckets by its ids, and shards and slots are those of plain running sums."""
+    import hashlib
+
+    monkeypatch.setattr(resharding, "BUCKET_ROWS", 40)
+    texts = {i: "same text" if i % 3 == 0 else None if i % 7 == 0 else f"text {i % 900}" for i in range(3_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = docs.select(resharding.hashed_shard(4).alias("old"), resharding.row_key().alias("key"))
+    buckets = resharding.with_bucket(rows, "old", 1).groupBy("old", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    assert max(r["n"] for r in buckets) < 160
+    for _, own in itertools.groupby(sorted(buckets, key=lambda r: (r.old, r.bucket)), key=lambda r: r.old):
+        ends = [(r.a, r.b) for r in own]
+        assert all(b < a for (_, b), (a, _) in zip(ends, ends[1:]))
+    got = {r.doc_id: r for r in resharding.reshard(docs, 4, 6).collect()}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    key = {i: md5(t or "") + md5(str(i)) for i, t in texts.items()}
+    size = {i: len(t or "") + 8 for i, t in texts.items()}
+    old = {o: sorted((i for i in key if int(key[i][24:32], 16) % 4 == o), key=key.get) for o in range(4)}
+    blocks = resharding._blocks(resharding.flow_plan([sum(size[i] for i in old[o]) for o in range(4)], resharding.even_capacities(sum(size.values()), 6)))
+    for o, ids in old.items():
+        at = 0
+        for i in ids:
+            assert got[i].shard == next(j for k, j, start, end in blocks if k == o and start <= at < end)
+            at += size[i]
+    for j in range(6):
+        own = [i for i in got if got[i].shard == j]
+        assert sorted(own, key=key.get) == sorted(own, key=lambda i: got[i].slot) and sorted(got[i].slot for i in own) == list(range(len(own)))
+
+
+def test_rows_without_an_id_get_keys_of_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"w {i}", "s") for i in range(400)] + [(None, None, "s")] * 3, "doc_id long, text string, source string")
+    plan = mixing.mix(docs)
+    assert plan.select("key").distinct().count() == 401
+    first = plan.select("key").where(F.col("size") > 0).groupBy(F.substring("key", 1, 1)).count().collect()
+    assert len(first) == 16 and max(r["count"] for r in first) < 60
+
+
+def test_incomplete_components_raise(spark):
+    from learnlens.llm.common import connected_components
+
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        connected_components(chain, max_rounds=2)
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+
+
+def test_spans_of_a_hot_blob_and_of_many_blobs(spark):
+    rows = [(i, "token=abcdef0 rest" if i % 3 == 0 else f"text {i} password: secret{i:05d}" if i % 3 == 1 else f"clean {i}", None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    out = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df).collect()}
+    assert len(out) == 900 and out[0] == ("<SECRET> rest", 13) and out[1] == ("text 1 <SECRET>", 15) and out[2] == ("clean 2", None)
+
+
 # --- quality
 
 
