@@ -474,6 +474,62 @@ def test_rows_without_an_id_get_keys_of_their_texts(spark):
     assert len(first) == 16 and max(r["count"] for r in first) < 60
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_large_groups_against_all_pairs(spark, monkeypatch, seed):
+    """Clusters, bridges between them and strays in groups of many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 3)
+    rng = random.Random(seed)
+    sets = []
+    for base in range(rng.randrange(1, 4)):
+        core = [f"{base}-{i}" for i in range(40)] + [f"all{i}" for i in range(30)]
+        for _ in range(rng.choice([20, 90])):
+            own = list(core)
+            for _ in range(rng.randrange(9)):
+                own[rng.randrange(len(own))] = f"x{rng.random()}" if rng.random() < 0.7 else f"{rng.randrange(3)}-{rng.randrange(40)}"
+            sets.append(own)
+    hashed = [np.unique(np.array([hash(w) & (2**63 - 1) for w in s], np.uint64)) for s in sets]
+    rows = [(i + 1, len(h), bytearray(h.tobytes())) for i, h in enumerate(hashed)]
+    frame = spark.createDataFrame(rows, "node long, n long, s binary")
+    groups = frame.select("node", F.lit(7).cast("long").alias("component"))
+    found = {(r.a, r.b) for r in jaccard_join.links_in_groups(frame, groups, 80).collect()}
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    true = {(i + 1, j + 1) for i in range(len(hashed)) for j in range(i) if linked(hashed[i], hashed[j])}
+    assert all((max(p), min(p)) in true for p in found)
+
+    def first(edges):
+        up = {i + 1: i + 1 for i in range(len(hashed))}
+        for _ in range(len(hashed)):
+            before = dict(up)
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+            if up == before:
+                return up
+
+    assert first(found) == first(true)
+
+
+def test_a_group_of_near_copies_is_sent_once(spark):
+    rng = random.Random(1)
+    core = rng.sample(range(2**62), 60)
+    rows = []
+    for i in range(6_000):
+        own = [*core[:2], *(v if rng.random() > 0.04 else rng.randrange(2**62) for v in core[2:])] if i else core
+        s = np.unique(np.array(own, np.uint64))
+        rows.append((i + 1, len(s), bytearray(s.tobytes())))
+    frame = spark.createDataFrame(rows, "node long, n long, s binary")
+    sized = frame.select(F.lit(1).cast("long").alias("component"), "node", "s", F.lit(6_000).cast("long").alias("count"))
+    assert jaccard_join.all_tasks(sized).count() == 36_000
+    met = jaccard_join.leader_links(sized, 70)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    met = met.collect()
+    # Six parts of a thousand nodes, and 16 leaders for each of them.
+    assert "MapInPandas" in plan and len({r.a for r in met if r.main}) >= 5_700
+    links = jaccard_join.links_in_groups(frame, frame.select("node", F.lit(1).cast("long").alias("component")), 70)
+    groups = {r.component for r in connected_components(links).collect()}
+    assert groups == {1}
+
+
 def test_incomplete_components_raise(spark):
     from learnlens.llm.common import connected_components
 
