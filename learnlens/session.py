@@ -8,6 +8,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +81,27 @@ def ship_package(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder (never reused)."""
-    return f"{shared_root(spark)}/learnlens/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/learnlens/{name}-{uuid.uuid4().hex[:12]}"
+    for names in _NAMED:
+        names.append(path)
+    return path
+
+
+_NAMED: list[list[str]] = []
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Removes at the end the scratch tables that were named inside. Results must be
+    stored elsewhere or collected by then, since they may read these tables."""
+    names: list[str] = []
+    _NAMED.append(names)
+    try:
+        yield
+    finally:
+        _NAMED.remove(names)
+        for path in names:
+            remove_scratch(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -26,6 +26,25 @@ def test_positions_are_those_of_the_sort(spark, distinct):
     assert [key(x) for x in out] == sorted(map(key, rows))
 
 
+def test_scratch_tables_are_removed(spark, tmp_path):
+    import os
+
+    from learnlens.session import cleaned, shared_root
+
+    folder = f"{shared_root(spark)}/learnlens".removeprefix("file:")
+    df = spark.range(100).select("id")
+    with_position(df, [F.col("id")]).count()
+    before = set(os.listdir(folder))
+    with cleaned(spark):
+        with_position(df, [F.col("id").desc()]).write.parquet(str(tmp_path / "out"))
+        assert len(set(os.listdir(folder)) - before) == 2
+    assert set(os.listdir(folder)) == before and spark.read.parquet(str(tmp_path / "out")).count() == 100
+    with pytest.raises(ValueError), cleaned(spark):
+        with_position(df, [F.col("id")])
+        raise ValueError
+    assert set(os.listdir(folder)) == before
+
+
 def test_no_rows(spark):
     assert with_position(spark.createDataFrame([], SCHEMA), [F.col("v")]).collect() == []
 
