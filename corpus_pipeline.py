@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from learnlens.llm import jaccard_join, mixing, quality, secrets, sentencepiece_codec
-from learnlens.llm.common import save, table
+from learnlens.llm.common import table
+from learnlens.session import cleaned, remove_scratch, scratch_path
 
 # The stage's own; those of the op2 query are stricter.
 WORDS, PERCENT = 5, 80
@@ -59,7 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's own tables go when its result is stored, and a result
+    goes when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with cleaned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove_scratch(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
