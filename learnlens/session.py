@@ -99,7 +99,7 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _NAMED.remove(names)
+        _NAMED.pop()  # the blocks close inside out
         for path in names:
             remove_scratch(spark, path)
 
