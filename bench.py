@@ -10,8 +10,9 @@ Steps (each timed):
   compute  every panel computed from the source tables on its own (nothing
            kept), one after another;
   view     one filtered view (category, tag, risk, keyword) result by result,
-           a second state all at once (concurrent), and two scopes (a teacher's
-           eight panels at once, as served; a manager's risk list);
+           a second state all at once (concurrent), a state without a keyword
+           (its cards from cubes) twice, and scopes (a teacher's eight panels at
+           once, as served; a manager's risk list; a ranking within the scope);
   end_to_end  build, and all panels collected, as it is served (three runs);
   persist_end_to_end  the same with cached frames instead of tables;
   quality  the whole quality report over the stored tables.
@@ -113,6 +114,12 @@ def main() -> None:
     queries["scope_teacher"] = timed(lambda: collect_dashboard(teacher, parallel=8))[1]
     org = scoped(dash, "organization_manager", organization="BUILDING")
     queries["scope_org"] = timed(org["learner_risk"].collect)[1]
+    # Cards from the cubes, which the first such view makes, and a scope that ranks within itself.
+    for run in ("first", "again"):
+        plain = filtered_view(dash, category="ASIA", tag="TAG_3", risk=45)
+        queries[f"view_from_cubes_{run}"] = timed(lambda: collect_dashboard(plain, parallel=8))[1]  # noqa: B023
+    ranked = timed(lambda: scoped(dash, "teacher", ["TAG_1", "TAG_3"], scope_first=True)["learner_risk"].collect())
+    queries["scope_first"] = ranked[1]
     dash.close()
 
     queries.update({f"compute_{k}": v for k, v in run_panels(build_dashboard(tables, how="none").panels).items()})

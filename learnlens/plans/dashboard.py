@@ -10,8 +10,10 @@ each panel with a parallel writer instead of collecting it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -46,21 +48,44 @@ MATERIALIZE = ("table", "checkpoint", "persist", "none")
 @dataclass
 class Dashboard:
     """``learner_risk`` has every learner; the cap applies only to the panel
-    of that name, which is what the served list shows."""
+    of that name, which is what the served list shows. The champions and the
+    cubes, which only some views and scopes read, are made and kept when first asked for."""
 
     tables: Tables
     learner_course: DataFrame
     course_effect: DataFrame
     learner_risk: DataFrame
-    champions: DataFrame  # each learner's riskiest course of each tag
     tag_weakness: DataFrame
     learners: DataFrame  # the overview's row without the course count
-    risk_cube: DataFrame  # risk rows by tag and threshold
-    course_cube: DataFrame  # cards by category and tag
     panels: dict[str, DataFrame]
     params: Params = DEFAULTS
     index: DataFrame | None = None  # trigrams of the risk rows
     _kept: list[DataFrame | str] = field(default_factory=list)
+    _keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df
+    _later: dict[str, DataFrame] = field(default_factory=dict)
+    _lock: Lock = field(default_factory=Lock)
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        with self._lock:
+            if name not in self._later:
+                self._later[name] = self._keep(name, make())
+            return self._later[name]
+
+    @property
+    def champions(self) -> DataFrame:
+        """Each learner's riskiest course of each tag."""
+        columns = ["student_id", "course_id", *P.RISK_COLUMNS]
+        return self._once("champions", lambda: P.risk_champions(self.learner_course.select(*columns)))
+
+    @property
+    def risk_cube(self) -> DataFrame:
+        """Risk rows by tag and threshold."""
+        return self._once("risk_cube", lambda: cubes.risk_cube(self.learner_risk, self.params))
+
+    @property
+    def course_cube(self) -> DataFrame:
+        """Cards by category and tag."""
+        return self._once("course_cube", lambda: cubes.course_cube(self.course_effect))
 
     def close(self) -> None:
         """Free what was kept: cached frames, and tables in the shared folder."""
@@ -70,6 +95,7 @@ class Dashboard:
             else:
                 kept.unpersist()
         self._kept.clear()
+        self._later.clear()
 
 
 def materialize(
@@ -145,21 +171,16 @@ def build_dashboard(
     wide = {"learner_course": lambda: learner_course(tables, params).select(*PANEL_COLUMNS)}
     base = run_concurrently({**wide, **ev}, lambda name, make: keep(name, make()), first=EVENT_PANELS)
     lc = base["learner_course"]
-    ranked = ["student_id", "course_id", *P.RISK_COLUMNS]
     small = {
         "course_effect": lambda: P.course_effect(lc, params),
         "tag_weakness": lambda: P.tag_weakness(lc, params),
         "score_distribution": lambda: P.score_distribution(lc, params),
         "top_risk": lambda: P.top_risk_per_learner(lc, params),
-        "champions": lambda: P.risk_champions(lc.select(*ranked)),
         "learners": lambda: P.overview(lc, params, courses=False),
     }
     base.update(run_concurrently(small, lambda name, make: keep(name, make())))
     ce, risk, tw = base["course_effect"], base["top_risk"], base["tag_weakness"]
-    last = {"risk_cube": lambda: cubes.risk_cube(risk, params), "course_cube": lambda: cubes.course_cube(ce)}
-    if index:
-        last["index"] = lambda: trigram_index(risk, "student_id", SEARCHED)
-    base.update(run_concurrently(last, lambda name, make: keep(name, make())))
+    grams = keep("index", trigram_index(risk, "student_id", SEARCHED)) if index else None
     panels = {
         "overview": P.with_course_count(base["learners"], ce),
         "course_effect": P.ordered(ce, "course_effect", params),
@@ -170,7 +191,7 @@ def build_dashboard(
         "learner_risk": P.capped_risks(risk, params).select(*P.RISK_COLUMNS),
         "recommendations": recommendations(ce, params),
     }
-    return Dashboard(tables, lc, ce, risk, base["champions"], tw, base["learners"], base["risk_cube"], base["course_cube"], panels, params, base.get("index"), kept)
+    return Dashboard(tables, lc, ce, risk, tw, base["learners"], panels, params, grams, kept, keep)
 
 
 # Panels that read only the events: started first, so they run while the
