@@ -35,7 +35,10 @@ class _Folder:
 
     def names(self, path: str) -> dict[str, int]:
         """Entries of a folder and their times in seconds; none for a missing one."""
-        p = self._path(path)
+        p, above = self._path(path), self._path(path).getParent()
+        # Some file systems refuse to look for anything below a file.
+        if above is not None and not (self.fs.exists(above) and self.fs.getFileStatus(above).isDirectory()):
+            return {}
         if not self.fs.exists(p):
             return {}
         return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self.fs.listStatus(p)}

@@ -73,7 +73,9 @@ def test_a_folder_of_plain_files_becomes_a_publication(spark, tmp_path):
     publications.publish_files(spark.range(3), uri, "parquet")
     assert set(os.listdir(uri)) == {"_versions", "_published"}
     assert spark.read.parquet(publications.published_path(spark, uri)).count() == 3
-    assert publications.published_path(spark, str(tmp_path / "missing")) == str(tmp_path / "missing")
+    for other in ("missing", "a.csv", "*.csv"):
+        (tmp_path / "a.csv").write_text("x\n1\n")
+        assert publications.published_path(spark, str(tmp_path / other)) == str(tmp_path / other)
 
 
 def test_two_publishers_at_once(spark, tmp_path):
