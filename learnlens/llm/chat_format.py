@@ -322,3 +322,53 @@ def repair(conversations: DataFrame, costs: Costs = Costs(), long: int = LONG) -
     parts.append(_render(short, machine))
     out = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     return out.withColumns({c: F.col(c).cast(typed[c]) for c in ("conv_id", "turn")})
+
+
+# The same repair of the default costs, turn by turn: best costs of the four states, then the states from the
+# last turn back. Rows: the given turns, the user turns put before an assistant's, and what closes a conversation.
+ORACLE = r"""
+WITH RECURSIVE g AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, lower(trim(role)) AS r,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+f(conv_id, i, b, c) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, [0.0, 1e15, 1e15, 1e15]::DOUBLE[], [-1, -1, -1]::INT[] FROM g
+  UNION ALL
+  SELECT g.conv_id, g.i,
+         [1e15,
+          list_min(x.s) + CASE WHEN g.r = 'system' THEN 0 ELSE 2 END,
+          list_min(x.u) + CASE WHEN g.r = 'user' THEN 0 ELSE 2 END,
+          list_min(x.a) + CASE WHEN g.r = 'assistant' THEN 0 ELSE 2 END]::DOUBLE[],
+         [list_position(x.s, list_min(x.s)) - 1, list_position(x.u, list_min(x.u)) - 1, list_position(x.a, list_min(x.a)) - 1]::INT[]
+  FROM f JOIN g ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.i = f.i + 1,
+       LATERAL (SELECT [b[1], b[2] + 1] AS s, [b[1], b[2], b[3] + 1, b[4]] AS u, [b[1] + 3, b[2] + 3, b[3], b[4] + 1] AS a) x),
+e AS (SELECT f.conv_id, f.i, list_position([b[1] + 6, b[2] + 6, b[3] + 3, b[4]], list_min([b[1] + 6, b[2] + 6, b[3] + 3, b[4]])) - 1 AS st
+      FROM f JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i),
+w(conv_id, i, st) AS (
+  SELECT conv_id, i, st::INT FROM e
+  UNION ALL
+  SELECT w.conv_id, w.i - 1, f.c[w.st] FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i WHERE w.i > 0),
+t AS (
+  SELECT g.*, w.st, p.st AS s, ['system', 'user', 'assistant'][w.st] AS role, p.st = w.st AS merged, p.st < 2 AND w.st = 3 AS put,
+         coalesce(g.r, '') <> ['system', 'user', 'assistant'][w.st] AS relabel
+  FROM g JOIN w ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.i = g.i
+         JOIN w p ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.i = g.i - 1),
+o AS (
+  SELECT conv_id, turn, 10 * (i - 1) + 4 AS position, role,
+         CASE WHEN merged AND relabel THEN 'relabel+merge' WHEN merged THEN 'merge' WHEN relabel THEN 'relabel' ELSE 'append' END AS action,
+         (CASE WHEN relabel THEN 2.0 ELSE 0.0 END + CASE WHEN merged THEN 1.0 ELSE 0.0 END)::DOUBLE AS cost,
+         CASE WHEN merged THEN chr(10) || text
+              ELSE CASE WHEN s > 0 OR put THEN '<|end|>' || chr(10) ELSE '' END || '<|' || role || '|>' || chr(10) || text END
+         || CASE WHEN i = n AND st = 3 THEN '<|end|>' || chr(10) ELSE '' END AS piece
+  FROM t
+  UNION ALL
+  SELECT conv_id, NULL, 10 * (i - 1), 'user', 'insert', 3.0, CASE WHEN s > 0 THEN '<|end|>' || chr(10) ELSE '' END || '<|user|>' || chr(10)
+  FROM t WHERE put
+  UNION ALL
+  SELECT conv_id, NULL, 10 * (i - 1) + 5 + k, ['user', 'assistant'][x], 'insert', 3.0,
+         '<|end|>' || chr(10) || '<|' || ['user', 'assistant'][x] || '|>' || chr(10) || CASE WHEN x = 2 THEN '<|end|>' || chr(10) ELSE '' END
+  FROM (SELECT *, unnest(CASE WHEN st = 1 THEN [0, 1] ELSE [0] END) AS k FROM t WHERE i = n AND st < 3),
+       LATERAL (SELECT CASE WHEN st = 1 THEN k + 1 ELSE 2 END AS x))
+SELECT conv_id, turn, position::BIGINT AS position, role, action, cost::DOUBLE AS cost, piece FROM o
+"""

@@ -97,6 +97,7 @@ ORACLE_SQL = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op1_url_filters": url_filters.ORACLE,
     "op5_secrets": secrets.ORACLE,
+    "op6_chat_format": chat_format.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op11_decontamination": decontaminate.ORACLE,
     "op12_importance_resampling": importance.ORACLE,
