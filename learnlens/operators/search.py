@@ -4,8 +4,9 @@ The search is for a literal piece of text anywhere in a row, so words are no hel
 row that holds the keyword holds every three characters in a row of it. The index is
 (trigram, id), stored in the order of the trigrams: a search reads the few files and row
 groups of the keyword's trigrams, keeps the ids that have all of them, and
-verifies the keyword literally in the rows of these ids. Keywords of less than
-three characters scan the rows.
+verifies the keyword literally in the rows of these ids. Up to ``FEW`` ids are looked up in
+the stored rows (the filter reaches the pages of their files); the rows of more ids are
+joined. Keywords of less than three characters scan the rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from learnlens.functions.expressions import clean_keyword, keyword_match, keyword_text
 
 GRAM = 3
+# Ids that are named in a filter; more are joined.
+FEW = 1_000
 
 
 def trigram_index(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -42,4 +45,7 @@ def search(rows: DataFrame, index: DataFrame, key: str, columns: Sequence[str],
     if not grams:
         return rows.where(match)
     found = index.where(F.col("gram").isin(grams)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    ids = [r[0] for r in found.select(key).limit(FEW + 1).collect()]
+    if len(ids) <= FEW:
+        return rows.where((F.col(key).isin(ids) | F.col(key).isNull()) & match)
     return rows.join(found.select(key), key, "left_semi").where(match).unionByName(rows.where(F.col(key).isNull() & match))

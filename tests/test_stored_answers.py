@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from learnlens.operators import panels as P
+from learnlens.operators import search as search_module
 from learnlens.operators import views as V
 from learnlens.operators.recommend import recommendations_filtered
 from learnlens.operators.search import grams_of, search, trigram_index
@@ -81,8 +82,10 @@ ROWS = [
 COLUMNS = ["student_name", "organization", "course_name", "tag"]
 
 
+@pytest.mark.parametrize("few", [1, 1_000])
 @pytest.mark.parametrize("keyword", ["ann 100%", "100%", "%", "_", "g_a", "g%a", "护理", "护理基", "预防 t_1", " ANN ", "null", "null  ", "a", "", None, "no such", "b c d", "\U0001f389\U0001f389\U0001f389", "axb", "ann 100% org_a 护理基础 t1", "ann 100% org_a 护理基础 t12"])
-def test_search_by_trigrams_equals_a_scan(spark, keyword):
+def test_search_by_trigrams_equals_a_scan(spark, monkeypatch, keyword, few):
+    monkeypatch.setattr(search_module, "FEW", few)
     rows = stored(spark.createDataFrame(ROWS, "id long, " + ", ".join(f"{c} string" for c in COLUMNS)), "rows")
     index = stored(trigram_index(rows, "id", COLUMNS), "index")
     plain = sorted(map(str, rows.where(V.keyword_match(keyword, *COLUMNS)).collect()))
@@ -90,12 +93,17 @@ def test_search_by_trigrams_equals_a_scan(spark, keyword):
     assert search(rows.limit(0), index.limit(0), "id", COLUMNS, keyword).collect() == []
 
 
-def test_the_search_reads_postings(spark, dash):
+def test_the_search_reads_postings(dash, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plain = V.filter_risks(dash.learner_risk, None, 0, "building").count()
+    # Few ids are named in the filter that the scan gets.
+    found = D.filtered_view(dash, risk=0, keyword="building")["risks"]
+    assert "In(student_id, [" in plan(found) and found.count() == plain > 0
+    # More of them are joined with the postings.
+    monkeypatch.setattr(search_module, "FEW", plain - 1)
     found = D.filtered_view(dash, risk=0, keyword="building")["risks"]
     assert {"index", "top_risk"} <= files_of(found)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(gram, [bui,din,ild,ing,ldi,uil])" in plan
-    assert found.count() == V.filter_risks(dash.learner_risk, None, 0, "building").count() > 0
+    assert "PushedFilters: [In(gram, [bui,din,ild,ing,ldi,uil])" in plan(found) and found.count() == plain
     assert "index" not in files_of(D.filtered_view(dash, risk=0, keyword="bu")["risks"])
     assert grams_of("  aBab ") == ["aba", "bab"]
 

@@ -15,9 +15,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from learnlens.operators import panels as P  # noqa: E402
 from learnlens.operators import quality as Q  # noqa: E402
+from learnlens.operators import cubes, distinct  # noqa: E402
+from learnlens.operators import views as V  # noqa: E402
 from learnlens.operators.features import PANEL_COLUMNS, learner_course  # noqa: E402
+from learnlens.operators.search import trigram_index  # noqa: E402
+from learnlens.plans import refresh  # noqa: E402
 from learnlens.schemas import FOREIGN_KEYS, PRIMARY_KEYS  # noqa: E402
-from learnlens.session import local_session, scratch_path  # noqa: E402
+from learnlens.session import local_session, scratch_path, stored  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from learnlens.sources import readers, writers  # noqa: E402
@@ -61,6 +65,25 @@ def main() -> None:
             ["event_date", "event_id"],
         ),
     }
+    risks = stored(P.top_risk_per_learner(lc), "risks")
+    grams = stored(trigram_index(risks, "student_id", V.SEARCHED), "grams")
+    states = scratch_path(spark, "states")
+    day = F.col("event_date")
+    refresh.add_events(spark, states, t.events.where(day < "1997-01-01"), "old")
+    old, batch = refresh.states(spark, states)["resources"], t.events.where(day >= "1997-01-01")
+    learners = distinct.numbered(t.students.select("student_id"))
+    items |= {
+        "risk positions without a cap (the stored, sorted rows; offsets of the ranges)": P.risk_positions(risks),
+        "champions by (learner, tag)": P.risk_champions(lc),
+        "risk cube (counts by tag and threshold; the total from the tags)": cubes.risk_cube(risks),
+        "keyword search by trigrams": V.search_risks(risks, grams, None, 0.0, "machinery"),
+        "distinct learners as bitmaps": distinct.distinct_bits(lc, "student_id", learners),
+        "incremental refresh: the stored state and a batch of events": refresh.merge_states(
+            "resources", [old, refresh.event_states(batch)["resources"]]
+        ),
+        "pair features from the stored state": refresh.pair_features(old),
+        "offending rows of events (one scan, no shuffle)": Q.offending_rows(t.events, "events"),
+    }
     out = [
         "# Final physical plans",
         "",
