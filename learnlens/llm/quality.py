@@ -56,6 +56,7 @@ LEAST = 20
 WORDS, FOLDS, SIGHTINGS = 1 << 20, 4, 3
 # Steps of a margin by which the surest rows are found.
 STEP, FAR = 0.01, 30.0
+FIT_ROWS = 1_000
 META = ("lang", "source", "host")
 # Below even odds, since a good document lost costs more than a bad one kept.
 KEEP_FROM = 0.3
@@ -160,15 +161,19 @@ class View:
         return np.array(out, np.int64).reshape(len(out), len(x)).T
 
     def fit(self, picks: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 15) -> None:
-        """Newton's method on the penalised likelihood."""
-        z = np.zeros((len(y), self.width))
-        z[:, 0] = 1
-        z[np.arange(len(y))[:, None], picks] = 1
+        """Newton's method on the penalised likelihood; rows are spread to columns a block at a time."""
         w = np.zeros(self.width)
         for _ in range(rounds):
-            p = _sigmoid(z @ w)
-            grad = z.T @ (p - y) + l2 * w
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + l2 * np.eye(self.width), grad)
+            grad, second = l2 * w, l2 * np.eye(self.width)
+            for i in range(0, len(y), FIT_ROWS):
+                own = picks[i : i + FIT_ROWS]
+                z = np.zeros((len(own), self.width))
+                z[:, 0] = 1
+                z[np.arange(len(own))[:, None], own] = 1
+                p = _sigmoid(z @ w)
+                grad += z.T @ (p - y[i : i + FIT_ROWS])
+                second += (z * (p * (1 - p))[:, None]).T @ z
+            step = np.linalg.solve(second, grad)
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
@@ -313,7 +318,7 @@ def word_leaning(docs: DataFrame, sample: DataFrame) -> Leaning:
     # What occurs in a document or two says nothing; the rest is bounded by the sample.
     often = counts.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") >= SIGHTINGS).select("bucket")
     sizes = {(r.fold, r.y): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
-    return Leaning.fit(counts.join(often, "bucket").toPandas(), sizes) if sizes else Leaning.none()
+    return Leaning.fit(counts.join(often, "bucket").toArrow().to_pandas(), sizes) if sizes else Leaning.none()
 
 
 def features(docs: DataFrame, pages: DataFrame | None, sample: DataFrame) -> DataFrame:
