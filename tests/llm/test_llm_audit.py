@@ -296,3 +296,24 @@ def test_terms_decided_by_bounds_and_by_documents(spark):
     assert sums.where("row is not null").groupBy("term").count().collect() == [("the", 3)]
     counts = {(r["at"], r.term): r.n for r in sums.where("row is null").collect()}
     assert counts == {(0, "the"): 6, (0, "often"): 3, (1, "often"): 3}
+
+
+def test_distinct_numbers_are_sorted_not_hashed():
+    import time
+
+    import numpy as np
+
+    assert divergence._distinct(np.array([], np.int64)).tolist() == []
+    assert divergence._distinct(np.array([7, -1, 7, 3, -1], np.int64)).tolist() == [-1, 3, 7]
+    keys = np.random.default_rng(1).permutation(2_000_000).astype(np.int64) * 1_000_003
+
+    def least(of):
+        took = []
+        for _ in range(3):
+            some = keys.copy()
+            began = time.perf_counter()
+            of(some)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert least(divergence._distinct) < 6 * least(np.sort)  # hashing them took some 25 times a sort
