@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from learnlens.schemas import CORRUPT, DECLARED, FOREIGN_KEYS, PRIMARY_KEYS
+from learnlens.session import partitions_for
 from learnlens.sources.publications import publish_files
 from learnlens.tables import Tables
 
@@ -188,6 +189,28 @@ def _key_text(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
 
 
+# (rule, key) pairs that a task counts.
+TASK_PAIRS = 2_000_000
+# Slices of a table that a task counts one by one.
+SLICES = 16
+
+
+def _key_counts(df: DataFrame, table: str, keys: list[tuple[int, Column]], n: int | None, known: bool) -> DataFrame:
+    """(rule, key, n, known): how often a table has each of its keys, or, ``known``, that it has
+    them. With ``n`` the rows are dealt to so many tasks by slices, and a key has a
+    row for each slice it is in; else each row's keys are given as they are."""
+    ones = lambda: F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"k{r}").alias("key")) for r, _ in keys]))
+    rows = [key.alias(f"k{r}") for r, key in keys]
+    count = F.lit(0).cast("long") if known else F.lit(1).cast("long")
+    if n is None:
+        return df.select(*rows).select(ones()).select("rule", "key", count.alias("n"), F.lit(known).alias("known"))
+    # The table's own key as well, so that rows of one hot reference are in all slices.
+    own = [F.col(k) for k in PRIMARY_KEYS.get(table, ()) if k in df.columns]
+    piece = F.pmod(F.xxhash64(*[key for _, key in keys], *own), F.lit(n * SLICES)).alias("slice")
+    pairs = df.select(*rows, piece).repartition(n, "slice").select("slice", ones())
+    return pairs.groupBy("slice", "rule", "key").agg(F.sum(count).alias("n")).select("rule", "key", "n", F.lit(known).alias("known"))
+
+
 def key_report(
     tables: dict[str, DataFrame],
     primary: dict[str, Sequence[str]] | None = None,
@@ -195,18 +218,19 @@ def key_report(
 ) -> DataFrame:
     """Primary keys and references together: (table, rule, columns, violations).
 
-    Each table is scanned once for all its own keys: a row becomes one (rule, key)
-    pair per rule, pairs are counted (combined map-side, so a hot key is one row
-    per task), and one outer join with the parents' keys finds what is missing.
+    Each table is scanned once for all its own keys, after a count of its rows: a row
+    becomes one (rule, key) pair per rule, pairs are counted (combined before the shuffle, so
+    a hot key is one row per slice), and a parent's keys are counted with its children's,
+    as known, which finds what is missing. The number of tasks grows with the pairs.
     Violations are key values that repeat, and rows whose key has no parent.
     """
     primary = primary or {}
     rules: list[tuple[str, str, str]] = []
-    child: dict[str, list[Column]] = {}
-    parent: dict[str, list[Column]] = {}
+    child: dict[str, list[tuple[int, Column]]] = {}
+    parent: dict[str, list[tuple[int, Column]]] = {}
 
-    def add(side: dict[str, list[Column]], table: str, key: Column) -> None:
-        side.setdefault(table, []).append(F.struct(F.lit(len(rules)).alias("rule"), key.alias("key")))
+    def add(side: dict[str, list[tuple[int, Column]]], table: str, key: Column) -> None:
+        side.setdefault(table, []).append((len(rules), key))
 
     for table, keys in primary.items():
         if all(k in tables[table].columns for k in keys):
@@ -217,18 +241,21 @@ def key_report(
             add(child, table, F.col(column).cast("string"))
             add(parent, up, F.col(up_column).cast("string"))
             rules.append((table, "foreign_key", f"{column}->{up}.{up_column}"))
-    pairs = lambda side: _union([tables[t].select(F.inline(F.array(*ks))) for t, ks in side.items()])
-    counts = pairs(child).groupBy("rule", "key").agg(F.count("*").alias("n"))
-    if parent:
-        known = pairs(parent).distinct().select(F.col("rule").alias("r"), F.col("key").alias("k"), F.lit(True).alias("known"))
-        counts = counts.join(known, (F.col("rule") == F.col("r")) & (F.col("key") == F.col("k")), "left")
-    else:
-        counts = counts.withColumn("known", F.lit(None).cast("boolean"))
+    pairs = {t: tables[t].count() * (len(child.get(t, ())) + len(parent.get(t, ()))) for t in {**child, **parent}}
+    n = partitions_for(sum(pairs.values()), TASK_PAIRS)
+    parts = [
+        _key_counts(tables[t], t, keys, n and partitions_for(pairs[t], TASK_PAIRS), known)
+        for side, known in ((child, False), (parent, True))
+        for t, keys in side.items()
+    ]
+    counts = _union(parts)
+    counts = (counts.repartition(n, "rule", "key") if n else counts).groupBy("rule", "key")
+    counts = counts.agg(F.sum("n").alias("n"), F.max("known").alias("known"))
     is_rule = lambda i: F.col("rule") == i
     found = [
         F.count_if(is_rule(i) & (F.col("n") > 1)).alias(f"c{i}")
         if kind == "primary_key"
-        else F.coalesce(F.sum(F.when(is_rule(i) & F.col("known").isNull() & F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias(f"c{i}")
+        else F.coalesce(F.sum(F.when(is_rule(i) & ~F.col("known") & F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias(f"c{i}")
         for i, (_, kind, _) in enumerate(rules)
     ]
     rows = [
@@ -252,6 +279,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def quality_report(tables: Tables) -> DataFrame:
     """All checks on the tables that have the columns they need: one scan of
-    each table for its keys and one for its rows."""
+    each table for its keys and one for its rows, after a count of its rows."""
     named = tables.as_dict()
     return _union([key_report(named, PRIMARY_KEYS, FOREIGN_KEYS), *[row_checks(df, name) for name, df in named.items()]])

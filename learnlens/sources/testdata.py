@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens.params import DEFAULTS, Params
-from learnlens.session import broadcast_if_small
+from learnlens.session import broadcast_if_small, dealt
 from learnlens.tables import Tables
 
 # Number of test "courses" a score is spread over (scores.course_id range).
@@ -53,10 +53,12 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> DataFrame:
     """lineitem ⋈ orders ⋈ supplier. orders is as large as lineitem at scale,
-    so that join stays a shuffle join; supplier is broadcast only if its bytes
-    are bounded."""
+    so that join stays a shuffle join, of bounded rows a task; supplier is broadcast
+    only if its bytes are bounded."""
     li = read_raw(spark, sf_dir, "lineitem")
-    orders = read_raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = li.count()  # from the files' footers
+    li = dealt(li, rows, "l_orderkey")
+    orders = dealt(read_raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), rows, "o_orderkey")
     supplier = broadcast_if_small(
         read_raw(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), params.broadcast_max_bytes
     )
@@ -80,11 +82,12 @@ def events(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> DataF
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        read_raw(spark, sf_dir, "orders")
-        .groupBy(F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % SCORE_COURSES).cast("int").alias("course_id"))
-        .agg((F.max("o_totalprice") / 5000).alias("final_score"))
+    orders = read_raw(spark, sf_dir, "orders")
+    keyed = orders.select(
+        F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % SCORE_COURSES).cast("int").alias("course_id"), "o_totalprice"
     )
+    grouped = dealt(keyed, orders.count(), "student_id", "course_id").groupBy("student_id", "course_id")
+    return grouped.agg((F.max("o_totalprice") / 5000).alias("final_score"))
 
 
 def training_tables(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> Tables:

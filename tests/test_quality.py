@@ -93,3 +93,37 @@ def test_key_report_counts(spark):
         ("up", "primary_key", "k"): 1,
         ("child", "foreign_key", "k->up.k"): 2,  # 2 and 3; nulls refer to nothing
     }
+
+
+def test_key_report_deals_many_keys_to_tasks_by_their_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(600)
+    child = ids.select(
+        F.when(F.col("id") < 590, F.col("id")).otherwise(F.lit(None)).alias("k"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit("lost")).alias("g"),
+    ).unionByName(spark.createDataFrame([(5, "hot"), (5, "hot"), (None, None)], "k long, g string"))
+    up = spark.createDataFrame([("hot",), ("hot",), (None,)], "g string")
+    named, rules = {"child": child, "up": up}, ({"child": ["k"], "up": ["g"]}, [("child", "g", "up", "g")])
+    few = Q.key_report(named, *rules)
+    monkeypatch.setattr(Q, "TASK_PAIRS", 50)
+    many = Q.key_report(named, *rules)
+    expected = {("child", "primary_key", "k"): 2, ("up", "primary_key", "g"): 1, ("child", "foreign_key", "g->up.g"): 200}
+    assert _report(few) == _report(many) == expected
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    # The 1,212 pairs, 1,206 of them the child's, are 25 tasks of 50 pairs: for the child's slices and for all keys.
+    assert "slice" in plan and plan.count(", 25), REPARTITION_BY_NUM") >= 2
+
+
+def test_joined_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from learnlens import session
+    from learnlens.sources import testdata
+
+    sf = "/root/testdata/sf0.001"
+    makers = (testdata.events, testdata.scores)
+    before = [sorted(map(str, f(spark, sf).collect())) for f in makers]
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    for f, rows in zip(makers, before):
+        df = f(spark, sf)
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, df.collect())) == rows
