@@ -42,10 +42,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.llm.common import WORD, broadcast_if_bounded, save, url_host
+from learnlens.llm.common import WORD, broadcast_if_bounded, save, text_parts, url_host
 
 LABELLED, PICKED = 8_000, 4_000
 ROUNDS, SHARE_PER_ROUND = 4, 0.05
@@ -305,15 +306,17 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> D
 def word_leaning(docs: DataFrame, sample: DataFrame) -> Leaning:
     """From the texts of the labelled sample, counted in tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [word_buckets(t) for t in b["text"]]
-            sizes = [len(f) for f in found]
-            fold, y = (np.repeat(b[c].to_numpy(), sizes) for c in ("fold", "y"))
-            yield pd.DataFrame({"fold": fold, "y": y, "bucket": np.concatenate([np.empty(0, np.int64), *found])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, "text"):
+                found = [word_buckets(t) for t in part.column("text").to_pylist()]
+                sizes = [len(f) for f in found]
+                fold, y = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("fold", "y"))
+                columns = [pa.array(c.astype(np.int32)) for c in (fold, y, np.concatenate(found))]
+                yield pa.RecordBatch.from_arrays(columns, ["fold", "y", "bucket"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("fold", "y", "text")
-    counts = rows.mapInPandas(run, "fold int, y int, bucket int").groupBy("fold", "y", "bucket").agg(F.count("*").alias("n"))
+    counts = rows.mapInArrow(run, "fold int, y int, bucket int").groupBy("fold", "y", "bucket").agg(F.count("*").alias("n"))
     counts = save(counts, "words")
     # What occurs in a document or two says nothing; the rest is bounded by the sample.
     often = counts.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") >= SIGHTINGS).select("bucket")
@@ -329,17 +332,24 @@ def features(docs: DataFrame, pages: DataFrame | None, sample: DataFrame) -> Dat
     typed = dict(docs.dtypes)["doc_id"]
     leaning = docs.sparkSession.sparkContext.broadcast(word_leaning(docs, sample))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            feats = [[*text_features(t), *leaning.value.features(t, f)] for t, f in zip(b["text"], b["fold"])]
-            yield b.drop(columns=["text", "fold"]).assign(feats=feats)
+    kept = ["doc_id", "n_chars", "lang", "source", "y", "held"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A batch has a number of rows, whatever their length; a part of it bounds what they take in a worker.
+            for part in text_parts(batch, "text"):
+                texts, folds = (part.column(c).to_pylist() for c in ("text", "fold"))
+                feats = np.array([[*text_features(t), *leaning.value.features(t, f)] for t, f in zip(texts, folds)], np.float32)
+                ends = np.arange(0, feats.size + 1, feats.shape[1], dtype=np.int32)
+                columns = [*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(feats.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "feats"])
 
     rows = docs.select("doc_id", "text", column("n_chars", "double", -1.0), column("lang", "string", "null"), column("source", "string", "null"))
     rows = rows.join(F.broadcast(sample), "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("doc_id"), "n_chars", "lang", "source", F.coalesce("y", F.lit(-1)).alias("y"),
         F.coalesce("held", F.lit(False)).alias("held"), F.coalesce("fold", F.lit(-1)).alias("fold"), "text",
     )
-    rows = rows.mapInPandas(run, "doc_id string, n_chars double, lang string, source string, y int, held boolean, feats array<float>")
+    rows = rows.mapInArrow(run, "doc_id string, n_chars double, lang string, source string, y int, held boolean, feats array<float>")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast(typed)).withColumn("y", F.when(F.col("y") >= 0, F.col("y")))
     if pages is None:
         return rows.withColumn("host", F.lit("null"))

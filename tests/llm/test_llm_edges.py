@@ -7,12 +7,14 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, order_minhash, quality, resharding, secrets, url_filters
 from learnlens.llm import sentencepiece_codec as sp
+from learnlens.llm.common import PART_BYTES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, node long, h long, spans string, bucket int, target double, fp string, range int, shard int"
 EXTRA = (1, "k", 2, 3, "s", 4, 0.5, "f", 5, 6)
@@ -223,3 +225,27 @@ def test_pipeline_against_plain_python(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
     expected = sorted((i, library.encode(t)) for i, t in plain_mix(left))
     assert sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, sf).collect()) == expected
+
+
+def test_texts_are_taken_up_in_bounded_parts(spark, monkeypatch):
+    frame, taken = type(spark.range(0)), []
+    map_in_arrow = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: taken.append(f) or map_in_arrow(self, f, *a, **b))
+    docs = documents(spark, [(i, f"good words number {i}", "en", "a", 20) for i in range(8)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    quality.features(docs, None, quality.labelled_rows(docs, labels))
+    rows = jaccard_join.nodes_of(docs, 5, 80)
+    jaccard_join.whole_sets(docs, rows.select("doc_id", "h", "node"), 5)
+    assert len(taken) == 4
+    n = 5  # texts of which two fit into a part
+    text = "words of a long text " * 80_000
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "doc_id": [str(i) for i in range(n)], "text": [text] * n, "h": list(range(n)), "node": list(range(n)), "n_chars": [1.0] * n,
+            "lang": ["en"] * n, "source": ["a"] * n, "held": [False] * n,
+            "y": pa.array([1] * n, pa.int32()), "fold": pa.array([0] * n, pa.int32()),
+        }
+    )
+    assert 2 * len(text) <= PART_BYTES < 3 * len(text)
+    for f in taken:
+        assert len(list(f(iter([batch])))) == 3
