@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from learnlens.llm import chat_format, jaccard_join, kmeans_tree, mixing, quality, resharding, secrets, url_filters
+from learnlens.llm import chat_format, common, jaccard_join, kmeans_tree, mixing, quality, resharding, secrets, url_filters
 from learnlens.llm import sentencepiece_codec as sp
 from learnlens.llm.common import connected_components
+from learnlens.session import shared_root
 
 
 def test_components_of_chains_hubs_and_loops(spark):
@@ -126,6 +129,60 @@ def test_join_at_other_settings(spark, monkeypatch, width, percent):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
 
 
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in map(str, (files.apply(i) for i in range(files.size()))) if "shuffle_" in f}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They would pile up until the driver collects garbage."""
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    setting = spark.conf.get(key)
+    saved = common.save(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(5, "count"), "grouped")
+    end = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < end:  # removed in the background
+        time.sleep(0.2)
+    assert shuffle_files(spark) - before == set()
+    assert saved.count() == 100 and spark.conf.get(key) == setting
+
+
+@pytest.mark.parametrize("rows", [3, 400_000])
+def test_join_keeps_the_tables_of_its_result_only(spark, monkeypatch, rows):
+    """Also where its tables are too many rows to be broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    monkeypatch.setattr(jaccard_join, "EXTRA", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for copies in (1, 2, 5, 30):
+        base = [word() for _ in range(50)]
+        for _ in range(copies):
+            words = list(base)
+            words[rng.randrange(50)] = word()
+            texts += [" ".join(words)] * rng.randrange(1, 3)
+    texts += ["", " ".join(word() for _ in range(30))]
+    folder = f"{shared_root(spark).removeprefix('file:')}/learnlens"
+    tables = lambda: {f for f in (os.listdir(folder) if os.path.isdir(folder) else []) if f.startswith("llm-")}
+    before = tables()
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()}
+    assert got == {i: (len(jaccard_join.shingles(t)), c) for i, (t, c) in enumerate(zip(texts, brute_components(texts)))}
+    assert sorted(f.rsplit("-", 1)[0] for f in tables() - before) == ["llm-components", "llm-linked", "llm-rows"]
+
+
+def test_rows_that_may_be_among_many_keys(spark, monkeypatch):
+    """All that are, by masks that are few whatever the number of keys, and hardly any other."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1_000)
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    keys = rows.where("id % 7 = 0")
+    met = {r.id for r in common.maybe_among(rows, keys.unionByName(keys), "h").collect()}
+    assert {i for i in range(20_000) if i % 7 == 0} <= met and len(met) < 2_858 + 1_500
+    assert common.maybe_among(rows, keys, "h").columns == ["id", "h"]
+    assert common.maybe_among(rows, keys.where("false"), "h").count() == 0
+
+
 def test_search_with_two_sides():
     a, b, c = (np.arange(i, i + 40, dtype=np.uint64) for i in (0, 1, 2))
     assert jaccard_join.search([a, b, c], [0, 0, 0]) and len(jaccard_join.search([a, b, c], [0, 0, 0])) == 2
